@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusframe.llm.bpe import op5_byte_bpe
 from corpusframe.llm.decontaminate import op10_decontaminate
+from corpusframe.llm.rules import op9_weak_supervision
+from corpusframe.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_weak_supervision": op9_weak_supervision,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
