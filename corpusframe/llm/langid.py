@@ -50,7 +50,9 @@ def _folded() -> np.ndarray:
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each text between two spaces (0), runs of other characters as one space; where each text begins."""
-    whole = "\n\n".join(["", *texts.to_pylist(), ""]) if len(texts) else ""
+    if not len(texts):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    whole = "\n\n".join(["", *texts.to_pylist(), ""])
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(t) for t in texts.to_pylist()], dtype=np.int64)
     begins = np.cumsum(np.r_[0, sizes + 2])  # at the first of the two line ends before each text
@@ -60,7 +62,7 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[begins + 1] = True  # so a text's last space and the next one's first stay apart
     keep[begins] = symbols[np.maximum(begins - 1, 0)] != 0
     place = np.r_[0, np.cumsum(keep)]
-    return symbols[keep], place[begins + 1]
+    return symbols[keep][:-1], place[begins + 1]
 
 
 def grams(symbols: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
