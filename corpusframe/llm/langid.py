@@ -65,16 +65,20 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return symbols[keep][:-1], place[begins + 1]
 
 
-def grams(symbols: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of the `order` symbols that end at each position; before a text's start stand spaces."""
-    since = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first)) if len(symbols) else np.zeros(0, np.int64)
-    out = np.full(len(symbols), order, dtype=np.uint64)
+def grams(symbols: np.ndarray, first: np.ndarray, order: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the `order` symbols that end at each position, or at those in `at`; before a text's start stand spaces."""
+    if at is None:
+        at = np.arange(len(symbols))
+        since = at - np.repeat(first[:-1], np.diff(first))
+    else:
+        since = at - first[np.searchsorted(first, at, side="right") - 1]
+    out = np.full(len(at), order, dtype=np.uint64)
     for k in range(order - 1, -1, -1):
-        part = np.zeros(len(symbols), dtype=np.uint64)
-        part[k:] = symbols[: len(symbols) - k] if k else symbols
+        part = symbols[at - np.minimum(since, k)].astype(np.uint64)
         part[since < k] = 0
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(1))
-    return out
+        out = (out + part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return mix(out)
 
 
 class KneserNey:
@@ -122,8 +126,7 @@ class Models:
     def entropies(self, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: nats per symbol in each language, the number of symbols, whether it has a letter."""
         symbols, first = letters(texts)
-        by_order = [grams(symbols, first, n) for n in range(1, ORDER + 1)]
-        unique, at, inverse = np.unique(by_order[-1], return_index=True, return_inverse=True)
+        unique, at, inverse = np.unique(grams(symbols, first, ORDER), return_index=True, return_inverse=True)
         known, values = cache.get("known", np.zeros(0, np.uint64)), cache.get("values", np.zeros((0, len(self.names)), np.float32))
         spot = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
         new = known[spot] != unique if len(known) else np.ones(len(unique), dtype=bool)
@@ -133,8 +136,8 @@ class Models:
         # the context of an n-gram is the (n-1)-gram that ends one symbol before; at a text's start it is spaces only
         start = np.isin(place, first[:-1])
         before = np.maximum(place - 1, 0)
-        own = [g[place] for g in by_order]
-        contexts = [np.zeros(len(place), np.uint64)] + [np.where(start, _spaces(n), by_order[n - 1][before]) for n in range(1, ORDER)]
+        own = [grams(symbols, first, n, place) for n in range(1, ORDER + 1)]
+        contexts = [np.zeros(len(place), np.uint64)] + [np.where(start, _spaces(n), grams(symbols, first, n, before)) for n in range(1, ORDER)]
         for k, model in enumerate(self.models):
             scores[new, k] = -np.log(model.probability(own, contexts))
         if len(known) + len(place) > CACHED:
