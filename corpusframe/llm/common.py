@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,14 +85,27 @@ def over_pieces(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: st
     return go
 
 
+def bitmap(df: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Which remainders modulo `bits` (a power of two) a long column has: some rows of 4 KB, whatever the number of values."""
+    bit = F.col(name).bitwiseAND(F.lit(bits - 1))
+    rows = df.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(bits + 2 * 32_768, dtype=bool)
+    for r in rows:  # bucket b holds the values from (b - 1) * 32768 + 1 on, and bucket 0 the value 0
+        held = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little").astype(bool)
+        if r.bucket == 0:
+            out[0] |= held[0]
+        else:
+            at = (r.bucket - 1) * 32_768 + 1
+            out[at : at + len(held)] |= held
+    return out[:bits]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
 def lists(values: pa.Array, sizes) -> pa.ListArray:
     """A list array from flat values and the length of each list."""
-    import numpy as np
-
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, over_pieces, stored, table, text_of
+from corpusframe.llm.common import bitmap, column, fields, over_pieces, stored, table, text_of
 from corpusframe.llm.textbytes import ALNUM, raw, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -169,21 +169,6 @@ def word_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> Data
     return rows.mapInArrow(over_pieces(run, "__text"), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def bitmap(terms: DataFrame) -> np.ndarray:
-    """Which of BITMAP_BITS remainders the terms have: a few rows of 4 KB each, whatever the number of terms."""
-    bit = F.col("term").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    rows = terms.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(BITMAP_BITS + 2 * 32_768, dtype=bool)
-    for r in rows:  # bucket b holds the values from (b - 1) * 32768 + 1 on, and bucket 0 the value 0
-        held = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little")
-        at = 0 if r.bucket == 0 else (r.bucket - 1) * 32_768 + 1
-        if r.bucket == 0:
-            out[0] |= bool(held[0])
-        else:
-            out[at : at + len(held)] |= held.astype(bool)
-    return out[:BITMAP_BITS]
-
-
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, entity, disclosure): the pairs that reach GENERALISE.  `found` is a stored result of find_base over docs."""
     near = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["term"], c["entity"], c["context"])))).alias("c")).select("c.*")
@@ -192,7 +177,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     per_doc = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["term"], c["entity"])))).alias("c")).select("c.*")
     together = per_doc.join(pairs, ["term", "entity"], "left_semi").groupBy("term", "entity").agg(F.count("*").alias("both"))
     entities = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = word_counts(docs, bitmap(pairs.select("term").distinct()), text).withColumnRenamed("n", "n_term")
+    terms = word_counts(docs, bitmap(pairs.select("term").distinct(), "term", BITMAP_BITS), text).withColumnRenamed("n", "n_term")
     total = F.lit(max(2, found.count())).cast("double")
     scored = together.join(entities, "entity").join(terms, "term")
     pmi = F.log2(total * F.col("both") / (F.col("n_term") * F.col("n_entity")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusframe.llm.bpe import op5_byte_bpe
 from corpusframe.llm.decontaminate import op10_decontaminate
 from corpusframe.llm.langid import op4_langid
+from corpusframe.llm.neardup import op6_neardup
 from corpusframe.llm.pii import op1_pii
 from corpusframe.llm.rules import op9_weak_supervision
 from corpusframe.llm.warc import OP2_SQL, op2_warc
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_langid": op4_langid,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_neardup": op6_neardup,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2_000_000
+PIECE_ROWS = 4096
 _BASE = 0x9E3779B97F4A7C15 | 3
 _MASK = (1 << 64) - 1
 
@@ -122,16 +123,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes of text at most; a longer text makes a slice of its own."""
+    """Slices of a batch with about `limit` bytes of text and PIECE_ROWS rows at most; a longer text makes a slice of its own."""
     column = batch.column(batch.schema.get_field_index(text))
     _, off = raw(column)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
+        to = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
 
+def row_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's words in order, from the words' hashes."""
+    counts = np.diff(first)
+    if not len(h):
+        return mix(counts.astype(np.uint64))
+    p, q, _ = _powers(1 << max(16, int(len(h) - 1).bit_length()), 7)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
+    out = (sums[first[1:]] - sums[first[:-1]]) * q[np.minimum(first[:-1], len(q) - 1)]
+    return mix(out + counts.astype(np.uint64))
+
+
 def window_hashes(h: np.ndarray, first: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each run of `width` words inside one row: where it begins, and a hash of its words in order."""
     n = len(h) - width + 1
