@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,28 @@ from pyspark.sql import types as T
 from corpusframe.llm.textbytes import PIECE_BYTES, pieces
 
 
+BATCH_BYTES = 16_000_000
+_MALLOC: list = []
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark cut the Arrow batches that it sends to workers by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the system; workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if not _MALLOC:
+        try:
+            _MALLOC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):
+            _MALLOC.append(lambda _: 0)
+    _MALLOC[0](0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,6 +103,7 @@ def over_pieces(run: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: st
                 out = run(piece)
                 if out is not None and out.num_rows:
                     yield out
+            give_back()
 
     return go
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, lists, table, text_of
+from corpusframe.llm.common import column, fields, give_back, lists, table, text_of
 from corpusframe.llm.fmindex import FmIndex
 from corpusframe.llm.textbytes import ALNUM, Words, pieces, raw, words
 
@@ -162,6 +162,7 @@ def _pass(phrases: Phrases, others: list[str], first_block: bool):
         for batch in batches:
             for piece in pieces(batch, "__text", SHARD_BYTES):
                 yield shard(piece)
+            give_back()
 
     return go
 

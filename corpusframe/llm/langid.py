@@ -21,14 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, over_pieces, table, text_of
+from corpusframe.llm.common import column, fields, lists, over_pieces, table, text_of
 from corpusframe.llm.textbytes import mix
 
 ORDER = 4
-SAMPLE = 3_000
+SAMPLE = 2_000
 LANGUAGES = 200
 REJECT = 0.995
 CACHED = 1_000_000
@@ -158,12 +159,8 @@ class Models:
         evidence = (h.min(axis=1, keepdims=True) - h) * np.sqrt(n)[:, None] / self.temperature
         return best, 1.0 / np.exp(np.maximum(evidence, -700)).sum(axis=1)
 
-    def calibrate(self, texts: pa.Array, truth: np.ndarray) -> None:
+    def calibrate(self, h: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
         """The temperature that makes the right language most likely, and each language's limit of cross-entropy."""
-        h, n, has = self.entropies(texts, {})
-        h, n, truth = h[has], n[has], truth[has]
-        if not len(truth):
-            return
         evidence = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None]
 
         def loss(t: float) -> float:
@@ -182,51 +179,72 @@ def _spaces(order: int) -> np.uint64:
     return grams(np.zeros(1, np.uint32), np.array([0, 1]), order)[0]
 
 
-def counted(texts: list[str]) -> tuple[list, int]:
-    """What KneserNey wants, from one language's texts; and the size of the alphabet."""
-    symbols, first = letters(pa.array(texts, pa.large_string()))
+COUNTS = "lang string, n int, gram long, context long, shorter long, times long"
+
+
+def counted(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: its number, the distinct sequences, each without its last and without its first symbol, and how often it comes."""
+    symbols, first = letters(texts)
     by_order = [grams(symbols, first, n) for n in range(1, ORDER + 1)]
     at_start = np.zeros(len(symbols), dtype=bool)
     at_start[first[:-1][np.diff(first) > 0]] = True
     before = np.maximum(np.arange(len(symbols)) - 1, 0)
     out = []
     for n in range(1, ORDER + 1):
-        unique, at, count = np.unique(by_order[n - 1], return_index=True, return_counts=True)
-        context = np.where(at_start[at], _spaces(n - 1), by_order[n - 2][before[at]]) if n > 1 else np.zeros(len(at), np.uint64)
-        out.append((unique, context, by_order[n - 2][at] if n > 1 else np.zeros(len(at), np.uint64), count.astype(np.float64)))
-    return out, len(out[0][0])
+        unique, at, times = np.unique(by_order[n - 1], return_index=True, return_counts=True)
+        none = np.zeros(len(at), np.uint64)
+        context = np.where(at_start[at], _spaces(n - 1), by_order[n - 2][before[at]]) if n > 1 else none
+        out.append((n, unique, context, by_order[n - 2][at] if n > 1 else none, times))
+    return out
+
+
+def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    langs = column(batch, "lang")
+    parts = []
+    for lang in langs.unique().to_pylist():
+        own = column(batch, "text").filter(pc.equal(langs, lang))
+        for n, gram, context, shorter, times in counted(own):
+            size = len(gram)
+            parts.append(pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, shorter)), pa.array(times)], names=["lang", "n", "gram", "context", "shorter", "times"]))
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Models:
-    """Learns from about `sample` documents of each language."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().orderBy(lang).limit(LANGUAGES + 1).collect()}
+    """Learns from about `sample` documents of each language.  Workers count; the driver gets the sums, which the sample bounds."""
+    rows = labelled.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND lang != '' AND text IS NOT NULL")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    unit = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    share = F.lit(0)
+    unit = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
+    share, few = F.lit(0), [name for name, n in counts.items() if n < 60]
     for name, n in counts.items():
-        share = F.when(F.col(lang) == name, min(1_000_000, 1 + 1_000_000 * sample // n)).otherwise(share)
-    chosen = rows.where(unit < share).select(lang, text, F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(6)).alias("part")).orderBy(lang, F.xxhash64(key), text).toArrow()
-    names, models, held, truth = sorted(counts), [], [], []
-    part = chosen.column("part").to_numpy()
-    of = np.array(chosen.column(lang).to_pylist(), dtype=object)
-    kept = []
-    for name in names:
-        own = np.flatnonzero(of == name)
-        fit = own[part[own] != 0] if len(own) >= 60 else own
-        gram_counts, alphabet = counted(chosen.column(text).take(pa.array(fit)).to_pylist())
-        if not len(fit) or not len(gram_counts[0][0]):
-            continue
-        models.append(KneserNey(gram_counts, alphabet))
-        kept.append(name)
-        if len(own) >= 60:
-            test = own[part[own] == 0]
-            held += chosen.column(text).take(pa.array(test)).to_pylist()
-            truth += [len(kept) - 1] * len(test)
-    out = Models(kept, models)
-    if held:
-        out.calibrate(pa.array(held, pa.large_string()), np.array(truth))
+        share = F.when(F.col("lang") == name, min(1_000_000, 1 + 1_000_000 * sample // n)).otherwise(share)
+    held = (F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(6)) == 0) & ~F.col("lang").isin(few or [""])
+    chosen = rows.where(unit < share).withColumn("held", held).select("lang", "text", "held")
+    sums = chosen.where(~F.col("held")).select("lang", "text").mapInArrow(over_pieces(_count, "text", PIECE), COUNTS).groupBy("lang", "n", "gram", "context", "shorter").agg(F.sum("times").alias("times")).toArrow()
+    names, models = [], []
+    for name in sorted(counts):
+        own = sums.filter(pc.equal(sums.column("lang"), name))
+        by_order = []
+        for n in range(1, ORDER + 1):
+            part = own.filter(pc.equal(own.column("n"), n)).sort_by("gram")
+            by_order.append((*(part.column(c).to_numpy().view(np.uint64) for c in ("gram", "context", "shorter")), part.column("times").to_numpy().astype(np.float64)))
+        if len(by_order[0][0]):
+            models.append(KneserNey(by_order, len(by_order[0][0])))
+            names.append(name)
+    out = Models(names, models)
+    place = {name: k for k, name in enumerate(names)}
+    tests = chosen.where(F.col("held")).select("lang", "text")
+    broadcast = labelled.sparkSession.sparkContext.broadcast(out)
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, n, has = broadcast.value.entropies(column(batch, "text"), {})
+        return pa.RecordBatch.from_arrays([column(batch, "lang"), pa.array(n, pa.int64()), pa.array(has, pa.bool_()), lists(pa.array(h.ravel()), np.full(len(n), h.shape[1]))], names=["lang", "n", "has", "h"])
+
+    if names:
+        got = tests.mapInArrow(over_pieces(measure, "text", PIECE), "lang string, n long, has boolean, h array<double>").where("has").orderBy("lang", "n", "h").toArrow()
+        if got.num_rows:
+            out.calibrate(np.array(got.column("h").to_pylist()), got.column("n").to_numpy(), np.array([place[x] for x in got.column("lang").to_pylist()]))
     return out
 
 

@@ -11,7 +11,9 @@ from corpusframe.llm.decontaminate import op10_decontaminate
 from corpusframe.llm.langid import op4_langid
 from corpusframe.llm.neardup import op6_neardup
 from corpusframe.llm.pii import op1_pii
+from corpusframe.llm.quality import op8_quality
 from corpusframe.llm.rules import op9_weak_supervision
+from corpusframe.llm.substrings import op7_substrings
 from corpusframe.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_neardup": op6_neardup,
+    "op7_substrings": op7_substrings,
+    "op8_quality": op8_quality,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_decontaminate": op10_decontaminate,
 }
