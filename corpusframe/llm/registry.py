@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusframe.llm.bpe import op5_byte_bpe
+from corpusframe.llm.chat import op3_chat
 from corpusframe.llm.decontaminate import op10_decontaminate
 from corpusframe.llm.langid import op4_langid
 from corpusframe.llm.neardup import op6_neardup
@@ -19,6 +20,7 @@ from corpusframe.llm.warc import OP2_SQL, op2_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_warc": op2_warc,
+    "op3_chat": op3_chat,
     "op4_langid": op4_langid,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_neardup": op6_neardup,
