@@ -6,10 +6,11 @@ random register, which keeps the earliest, and a shingle stops when its next arr
 So registers agree with the probability Jaccard similarity.  `BANDS` bands of `ROWS` registers give candidates; links are
 pairs of different texts whose shingle sets have a Jaccard similarity of `SIMILAR` at least.  Classes are the connected components.
 
-Scale and skew: equal word sequences are one node, by a map-side combined group.  In a bucket of any size only `LEADERS` leaders (the
-nodes with most company over all bands) are compared with the others: links grow with the members, not their square.  Where a bucket's
-members are still in different components after that, the untested pairs between components, of sizes that allow the
-similarity, are verified too, so no link that banding finds is lost and no bucket is capped.  Shingle sets are read only for nodes that
+Scale and skew: equal word sequences are one node, by a map-side combined group.  In a bucket of any size only the leader (the
+node with most company over all bands) is compared with the others: links grow with the members, not their square.  Where a bucket's
+members are still in different components after that, untested pairs between components are verified too: all in a bucket of
+`SMALL_BUCKET` nodes at most, and in larger ones those that an exact prefix filter on the shingle sets leaves.  So no link that banding finds
+is lost and no bucket is capped.  Shingle sets are read only for nodes that
 have a candidate; a bitmap of fixed size tells the workers which.
 
 Defined results: null texts and texts without words are alone.  Repeated rows are copies.  Of a class the document with the smallest
@@ -30,7 +31,7 @@ from corpusframe.llm.textbytes import ALNUM, mix, row_hashes, window_hashes, wor
 WIDTH = 5
 SIMILAR = (4, 5)  # intersection : union
 BANDS, ROWS = 20, 5
-LEADERS = 3
+SMALL_BUCKET = 32
 BITMAP_BITS = 1 << 23
 _HASH_BITS = 52
 
@@ -131,6 +132,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * SIMILAR[1] >= union * SIMILAR[0]).select("u", "v")
 
 
+def _by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that may be similar, without comparing all: with shingles ordered by how rare they are
+    among the members, similar sets share one among the first few of each, and enough can follow it in both."""
+    t, u = SIMILAR
+    owned = members.join(sets, "node").select("node", "component", F.explode("own").alias("shingle"))
+    rare = owned.groupBy("shingle").agg(F.count("*").alias("df"))
+    ordered = owned.join(rare, "shingle").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    n = F.size("own")
+    head = ordered.select("node", "component", n.alias("n"), F.posexplode(F.slice("own", F.lit(1), n - F.ceil(n * t / u).cast("int") + 1)).alias("at", "s")).select("node", "component", "n", "at", F.col("s.shingle").alias("shingle"))
+    head = stored(head, "neardup-heads")
+    mixed = head.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("shingle")
+    head = stored(head.join(mixed, "shingle", "left_semi"), "neardup-heads")
+    x, y = head.alias("x"), head.alias("y")
+    other = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
+    sizes = F.col("x.n") + F.col("y.n")
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (t + u) >= sizes * t
+    return x.join(y, other & enough).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, node (text hash), class_id (the key of the document that stays), stays, n_copies of key and text."""
     rows = stored(prints(docs, key, text), "neardup-prints")
@@ -141,12 +161,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shared = stored(member.join(buckets, "band"), "neardup-buckets")
     weight = shared.groupBy("node").agg(F.sum("company").alias("weight"))
     weighted = shared.join(weight, "node")
-    ranked = weighted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("l1"))
-    leaders = ranked.select("band", F.col("l1.node").alias("leader"))
-    for _ in range(LEADERS - 1):
-        rest = weighted.join(leaders.withColumnRenamed("leader", "node"), ["band", "node"], "left_anti")
-        leaders = leaders.union(rest.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("l")).select("band", F.col("l.node")))
-    leaders = stored(leaders, "neardup-leaders")
+    leaders = stored(weighted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("l")).select("band", F.col("l.node").alias("leader")), "neardup-leaders")
     first = stored(_ordered(shared.select("band", "node").join(leaders, "band"), "node", "leader"), "neardup-pairs")
 
     active = shared.select("node").distinct().join(nodes.select("node", F.col("least.key").alias("rep")), "node").select("node", F.col("node").bitwiseXOR(F.xxhash64("rep")).alias("bit"), "rep")
@@ -159,13 +174,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = components(links)
     # what the leaders did not settle: untested pairs of a bucket between different components
     placed = shared.join(found, "node", "left").select("band", "node", "n_words", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band")
+    split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a != b").select("band", "n")
     open_ = stored(placed.join(split, "band"), "neardup-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    few = open_.where(F.col("n") <= SMALL_BUCKET)
+    x, y = few.alias("x"), few.alias("y")
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     fit = F.least("x.n_words", "y.n_words") * 10 >= F.greatest("x.n_words", "y.n_words") * 6  # repeats count among words but not in the set
-    rest = x.join(y, near & fit).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    more = stored(_verified(rest.join(first, ["u", "v"], "left_anti"), sets), "neardup-links")
+    small = x.join(y, near & fit).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    large = stored(open_.where(F.col("n") > SMALL_BUCKET).select("node", "component").distinct(), "neardup-large")
+    rest = small if large.isEmpty() else small.union(_by_prefix(large, sets))
+    more = stored(_verified(rest.distinct().join(first, ["u", "v"], "left_anti"), sets), "neardup-links")
     if not more.isEmpty():
         found = components(links.union(more))
 
