@@ -26,7 +26,7 @@ def _bases(word: str) -> str:
 _SCRIPT = (
     ("class", rf"\bclass\s+(?P<name>{_ID})(?:<[^>{{]*>)?(?:\s+(?:extends|implements)\s+(?P<bases>[^{{]+?))?\s*(?={{)"),
     ("function", rf"\bfunction\s*\*?\s*(?P<name>{_ID})\s*(?:<[^>]*>)?\([^)]*\)[^{{;]*(?={{)"),
-    ("method", rf"^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|do\b|else\b){_ID})\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{{;=]+)?(?={{)"),
+    ("method", rf"(?:^|(?<=[{{}};]))[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|do\b|else\b){_ID})\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{{;=]+)?(?={{)"),
 )
 _TYPED = _SCRIPT + (("interface", rf"\binterface\s+(?P<name>{_ID})(?:<[^>{{]*>)?(?:\s+extends\s+(?P<bases>[^{{]+?))?\s*(?={{)"), ("enum", rf"\benum\s+(?P<name>{_ID})\s*(?={{)"))
 _SCRIPT_IMPORT = r"""(?m)^\s*import\s+(?:[^'"]*from\s+)?['"]([^'"]+)['"]"""

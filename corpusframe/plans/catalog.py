@@ -307,7 +307,7 @@ r AS (SELECT *, list_has_any(string_split(lower(path), '/'), ['test', 'tests'])
       (lower(path) = 'QQ' OR ends_with(lower(path), '/QQ') OR regexp_replace(string_split(lower(path), '/')[-1], '\\.[^./]+$', '') = 'QQ') AS pathed FROM h)
 SELECT p_partkey, round(greatest(base * (CASE WHEN named THEN 2.0 ELSE 1.0 END) * (CASE WHEN pathed THEN 1.5 ELSE 1.0 END) * (CASE WHEN is_test THEN 0.7 ELSE 1.3 END) * (CASE WHEN kind = 'class' AND parent = '' THEN 1.2 ELSE 1.0 END), 0.0001), 6) AS score FROM r
 """
-_NAME = "almond"
+_NAME = "large bolt"
 
 
 def _hits(spark, d):
