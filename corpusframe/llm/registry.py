@@ -11,6 +11,7 @@ from corpusframe.llm.chat import op3_chat
 from corpusframe.llm.decontaminate import op10_decontaminate
 from corpusframe.llm.langid import op4_langid
 from corpusframe.llm.neardup import op6_neardup
+from corpusframe.llm.oracles import OP6_SQL, OP7_SQL, OP10_SQL
 from corpusframe.llm.pii import op1_pii
 from corpusframe.llm.quality import op8_quality
 from corpusframe.llm.rules import op9_weak_supervision
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_neardup": OP6_SQL, "op7_substrings": OP7_SQL, "op10_decontaminate": OP10_SQL}
