@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from corpusframe.llm.textbytes import PIECE_BYTES, pieces
 
 
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 _MALLOC: list = []
 
 
@@ -91,6 +91,7 @@ def fields(schema: T.StructType, ddl: str) -> T.StructType:
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, with null as the empty text."""
+    bounded_batches(df.sparkSession)
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 

@@ -34,7 +34,7 @@ LANGUAGES = 200
 REJECT = 0.995
 CACHED = 1_000_000
 UNKNOWN = "und"
-PIECE = 1_500_000
+PIECE = 1_000_000
 
 
 @lru_cache(maxsize=1)

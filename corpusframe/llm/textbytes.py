@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 PIECE_ROWS = 4096
 _BASE = 0x9E3779B97F4A7C15 | 3
 _MASK = (1 << 64) - 1
