@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, give_back, lists, table, text_of
+from corpusframe.llm.common import column, fields, give_back, lists, stored, table, text_of
 from corpusframe.llm.fmindex import FmIndex
 from corpusframe.llm.textbytes import ALNUM, Words, pieces, raw, words
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 
 
 class Phrases:
@@ -130,7 +130,7 @@ def spans(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.diff(np.searchsorted(start, first))
 
 
-def _pass(phrases: Phrases, others: list[str], first_block: bool):
+def _pass(phrases: Phrases, others: list[str], first_block: bool, clean: bool):
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(column(batch, "__text"), ALNUM, lower=True)
         at, length, item = search(w, phrases)
@@ -153,9 +153,10 @@ def _pass(phrases: Phrases, others: list[str], first_block: bool):
         shift = np.repeat(w.first[:-1], n)
         ranges = pa.StructArray.from_arrays([pa.array((start - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32))], names=["start", "end"])
         hit = np.diff(np.r_[0, np.cumsum(covered)][w.first])
+        left = [cut(column(batch, "__text"), w.start[start], w.end[end - 1])] if clean else []
         return pa.RecordBatch.from_arrays(
-            [column(batch, c) for c in others] + [column(batch, "__text"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), lists(ranges, n), pa.array(items, pa.list_(pa.string()))],
-            names=[*others, "__text", "n_words", "n_hit", "hits", "items"],
+            [column(batch, c) for c in others] + [column(batch, "__text"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), lists(ranges, n), pa.array(items, pa.list_(pa.string())), *left],
+            names=[*others, "__text", "n_words", "n_hit", "hits", "items"] + ["clean_text"] * clean,
         )
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,45 +178,31 @@ def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES)
         yield sorted(((r.item, r.text) for r in part.collect()), key=str)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def cut(texts: pa.Array, since: np.ndarray, to: np.ndarray) -> pa.Array:
+    """The texts without the bytes between each `since` and `to`, which count over all of them."""
+    data, off = raw(texts)
+    gone = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(gone, since, 1)
+    np.add.at(gone, to, -1)
+    left = np.cumsum(gone, dtype=np.int32)[:-1] == 0
+    off = np.r_[0, np.cumsum(left)][off].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(data[left].tobytes())).cast(pa.string())
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """The `keep` columns with `__text`, n_words, n_hit (long), hits array<struct<start,end>> (word numbers, merged, end
-    exclusive) and items array<string> (sorted)."""
-    new = ["__text", "n_words", "n_hit", "hits", "items"]
+    exclusive) and items array<string> (sorted); with `clean` also clean_text, without each run of hit words from its first to its last byte.
+
+    Between blocks of the benchmark the rows are stored, so that a task never has more than one worker."""
+    new = ["__text", "n_words", "n_hit", "hits", "items", "clean_text"]
     keep = keep if keep is not None else [c for c in docs.columns if c not in new]
     out = docs.select(*keep, text_of(docs, text).alias("__text"))
-    schema = fields(out.schema, "n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>")
+    schema = fields(out.schema, "n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>" + ", clean_text string" * clean)
     for k, block in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        out = out.mapInArrow(_pass(Phrases(block, window), keep, k == 0), schema)
+        out = (stored(out, "decontaminate-block") if k else out).mapInArrow(_pass(Phrases(block, window), keep, k == 0, clean), schema)
     return out
 
 
-def cut(df: DataFrame, name: str = "text") -> DataFrame:
-    """Takes what find_contamination gives and cuts the hit words, each run from its first to its last byte."""
-    keep = [c for c in df.columns if c != name]
-    schema = fields(df.select(*keep).schema, f"`{name}` string")
-
-    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "__text", SHARD_BYTES):
-                w = words(column(piece, "__text"), ALNUM, lower=True)
-                data, off = raw(column(piece, "__text"))
-                ranges = column(piece, "hits")
-                sizes = np.diff(ranges.offsets.to_numpy())
-                base = np.repeat(w.first[:-1], sizes)
-                flat = ranges.flatten()
-                since = w.start[base + flat.field("start").to_numpy()]
-                to = w.end[base + flat.field("end").to_numpy() - 1]
-                gone = np.zeros(len(data) + 1, dtype=np.int64)
-                np.add.at(gone, since, 1)
-                np.add.at(gone, to, -1)
-                left = np.cumsum(gone)[:-1] == 0
-                off = np.r_[0, np.cumsum(left)][off]
-                kept = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data[left].tobytes())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([column(piece, c) for c in keep] + [kept], names=[*keep, name])
-
-    return df.mapInArrow(go, schema)
-
-
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -226,7 +213,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages from the documents; a document of which no word is left goes.  Clean documents stay as they are."""
     kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=kept)
-    left = cut(found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=kept, clean=True)
+    left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).withColumn("text", F.col("clean_text"))
     values = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return left.withColumns(values).select(*docs.columns)
