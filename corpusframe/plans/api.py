@@ -31,7 +31,8 @@ class Engine:
         after = source_files.snapshot(sources)
         there = not self.catalog.missing(["snapshot"])
         before = self.catalog.open("snapshot") if there and mode == "incremental" else self.spark.createDataFrame([], after.schema)
-        changes = incremental.snapshot_diff(before, after, marks=("content_hash",)).persist()
+        self.catalog.write("changes", incremental.snapshot_diff(before, after, marks=("content_hash",)))
+        changes = self.catalog.open("changes")
         fresh = extract.parsed(sources.join(changes.where("status != 'D'").select("path"), "path", "left_semi")).persist()
         for name, column, rows in (("symbols", "file_path", extract.symbols_of(fresh)), ("chunks", "file_path", extract.chunks_of(fresh)), ("files", "path", extract.files_of(fresh))):
             if mode == "full":
@@ -40,9 +41,8 @@ class Engine:
                 old = self.catalog.create(name, TABLES[name])
                 self.catalog.write(name, incremental.apply_changes(old, changes, rows.select(*old.columns), column))
         self.catalog.write("snapshot", after)
-        out = self.spark.createDataFrame(changes.collect(), changes.schema) if changes.count() <= 1000 else changes
         fresh.unpersist()
-        return out
+        return changes
 
     def index_status(self) -> DataFrame:
         return self.catalog.status()

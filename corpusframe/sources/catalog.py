@@ -47,9 +47,11 @@ class Catalog:
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
         target = self._path(name, "current.json")
-        fs.delete(target, False)
-        if not fs.rename(new, target):
-            raise OSError(f"{target.toString()} could not be replaced")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(target), how)
 
     def create(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """Opens a collection, and makes an empty one if there is none."""
@@ -84,9 +86,9 @@ class Catalog:
         old = self._pointer(name)
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
         writer.parquet(f"{self.root}/{name}/{version}")
-        self._switch(name, {"version": version, "schema": json.loads(rows.schema.json())})
-        if old:
-            self._fs().delete(self._path(name, old["version"]), True)
+        self._switch(name, {"version": version, "previous": old and old["version"], "schema": json.loads(rows.schema.json())})
+        if old and old.get("previous"):  # the version before this one stays for those who still read it
+            self._fs().delete(self._path(name, old["previous"]), True)
         return self.open(name).count()
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> int:
