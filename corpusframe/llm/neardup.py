@@ -219,9 +219,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     fate = stored(classes(docs, key, text).where("n_words > 0").where(~F.col("stays") | (F.col("n_copies") > 1)).select(F.col(key).alias("__key"), F.col("node").alias("__of"), "stays"), "neardup-fate")
     rows = with_node(docs, text)
     same = rows[key].eqNullSafe(fate["__key"]) & (rows["__node"] == fate["__of"])
+    fated = fate.hint("merge")  # one row for each document that goes: it grows with the input, so it is never broadcast
     if fate.where("stays").isEmpty():
-        return rows.join(fate, same, "left_anti").select(*docs.columns)
-    left = rows.join(fate, same, "left").where(F.coalesce("stays", F.lit(True)))
+        return rows.join(fated, same, "left_anti").select(*docs.columns)
+    left = rows.join(fated, same, "left").where(F.coalesce("stays", F.lit(True)))
     twice = F.col("stays").isNotNull()
     return left.where(~twice).select(*docs.columns).union(left.where(twice).dropDuplicates([key, "__node"]).select(*docs.columns))
 
