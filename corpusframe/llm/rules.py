@@ -1,7 +1,8 @@
 """Quality rules joined by weak supervision, in DataFrame functions alone.
 
 Each rule votes for good (1) or bad (-1) or abstains (0).  A two-class model in which rules err independently is fitted by
-expectation-maximisation to how often each pattern of votes occurs: at most 3 ** rules numbers, whatever the input's size.
+expectation-maximisation to how often each pattern of votes occurs: at most 3 ** rules numbers, and a few hundred in
+fact, whatever the input's size.
 A document's posterior probability of being good then follows from its votes by a sum of logarithms.
 
 Defined results: null and empty texts have no word; they fail the base rules.  Repeated rows give repeated rows.
@@ -24,6 +25,7 @@ MAX_REPEATED = 50  # hundredths of the words
 ROUNDS = 50
 SMOOTH = 1.0
 PRIOR_RIGHT = 0.9
+PRIOR_WEIGHT = 0.2
 
 
 def let(value: Column, body) -> Column:
@@ -74,7 +76,9 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit(r"[.!?](\s|$)")).cast("long").alias("n_stops"),
         F.regexp_count(t, F.lit(r"[!?]{2,}")).cast("long").alias("n_shouts"),
-    ).select(*keep, "of_words.*", "of_lines.*", "n_symbols", "n_upper", "n_stops", "n_shouts")
+        F.regexp_count(t, F.lit(r"[#*$%&|<>]{3,}")).cast("long").alias("n_runs"),
+        F.regexp_count(t, F.lit(r"(^|\s)[|<>&](\s|$)")).cast("long").alias("n_bars"),
+    ).select(*keep, "of_words.*", "of_lines.*", "n_symbols", "n_upper", "n_stops", "n_shouts", "n_runs", "n_bars")
 
 
 def rule_votes() -> dict[str, Column]:
@@ -88,10 +92,13 @@ def rule_votes() -> dict[str, Column]:
     n = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
     return {
-        "v_repeat": vote(c("n_repeat_words") * 5 > n, c("n_repeat_words") * 20 < n),
+        "v_repeat": vote(c("n_repeat_words") * 20 > 7 * n, c("n_repeat_words") * 20 < n),
         "v_variety": vote(c("n_distinct") * 5 < n, c("n_distinct") * 2 > n),
         "v_symbols": vote(c("n_symbols") * 10 > n),
-        "v_lines": vote(c("n_dup_lines") * 10 > c("n_lines") * 3),
+        "v_marks": vote(c("n_symbols") * 50 > chars),
+        "v_runs": vote(c("n_runs") * 20 > n),
+        "v_bars": vote(c("n_bars") * 20 > n),
+        "v_lines": vote(c("n_dup_lines") * 2 > c("n_lines")),
         "v_word": vote((chars < 3 * n) | (chars > 15 * n)),
         "v_upper": vote(c("n_upper") * 10 > chars * 3),
         "v_stops": vote(c("n_stops") * 200 < n, (c("n_stops") * 50 > n) & (c("n_stops") * 2 < n)),
@@ -102,12 +109,13 @@ def rule_votes() -> dict[str, Column]:
 def fitted(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over vote patterns: the prior log odds of good, and for each rule the log odds of each vote.
 
-    The prior belief that a vote is right nine times in ten weighs as much as the votes themselves.  It settles which
-    class is the good one, and keeps a rule from being read backwards.  A rule that abstains says nothing."""
+    The prior belief that a vote is right nine times in ten weighs a fifth of the votes themselves.  It settles which
+    class is the good one, and keeps a rule from being read backwards.  That a rule abstains counts as
+    far as good and bad documents differ in it."""
     total = sum(counts.values())
     rules = len(next(iter(counts), ()))
     belief = {1: PRIOR_RIGHT, 0: 0.5, -1: 1 - PRIOR_RIGHT}
-    cast = [{v: SMOOTH + sum(n for p, n in counts.items() if p[j] == v) for v in belief} for j in range(rules)]
+    cast = [{v: SMOOTH + PRIOR_WEIGHT * sum(n for p, n in counts.items() if p[j] == v) for v in belief} for j in range(rules)]
     prior = math.log(4) if total else 0.0
     odds = [{v: math.log(b / (1 - b)) for v, b in belief.items()} for _ in range(rules)]
     for _ in range(rounds if total else 0):
@@ -121,7 +129,7 @@ def fitted(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[fl
                 good[j][v] += n * p
                 bad[j][v] += n * (1 - p)
         prior = math.log((good_total + SMOOTH) / (total - good_total + SMOOTH))
-        odds = [{v: v and math.log(g[v] / sum(g.values())) - math.log(b[v] / sum(b.values())) for v in belief} for g, b in zip(good, bad, strict=True)]
+        odds = [{v: math.log(g[v] / sum(g.values())) - math.log(b[v] / sum(b.values())) for v in belief} for g, b in zip(good, bad, strict=True)]
     return prior, odds
 
 
@@ -134,7 +142,7 @@ def judged(measures: DataFrame) -> DataFrame:
     prior, odds = fitted(counts)
     logit = F.lit(prior)
     for (_, vote), o in zip(votes.items(), odds, strict=False):
-        logit = logit + F.when(vote == 1, o[1]).when(vote == -1, o[-1]).otherwise(0.0)
+        logit = logit + F.when(vote == 1, o[1]).when(vote == -1, o[-1]).otherwise(o[0])
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     return measures.withColumns({"base_failed": failed, "posterior": posterior}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
