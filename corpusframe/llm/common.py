@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -77,11 +79,14 @@ def dropped(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nobody refers to any more, so that executors delete their files."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets the driver notice which shuffles nobody refers to any more, so that executors delete their files.
+
+    The listeners' queue holds a query for a moment after its end, and the cleaner works beside the driver's own thread."""
+    for _ in range(2):
+        time.sleep(0.5)
+        gc.collect()
+        spark._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def fields(schema: T.StructType, ddl: str) -> T.StructType:

@@ -12,7 +12,8 @@ Words that a `WIDTH`-word window covers go if the window's words in order also b
    further: all their words go.
 
 Scale and skew: nothing is paired within a group; a passage that many documents share is one group of partial minima, and a join with one row
-on one side, whose other side Spark splits where it is skewed.  Intermediate tables are written to the shared folder.
+on one side, whose other side Spark splits where it is skewed.  Intermediate tables are written to the shared folder; they grow with the input,
+so they are never broadcast.
 
 Defined results: null texts have no words; texts of fewer than `WIDTH` words lose none.  A null doc_id is neither smaller nor
 larger than another, so such documents stay whole.  Rows with one doc_id don't remove each other's words.
@@ -62,17 +63,19 @@ def _starts(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_rows(candidates: DataFrame, key: str, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """(key, seq, name long, anchor long, at int) of the windows in `parts`, a list of (seq, spans) of which a text's own counts."""
-    schema = fields(candidates.select(key).schema, "seq long, name long, anchor long, at int")
+    """(key, part int, name long, anchor long, at int) of the windows in `parts`, a list of (seq, spans) of which a text's own counts."""
+    schema = fields(candidates.select(key).schema, "part int, name long, anchor long, at int")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(column(batch, "__text"), SPACED)
         h = w.hashes()
         seq = row_hashes(h, w.first).view(np.int64)
-        best, chosen = anchors(h, w.first, width, rounds), np.zeros(len(h) + 1, dtype=np.int64)
+        best = anchors(h, w.first, width, rounds)
+        chosen, place = np.zeros(len(h) + 1, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int32)
         for row, parts in enumerate(column(batch, "parts")):
-            for part in parts:
+            for k, part in enumerate(parts):
                 if part["seq"].as_py() == seq[row]:
+                    place[row] = k
                     spans = part["spans"].values
                     start = spans.field("start").to_numpy() + w.first[row]
                     np.add.at(chosen, start, 1)
@@ -82,7 +85,7 @@ def window_rows(candidates: DataFrame, key: str, width: int = WIDTH, rounds: int
         at, name = at[hit], name[hit]
         row = np.searchsorted(w.first, at, side="right") - 1
         return pa.RecordBatch.from_arrays(
-            [column(batch, key).take(pa.array(row)), pa.array(seq[row]), pa.array(name.view(np.int64)), pa.array(best[at].view(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=[key, "seq", "name", "anchor", "at"]
+            [column(batch, key).take(pa.array(row)), pa.array(place[row]), pa.array(name.view(np.int64)), pa.array(best[at].view(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=[key, "part", "name", "anchor", "at"]
         )
 
     return candidates.mapInArrow(over_pieces(run, "__text"), schema)
@@ -97,16 +100,19 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     least = texts.groupBy("seq").agg(F.min(key).alias("least"), F.count("*").alias("n")).where("n > 1").select("seq", "least")
     copies = stored(texts.join(least, "seq").where(F.col(key) > F.col("least")).select(key, "seq"), "substring-copies")
     shared = stored(found.groupBy("anchor").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a != b").select("anchor"), "substring-shared")
-    spans = found.join(shared, "anchor", "left_semi").groupBy(key, "seq").agg(F.collect_list(F.struct("start", "times")).alias("spans"))
+    free_shuffles(spark)
+    spans = found.join(shared.hint("merge"), "anchor", "left_semi").groupBy(key, "seq").agg(F.collect_list(F.struct("start", "times")).alias("spans"))
     parts = stored(spans.join(copies, [key, "seq"], "left_anti").groupBy(key).agg(F.collect_list(F.struct("seq", "spans")).alias("parts")), "substring-parts")
     free_shuffles(spark)
     dropped(found)
-    candidates = docs.select(key, text_of(docs, text).alias("__text")).join(parts, key)
+    candidates = docs.select(key, text_of(docs, text).alias("__text")).join(parts.hint("merge"), key)  # only these columns: no names clash
     windows = stored(window_rows(candidates, key, width, rounds), "substring-windows")
     free_shuffles(spark)
-    first = windows.groupBy("name", "anchor").agg(F.min(key).alias("least"), F.max(key).alias("most")).where(F.col("least") < F.col("most")).select("name", "anchor", "least")
-    later = windows.join(first, ["name", "anchor"]).where(F.col(key) > F.col("least"))
-    some = later.groupBy(key, "seq").agg(F.collect_set("at").alias("at")).select(key, F.struct("seq", F.lit(False).alias("whole"), "at").alias("part"))
+    first = windows.groupBy("name", "anchor").agg(F.min(key).alias("least"), F.max(key).alias("most")).where(F.col("least") < F.col("most"))
+    first = stored(first.select("name", "anchor", "least"), "substring-first")
+    free_shuffles(spark)
+    later = windows.join(first.hint("merge"), ["name", "anchor"]).where(F.col(key) > F.col("least")).groupBy(key, "part").agg(F.collect_set("at").alias("at"))
+    some = later.join(parts, key).select(key, F.struct(F.get("parts", F.col("part"))["seq"].alias("seq"), F.lit(False).alias("whole"), "at").alias("part"))
     whole = copies.select(key, F.struct("seq", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("at")).alias("part"))
     out = stored(some.union(whole).groupBy(key).agg(F.collect_set("part").alias("parts")), "substring-repeats")
     dropped(windows)
@@ -119,9 +125,9 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     array<struct<start,end>>: runs of removed words, end exclusive."""
     keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text", "removed")]
     found = repeats(docs, key, text, width)
-    held = found.select(F.col(key).alias("__key"), "parts")
+    held = found.select(F.col(key).alias("__key"), F.col("parts").alias("__parts")).hint("merge")
     rows = docs.select(*keep, F.col(key).alias("__own"), text_of(docs, text).alias("__text"))
-    joined = rows.join(held, F.col("__own") == F.col("__key"), "left").select(*keep, "__text", F.col("parts").alias("__parts"))
+    joined = rows.join(held, F.col("__own") == F.col("__key"), "left").select(*keep, "__text", "__parts")
     schema = fields(docs.select(*keep).schema, "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
