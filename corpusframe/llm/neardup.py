@@ -5,6 +5,9 @@ how often they come.  ProbMinHash draws a Poisson process for each shingle, of t
 random register, which keeps the earliest, and a shingle stops when its next arrival is later than all its document's registers.
 So registers agree with the probability Jaccard similarity.  `BANDS` bands of `ROWS` registers give candidates; links are
 pairs of different texts whose shingle sets have a Jaccard similarity of `SIMILAR` at least.  Classes are the connected components.
+Where one text repeats what both share, the probability similarity is below that of the sets, so texts that repeat a shingle have
+the bands of their unweighted shingles as well, whose registers agree with the set similarity: however often shingles repeat,
+a pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS at least.
 
 Scale and skew: equal word sequences are one node, by a map-side combined group.  In a bucket of any size only the leader (the
 node with most company over all bands) is compared with the others: links grow with the members, not their square.  Where a bucket's
@@ -75,14 +78,26 @@ def prob_min_hash(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows
     return first.reshape(rows, registers)
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's band hashes, text hash and number of words."""
-    row, shingle, times, name, counts = shingles(texts)
-    registers = prob_min_hash(row, shingle, 1.0 + np.log(times), len(counts), BANDS * ROWS)
-    bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(counts), BANDS)).copy()
+def _bands(registers: np.ndarray) -> np.ndarray:
+    bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(registers), BANDS)).copy()
     for k in range(ROWS):
         bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + registers[:, k::ROWS][:, :BANDS])
-    return bands.view(np.int64), name, counts
+    return bands.view(np.int64)
+
+
+def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's band hashes (those of unweighted shingles, then those of weighted ones), which of them are its own and no repetition, text hash and number of words."""
+    row, shingle, times, name, counts = shingles(texts)
+    n = len(counts)
+    plain = _bands(prob_min_hash(row, shingle, np.ones(len(row)), n, BANDS * ROWS))
+    uneven = np.zeros(n, dtype=bool)
+    uneven[row[times > 1]] = True
+    weighted = plain.copy()
+    if uneven.any():
+        at, place = uneven[row], np.cumsum(uneven) - 1
+        weighted[uneven] = _bands(prob_min_hash(place[row[at]], shingle[at], 1.0 + np.log(times[at]), int(uneven.sum()), BANDS * ROWS))
+    own = np.concatenate([np.repeat((counts > 0)[:, None], BANDS, axis=1), weighted != plain], axis=1)
+    return np.concatenate([plain, weighted], axis=1), own, name, counts
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,9 +106,8 @@ def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     schema = fields(docs.select(key).schema, "node long, n_words long, bands array<long>")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bands, name, counts = signatures(column(batch, "__text"))
-        some = counts > 0
-        return pa.RecordBatch.from_arrays([column(batch, key), pa.array(name), pa.array(counts, pa.int64()), lists(pa.array(bands[some].ravel()), some * BANDS)], names=[key, "node", "n_words", "bands"])
+        bands, own, name, counts = signatures(column(batch, "__text"))
+        return pa.RecordBatch.from_arrays([column(batch, key), pa.array(name), pa.array(counts, pa.int64()), lists(pa.array(bands[own]), own.sum(axis=1))], names=[key, "node", "n_words", "bands"])
 
     return source.mapInArrow(over_pieces(run, "__text"), schema)
 

@@ -264,6 +264,21 @@ def test_registers_agree_as_often_as_sets_are_similar():
     assert abs(np.mean(heavy == 5) - 0.75) < 0.03
 
 
+def test_pairs_that_repeat_their_shingles_unevenly_are_found(spark):
+    from .conftest import prose
+
+    texts = []
+    for k in range(40):
+        w = prose(2000 + k, 200).split()
+        n = len(w)
+        passage = w[20 : 20 + 3 * n // 10]
+        texts += [" ".join(w), " ".join([*w[: n - n // 12], *(f"other{k}x{i}" for i in range(n // 12)), *passage * 50])]
+    root = brute_classes(texts)
+    assert all(root[k] == k - k % 2 for k in range(len(texts)))
+    found = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in found.collect()} == dict(enumerate(root))
+
+
 # --- 7, repeated passages
 
 
