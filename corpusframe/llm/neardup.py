@@ -85,8 +85,8 @@ def _bands(registers: np.ndarray) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's band hashes (those of unweighted shingles, then those of weighted ones), which of them are its own and no repetition, text hash and number of words."""
+def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's band hashes (those of unweighted shingles, then those of weighted ones), which of them are its own and no repetition, text hash, number of words and of distinct shingles."""
     row, shingle, times, name, counts = shingles(texts)
     n = len(counts)
     plain = _bands(prob_min_hash(row, shingle, np.ones(len(row)), n, BANDS * ROWS))
@@ -97,17 +97,17 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         at, place = uneven[row], np.cumsum(uneven) - 1
         weighted[uneven] = _bands(prob_min_hash(place[row[at]], shingle[at], 1.0 + np.log(times[at]), int(uneven.sum()), BANDS * ROWS))
     own = np.concatenate([np.repeat((counts > 0)[:, None], BANDS, axis=1), weighted != plain], axis=1)
-    return np.concatenate([plain, weighted], axis=1), own, name, counts
+    return np.concatenate([plain, weighted], axis=1), own, name, counts, np.bincount(row, minlength=n)
 
 
 def prints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node long, n_words long, bands array<long>); no bands where there is no word."""
+    """(key, node long, n_words long, n_shingles long (distinct ones), bands array<long>); no bands where there is no word."""
     source = docs.select(key, text_of(docs, text).alias("__text"))
-    schema = fields(docs.select(key).schema, "node long, n_words long, bands array<long>")
+    schema = fields(docs.select(key).schema, "node long, n_words long, n_shingles long, bands array<long>")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bands, own, name, counts = signatures(column(batch, "__text"))
-        return pa.RecordBatch.from_arrays([column(batch, key), pa.array(name), pa.array(counts, pa.int64()), lists(pa.array(bands[own]), own.sum(axis=1))], names=[key, "node", "n_words", "bands"])
+        bands, own, name, counts, sizes = signatures(column(batch, "__text"))
+        return pa.RecordBatch.from_arrays([column(batch, key), pa.array(name), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), lists(pa.array(bands[own]), own.sum(axis=1))], names=[key, "node", "n_words", "n_shingles", "bands"])
 
     return source.mapInArrow(over_pieces(run, "__text"), schema)
 
@@ -169,8 +169,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row for each document: key, node (text hash), class_id (the key of the document that stays), stays, n_copies of key and text."""
     rows = stored(prints(docs, key, text), "neardup-prints")
     some = rows.where("n_words > 0")
-    nodes = stored(some.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("least"), F.max("n_words").alias("n_words"), F.any_value("bands").alias("bands")), "neardup-nodes")
-    member = nodes.select("node", "n_words", F.explode("bands").alias("band"))
+    nodes = stored(some.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("least"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")), "neardup-nodes")
+    member = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     buckets = member.groupBy("band").agg(F.count("*").alias("company")).where("company > 1")
     shared = stored(member.join(buckets, "band"), "neardup-buckets")
     weight = shared.groupBy("node").agg(F.sum("company").alias("weight"))
@@ -187,13 +187,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     links = stored(_verified(first, sets), "neardup-links")
     found = components(links)
     # what the leaders did not settle: untested pairs of a bucket between different components
-    placed = shared.join(found, "node", "left").select("band", "node", "n_words", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(found, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a != b").select("band", "n")
     open_ = stored(placed.join(split, "band"), "neardup-open")
     few = open_.where(F.col("n") <= SMALL_BUCKET)
     x, y = few.alias("x"), few.alias("y")
     near = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    fit = F.least("x.n_words", "y.n_words") * 10 >= F.greatest("x.n_words", "y.n_words") * 6  # repeats count among words but not in the set
+    fit = F.least("x.n_shingles", "y.n_shingles") * SIMILAR[1] >= F.greatest("x.n_shingles", "y.n_shingles") * SIMILAR[0]  # no similar pair fails this
     small = x.join(y, near & fit).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     large = stored(open_.where(F.col("n") > SMALL_BUCKET).select("node", "component").distinct(), "neardup-large")
     rest = small if large.isEmpty() else small.union(_by_prefix(large, sets))

@@ -279,6 +279,20 @@ def test_pairs_that_repeat_their_shingles_unevenly_are_found(spark):
     assert {r.doc_id: r.class_id for r in found.collect()} == dict(enumerate(root))
 
 
+def test_a_text_beside_its_repetition_under_a_foreign_leader(spark, monkeypatch):
+    from .conftest import prose
+
+    base = prose(3000, 100)
+    texts = [base, " ".join([base] * 3), *(prose(3001 + i, 100) for i in range(20))]
+    assert brute_classes(texts) == [0, 0, *range(2, 22)]
+    real = neardup.prints
+    # one bucket for all, led by one of the 20 others
+    monkeypatch.setattr(neardup, "prints", lambda *given: real(*given).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert real(data, "doc_id", "text").orderBy(F.desc("node")).first().doc_id > 1
+    assert {r.doc_id: r.class_id for r in neardup.classes(data).collect()} == dict(enumerate([0, 0, *range(2, 22)]))
+
+
 # --- 7, repeated passages
 
 
