@@ -2,33 +2,43 @@
 
 The content view sees a text's bytes: how often pairs of neighbouring bytes come (hashed), and how words repeat.  The metadata view sees
 the page: source, language, length, and layout counts.  Two logistic regressions, one a view, start from the labelled rows; each round,
-each gives its most confident pseudo-labels on unlabelled rows to the other.  Each view is then calibrated on labelled rows that it
-did not see, and the calibrated log odds are combined to score all documents.
+each scores all unlabelled documents and gives the most confident share of them, as pseudo-labels, to the other.  Each view is then
+calibrated on labelled rows that it did not see, and the calibrated log odds are combined to score all documents.
 
-Bounds: the classifiers are fitted on about `LABELLED` labelled and `POOL` unlabelled rows, whole texts, chosen by a hash of the key;
-their features (some KB a row) are what the driver gets.  Scoring reads every text once, without a shuffle, and every document is scored.
+Scale: of the labelled rows the classifiers see about `LABELLED`, whole texts, chosen by a hash of the key; their features (some KB a
+row) are what the driver gets.  The unlabelled documents are all those without a label; their features are stored once, and workers score them
+each round.  The confident share follows from counts of binned log odds, and a pseudo-labelled row counts in Newton's method by sums
+that workers form: the driver gets `FIT_TASKS` matrices a step, whatever the input's size.  Scoring reads every text once, without
+a shuffle, and every document is scored.
 
 Defined results: null texts count as empty; null source, language or length are values of their own.  A document with several
-labels has their majority, good on a tie.  Without both kinds of labels every score is the share of good labels (1 if none).
+labels has their majority, good on a tie.  Rows whose log odds are in the bin where a share ends are all taken (copies share one
+fate).  A row that is pseudo-labelled again has its latest label.  Without both kinds of labels every score is the share of good labels (1 if none).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, lists, over_pieces, table, text_of
+from corpusframe.llm.common import column, dropped, fields, give_back, lists, over_pieces, stored, table, text_of
 from corpusframe.llm.textbytes import SPACED, mix, words
 
-LABELLED, POOL = 4_000, 4_000
+LABELLED = 4_000
 PAIR_DIMS = 512
 LAGS = 8
 SOURCE_DIMS, LANG_DIMS = 64, 16
 ROUNDS = 5
 GIVEN = 0.02  # of the unlabelled rows that a view labels in a round
 THRESHOLD = 0.5
+FIT_TASKS = 8
+STEPS = 12
+BINS = 2_000  # for a factor e of large log odds
+CONTENT_DIMS = PAIR_DIMS + LAGS
 METADATA = ("source", "lang", "n_chars")
 
 
@@ -90,55 +100,158 @@ def views(batch: pa.RecordBatch, text: str = "__text") -> tuple[np.ndarray, np.n
     return content, np.concatenate([layout, *named], axis=1).astype(np.float32)
 
 
+def odds_of(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float64) @ w[:-1] + w[-1]
+
+
+def binned(odds: np.ndarray) -> np.ndarray:
+    return np.floor(np.arcsinh(np.clip(odds, -1e6, 1e6)) * BINS).astype(np.int64)
+
+
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' part of the loss's gradient and second derivatives at w."""
+    x = np.c_[x.astype(np.float64), np.ones(len(x))]
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def newton_step(w: np.ndarray, slope: np.ndarray, bend: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    return np.linalg.solve(bend + np.diag(penalty), slope + penalty * w)
+
+
 class Logistic:
     """Logistic regression with a ridge penalty, by Newton's method in the features' own space."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 12):
-        x = np.c_[x.astype(np.float64), np.ones(len(x))]
-        self.w = np.zeros(x.shape[1])
-        penalty = np.full(x.shape[1], ridge)
-        penalty[-1] = 1e-6
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = STEPS):
+        self.w = np.zeros(x.shape[1] + 1)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
-            slope = x.T @ (weight * (p - y)) + penalty * self.w
-            bend = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-            bend[np.diag_indices_from(bend)] += penalty
-            step = np.linalg.solve(bend, slope)
+            step = newton_step(self.w, *newton_sums(self.w, x, y, weight), ridge)
             self.w -= step
             if np.abs(step).max() < 1e-6:
                 break
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return x.astype(np.float64) @ self.w[:-1] + self.w[-1]
+        return odds_of(self.w, x)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(x, dtype=np.float32)], pa.binary())
+
+
+def _unpacked(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), dtype=np.float32).reshape(len(values), -1)
+
+
+def _views_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:, :CONTENT_DIMS], x[:, CONTENT_DIMS:]
+
+
+class Unlabelled:
+    """All unlabelled documents' features, in a stored table, and what co-training asks of them."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = stored(rows, "quality-unlabelled")
+
+    def bins(self, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view the bins of log odds that occur, in order, and how many rows each has."""
+
+        def run(batches):
+            for batch in batches:
+                of = [np.unique(binned(odds_of(w, x)), return_counts=True) for w, x in zip(weights, _views_of(_unpacked(column(batch, "x"))), strict=True)]
+                view = np.repeat(np.arange(2, dtype=np.int32), [len(b) for b, _ in of])
+                yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(np.concatenate([b for b, _ in of])), pa.array(np.concatenate([n for _, n in of]).astype(np.int64))], names=["view", "bin", "n"])
+                give_back()
+
+        got = self.rows.mapInArrow(run, "view int, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+        view, at, n = (got.column(c).to_numpy() for c in ("view", "bin", "n"))
+        order = np.argsort(at)
+        return [(at[order][view[order] == v], n[order][view[order] == v]) for v in (0, 1)]
+
+    def given(self, history: list[tuple[list[np.ndarray], list[tuple[int, int]]]]) -> DataFrame:
+        """(view, label, x): the rows that each view has got from the other in the rounds so far, with their latest label."""
+
+        def run(batches):
+            for batch in batches:
+                both = _views_of(_unpacked(column(batch, "x")))
+                for v in (0, 1):
+                    label = np.full(batch.num_rows, np.nan)
+                    for weights, cuts in history:
+                        odds = odds_of(weights[1 - v], both[1 - v])
+                        at, (low, high) = binned(odds), cuts[1 - v]
+                        label[(at <= low) & (odds < 0)] = 0
+                        label[(at >= high) & (odds > 0)] = 1
+                    hit = np.flatnonzero(~np.isnan(label))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), v, np.int32)), pa.array(label[hit]), _packed(both[v][hit])], names=["view", "label", "x"])
+                give_back()
+
+        return stored(self.rows.mapInArrow(run, "view int, label double, x binary").repartition(FIT_TASKS), "quality-given")
+
+
+def _given_sums(given: DataFrame, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """newton_sums of each view over the pseudo-labelled rows, which weigh half, by sums on workers."""
+
+    def run(batches):
+        total: list = [None, None]
+        for batch in batches:
+            view, label = column(batch, "view").to_numpy(), column(batch, "label").to_numpy()
+            for v in (0, 1):
+                hit = np.flatnonzero(view == v)
+                if len(hit):
+                    part = newton_sums(weights[v], _unpacked(column(batch, "x").take(pa.array(hit))), label[hit], np.full(len(hit), 0.5))
+                    total[v] = part if total[v] is None else tuple(a + b for a, b in zip(total[v], part, strict=True))
+            give_back()
+        for v, part in enumerate(total):
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in part)], names=["view", "slope", "bend"])
+
+    out = [(np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
+    for r in given.coalesce(FIT_TASKS).mapInArrow(run, "view int, slope binary, bend binary").toArrow().to_pylist():
+        slope, bend = out[r["view"]]
+        slope += np.frombuffer(r["slope"])
+        bend += np.frombuffer(r["bend"]).reshape(bend.shape)
+    return out
 
 
 class CoTrained:
     """Two views' classifiers, their calibration, and the prior."""
 
-    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS):
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, unlabelled: Callable[[], Unlabelled], rounds: int = ROUNDS):
         self.constant = float(np.mean(y)) if len(y) else 1.0
         self.models: list[Logistic] | None = None
+        self.n_unlabelled = 0
         if len(y) < 10 or self.constant in (0.0, 1.0):
             return
         test = np.arange(len(y)) % 4 == 3
-        given: list[dict[int, float]] = [{}, {}]  # of each view: rows of the pool with the label that the other view gave
-        n = len(pool[0])
-        for turn in range(rounds + 1):
-            self.models = []
-            for v in (0, 1):
-                at = np.array(sorted(given[v]), dtype=np.int64)
-                x = np.concatenate([labelled[v][~test], pool[v][at]])
-                target = np.r_[y[~test], [given[v][i] for i in at.tolist()]]
-                self.models.append(Logistic(x, target, np.r_[np.ones(int((~test).sum())), np.full(len(at), 0.5)]))
-            if turn == rounds or not n:
+        seen, ones = y[~test], np.ones(int((~test).sum()))
+        self.models = [Logistic(labelled[v][~test], seen, ones) for v in (0, 1)]
+        pool, history = unlabelled(), []
+        for _ in range(rounds):
+            weights = [np.round(m.w, 6) for m in self.models]  # sums on workers differ in their last bits by the order of rows
+            bins = pool.bins(weights)
+            self.n_unlabelled = n = int(bins[0][1].sum())
+            if not n:
                 break
-            for v in (0, 1):
-                odds = self.models[v].odds(pool[v])
-                order = np.argsort(odds, kind="stable")
-                each = max(1, int(n * GIVEN))
-                bad = order[: max(1, int(each * (1 - self.constant)))]
-                good = order[::-1][: max(1, int(each * self.constant))]
-                given[1 - v] |= {int(i): 0.0 for i in bad if odds[i] < 0} | {int(i): 1.0 for i in good if odds[i] > 0}
+            each = max(1, int(n * GIVEN))
+            n_bad, n_good = max(1, int(each * (1 - self.constant))), max(1, int(each * self.constant))
+            cuts = [(int(at[np.searchsorted(np.cumsum(k), n_bad)]), int(at[::-1][np.searchsorted(np.cumsum(k[::-1]), n_good)])) for at, k in bins]
+            history.append((weights, cuts))
+            given = pool.given(history)
+            for _ in range(STEPS):
+                largest = 0.0
+                for v, (slope, bend) in enumerate(_given_sums(given, [m.w for m in self.models])):
+                    own_slope, own_bend = newton_sums(self.models[v].w, labelled[v][~test], seen, ones)
+                    step = newton_step(self.models[v].w, slope + own_slope, bend + own_bend, 1.0)
+                    self.models[v].w = self.models[v].w - step
+                    largest = max(largest, float(np.abs(step).max()))
+                if largest < 1e-6:
+                    break
+            dropped(given)
+        dropped(pool.rows)
+        for m in self.models:
+            m.w = np.round(m.w, 6)
         self.scale = []
         for v in (0, 1):
             odds = self.models[v].odds(labelled[v][test])[:, None]
@@ -179,17 +292,29 @@ def _featured(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarra
     return features, got.column("label").to_numpy().astype(np.float64) if n else np.zeros(0)
 
 
+def _features(rows: DataFrame) -> DataFrame:
+    """(key, x binary): the features of both views as single-precision numbers."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(batch, "key"), _packed(np.concatenate(views(batch), axis=1))], names=["key", "x"])
+
+    return rows.mapInArrow(over_pieces(run, "__text"), fields(rows.select("key").schema, "x binary"))
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> CoTrained:
-    """Fits on a bounded sample; see the module's text."""
+    """Fits on a sample of the labelled rows and on all unlabelled ones; see the module's text."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
     unit = F.pmod(F.xxhash64(F.lit(8), F.col("key")), F.lit(1_000_000))
-    n_marks, n_docs = marks.count(), docs.count()
+    n_marks = marks.count()
     chosen = marks.where(unit < min(1_000_000, 1 + 1_000_000 * LABELLED // max(1, n_marks)))
     rows = _inputs(docs.withColumn("key", F.col(key)), text, "key")
     labelled, y = _featured(rows.join(F.broadcast(chosen), "key"))  # `chosen` has about LABELLED rows at most
-    other = F.pmod(F.xxhash64(F.lit(9), F.col("key")), F.lit(1_000_000)) < min(1_000_000, 1 + 1_000_000 * POOL // max(1, n_docs))
-    pool, _ = _featured(rows.where(other).withColumn("label", F.lit(0.0)))
-    return CoTrained(labelled, y, pool)
+
+    def unlabelled() -> Unlabelled:
+        # the labels grow with the input: their keys are never broadcast, and features move instead of texts
+        return Unlabelled(_features(rows).join(marks.select("key").hint("merge"), "key", "left_anti").select("x"))
+
+    return CoTrained(labelled, y, unlabelled)
 
 
 def scored(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str] | None = None) -> DataFrame:
