@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from corpusframe.llm.textbytes import PIECE_BYTES, pieces
 
 BATCH_BYTES = 8_000_000
 _MALLOC: list = []
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -44,49 +44,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        given = _own_dir()
-    return given.rstrip("/")
-
-
-_OWN: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="corpusframe-"))
-    return _OWN[0]
+    """The folder that all executors share, which spark.checkpoint.dir names.  A folder of the driver's own machine is no substitute on a cluster."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusframe-shared"  # driver and executors are one process
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage: lost executors cost no recomputation."""
+    """Writes a table to the shared folder and reads it again, which cuts the lineage: lost executors cost no recomputation.
+
+    The shuffles that led to it are removed with the write's end, so disk holds those of one step at most."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a stored table that nothing reads any more."""
-    spark, path = df.sparkSession, df.stored_path
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shielded(*own: str) -> Callable:
+    """For a function (docs, ...) -> DataFrame that reads some columns and hands all others on: while it runs the others have
+    names of no meaning, so none clashes with a name that it uses inside; then all have their names again.  `own` names the columns that it
+    reads, or parameters that hold their names.
+
+    A result column that the function adds wins over a column of the same name that was handed in."""
+
+    def around(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        names = signature(run)
+
+        @wraps(run)
+        def go(docs: DataFrame, *given, **more) -> DataFrame:
+            bound = names.bind(docs, *given, **more)
+            bound.apply_defaults()
+            read = {bound.arguments.get(c, c) for c in own}
+            apart = {f"__kept{k}": c for k, c in enumerate(docs.columns) if c not in read}
+            back = {c: k for k, c in apart.items()}
+            out = run(docs.toDF(*[back.get(c, c) for c in docs.columns]), *given, **more)
+            added = {c.lower() for c in out.columns if c not in apart}
+            wanted = [c for c in out.columns if apart.get(c, "").lower() not in added]
+            return out.select(*wanted).toDF(*[apart.get(c, c) for c in wanted])
+
+        return go
+
+    return around
+
+
+HOT_KEYS = 100_000
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nobody refers to any more, so that executors delete their files.
+def salted(left: DataFrame, right: DataFrame, on: list[str], times: str, row: list[str], rows: int) -> DataFrame:
+    """Inner join on columns without nulls where `right` has one row a key and, in the column `times`, how many rows of `left` have the key.
 
-    The listeners' queue holds a query for a moment after its end, and the cleaner works beside the driver's own thread."""
-    for _ in range(2):
-        time.sleep(0.5)
-        gc.collect()
-        spark._jvm.System.gc()
-    time.sleep(0.5)
+    A key with more than max(500, rows / HOT_KEYS) of the left table's `rows` is dealt over several parts by a hash of the columns
+    `row`, so no task gets them all; there are HOT_KEYS such keys at most, which bounds what is broadcast."""
+    unit = max(500, rows // HOT_KEYS)
+    parts = F.ceil(F.col(times) / unit).cast("int")
+    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    hot = right.where(F.col(times) > unit).select(*on, parts.alias("__parts"))
+    marked = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*row), F.col("__parts")), F.lit(0)).cast("int"))
+    return marked.drop("__parts").join(dealt, [*on, "__salt"]).drop("__salt")
 
 
 def fields(schema: T.StructType, ddl: str) -> T.StructType:

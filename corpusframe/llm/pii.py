@@ -1,39 +1,41 @@
-"""Finding personal data, and information-theoretic sanitisation of the words beside it.
-
-Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns.  Each distinct value is a
-protected entity.  A word near an entity reveals it as far as both occur together more often than apart: with
-document counts n(t), n(e) and n(t, e) of N documents, PMI(t, e) = log2(N n(t, e) / (n(t) n(e))), against the entity's own
-information IC(e) = log2(N / n(e)).  Where PMI / IC reaches `GENERALISE`, and the pair stands in at least `SUPPORT`
-different contexts (copies of one context count once), the word's occurrences near the entity become spans of kind `term`;
-they are generalised to a placeholder, and from `REMOVE` on removed.
-
-Scale: the corpus is read twice, once for spans and contexts, once for the document counts of candidate words.  All
-counts are map-side combined sums; a hot entity is a group of partial sums.  The second reading is told which words may
-matter by a bitmap of fixed size (`BITMAP_BITS`); the join after it is exact.
-
-Defined results: null and empty texts have no spans.  Repeated rows have the same spans each.  Rows are told apart by doc_id
-(null is a value of its own) and a hash of the text.  Documents without base spans never change.
+"""Finding personal data, and information-theoretic sanitisation of the words that give it away.
+
+Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns.  Each distinct value is a protected
+entity.  Over whole documents, with n(t), n(e) and n(t, e) of N documents, a word t tells of an entity e
+PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) bits of the entity's information IC(e) = log2(N / n(e)); their ratio is the disclosure.
+A document that holds e loses each word outside base spans with a disclosure of `GENERALISE` or more: it becomes a placeholder,
+and from `REMOVE` on it goes.  A document that does not hold e loses the word if that holds for the lower
+confidence bound too, that is with Wilson's bound of the share n(t, e) / n(t) (z = `CONFIDENT`) in its place: a word that stood beside an
+entity by chance, once or twice, is no reason to change other documents.
+
+Scale: N, n(t), n(e) and n(t, e) count all rows.  The ratio reaches g only where n(t) <= n(t, e) (N / n(e)) ** (1 - g), so with n(e) at hand frequent
+words fall out before words and entities meet.  Entities that stand in the same documents have the same counts for every word and
+are one class, so a document of a thousand addresses gives no thousand pairs a word.  Counts are map-side combined; joins with hot keys are salted
+(`common.salted`); bitmaps of fixed size (`BITMAP_BITS`) only spare rows, an exact join follows each.  The texts are read three times.
+
+Defined results: null and empty texts have no spans.  Repeated rows have the same spans each and count as documents each.  Rows are told apart by
+their key (null is a value of its own) and a hash of the text.  An empty table gives an empty result.  Columns with any names are handed on
+(`common.shielded`).  Very long texts are read whole.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusframe.llm.common import bitmap, column, fields, over_pieces, stored, table, text_of
-from corpusframe.llm.textbytes import ALNUM, raw, words
+from corpusframe.llm.common import bitmap, column, dropped, fields, lists, over_pieces, salted, shielded, stored, table, text_of
+from corpusframe.llm.textbytes import ALNUM, Words, mix, raw, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 6  # words on either side of a base span
-SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.97
-BITMAP_BITS = 1 << 20
+CONFIDENT = 1.645
+BITMAP_BITS = 1 << 23
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,52 +105,55 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int, int, int]]]:
-    """For each text: (term, entity, context, start, end) of the words beside base spans that don't overlap one."""
-    w = words(pa.array(texts, pa.large_string()), ALNUM, lower=True)
-    data, off = raw(pa.array(texts, pa.large_string()))
-    point = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    h = w.hashes().view(np.int64)
-    out = []
+def _free(w: Words, texts: pa.Array, spans: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words don't overlap a base span, and each word's first and end code point in its text."""
+    data, off = raw(texts)
+    point = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
+    base = np.repeat(point[off[:-1]], w.counts())
+    start, end = point[w.start] - base, point[w.end] - base
+    free = np.ones(len(start), dtype=bool)
     for k, own in enumerate(spans):
         a, b = w.first[k], w.first[k + 1]
-        base = point[off[k]]
-        start, end = (point[w.start[a:b]] - base).tolist(), (point[w.end[a:b]] - base).tolist()
-        names = h[a:b].tolist()
-        free = [True] * len(start)
         for s, _, e in own:
-            for i in range(bisect.bisect_right(end, s), bisect.bisect_left(start, e)):
-                free[i] = False
-        found = []
-        for s, kind, e in own:
-            left, right = bisect.bisect_right(end, s), bisect.bisect_left(start, e)
-            near = [i for i in [*range(max(0, left - REACH), left), *range(right, min(len(start), right + REACH))] if free[i]]
-            name = entity(kind, texts[k][s:e])
-            context = int.from_bytes(hashlib.blake2b(np.array([names[i] for i in near], dtype=np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
-            found += [(names[i], name, context, start[i], end[i]) for i in near]
-        out.append(found)
-    return out
+            free[a + np.searchsorted(end[a:b], s, side="right") : a + np.searchsorted(start[a:b], e, side="left")] = False
+    return free, start, end
+
+
+def _names(w: Words) -> np.ndarray:
+    return w.hashes().view(np.int64)
 
 
-def find_base(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns, text_hash long, spans array<struct<start,kind,end>>, and contexts (see _contexts)."""
-    keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "text_hash", "spans", "contexts")]
-    source = docs.select(*keep, text_of(docs, text).alias("__text")).withColumn("text_hash", F.xxhash64("__text"))
-    ddl = "text_hash long, spans array<struct<start:int,kind:int,end:int>>, contexts array<struct<term:long,entity:long,context:long,start:int,end:int>>"
-    schema = fields(docs.select(*keep).schema, ddl)
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    context_type = pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+def _in_rows(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each pair of a row and a word comes first, by row."""
+    with np.errstate(over="ignore"):
+        both = mix(h.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.sort(np.unique(both, return_index=True)[1])
+
+
+def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash long, spans array<struct<start,kind,end>>, entities array<long>, terms array<long>): the distinct entities of each
+    text, and of a text that has some the distinct words outside its spans."""
+    source = docs.select(F.col(key).alias("key"), text_of(docs, text).alias("__text")).withColumn("text_hash", F.xxhash64("__text"))
+    schema = fields(source.select("key", "text_hash").schema, "spans array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>")
+    kind_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = column(batch, "__text").to_pylist()
         spans = [base_spans(t) for t in texts]
         some = [k for k, s in enumerate(spans) if s]
-        contexts: list = [[] for _ in texts]
-        for k, found in zip(some, _contexts([texts[k] for k in some], [spans[k] for k in some]) if some else [], strict=True):
-            contexts[k] = found
-        as_spans = pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in own] for own in spans], span_type)
-        as_contexts = pa.array([[dict(zip(("term", "entity", "context", "start", "end"), c, strict=True)) for c in own] for own in contexts], context_type)
-        return pa.RecordBatch.from_arrays([column(batch, c) for c in [*keep, "text_hash"]] + [as_spans, as_contexts], names=[*keep, "text_hash", "spans", "contexts"])
+        entities = [sorted({entity(kind, t[a:b]) for a, kind, b in own}) for t, own in zip(texts, spans, strict=True)]
+        part = column(batch, "__text").take(pa.array(some, pa.int64()))
+        w = words(part, ALNUM, lower=True)
+        free, _, _ = _free(w, part, [spans[k] for k in some])
+        at = np.flatnonzero(free)
+        row, h = w.rows()[at], _names(w)[at]
+        at = _in_rows(row, h)
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        sizes[some] = np.bincount(row[at], minlength=len(some))
+        as_spans = pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in own] for own in spans], kind_type)
+        return pa.RecordBatch.from_arrays(
+            [column(batch, "key"), column(batch, "text_hash"), as_spans, pa.array(entities, pa.list_(pa.int64())), lists(pa.array(h[at]), sizes)], names=["key", "text_hash", "spans", "entities", "terms"]
+        )
 
     return source.mapInArrow(over_pieces(run, "__text"), schema)
 
@@ -159,52 +164,163 @@ def word_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> Data
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(column(batch, "__text"), ALNUM, lower=True)
-        h = w.hashes().view(np.int64)
+        h = _names(w)
         at = np.flatnonzero(bits.value[h & (BITMAP_BITS - 1)])
-        pair = np.unique(np.rec.fromarrays([w.rows()[at], h[at]]))
-        term, n = np.unique(pair.f1, return_counts=True)
+        h = h[at]
+        term, n = np.unique(h[_in_rows(w.rows()[at], h)], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
 
     rows = docs.select(text_of(docs, text).alias("__text"))
     return rows.mapInArrow(over_pieces(run, "__text"), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, entity, disclosure): the pairs that reach GENERALISE.  `found` is a stored result of find_base over docs."""
-    near = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["term"], c["entity"], c["context"])))).alias("c")).select("c.*")
-    by_context = near.groupBy("term", "entity", "context").agg(F.count("*").alias("n"))
-    pairs = stored(by_context.groupBy("term", "entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("term", "entity"), "pii-pairs")
-    per_doc = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["term"], c["entity"])))).alias("c")).select("c.*")
-    together = per_doc.join(pairs, ["term", "entity"], "left_semi").groupBy("term", "entity").agg(F.count("*").alias("both"))
-    entities = found.where(F.size("contexts") > 0).select(F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = word_counts(docs, bitmap(pairs.select("term").distinct(), "term", BITMAP_BITS), text).withColumnRenamed("n", "n_term")
-    total = F.lit(max(2, found.count())).cast("double")
-    scored = together.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(total * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    disclosure = pmi / F.log2(total / F.least(F.col("n_entity"), total - 1))
-    return scored.select("term", "entity", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+def entity_classes(some: DataFrame, n_some: int) -> DataFrame:
+    """(key, text_hash, classes array<struct<class,n_entity>>): the classes of each row's entities; entities of the same rows are one class."""
+    place = some.select("key", "text_hash", F.xxhash64("key", "text_hash").alias("row"), F.explode("entities").alias("entity"))
+    low = F.col("row").bitwiseAND(F.lit(0x7FFFFFFF))
+    sums = place.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum(low).alias("s"), F.min("row").alias("a"), F.max("row").alias("b"))
+    named = stored(sums.select("entity", "n_entity", F.xxhash64("n_entity", "s", "a", "b").alias("class")), "pii-entities")
+    found = salted(place, named, ["entity"], "n_entity", ["row"], n_some)
+    return found.groupBy("key", "text_hash").agg(F.collect_set(F.struct("class", "n_entity")).alias("classes"))
 
 
-def term_spans(found: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(key, text_hash, extra array<struct<start,kind,end,disclosure>>) for the rows that have disclosing words."""
-    places = found.where(F.size("contexts") > 0).select(key, "text_hash", F.explode("contexts").alias("c")).select(key, "text_hash", "c.*")
-    hit = places.join(pairs, ["term", "entity"]).groupBy(key, "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return hit.groupBy(key, "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("extra"))
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["key"].eqNullSafe(right["key"]) & (left["text_hash"] == right["text_hash"])
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stored base spans of each row, and stored term spans of the rows that have them."""
-    found = stored(find_base(docs, text, [key]), "pii-base")
-    return found, stored(term_spans(found, disclosing(found, docs, text), key), "pii-terms")
+def _needed(n_term: Column, total: int) -> Column:
+    """A word in n_term documents can reach GENERALISE only for entities in as many documents; a little less, for rounding."""
+    return F.pow(n_term / F.lit(float(total) ** (1 - GENERALISE)), F.lit(1 / GENERALISE)) * 0.999999
 
 
-def _same_row(left: DataFrame, right: DataFrame, key: str):
-    return left[key].eqNullSafe(right[key]) & (left["text_hash"] == right["text_hash"])
+def needed_levels(rare: DataFrame, top: int) -> np.ndarray:
+    """For each remainder of a word's hash the least k such that an entity must be in 4 ** k documents to meet such a word; 255: none can."""
+    out, k = np.full(BITMAP_BITS, 255, dtype=np.uint8), 0
+    while 4**k <= top:
+        k += 1
+    for level in range(k - 1, -1, -1):
+        out[bitmap(rare.where(F.col("needed") < 4 ** (level + 1)), "term", BITMAP_BITS)] = level
+    return out
+
+
+def _meetings(rows: DataFrame, levels: np.ndarray, combined: bool) -> DataFrame:
+    """The words and entity classes that meet in rows (key, text_hash, terms, classes), of those that `levels` lets meet: class, n_entity, term,
+    and `both`, a number of rows, where `combined`, else each row's key and text_hash."""
+    held = rows.sparkSession.sparkContext.broadcast(levels)
+    more = T.StructType.fromDDL("both long").fields if combined else [rows.schema["key"], rows.schema["text_hash"]]
+    schema = T.StructType([*T.StructType.fromDDL("class long, n_entity long, term long").fields, *more])
+
+    def run(batches):
+        for batch in batches:
+            terms, classes = column(batch, "terms"), column(batch, "classes")
+            flat, own = terms.flatten().to_numpy(), classes.flatten()
+            in_row = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            level = held.value[flat & (BITMAP_BITS - 1)]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(classes.offsets.to_numpy()))
+            ident, n_entity = own.field("class").to_numpy(), own.field("n_entity").to_numpy()
+            reach = (np.frexp(n_entity.astype(np.float64))[1] - 1) // 2  # the largest k with 4 ** k <= n_entity
+            for k in np.unique(reach):
+                hit = np.flatnonzero(level <= k)
+                first = np.searchsorted(in_row[hit], np.arange(batch.num_rows + 1))
+                these = np.flatnonzero(reach == k)
+                for part in np.array_split(these, len(these) // 256 + 1):  # a few classes at a time, so that memory is bounded
+                    size = first[row[part] + 1] - first[row[part]]
+                    if not size.sum():
+                        continue
+                    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[row[part]], size)
+                    of, term = np.repeat(part, size), flat[hit[at]]
+                    if combined:
+                        pair, n = np.unique(np.rec.fromarrays([ident[of], n_entity[of], term]), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pair[f])) for f in ("f0", "f1", "f2")), pa.array(n)], names=schema.names)
+                    else:
+                        where = pa.array(row[of])
+                        yield pa.RecordBatch.from_arrays([pa.array(ident[of]), pa.array(n_entity[of]), pa.array(term), column(batch, "key").take(where), column(batch, "text_hash").take(where)], names=schema.names)
+
+    return rows.select("key", "text_hash", "terms", "classes").mapInArrow(run, schema)
+
+
+def ratios(both: Column, n_term: Column, n_entity: Column, total: int) -> tuple[Column, Column]:
+    """The disclosure, and its lower confidence bound."""
+    information = F.log2(F.lit(float(total)) / F.least(n_entity, F.lit(total - 1)))
+    share, z2 = both / n_term, CONFIDENT**2
+    low = (share + z2 / (2 * n_term) - CONFIDENT * F.sqrt(share * (1 - share) / n_term + z2 / (4 * n_term * n_term))) / (1 + z2 / n_term)
+
+    def of(p: Column) -> Column:
+        return F.log2(F.lit(float(total)) * p / n_entity) / information
+
+    return of(share), of(low)
+
+
+def disclosing(some: DataFrame, docs: DataFrame, total: int, text: str = "text") -> DataFrame:
+    """(term, class, both, disclosure, sure): the pairs that reach GENERALISE, and their lower bounds; a stored table.  `some` is a stored
+    table of the rows with entities: key, text_hash, terms, classes."""
+    top = some.select(F.explode("classes").alias("c")).agg(F.max("c.n_entity")).first()[0] or 1
+    held = bitmap(some.select(F.explode("terms").alias("term")), "term", BITMAP_BITS)
+    rare = stored(word_counts(docs, held, text).withColumn("needed", _needed(F.col("n"), total)).where(F.col("needed") <= top), "pii-rare")
+    met = _meetings(some, needed_levels(rare, top), True).groupBy("class", "n_entity", "term").agg(F.sum("both").alias("both"))
+    ratio, low = ratios(F.col("both"), F.col("n"), F.col("n_entity"), total)
+    out = stored(met.join(rare, "term").select("term", "class", "both", ratio.alias("disclosure"), low.alias("sure")).where(F.col("disclosure") >= GENERALISE), "pii-disclosing")
+    dropped(rare)
+    return out
+
+
+def word_places(docs: DataFrame, wanted: np.ndarray, key: str, text: str) -> DataFrame:
+    """(key, text_hash, term, start int, end int): the places, outside base spans, of the words whose bit is set."""
+    source = docs.select(F.col(key).alias("key"), text_of(docs, text).alias("__text")).withColumn("text_hash", F.xxhash64("__text"))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = words(column(batch, "__text"), ALNUM, lower=True)
+        h = _names(w)
+        hit = np.flatnonzero(bits.value[h & (BITMAP_BITS - 1)])
+        if not len(hit):
+            return None
+        row = np.searchsorted(w.first, hit, side="right") - 1
+        texts = column(batch, "__text")
+        some = np.unique(row)
+        spans: list = [[] for _ in range(batch.num_rows)]
+        for k in some:
+            spans[k] = base_spans(texts[int(k)].as_py())
+        free, start, end = _free(w, texts, spans)
+        keep = free[hit]
+        hit, row = hit[keep], row[keep]
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([column(batch, "key").take(at), column(batch, "text_hash").take(at), pa.array(h[hit]), pa.array(start[hit].astype(np.int32)), pa.array(end[hit].astype(np.int32))], names=["key", "text_hash", "term", "start", "end"])
+
+    return source.mapInArrow(over_pieces(run, "__text"), fields(source.select("key", "text_hash").schema, "term long, start int, end int"))
+
+
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored base spans of each row (see find_base), and stored term spans (key, text_hash, extra array<struct<start,kind,end,disclosure>>) of the
+    rows that have them."""
+    found = stored(find_base(docs, key, text), "pii-base")
+    total = max(2, found.count())
+    plain = found.where(F.size("entities") > 0).select("key", "text_hash", "entities", "terms")
+    n_some = plain.agg(F.sum(F.size("entities"))).first()[0] or 0
+    grouped = entity_classes(plain, n_some).withColumnsRenamed({"key": "of_key", "text_hash": "of_hash"})
+    some = stored(plain.join(grouped, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("text_hash") == F.col("of_hash"))).select("key", "text_hash", "terms", "classes"), "pii-classes")
+    pairs = disclosing(some, docs, total, text)
+    bits = bitmap(pairs, "term", BITMAP_BITS)
+    near = _meetings(some.dropDuplicates(["key", "text_hash"]), np.where(bits, 0, 255).astype(np.uint8), False).withColumn("row", F.xxhash64("key", "text_hash"))
+    n_near = pairs.agg(F.sum("both")).first()[0] or 0
+    own = salted(near, pairs.select("class", "term", "both", "disclosure"), ["class", "term"], "both", ["row"], n_near)
+    own = own.groupBy("key", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    places = stored(word_places(docs, bits, key, text), "pii-places")
+    left, right = places.alias("p"), own.alias("o")
+    in_own = left.join(right, F.col("p.key").eqNullSafe(F.col("o.key")) & (F.col("p.text_hash") == F.col("o.text_hash")) & (F.col("p.term") == F.col("o.term"))).select("p.*", "o.disclosure")
+    sure = pairs.where(F.col("sure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    anywhere = places.join(sure, "term").select(*places.columns, "disclosure")
+    spans = in_own.union(anywhere).groupBy("key", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    extra = spans.groupBy("key", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("extra"))
+    out = stored(extra, "pii-terms")
+    dropped(some, pairs, places)
+    return found, out
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, extra = find_pii(table(spark, sf_dir, "documents"))
-    rows = found.join(extra, _same_row(found, extra, "doc_id"), "left").select(found["doc_id"], "spans", F.transform(F.coalesce("extra", F.array()), lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("terms"))
+    terms = F.transform(F.coalesce("extra", F.array()), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    rows = found.join(extra, _same_row(found, extra), "left").select(found["key"].alias("doc_id"), "spans", terms.alias("terms"))
     name = F.array(*map(F.lit, KINDS))
 
     def digest(spans):
@@ -227,11 +343,14 @@ def sanitised(text: str, spans: list[tuple[int, int, int, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@shielded("key", "text")
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with personal data replaced in `text`; all other columns, and their order, stay."""
+    """The documents with personal data, and the words that give it away, replaced in `text`; all other columns, and their order, stay.
+    Null texts stay null."""
     _, extra = find_pii(docs, key, text)
-    rows = docs.withColumn("text_hash", F.xxhash64(text_of(docs, text)))
-    joined = rows.join(extra, _same_row(rows, extra, key), "left").select(*[rows[c] for c in docs.columns], extra["extra"].alias("__extra"))
+    rows = docs.withColumn("__hash", F.xxhash64(text_of(docs, text)))
+    same = rows[key].eqNullSafe(extra["key"]) & (rows["__hash"] == extra["text_hash"])
+    joined = rows.join(extra, same, "left").select(*[rows[c] for c in docs.columns], extra["extra"].alias("__extra"))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

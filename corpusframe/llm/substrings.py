@@ -2,21 +2,24 @@
 
 Words that a `WIDTH`-word window covers go if the window's words in order also begin a window of a document with a smaller doc_id.
 
-1. Every text is parsed by recompression (`recompress`); each window has an anchor, the longest symbol that the window
-   determines.  Equal windows have equal anchors.  Consecutive windows with one anchor make one row (about one for five words).
-2. Anchors that occur in different texts are shared; a map-side combined minimum and maximum of text hashes tells.  Only windows
-   with a shared anchor can be repeated in another text.
-3. Those windows are named by a hash of all their words, beside the anchor's name; the smallest doc_id of each name is a map-side combined
-   minimum, and a join gives the windows that stand in a later document.
+1. Every text is parsed by recompression (`recompress`): runs and pairs of symbols get names that are the same in all tasks.  Each window has
+   an anchor, the longest symbol that it determines.  Equal windows have equal anchors.  Consecutive windows with one anchor make one row (about one
+   for five words).
+2. A first round over all texts finds the symbols that texts share: a map-side combined minimum and maximum of text hashes for each anchor.  Only
+   windows with a shared anchor can be repeated in another text.
+3. A second round names those windows by the symbols of all levels that cover them, and takes the smallest doc_id of each name, a map-side
+   combined minimum.  A second hash of the window's words, which shares nothing with the symbols' names, verifies each name: all windows of one name must
+   have the same, else (names that collide) the windows of that name are told apart by it.  A join gives the windows that stand in a later document.
 4. Each document is put together again without the words they cover.  Texts that equal a smaller document's as a whole are not parsed
    further: all their words go.
 
 Scale and skew: nothing is paired within a group; a passage that many documents share is one group of partial minima, and a join with one row
-on one side, whose other side Spark splits where it is skewed.  Intermediate tables are written to the shared folder; they grow with the input,
-so they are never broadcast.
+on one side, whose other side Spark splits where it is skewed (copies of one text are dealt out by `common.salted`).  Intermediate tables are
+written to the shared folder; they grow with the input, so they are never broadcast.
 
 Defined results: null texts have no words; texts of fewer than `WIDTH` words lose none.  A null doc_id is neither smaller nor
-larger than another, so such documents stay whole.  Rows with one doc_id don't remove each other's words.
+larger than another, so such documents stay whole.  Rows with one doc_id don't remove each other's words; repeated rows give repeated rows.
+An empty table gives an empty result.  Columns with any names are handed on, but for those named as a result.  A very long text is parsed in parts.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, dropped, fields, free_shuffles, over_pieces, stored, table, text_of
-from corpusframe.llm.recompress import ROUNDS, anchors
+from corpusframe.llm.common import column, dropped, fields, over_pieces, salted, shielded, stored, table, text_of
+from corpusframe.llm.recompress import ROUNDS, windows
 from corpusframe.llm.textbytes import SPACED, row_hashes, window_hashes, words
 
 WIDTH = 13
@@ -40,7 +43,7 @@ def anchor_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH, rounds
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(column(batch, "__text"), SPACED)
         h = w.hashes()
-        best = anchors(h, w.first, width, rounds)
+        best, _ = windows(h, w.first, width, rounds, named=False)
         at = _starts(w.first, width)
         row = np.searchsorted(w.first, at, side="right") - 1
         name = best[at]
@@ -63,14 +66,13 @@ def _starts(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_rows(candidates: DataFrame, key: str, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """(key, part int, name long, anchor long, at int) of the windows in `parts`, a list of (seq, spans) of which a text's own counts."""
-    schema = fields(candidates.select(key).schema, "part int, name long, anchor long, at int")
+    """(key, part int, name long, check long, at int) of the windows in `parts`, a list of (seq, spans) of which a text's own counts."""
+    schema = fields(candidates.select(key).schema, "part int, name long, check long, at int")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = words(column(batch, "__text"), SPACED)
         h = w.hashes()
         seq = row_hashes(h, w.first).view(np.int64)
-        best = anchors(h, w.first, width, rounds)
         chosen, place = np.zeros(len(h) + 1, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int32)
         for row, parts in enumerate(column(batch, "parts")):
             for k, part in enumerate(parts):
@@ -80,54 +82,64 @@ def window_rows(candidates: DataFrame, key: str, width: int = WIDTH, rounds: int
                     start = spans.field("start").to_numpy() + w.first[row]
                     np.add.at(chosen, start, 1)
                     np.add.at(chosen, start + spans.field("times").to_numpy(), -1)
-        at, name = window_hashes(h, w.first, width)
+        _, name = windows(h, w.first, width, rounds)
+        at, check = window_hashes(w.hashes(1), w.first, width, 1)
         hit = np.cumsum(chosen)[at] > 0
-        at, name = at[hit], name[hit]
+        at, check = at[hit], check[hit]
         row = np.searchsorted(w.first, at, side="right") - 1
         return pa.RecordBatch.from_arrays(
-            [column(batch, key).take(pa.array(row)), pa.array(place[row]), pa.array(name.view(np.int64)), pa.array(best[at].view(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=[key, "part", "name", "anchor", "at"]
+            [column(batch, key).take(pa.array(row)), pa.array(place[row]), pa.array(name[at].view(np.int64)), pa.array(check.view(np.int64)), pa.array((at - w.first[row]).astype(np.int32))], names=[key, "part", "name", "check", "at"]
         )
 
     return candidates.mapInArrow(over_pieces(run, "__text"), schema)
 
 
+def first_documents(found: DataFrame, key: str) -> DataFrame:
+    """(name, check, least): the smallest key of each repeated window's name; `check` is null unless the name stands for different words.
+    A stored table."""
+    sums = found.groupBy("name").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.min("check").alias("check"), F.max("check").alias("other"))
+    sums = stored(sums.where((F.col("least") < F.col("most")) | (F.col("check") != F.col("other"))), "substring-first")
+    verified = sums.where("check = other").select("name", F.lit(None).cast("long").alias("check"), "least")
+    collided = sums.where("check != other").select("name")
+    if collided.isEmpty():
+        return verified
+    apart = found.join(collided, "name", "left_semi").groupBy("name", "check").agg(F.min(key).alias("least"))
+    return stored(verified.union(apart.select("name", "check", "least")), "substring-first")
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """(key, parts array<struct<seq, whole boolean, at array<int>>>): for each text of a key, whether all of it is repeated, and the first
     words of its repeated windows.  A stored table; keys without repeats are not in it."""
-    spark = docs.sparkSession
     found = stored(anchor_rows(docs, key, text, width, rounds), "substring-anchors")
     texts = stored(found.groupBy(key, "seq").agg(F.count("*").alias("n")), "substring-texts")
-    least = texts.groupBy("seq").agg(F.min(key).alias("least"), F.count("*").alias("n")).where("n > 1").select("seq", "least")
-    copies = stored(texts.join(least, "seq").where(F.col(key) > F.col("least")).select(key, "seq"), "substring-copies")
+    least = stored(texts.groupBy("seq").agg(F.min(key).alias("least"), F.count("*").alias("copies")).where("copies > 1"), "substring-least")
+    n_copies = least.agg(F.sum("copies")).first()[0] or 0
+    copies = stored(salted(texts, least, ["seq"], "copies", [key], n_copies).where(F.col(key) > F.col("least")).select(key, "seq"), "substring-copies")
     shared = stored(found.groupBy("anchor").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a != b").select("anchor"), "substring-shared")
-    free_shuffles(spark)
     spans = found.join(shared.hint("merge"), "anchor", "left_semi").groupBy(key, "seq").agg(F.collect_list(F.struct("start", "times")).alias("spans"))
     parts = stored(spans.join(copies, [key, "seq"], "left_anti").groupBy(key).agg(F.collect_list(F.struct("seq", "spans")).alias("parts")), "substring-parts")
-    free_shuffles(spark)
-    dropped(found)
-    candidates = docs.select(key, text_of(docs, text).alias("__text")).join(parts.hint("merge"), key)  # only these columns: no names clash
-    windows = stored(window_rows(candidates, key, width, rounds), "substring-windows")
-    free_shuffles(spark)
-    first = windows.groupBy("name", "anchor").agg(F.min(key).alias("least"), F.max(key).alias("most")).where(F.col("least") < F.col("most"))
-    first = stored(first.select("name", "anchor", "least"), "substring-first")
-    free_shuffles(spark)
-    later = windows.join(first.hint("merge"), ["name", "anchor"]).where(F.col(key) > F.col("least")).groupBy(key, "part").agg(F.collect_set("at").alias("at"))
+    dropped(found, texts, least, shared)
+    candidates = docs.select(key, text_of(docs, text).alias("__text")).join(parts.hint("merge"), key)
+    named = stored(window_rows(candidates, key, width, rounds), "substring-windows")
+    first = first_documents(named, key).withColumnRenamed("check", "own_check")
+    later = named.join(first.hint("merge"), "name").where((F.col(key) > F.col("least")) & (F.col("own_check").isNull() | (F.col("own_check") == F.col("check"))))
+    later = later.groupBy(key, "part").agg(F.collect_set("at").alias("at"))
     some = later.join(parts, key).select(key, F.struct(F.get("parts", F.col("part"))["seq"].alias("seq"), F.lit(False).alias("whole"), "at").alias("part"))
     whole = copies.select(key, F.struct("seq", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("at")).alias("part"))
     out = stored(some.union(whole).groupBy(key).agg(F.collect_set("part").alias("parts")), "substring-repeats")
-    dropped(windows)
-    free_shuffles(spark)
+    dropped(named, parts, copies)
     return out
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
-    """The `keep` columns, n_words, n_removed (long), kept_text string: the words that stay, joined by one space; and removed
+@shielded("key", "text")
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """All columns but the text, with n_words, n_removed (long), kept_text string: the words that stay, joined by one space; and removed
     array<struct<start,end>>: runs of removed words, end exclusive."""
-    keep = keep if keep is not None else [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_text", "removed")]
+    keep = [c for c in docs.columns if c != text]
     found = repeats(docs, key, text, width)
     held = found.select(F.col(key).alias("__key"), F.col("parts").alias("__parts")).hint("merge")
-    rows = docs.select(*keep, F.col(key).alias("__own"), text_of(docs, text).alias("__text"))
-    joined = rows.join(held, F.col("__own") == F.col("__key"), "left").select(*keep, "__text", "__parts")
+    rows = docs.select(*keep, text_of(docs, text).alias("__text"))
+    joined = rows.join(held, rows[key] == held["__key"], "left").select(*keep, "__text", "__parts")
     schema = fields(docs.select(*keep).schema, "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,4 +176,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -2,7 +2,8 @@
 
 Every Python operator of this subpackage reads its words through these functions.  They work on the UTF-8 bytes of a
 whole Arrow batch at once, so no Python object is made for a word.  A batch is first cut into pieces of bounded size
-(`pieces`), hence memory does not grow with the batch; one text is never cut.
+(`pieces`), hence memory does not grow with the batch; one text is never cut.  A very long text is hashed in steps of
+`STEP` bytes or words, so besides its bytes only the bounds and the hashes of its words (24 bytes a word) are held.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 
 PIECE_BYTES = 1_000_000
 PIECE_ROWS = 4096
+#: Bytes (or words) that a kernel works on at once; a longer text is taken in several steps, so that intermediate arrays stay small.
+STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 3
 _MASK = (1 << 64) - 1
 
@@ -44,15 +47,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, and a random value for each byte."""
+@lru_cache(maxsize=4)
+def _powers(seed: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """An odd base, its powers and those of its inverse modulo 2**64, and a random value for each byte."""
     base = (_BASE + 8 * seed) & _MASK
-    inverse = pow(base, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        p = np.cumprod(np.full(n, base, dtype=np.uint64), dtype=np.uint64)
-        q = np.cumprod(np.full(n, inverse, dtype=np.uint64), dtype=np.uint64)
-    return p, q, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed))
+        p, q = (np.cumprod(np.full(STEP, x, dtype=np.uint64), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    return base, p, q, mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed))
 
 
 @dataclass
@@ -77,19 +78,23 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same in every piece and task."""
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        size = 1 << max(16, int(len(self.data) - 1).bit_length())
-        p, q, value = _powers(size, seed)
-        sums = value[self.data]
-        sums *= p[: len(sums)]
-        np.cumsum(sums, out=sums)
-        h = sums[self.end - 1]
-        inside = self.start > 0
-        h[inside] -= sums[self.start[inside] - 1]
-        h *= q[self.start]
-        h += (self.end - self.start).astype(np.uint64)
-        return mix(h)
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        base, p, q, values = _powers(seed)
+        for a in range(0, len(self.data), STEP):
+            b = min(a + STEP, len(self.data))
+            i, j = int(np.searchsorted(self.end, a, side="right")), int(np.searchsorted(self.start, b, side="left"))
+            if i == j:
+                continue
+            sums = np.zeros(b - a + 1, dtype=np.uint64)
+            np.cumsum(values[self.data[a:b]] * p[: b - a], out=sums[1:])
+            begin = self.start[i:j] - a
+            part = sums[np.minimum(self.end[i:j] - a, b - a)] - sums[np.maximum(begin, 0)]
+            part *= q[np.maximum(begin, 0)]
+            if begin[0] < 0:  # a word from the step before
+                part[0] *= np.uint64(pow(base, int(-begin[0]), 1 << 64))
+            out[i:j] += part
+        out += (self.end - self.start).astype(np.uint64)
+        return mix(out)
 
 
 def words(texts: pa.Array, letters: np.ndarray, lower: bool = False) -> Words:
@@ -134,14 +139,18 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES)
 
 
 def row_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's words in order, from the words' hashes."""
+    """A 64-bit hash of each row's words in order, from the words' hashes: a sum of random values of (place, word)."""
     counts = np.diff(first)
-    if not len(h):
-        return mix(counts.astype(np.uint64))
-    p, q, _ = _powers(1 << max(16, int(len(h) - 1).bit_length()), 7)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
-    out = (sums[first[1:]] - sums[first[:-1]]) * q[np.minimum(first[:-1], len(q) - 1)]
-    return mix(out + counts.astype(np.uint64))
+    out = counts.astype(np.uint64)
+    for a in range(0, len(h), STEP):
+        b = min(a + STEP, len(h))
+        i, j = int(np.searchsorted(first[1:], a, side="right")), int(np.searchsorted(first[:-1], b, side="left"))
+        begin, end = first[i:j], first[i + 1 : j + 1]
+        place = np.arange(a, b) - np.repeat(begin, np.minimum(end, b) - np.maximum(begin, a))
+        sums = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(mix(h[a:b] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
+        out[i:j] += sums[np.minimum(end, b) - a] - sums[np.maximum(begin, a) - a]
+    return mix(out)
 
 
 def window_hashes(h: np.ndarray, first: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
