@@ -6,7 +6,8 @@ has met in a cache of bounded size, since the same words come again and again.
 sequence may end in the middle of a character, which `decode_stream` carries over to the next sequence.
 
 Defined results: null and empty texts have no ids and decode to no bytes.  Texts of special tokens are ordinary text.
-Repeated rows give repeated rows; columns not named are not read.
+Repeated rows give repeated rows, an empty table an empty one.  Columns with any names are handed on, but for those named as a result.  A very
+long text is encoded `PIECES` pieces at a time.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, lists, over_pieces, table, text_of
+from corpusframe.llm.common import column, fields, lists, over_pieces, shielded, table, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_PIECES = 400_000
+PIECES = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -51,7 +53,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.find = regex.compile(piece).findall
+        pattern = regex.compile(piece)
+        self.find, self.find_each = pattern.findall, pattern.finditer
         self.map = byte_table()
         back = {c: b for b, c in enumerate(self.map)}
         with open(path, encoding="utf-8") as f:
@@ -66,8 +69,15 @@ class ByteBpe:
         mapped = "".join([self.map[b] for b in piece.encode("utf-8", "surrogatepass")])
         return tuple([t.id for t in self.model.tokenize(mapped)])
 
-    def encode(self, text: str) -> list[int]:
-        found = self.find(text)
+    def encode(self, text: str) -> list[int] | np.ndarray:
+        if len(text) <= PIECES:
+            return self._encoded(self.find(text))
+        each, parts = (m[0] for m in self.find_each(text)), []
+        while some := list(islice(each, PIECES)):
+            parts.append(np.array(self._encoded(some), dtype=np.int32))
+        return np.concatenate(parts) if parts else []
+
+    def _encoded(self, found: list[str]) -> list[int]:
         cache = self.cache
         try:
             return list(chain.from_iterable(map(cache.__getitem__, found)))
@@ -113,10 +123,11 @@ def _coder(path: str | None) -> ByteBpe:
     return ByteBpe(path or vocabulary_path(), public_tokenizers.PATTERN)
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, with_offsets: bool = False) -> DataFrame:
-    """The `keep` columns, `ids` array<int>, and with_offsets: `starts`, `ends` array<int> (code points)."""
-    keep = keep if keep is not None else [c for c in df.columns if c not in (text, "ids", "starts", "ends")]
-    source = df.select(*[F.col(c) for c in keep], text_of(df, text).alias("__text"))
+@shielded("text")
+def encode(df: DataFrame, text: str = "text", path: str | None = None, with_offsets: bool = False) -> DataFrame:
+    """All columns but the text, `ids` array<int>, and with_offsets: `starts`, `ends` array<int> (code points)."""
+    keep = [c for c in df.columns if c != text]
+    source = df.select(*keep, text_of(df, text).alias("__text"))
     extra = ["ids", "starts", "ends"] if with_offsets else ["ids"]
     schema = fields(df.select(*keep).schema, ", ".join(f"{name} array<int>" for name in extra))
 
@@ -124,7 +135,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: lis
         coder, texts = _coder(path), column(batch, "__text").to_pylist()
         ids = [coder.encode(t) for t in texts]
         sizes = list(map(len, ids))
-        arrays = [lists(pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(sizes))), sizes)]
+        arrays = [_joined(ids, sizes)]
         if with_offsets:
             found = [coder.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
             arrays += [lists(pa.array(np.concatenate([f[k] for f in found]).astype(np.int32)), sizes) for k in (0, 1)]
@@ -133,9 +144,14 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, keep: lis
     return source.mapInArrow(over_pieces(run, "__text"), schema)
 
 
-def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns, `decoded` binary and `decoded_text` string (U+FFFD for bytes that aren't UTF-8)."""
-    keep = keep if keep is not None else [c for c in df.columns if c not in (ids, "decoded", "decoded_text")]
+def _joined(ids: list, sizes: list[int]) -> pa.ListArray:
+    return lists(pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(sizes))), sizes)
+
+
+@shielded("ids")
+def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """All columns but the ids, `decoded` binary and `decoded_text` string (U+FFFD for bytes that aren't UTF-8)."""
+    keep = [c for c in df.columns if c != ids]
     schema = fields(df.select(*keep).schema, "decoded binary, decoded_text string")
     source = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("__ids"))
 
@@ -150,28 +166,34 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, keep: list[
     return source.mapInArrow(go, schema)
 
 
-def round_trip(df: DataFrame, key: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """Encodes and decodes in one pass: the key columns, `n_tokens`, `ids_sha256`, `decoded_sha256`."""
-    source = df.select(*key, text_of(df, text).alias("__text"))
-    schema = fields(df.select(*key).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+@shielded("text")
+def round_trip(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: all columns but the text, `n_tokens`, `ids_sha256`, `decoded_sha256`, and with_ids the text again and `ids`."""
+    keep = df.columns if with_ids else [c for c in df.columns if c != text]
+    source = df.select(*keep, text_of(df, text).alias("__text"))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    schema = fields(df.select(*keep).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = _coder(path)
-        n, of_ids, of_bytes = [], [], []
+        n, of_ids, of_bytes, held = [], [], [], []
         for text in column(batch, "__text"):
             ids = coder.encode(text.as_py())
             n.append(len(ids))
             of_ids.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
             of_bytes.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([column(batch, c) for c in key] + [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[*key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                held.append(ids)
+        found = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())] + ([_joined(held, n)] if with_ids else [])
+        return pa.RecordBatch.from_arrays([column(batch, c) for c in keep] + found, names=[*keep, *names])
 
     return source.mapInArrow(over_pieces(run, "__text"), schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: each document's digests and the number of its tokens."""
-    return round_trip(docs, ["doc_id"])
+    """The last stage of the pipeline: the documents with their token ids, number of tokens, and digests."""
+    return round_trip(docs, with_ids=True)

@@ -12,12 +12,15 @@ each partition then solves its own stretches.  The partitions are fixed by a che
 
 Defined results: turns are ordered by turn (null last), role, text.  Unknown and null roles cost less to relabel; null text is
 empty.  A null conv_id is a conversation of its own.  Repeated rows are turns of their own.  Of equally cheap repairs, that with the earlier role in
-(system, user, assistant) from the end backwards is taken.
+(system, user, assistant) from the end backwards is taken.  In texts `<|` is rendered `< |`, so that no text can open or close a message.  An empty
+table gives an empty result.  Columns beside the four that are named are not read, so their names can't clash.  Very long texts come one after the
+other; a partition's turns of one conversation are held at once, and the range partition deals out a conversation of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,6 +34,7 @@ NAMES = {"system": 1, "user": 2, "human": 2, "prompter": 2, "assistant": 3, "bot
 LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 MERGE, RELABEL, RELABEL_SYSTEM, RELABEL_UNKNOWN, INSERT = 1, 2, 4, 1, 3
 NEVER = 1 << 40
+BATCH_TURNS = 500
 #: What must follow a last role before the end.
 AT_END = {0: (), 1: (2, 3), 2: (3,), 3: ()}
 
@@ -187,11 +191,14 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         for k, (name, (numbers, roles, texts)) in enumerate(_fragments(batches, "conv", ["turn", "role", "text"])):
             r = [known(x) for x in roles]
             first, last, ends = told.value.get((part, k)) or (0, settle([stretch(r)])[1], True)
-            found = list(zip(*repaired(r, texts, first, last, ends), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(r), arrow["conv"]), pa.array(numbers, arrow["turn"]), pa.array(roles, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(x, pa.string()) for x in found[:4]), pa.array(found[4], pa.int32()), pa.array(found[5], pa.string())],
-                names=out_names,
-            )
+            each, at = repaired(r, texts, first, last, ends), 0
+            while some := list(islice(each, BATCH_TURNS)):
+                found, to = list(zip(*some, strict=True)), at + len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(some), arrow["conv"]), pa.array(numbers[at:to], arrow["turn"]), pa.array(roles[at:to], pa.string()), pa.array([len(t) for t in texts[at:to]], pa.int64()), *(pa.array(x, pa.string()) for x in found[:4]), pa.array(found[4], pa.int32()), pa.array(found[5], pa.string())],
+                    names=out_names,
+                )
+                at = to
 
     out = fixed.mapInArrow(solved, schema)
     return out.withColumnsRenamed({"conv": conv, "turn": turn, "role": role})

@@ -2,14 +2,18 @@
 
 A shard is a run of whole documents of a partition, of bounded size.  Its words become symbols: the benchmark's words
 have numbers, any other word is a separator, and so is a run of benchmark words that is shorter than the shortest test
-phrase, for no phrase can occur in it.  The FM-index over the symbols finds all test phrases by backward search and
-locates them by sampled suffix positions; overlapping occurrences merge into removal spans.
+phrase, for no phrase can occur in it.  The FM-index over the symbols finds test phrases by backward search and
+locates them by sampled suffix positions; overlapping occurrences merge into removal spans.  Only phrases whose rarest word
+(among the benchmark's phrases) is in the shard are searched, so a shard's cost follows what it shares with the benchmark and not the
+benchmark's size.
 
-The benchmark is the query set.  Its words and phrases are broadcast in blocks of `BLOCK_BYTES` of text: a larger benchmark takes
-more blocks, one after the other over the same rows, without a shuffle.
+The benchmark is the query set.  Its words and phrases are broadcast in blocks of `BLOCK_BYTES` of text, as flat arrays of about 20 bytes a
+word.  A larger benchmark has more blocks: a task reads one after the other for each batch of rows and holds one at a time, in one
+pass over the documents, without a shuffle.
 
 Defined results: null and empty texts have no words.  An item without words has no phrase; a repeated item id is one
-item; a null item id is written `null`.  Repeated documents give repeated rows.
+item; a null item id is written `null`.  Repeated documents give repeated rows, an empty table an empty one.  Columns with any names are handed on,
+but for those named as a result; the stage hands all on.  A very long text is a shard of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, give_back, lists, stored, table, text_of
+from corpusframe.llm.common import column, fields, give_back, lists, shielded, table, text_of
 from corpusframe.llm.fmindex import FmIndex
 from corpusframe.llm.textbytes import ALNUM, Words, pieces, raw, words
 
@@ -31,27 +35,34 @@ SHARD_BYTES = 1_000_000
 
 
 class Phrases:
-    """A block of the benchmark: its vocabulary, and its distinct windows with the items that have them."""
+    """A block of the benchmark: its vocabulary, and its distinct windows with the items that have them, in flat arrays."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         found = words(pa.array([t or "" for _, t in items], pa.large_string()), ALNUM, lower=True)
-        all_words = [found.word(i) for i in range(len(found.start))]
-        self.vocabulary = sorted(set(all_words))
-        number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
-        symbols = [number[w] for w in all_words]
-        names = sorted({"null" if i is None else str(i) for i, _ in items})
-        place = {n: k for k, n in enumerate(names)}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for k, (item, _) in enumerate(items):
-            own = symbols[found.first[k] : found.first[k + 1]]
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[at : at + window]), set()).add(place["null" if item is None else str(item)])
-        self.names = names
-        self.by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for length in sorted({len(p) for p in owners}):
-            these = [p for p in owners if len(p) == length]
-            self.by_length[length] = (np.array(these, dtype=np.int64), [np.array(sorted(owners[p])) for p in these])
-        self.shortest = min(self.by_length, default=0)
+        numbers, number = {}, np.zeros(len(found.start), dtype=np.int32)
+        for i in range(len(found.start)):
+            number[i] = numbers.setdefault(found.word(i), len(numbers)) + 1
+        self.vocabulary = list(numbers)
+        said = ["null" if i is None else str(i) for i, _ in items]
+        self.names = sorted(set(said))
+        owner = np.searchsorted(np.array(self.names, dtype=object), np.array(said, dtype=object)) if items else np.zeros(0, np.int64)
+        counts = found.counts()
+        often = np.bincount(number, minlength=len(numbers) + 1)
+        #: For each length: the phrases, one a row; which of them have each word as their rarest (where the word's begin, and the phrases); their items likewise.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted({min(int(c), window) for c in counts if c}):
+            own = np.flatnonzero(counts == length) if length < window else np.flatnonzero(counts >= window)
+            n = counts[own] - length + 1
+            at = np.repeat(found.first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            rows = np.stack([number[at + k] for k in range(length)], axis=1)
+            _, head, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{4 * length}").ravel(), return_index=True, return_inverse=True)
+            table_ = rows[head]
+            pair = np.unique(inverse.astype(np.int64) * len(self.names) + np.repeat(owner[own], n))
+            item_at = np.searchsorted(pair // len(self.names), np.arange(len(table_) + 1))
+            rarest = table_[np.arange(len(table_)), often[table_].argmin(axis=1)]
+            order = np.argsort(rarest, kind="stable")
+            self.by_length.append((table_, np.searchsorted(rarest[order], np.arange(len(numbers) + 2)), order, item_at, pair % len(self.names)))
+        self.shortest = min((t.shape[1] for t, *_ in self.by_length), default=0)
         self.seed, self.sorted = 0, np.zeros(0, np.uint64)
         self.text = np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8)
         self.begins = np.cumsum([0, *map(len, self.vocabulary)])
@@ -112,14 +123,24 @@ def search(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarr
     word_at = np.zeros(len(sequence), dtype=np.int64)
     word_at[place] = kept
     index = FmIndex(sequence, len(phrases.vocabulary))
-    out = []
-    for length, (table_, owners) in phrases.by_length.items():
-        phrase, position = index.locate(*index.find(table_))
-        sizes = np.array([len(o) for o in owners])[phrase] if len(phrase) else none
-        out.append((np.repeat(word_at[position], sizes), np.full(int(sizes.sum()), length), np.concatenate([owners[p] for p in phrase]) if len(phrase) else none))
+    there = np.unique(symbols[kept])
+    out = [(none, none, none)]
+    for table_, rare_at, by_rarest, item_at, owners in phrases.by_length:
+        wanted = by_rarest[_ranges(rare_at[there], rare_at[there + 1])]
+        if len(wanted):
+            phrase, position = index.locate(*index.find(table_[wanted].astype(np.int64)))
+            phrase = wanted[phrase]
+            sizes = item_at[phrase + 1] - item_at[phrase]
+            out.append((np.repeat(word_at[position], sizes), np.full(int(sizes.sum()), table_.shape[1]), owners[_ranges(item_at[phrase], item_at[phrase + 1])]))
     return tuple(np.concatenate([o[k] for o in out]).astype(np.int64) for k in range(3))
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low to before its high."""
+    size = high - low
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def spans(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of covered words: first word, end word, and the number of runs in each row."""
     on = np.r_[False, covered, False]
@@ -130,39 +151,52 @@ def spans(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.diff(np.searchsorted(start, first))
 
 
-def _pass(phrases: Phrases, others: list[str], first_block: bool, clean: bool):
-    def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = words(column(batch, "__text"), ALNUM, lower=True)
-        at, length, item = search(w, phrases)
-        change = np.zeros(len(w.start) + 1, dtype=np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + length, -1)
-        covered = np.cumsum(change)[:-1] > 0
-        counts = w.counts()
-        items: list[list[str]] = [[] for _ in range(batch.num_rows)]
-        row = np.searchsorted(w.first, at, side="right") - 1
-        for r, i in np.unique(np.stack([row, item], axis=1), axis=0) if len(at) else ():
-            items[r].append(phrases.names[i])
-        if not first_block:
-            base = w.first
-            for r, (ranges, before) in enumerate(zip(column(batch, "hits").to_pylist(), column(batch, "items").to_pylist(), strict=True)):
-                items[r] = sorted({*items[r], *before})
-                for x in ranges:
-                    covered[base[r] + x["start"] : base[r] + x["end"]] = True
+class Finding:
+    """What the blocks have found in a shard so far."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.words = batch, words(column(batch, "__text"), ALNUM, lower=True)
+        self.change = np.zeros(len(self.words.start) + 1, dtype=np.int64)
+        self.items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+
+    def search(self, phrases: Phrases) -> None:
+        at, length, item = search(self.words, phrases)
+        if len(at):
+            np.add.at(self.change, at, 1)
+            np.add.at(self.change, at + length, -1)
+            row = np.searchsorted(self.words.first, at, side="right") - 1
+            pair = np.unique(row * len(phrases.names) + item)
+            for r, i in zip((pair // len(phrases.names)).tolist(), (pair % len(phrases.names)).tolist(), strict=True):
+                self.items[r].add(phrases.names[i])
+
+    def rows(self, others: list[str], clean: bool) -> pa.RecordBatch:
+        w, covered = self.words, np.cumsum(self.change)[:-1] > 0
         start, end, n = spans(covered, w.first)
         shift = np.repeat(w.first[:-1], n)
         ranges = pa.StructArray.from_arrays([pa.array((start - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32))], names=["start", "end"])
         hit = np.diff(np.r_[0, np.cumsum(covered)][w.first])
-        left = [cut(column(batch, "__text"), w.start[start], w.end[end - 1])] if clean else []
-        return pa.RecordBatch.from_arrays(
-            [column(batch, c) for c in others] + [column(batch, "__text"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), lists(ranges, n), pa.array(items, pa.list_(pa.string())), *left],
-            names=[*others, "__text", "n_words", "n_hit", "hits", "items"] + ["clean_text"] * clean,
-        )
+        text = column(self.batch, "__text")
+        left = [cut(text, w.start[start], w.end[end - 1])] if clean else []
+        found = [pa.array(w.counts(), pa.int64()), pa.array(hit, pa.int64()), lists(ranges, n), pa.array([sorted(i) for i in self.items], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([column(self.batch, c) for c in others] + found + left, names=[*others, "n_words", "n_hit", "hits", "items"] + ["clean_text"] * clean)
+
 
+def _pass(held: list, others: list[str], clean: bool):
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "__text", SHARD_BYTES):
-                yield shard(piece)
+            if len(held) == 1:
+                for piece in pieces(batch, "__text", SHARD_BYTES):
+                    found = Finding(piece)
+                    found.search(held[0].value)
+                    yield found.rows(others, clean)
+            else:
+                shards = [Finding(piece) for piece in pieces(batch, "__text", SHARD_BYTES)]
+                for block in held:
+                    for found in shards:
+                        found.search(block.value)
+                    vars(block).pop("_value", None)  # one block at a time; the file it is read from stays
+                for found in shards:
+                    yield found.rows(others, clean)
             give_back()
 
     return go
@@ -189,31 +223,34 @@ def cut(texts: pa.Array, since: np.ndarray, to: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(data[left].tobytes())).cast(pa.string())
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
-    """The `keep` columns with `__text`, n_words, n_hit (long), hits array<struct<start,end>> (word numbers, merged, end
-    exclusive) and items array<string> (sorted); with `clean` also clean_text, without each run of hit words from its first to its last byte.
-
-    Between blocks of the benchmark the rows are stored, so that a task never has more than one worker."""
-    new = ["__text", "n_words", "n_hit", "hits", "items", "clean_text"]
-    keep = keep if keep is not None else [c for c in docs.columns if c not in new]
-    out = docs.select(*keep, text_of(docs, text).alias("__text"))
-    schema = fields(out.schema, "n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>" + ", clean_text string" * clean)
-    for k, block in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        out = (stored(out, "decontaminate-block") if k else out).mapInArrow(_pass(Phrases(block, window), keep, k == 0, clean), schema)
-    return out
+@shielded("text")
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+    """All columns but the text, n_words, n_hit (long), hits array<struct<start,end>> (word numbers, merged, end
+    exclusive) and items array<string> (sorted); with `clean` also clean_text, without each run of hit words from its first to its last byte."""
+    keep = [c for c in docs.columns if c != text]
+    rows = docs.select(*keep, text_of(docs, text).alias("__text"))
+    schema = fields(docs.select(*keep).schema, "n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>" + ", clean_text string" * clean)
+    context = docs.sparkSession.sparkContext
+    held = [context.broadcast(Phrases(block, window)) for block in blocks(benchmark, item, item_text, block_bytes)]
+    return rows.mapInArrow(_pass(held, keep, clean), schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages from the documents; a document of which no word is left goes.  Clean documents stay as they are."""
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=kept, clean=True)
-    left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).withColumn("text", F.col("clean_text"))
-    values = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+@shielded("text", "n_chars")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, without benchmark passages; a document of which no word is left goes.  Clean documents stay as they
+    are."""
+    found = find_contamination(docs.withColumn("__none", F.col(text).isNull()), benchmark, text, clean=True)
+    left = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).withColumn(text, F.when(~F.col("__none"), F.col("clean_text")))
+    values = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return left.withColumns(values).select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))

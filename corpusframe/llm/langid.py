@@ -8,10 +8,11 @@ tells that the cross-entropy is beyond what `REJECT` of those documents of the l
 
 Training takes about `SAMPLE` labelled documents of each language, whole, chosen by a hash of doc_id (a sixth of them for
 calibration); with fewer it takes all.  At most `LANGUAGES` languages are learned, an error beyond.  So the model's size is bounded and
-it is broadcast.  Scoring reads every whole text once, without a shuffle.
+it is broadcast.  Scoring reads every whole text once, without a shuffle.  A very long text is counted and scored `BLOCK` symbols at a time.
 
 Defined results: null and texts without a letter are `und` with score 0.  Labels that are null or empty aren't learned.  With nothing
-to learn from, all is `und`.  Ties go to the language that sorts first.
+to learn from, all is `und`.  Ties go to the language that sorts first.  Repeated rows have equal results, an empty table an empty one.  Columns
+with any names are handed on, but for those named as a result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, fields, lists, over_pieces, table, text_of
+from corpusframe.llm.common import column, fields, lists, over_pieces, shielded, table, text_of
 from corpusframe.llm.textbytes import mix
 
 ORDER = 4
@@ -35,6 +36,7 @@ REJECT = 0.995
 CACHED = 1_000_000
 UNKNOWN = "und"
 PIECE = 1_000_000
+BLOCK = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -53,6 +55,11 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each text between two spaces (0), runs of other characters as one space; where each text begins."""
     if not len(texts):
         return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    if len(texts) == 1 and len(text := texts[0].as_py()) > BLOCK:
+        parts = [_folded()[np.frombuffer(text[a : a + BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] for a in range(0, len(text), BLOCK)]
+        symbols = np.concatenate([np.zeros(1, np.uint32), *parts, np.zeros(1, np.uint32)])
+        symbols = symbols[np.r_[True, (symbols[1:] != 0) | (symbols[:-1] != 0)]]
+        return symbols, np.array([0, len(symbols)])
     whole = "\n\n".join(["", *texts.to_pylist(), ""])
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(t) for t in texts.to_pylist()], dtype=np.int64)
@@ -127,13 +134,27 @@ class Models:
     def entropies(self, texts: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: nats per symbol in each language, the number of symbols, whether it has a letter."""
         symbols, first = letters(texts)
-        unique, at, inverse = np.unique(grams(symbols, first, ORDER), return_index=True, return_inverse=True)
+        rows = len(first) - 1
+        total, has = np.zeros((rows, len(self.names))), np.zeros(rows, dtype=bool)
+        for a in range(0, len(symbols), BLOCK):
+            at = np.arange(a, min(a + BLOCK, len(symbols)))
+            row = np.searchsorted(first, at, side="right") - 1
+            scores, inverse = self._scores(symbols, first, at, cache)
+            for k in range(len(self.names)):
+                total[:, k] += np.bincount(row, weights=scores[inverse, k], minlength=rows)
+            has |= np.bincount(row, weights=symbols[at] != 0, minlength=rows) > 0
+        n = np.diff(first)
+        return total / np.maximum(n, 1)[:, None], n, has
+
+    def _scores(self, symbols: np.ndarray, first: np.ndarray, at: np.ndarray, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Nats of the distinct sequences that end at some positions in each language, and which of them ends at each position."""
+        unique, index, inverse = np.unique(grams(symbols, first, ORDER, at), return_index=True, return_inverse=True)
         known, values = cache.get("known", np.zeros(0, np.uint64)), cache.get("values", np.zeros((0, len(self.names)), np.float32))
         spot = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
         new = known[spot] != unique if len(known) else np.ones(len(unique), dtype=bool)
         scores = np.empty((len(unique), len(self.names)), dtype=np.float32)
         scores[~new] = values[spot[~new]]
-        place = at[new]
+        place = at[index[new]]
         # the context of an n-gram is the (n-1)-gram that ends one symbol before; at a text's start it is spaces only
         start = np.isin(place, first[:-1])
         before = np.maximum(place - 1, 0)
@@ -148,10 +169,7 @@ class Models:
             merged = np.concatenate([known, unique[new]])
             order = np.argsort(merged)
             cache["known"], cache["values"] = merged[order], np.concatenate([values, scores[new]])[order]
-        n = np.diff(first)
-        total = np.stack([np.bincount(np.repeat(np.arange(len(n)), n), weights=scores[inverse, k], minlength=len(n)) for k in range(len(self.names))], axis=1)
-        has = np.bincount(np.repeat(np.arange(len(n)), n), weights=symbols != 0, minlength=len(n)) > 0
-        return total / np.maximum(n, 1)[:, None], n, has
+        return scores, inverse
 
     def choose(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language and its posterior; evidence grows with the square root of the length."""
@@ -183,18 +201,21 @@ COUNTS = "lang string, n int, gram long, context long, shorter long, times long"
 
 
 def counted(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each order: its number, the distinct sequences, each without its last and without its first symbol, and how often it comes."""
+    """Of each order (and block of a very long text): its number, the distinct sequences, each without its last and without its first symbol, and
+    how often it comes."""
     symbols, first = letters(texts)
-    by_order = [grams(symbols, first, n) for n in range(1, ORDER + 1)]
-    at_start = np.zeros(len(symbols), dtype=bool)
-    at_start[first[:-1][np.diff(first) > 0]] = True
-    before = np.maximum(np.arange(len(symbols)) - 1, 0)
     out = []
-    for n in range(1, ORDER + 1):
-        unique, at, times = np.unique(by_order[n - 1], return_index=True, return_counts=True)
-        none = np.zeros(len(at), np.uint64)
-        context = np.where(at_start[at], _spaces(n - 1), by_order[n - 2][before[at]]) if n > 1 else none
-        out.append((n, unique, context, by_order[n - 2][at] if n > 1 else none, times))
+    starts = first[:-1][np.diff(first) > 0]
+    for a in range(0, len(symbols), BLOCK):
+        b, since = min(a + BLOCK, len(symbols)), max(a - 1, 0)
+        by_order = [grams(symbols, first, n, np.arange(since, b)) for n in range(1, ORDER + 1)]
+        at_start = np.zeros(b - a, dtype=bool)
+        at_start[starts[(starts >= a) & (starts < b)] - a] = True
+        for n in range(1, ORDER + 1):
+            unique, at, times = np.unique(by_order[n - 1][a - since :], return_index=True, return_counts=True)
+            none = np.zeros(len(at), np.uint64)
+            context = np.where(at_start[at], _spaces(n - 1), by_order[n - 2][np.maximum(at + a - since - 1, 0)]) if n > 1 else none
+            out.append((n, unique, context, by_order[n - 2][at + a - since] if n > 1 else none, times))
     return out
 
 
@@ -251,9 +272,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 _CACHE: dict = {}
 
 
-def predict(docs: DataFrame, models: Models, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns, lang_pred string, score double, cross_entropy double (nats per symbol), rejected boolean."""
-    keep = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
+@shielded("text")
+def predict(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """All columns but the text, lang_pred string, score double, cross_entropy double (nats per symbol), rejected boolean."""
+    keep = [c for c in docs.columns if c != text]
     source = docs.select(*keep, text_of(docs, text).alias("__text"))
     held = docs.sparkSession.sparkContext.broadcast(models)
     schema = fields(docs.select(*keep).schema, "lang_pred string, score double, cross_entropy double, rejected boolean")
@@ -287,4 +309,4 @@ def held_out(key: Column) -> Column:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select("doc_id", "text"), models, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return predict(docs.select("doc_id", "text"), models).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

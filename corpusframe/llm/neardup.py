@@ -17,7 +17,8 @@ is lost and no bucket is capped.  Shingle sets are read only for nodes that
 have a candidate; a bitmap of fixed size tells the workers which.
 
 Defined results: null texts and texts without words are alone.  Repeated rows are copies.  Of a class the document with the smallest
-doc_id stays (null last, ties by text hash).
+doc_id stays (null last, ties by text hash), and of rows that repeat its key and words one.  An empty table gives an empty result.  Columns with any
+names are handed on.  Very long texts are sketched `BLOCK` shingles at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import bitmap, column, fields, lists, over_pieces, stored, table, text_of
+from corpusframe.llm.common import bitmap, column, dropped, fields, lists, over_pieces, shielded, stored, table, text_of
 from corpusframe.llm.components import components
 from corpusframe.llm.textbytes import ALNUM, mix, row_hashes, window_hashes, words
 
@@ -37,6 +38,7 @@ BANDS, ROWS = 20, 5
 SMALL_BUCKET = 32
 BITMAP_BITS = 1 << 23
 _HASH_BITS = 52
+BLOCK = 1 << 18
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +59,16 @@ def prob_min_hash(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows
     """For each row and register the shingle whose arrival came first (0 where a row has no shingle)."""
     earliest = np.full(rows * registers, np.inf)
     first = np.zeros(rows * registers, dtype=np.uint64)
+    latest = np.full(rows, np.inf)
+    for a in range(0, len(row), BLOCK):
+        _arrivals(row[a : a + BLOCK], shingle[a : a + BLOCK], weight[a : a + BLOCK], registers, earliest, first, latest)
+    return first.reshape(rows, registers)
+
+
+def _arrivals(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, registers: int, earliest: np.ndarray, first: np.ndarray, latest: np.ndarray) -> None:
+    """Lets some shingles' processes run until each is later than all registers of its row."""
     elapsed = np.zeros(len(row))
     turn = 0
-    latest = np.full(rows, np.inf)
     while len(row):
         turn += 1
         draw = mix(shingle * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
@@ -74,8 +83,7 @@ def prob_min_hash(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows
         won = earliest[cell_b] == elapsed_b
         first[cell_b[won]] = shingle[better][won]
         touched = np.unique(row)
-        latest[touched] = earliest.reshape(rows, registers)[touched].max(axis=1)
-    return first.reshape(rows, registers)
+        latest[touched] = earliest.reshape(-1, registers)[touched].max(axis=1)
 
 
 def _bands(registers: np.ndarray) -> np.ndarray:
@@ -199,12 +207,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rest = small if large.isEmpty() else small.union(_by_prefix(large, sets))
     more = stored(_verified(rest.distinct().join(first, ["u", "v"], "left_anti"), sets), "neardup-links")
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     of_node = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     keeper = of_node.groupBy("component").agg(F.min(F.struct("least", "node")).alias("keeper"))
     moved = of_node.join(keeper, "component").select("node", F.col("keeper.least.key").alias("class_id"), F.col("keeper.node").alias("class_node"))
     per_row = rows.groupBy(key, "node", "n_words").agg(F.count("*").alias("n_copies"))
+    dropped(shared, leaders, first, active, sets, links, open_, large)
     out = per_row.join(moved, "node", "left")
     alone = F.col("n_words") == 0
     return out.select(
@@ -214,11 +223,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "stays", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy")).drop("copy")
+    copies = found.select("doc_id", "class_id", "stays", "n_words", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"))
+    return copies.select("doc_id", "class_id", (F.col("stays") & ((F.col("copy") == 1) | (F.col("n_words") == 0))).alias("stays"))
 
 
 def with_node(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with `node`, the hash of their words."""
+    """The documents with `__node`, the hash of their words."""
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,16 +238,17 @@ def with_node(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(over_pieces(run, text), fields(docs.schema, "`__node` long"))
 
 
+@shielded("key", "text")
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class; documents without words stay, copies of a row of theirs too."""
-    fate = stored(classes(docs, key, text).where("n_words > 0").where(~F.col("stays") | (F.col("n_copies") > 1)).select(F.col(key).alias("__key"), F.col("node").alias("__of"), "stays"), "neardup-fate")
+    """One document of each class, with all its columns; documents without words stay, copies of a row of theirs too."""
+    fate = stored(classes(docs, key, text).where("n_words > 0").where(~F.col("stays") | (F.col("n_copies") > 1)).select(F.col(key).alias("__key"), F.col("node").alias("__of"), F.col("stays").alias("__stays")), "neardup-fate")
     rows = with_node(docs, text)
     same = rows[key].eqNullSafe(fate["__key"]) & (rows["__node"] == fate["__of"])
     fated = fate.hint("merge")  # one row for each document that goes: it grows with the input, so it is never broadcast
-    if fate.where("stays").isEmpty():
+    if fate.where("__stays").isEmpty():
         return rows.join(fated, same, "left_anti").select(*docs.columns)
-    left = rows.join(fated, same, "left").where(F.coalesce("stays", F.lit(True)))
-    twice = F.col("stays").isNotNull()
+    left = rows.join(fated, same, "left").where(F.coalesce("__stays", F.lit(True)))
+    twice = F.col("__stays").isNotNull()
     return left.where(~twice).select(*docs.columns).union(left.where(twice).dropDuplicates([key, "__node"]).select(*docs.columns))
 
 

@@ -1,9 +1,10 @@
 """Quality classification by co-training of two views.
 
-The content view sees a text's bytes: how often pairs of neighbouring bytes come (hashed), and how words repeat.  The metadata view sees
-the page: source, language, length, and layout counts.  Two logistic regressions, one a view, start from the labelled rows; each round,
-each scores all unlabelled documents and gives the most confident share of them, as pseudo-labels, to the other.  Each view is then
-calibrated on labelled rows that it did not see, and the calibrated log odds are combined to score all documents.
+The content view sees a text's bytes: how often pairs of neighbouring bytes come (hashed), how words repeat, and layout counts.  The metadata
+view sees nothing of the text, only what the page's record says of it: source, language and length.  Two logistic regressions, one a view,
+start from the labelled rows; each round, each scores all unlabelled documents and gives the most confident share of them, as pseudo-labels, to the
+other.  The share grows from round to round.  Each view is then calibrated on labelled rows that neither has seen, and how the calibrated log odds are combined to score all documents is
+fitted on others again.
 
 Scale: of the labelled rows the classifiers see about `LABELLED`, whole texts, chosen by a hash of the key; their features (some KB a
 row) are what the driver gets.  The unlabelled documents are all those without a label; their features are stored once, and workers score them
@@ -11,7 +12,9 @@ each round.  The confident share follows from counts of binned log odds, and a p
 that workers form: the driver gets `FIT_TASKS` matrices a step, whatever the input's size.  Scoring reads every text once, without
 a shuffle, and every document is scored.
 
-Defined results: null texts count as empty; null source, language or length are values of their own.  A document with several
+Defined results: null texts count as empty; null source, language or length are values of their own, and so is a column that isn't there.  An empty
+table gives an empty result.  Columns with any names are handed on, but for `quality_score` as a result; the stage hands all on.  Very long texts are
+counted in steps of `textbytes.STEP` bytes.  Repeated rows have equal scores.  A document with several
 labels has their majority, good on a tie.  Rows whose log odds are in the bin where a share ends are all taken (copies share one
 fate).  A row that is pseudo-labelled again has its latest label.  Without both kinds of labels every score is the share of good labels (1 if none).
 """
@@ -25,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import column, dropped, fields, give_back, lists, over_pieces, stored, table, text_of
-from corpusframe.llm.textbytes import SPACED, mix, words
+from corpusframe.llm.common import column, dropped, fields, give_back, lists, over_pieces, shielded, stored, table, text_of
+from corpusframe.llm.textbytes import SPACED, STEP, mix, words
 
 LABELLED = 4_000
 PAIR_DIMS = 512
 LAGS = 8
 SOURCE_DIMS, LANG_DIMS = 64, 16
 ROUNDS = 5
-GIVEN = 0.02  # of the unlabelled rows that a view labels in a round
+GIVEN = 0.02  # of the unlabelled rows: by so much more of them a view labels in each round than in the one before
 THRESHOLD = 0.5
 FIT_TASKS = 8
-STEPS = 12
+STEPS = 25
+NEAR = 1e-6
 BINS = 2_000  # for a factor e of large log odds
-CONTENT_DIMS = PAIR_DIMS + LAGS
+LAYOUT_DIMS = 7
+CONTENT_DIMS = PAIR_DIMS + LAGS + LAYOUT_DIMS
+LENGTHS = 24  # classes of length, each up to twice that of the one before
 METADATA = ("source", "lang", "n_chars")
 
 
@@ -69,13 +75,16 @@ def views(batch: pa.RecordBatch, text: str = "__text") -> tuple[np.ndarray, np.n
     w = words(column(batch, text), SPACED)
     data, off = w.data, w.row_byte
     n = batch.num_rows
-    row = np.repeat(np.arange(n), np.diff(off))
-    pair = np.zeros(len(data), dtype=np.int64)
-    if len(data):
-        code = data.astype(np.uint32)
-        pair[1:] = (code[:-1] * np.uint32(2_654_435_761) ^ code[1:] * np.uint32(40_503 * 65_537)) >> np.uint32(16) & np.uint32(PAIR_DIMS - 1)
     size = np.maximum(np.diff(off), 1)
-    content = np.sqrt(np.bincount(row * PAIR_DIMS + pair, minlength=n * PAIR_DIMS).reshape(n, PAIR_DIMS) / size[:, None])
+    pairs, codes = np.zeros(n * PAIR_DIMS, dtype=np.int64), np.zeros(n * 256, dtype=np.int64)
+    for a in range(0, len(data), STEP):
+        b = min(a + STEP, len(data))
+        row = np.repeat(np.arange(n), np.clip(off[1:], a, b) - np.clip(off[:-1], a, b))
+        code = np.r_[data[a - 1] if a else 0, data[a:b]].astype(np.uint32)
+        pair = (code[:-1] * np.uint32(2_654_435_761) ^ code[1:] * np.uint32(40_503 * 65_537)) >> np.uint32(16) & np.uint32(PAIR_DIMS - 1)
+        pair[np.clip(off[:-1][(off[:-1] >= a) & (off[:-1] < b)] - a, 0, None)] = 0  # a row's first byte has none before it
+        pairs += np.bincount(row * PAIR_DIMS + pair, minlength=n * PAIR_DIMS)
+        codes += np.bincount(row * 256 + code[1:].astype(np.int64), minlength=n * 256)
     counts = w.counts()
     some = np.maximum(counts, 1)
     h, of = w.hashes(), w.rows()
@@ -84,20 +93,28 @@ def views(batch: pa.RecordBatch, text: str = "__text") -> tuple[np.ndarray, np.n
         if len(h) > lag:
             again = np.r_[np.zeros(lag, bool), (h[lag:] == h[:-lag]) & (of[lag:] == of[:-lag])]
             repeats[:, lag - 1] = _sums(again, w.first) / some
-    content = np.concatenate([content, repeats * 4], axis=1).astype(np.float32)
+    codes = codes.reshape(n, 256)
 
-    def share(test: np.ndarray) -> np.ndarray:
-        return _sums(test[data], off) / size
+    def share(first: int, last: int) -> np.ndarray:
+        return codes[:, first : last + 1].sum(axis=1) / size
 
-    codes = np.arange(256)
-    upper = (codes >= 65) & (codes <= 90)
-    digit = (codes >= 48) & (codes <= 57)
-    mark = ((codes > 32) & (codes < 127)) & ~upper & ~digit & ~((codes >= 97) & (codes <= 122))
-    lines = share(codes == 10) * size + 1
-    length = np.array([-1 if v is None else v for v in column(batch, "n_chars").to_pylist()], dtype=np.float64) if "n_chars" in batch.schema.names else size
-    layout = np.stack([np.log1p(np.maximum(length, 0)) / 5, length < 0, length < 100, length < 300, np.log1p(lines) / 3, np.log1p(size / lines) / 5, share(upper) * 5, share(digit) * 5, share(mark) * 5, share(codes >= 128) * 2, share((codes == 124)) * 20, np.log1p(_sums(w.end - w.start, w.first) / some)], axis=1)
-    named = [_named(column(batch, c) if c in batch.schema.names else pa.nulls(n), d) for c, d in (("source", SOURCE_DIMS), ("lang", LANG_DIMS))]
-    return content, np.concatenate([layout, *named], axis=1).astype(np.float32)
+    upper, digit, lower = share(65, 90), share(48, 57), share(97, 122)
+    mark = share(33, 126) - upper - digit - lower
+    lines = codes[:, 10] + 1
+    layout = np.stack([np.log1p(lines) / 3, np.log1p(size / lines) / 5, upper * 5, digit * 5, mark * 5, share(124, 124) * 20, np.log1p(_sums(w.end - w.start, w.first) / some)], axis=1)
+    content = np.concatenate([np.sqrt(pairs.reshape(n, PAIR_DIMS) / size[:, None]), repeats * 4, layout], axis=1).astype(np.float32)
+    return content, metadata(batch)
+
+
+def metadata(batch: pa.RecordBatch) -> np.ndarray:
+    """The metadata features of each row: source and language by name, the length's logarithm and class."""
+    n = batch.num_rows
+    there = [column(batch, c) if c in batch.schema.names else pa.nulls(n) for c in METADATA]
+    length = np.array([-1.0 if v is None else max(0.0, float(v)) for v in there[2].to_pylist()])
+    classes = np.zeros((n, LENGTHS), dtype=np.float32)
+    classes[np.arange(n), np.where(length < 0, 0, np.clip(np.log2(np.maximum(length, 0) + 1).astype(int) + 1, 1, LENGTHS - 1))] = 1
+    named = [_named(v, d) for v, d in zip(there, (SOURCE_DIMS, LANG_DIMS), strict=False)]
+    return np.concatenate([np.log1p(np.maximum(length, 0))[:, None] / 5, classes, *named], axis=1).astype(np.float32)
 
 
 def odds_of(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -108,29 +125,46 @@ def binned(odds: np.ndarray) -> np.ndarray:
     return np.floor(np.arcsinh(np.clip(odds, -1e6, 1e6)) * BINS).astype(np.int64)
 
 
-def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' part of the loss's gradient and second derivatives at w."""
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The rows' part of the loss, its gradient and second derivatives at w."""
     x = np.c_[x.astype(np.float64), np.ones(len(x))]
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-
-
-def newton_step(w: np.ndarray, slope: np.ndarray, bend: np.ndarray, ridge: float) -> np.ndarray:
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    return np.linalg.solve(bend + np.diag(penalty), slope + penalty * w)
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+    return loss, x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
 
 
 class Logistic:
-    """Logistic regression with a ridge penalty, by Newton's method in the features' own space."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = STEPS):
-        self.w = np.zeros(x.shape[1] + 1)
+    """Logistic regression with a ridge penalty, by Newton's method: a step that does not lower the loss is halved.
+
+    `asked` is where the next sums are wanted; `told` takes them."""
+
+    def __init__(self, dims: int, ridge: float = 1.0):
+        self.w = self.asked = np.zeros(dims + 1)
+        self.penalty = np.full(dims + 1, ridge)
+        self.penalty[-1] = 1e-6
+        self.again()
+
+    def again(self) -> None:
+        """Starts anew from the present weights, for other rows."""
+        self.asked, self.loss, self.step, self.done = self.w, np.inf, np.zeros_like(self.w), False
+
+    def told(self, loss: float, slope: np.ndarray, bend: np.ndarray) -> None:
+        loss += float((self.penalty * self.asked**2).sum()) / 2
+        if loss <= self.loss:
+            self.w, self.loss = self.asked, loss
+            self.step = np.linalg.solve(bend + np.diag(self.penalty), slope + self.penalty * self.w)
+        else:
+            self.step = self.step / 2
+        self.done = bool(np.abs(self.step).max() < NEAR)
+        self.asked = self.w if self.done else self.w - self.step
+
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Logistic:
         for _ in range(steps):
-            step = newton_step(self.w, *newton_sums(self.w, x, y, weight), ridge)
-            self.w -= step
-            if np.abs(step).max() < 1e-6:
+            self.told(*newton_sums(self.asked, x, y, weight))
+            if self.done:
                 break
+        return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return odds_of(self.w, x)
@@ -190,7 +224,7 @@ class Unlabelled:
         return stored(self.rows.mapInArrow(run, "view int, label double, x binary").repartition(FIT_TASKS), "quality-given")
 
 
-def _given_sums(given: DataFrame, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _given_sums(given: DataFrame, weights: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """newton_sums of each view over the pseudo-labelled rows, which weigh half, by sums on workers."""
 
     def run(batches):
@@ -205,13 +239,12 @@ def _given_sums(given: DataFrame, weights: list[np.ndarray]) -> list[tuple[np.nd
             give_back()
         for v, part in enumerate(total):
             if part is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in part)], names=["view", "slope", "bend"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([part[0]]), *(pa.array([a.tobytes()], pa.binary()) for a in part[1:])], names=["view", "loss", "slope", "bend"])
 
-    out = [(np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
-    for r in given.coalesce(FIT_TASKS).mapInArrow(run, "view int, slope binary, bend binary").toArrow().to_pylist():
-        slope, bend = out[r["view"]]
-        slope += np.frombuffer(r["slope"])
-        bend += np.frombuffer(r["bend"]).reshape(bend.shape)
+    out = [(0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
+    for r in given.coalesce(FIT_TASKS).mapInArrow(run, "view int, loss double, slope binary, bend binary").toArrow().to_pylist():
+        loss, slope, bend = out[r["view"]]
+        out[r["view"]] = (loss + r["loss"], slope + np.frombuffer(r["slope"]), bend + np.frombuffer(r["bend"]).reshape(bend.shape))
     return out
 
 
@@ -226,39 +259,42 @@ class CoTrained:
             return
         test = np.arange(len(y)) % 4 == 3
         seen, ones = y[~test], np.ones(int((~test).sum()))
-        self.models = [Logistic(labelled[v][~test], seen, ones) for v in (0, 1)]
+        self.models = [Logistic(labelled[v].shape[1]).fit(labelled[v][~test], seen, ones) for v in (0, 1)]
         pool, history = unlabelled(), []
-        for _ in range(rounds):
+        for turn in range(1, rounds + 1):
             weights = [np.round(m.w, 6) for m in self.models]  # sums on workers differ in their last bits by the order of rows
             bins = pool.bins(weights)
             self.n_unlabelled = n = int(bins[0][1].sum())
             if not n:
                 break
-            each = max(1, int(n * GIVEN))
+            each = max(1, int(n * min(0.5, GIVEN * turn)))
             n_bad, n_good = max(1, int(each * (1 - self.constant))), max(1, int(each * self.constant))
             cuts = [(int(at[np.searchsorted(np.cumsum(k), n_bad)]), int(at[::-1][np.searchsorted(np.cumsum(k[::-1]), n_good)])) for at, k in bins]
             history.append((weights, cuts))
             given = pool.given(history)
+            for m in self.models:
+                m.again()
             for _ in range(STEPS):
-                largest = 0.0
-                for v, (slope, bend) in enumerate(_given_sums(given, [m.w for m in self.models])):
-                    own_slope, own_bend = newton_sums(self.models[v].w, labelled[v][~test], seen, ones)
-                    step = newton_step(self.models[v].w, slope + own_slope, bend + own_bend, 1.0)
-                    self.models[v].w = self.models[v].w - step
-                    largest = max(largest, float(np.abs(step).max()))
-                if largest < 1e-6:
+                for v, (m, part) in enumerate(zip(self.models, _given_sums(given, [m.asked for m in self.models]), strict=True)):
+                    own = newton_sums(m.asked, labelled[v][~test], seen, ones)
+                    if not m.done:
+                        m.told(*(a + b for a, b in zip(part, own, strict=True)))
+                if all(m.done for m in self.models):
                     break
             dropped(given)
         dropped(pool.rows)
         for m in self.models:
             m.w = np.round(m.w, 6)
+        fit, joined = np.flatnonzero(test)[::2], np.flatnonzero(test)[1::2]
+        if len(set(y[joined])) < 2:
+            fit = joined = np.flatnonzero(test)  # too few labels to part them
         self.scale = []
         for v in (0, 1):
-            odds = self.models[v].odds(labelled[v][test])[:, None]
-            fit = Logistic(odds, y[test], np.ones(int(test.sum())), ridge=0.1)
-            self.scale.append((max(fit.w[0], 0.0), fit.w[1]))
-        both = np.stack([self.view_odds(v, labelled[v][test]) for v in (0, 1)], axis=1)
-        joint = Logistic(both, y[test], np.ones(int(test.sum())), ridge=0.1)
+            odds = self.models[v].odds(labelled[v][fit])[:, None]
+            line = Logistic(1, ridge=0.1).fit(odds, y[fit], np.ones(len(fit)))
+            self.scale.append((max(line.w[0], 0.0), line.w[1]))
+        both = np.stack([self.view_odds(v, labelled[v][joined]) for v in (0, 1)], axis=1)
+        joint = Logistic(2, ridge=0.1).fit(both, y[joined], np.ones(len(joined)))
         self.joint = (max(joint.w[0], 0.0), max(joint.w[1], 0.0), joint.w[2])
 
     def view_odds(self, v: int, x: np.ndarray) -> np.ndarray:
@@ -274,7 +310,8 @@ class CoTrained:
 
 
 def _inputs(docs: DataFrame, text: str, *more: str) -> DataFrame:
-    return docs.select(*more, *[c for c in METADATA if c in docs.columns], text_of(docs, text).alias("__text"))
+    there = [(F.col(c).cast("double") if c == "n_chars" else F.col(c).cast("string")).alias(c) for c in METADATA if c in docs.columns]
+    return docs.select(*more, *there, text_of(docs, text).alias("__text"))
 
 
 def _featured(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -301,7 +338,7 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(over_pieces(run, "__text"), fields(rows.select("key").schema, "x binary"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rounds: int = ROUNDS) -> CoTrained:
     """Fits on a sample of the labelled rows and on all unlabelled ones; see the module's text."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
     unit = F.pmod(F.xxhash64(F.lit(8), F.col("key")), F.lit(1_000_000))
@@ -314,29 +351,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         # the labels grow with the input: their keys are never broadcast, and features move instead of texts
         return Unlabelled(_features(rows).join(marks.select("key").hint("merge"), "key", "left_anti").select("x"))
 
-    return CoTrained(labelled, y, unlabelled)
+    return CoTrained(labelled, y, unlabelled, rounds)
 
 
-def scored(docs: DataFrame, model: CoTrained, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns and quality_score double."""
-    keep = keep if keep is not None else [c for c in docs.columns if c != "quality_score"]
-    inner = [f"__keep{k}" for k in range(len(keep))]
-    source = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)], *[F.col(c) for c in METADATA if c in docs.columns], text_of(docs, text).alias("__text"))
+@shielded("text", *METADATA)
+def scored(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFrame:
+    """All columns and quality_score double."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.columns
+    source = docs.withColumns({f"__own{k}": F.col(c) for k, c in enumerate(told)})
+    source = _inputs(source, text, *[f"__own{k}" for k in range(len(told))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in inner), pa.array(held.value.score(*views(batch)), pa.float64())], names=[*keep, "quality_score"])
+        return pa.RecordBatch.from_arrays([*(column(batch, f"__own{k}") for k in range(len(told))), pa.array(held.value.score(*views(batch)), pa.float64())], names=[*told, "quality_score"])
 
-    return source.mapInArrow(over_pieces(run, "__text"), fields(docs.select(*keep).schema, "quality_score double"))
+    return source.mapInArrow(over_pieces(run, "__text"), fields(docs.schema, "quality_score double"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, keep=["doc_id"]).withColumn("kept", F.col("quality_score") >= THRESHOLD)
+    return scored(docs.select("doc_id", "text", *METADATA), model).select("doc_id", "quality_score", (F.col("quality_score") >= THRESHOLD).alias("kept"))
+
+
+@shielded("text", *METADATA)
+def accepted(docs: DataFrame, model: CoTrained, text: str = "text") -> DataFrame:
+    """The documents that the classifier doesn't reject, with all their columns."""
+    return scored(docs, model, text).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    return accepted(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -1,21 +1,25 @@
 """Quality rules joined by weak supervision, in DataFrame functions alone.
 
-Each rule votes for good (1) or bad (-1) or abstains (0).  A two-class model in which rules err independently is fitted by
-expectation-maximisation to how often each pattern of votes occurs: at most 3 ** rules numbers, and a few hundred in
-fact, whatever the input's size.
-A document's posterior probability of being good then follows from its votes by a sum of logarithms.
-
-Defined results: null and empty texts have no word; they fail the base rules.  Repeated rows give repeated rows.
+Each rule looks at a facet of its own and votes for good (1), bad (-1), clearly bad (-2), or abstains (0): what several measures of one facet
+say is one graded vote, as they err together.  A two-class model in which rules err independently is fitted by expectation-maximisation to how
+often each pattern of votes occurs over all documents: at most 4 ** rules numbers, and a few hundred in fact, whatever the input's size.
+A document's posterior probability of being good then follows from its votes by a sum of logarithms.  The base rules fail a document whatever its
+posterior.
+
+Defined results: null and empty texts have no word; they fail the base rules.  Repeated rows give repeated rows, an empty table an empty one.
+Columns with any names are handed on, but for those named as a measure or result.  Equally likely classes (posterior 0.5) count as good.  A text is
+one value of the JVM, words and all, so a very long one (some hundred MB) needs an executor's heap to match.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import stored, table, text_of
+from corpusframe.llm.common import shielded, stored, table, text_of
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -24,7 +28,6 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
 ROUNDS = 50
 SMOOTH = 1.0
-PRIOR_RIGHT = 0.9
 PRIOR_WEIGHT = 0.2
 
 
@@ -51,9 +54,13 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(hashes, counted))
 
 
-def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns and what the rules look at."""
-    keep = keep if keep is not None else [c for c in docs.columns if c != "measures"]
+MEASURES = ["n_words", "word_chars", "n_distinct", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", "n_upper", "n_stops", "n_shouts", "n_runs", "n_bars"]
+
+
+@shielded("text")
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns but the text, and what the rules look at."""
+    keep = [c for c in docs.columns if c != text]
     t = F.col("__text")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
 
@@ -78,30 +85,32 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         F.regexp_count(t, F.lit(r"[!?]{2,}")).cast("long").alias("n_shouts"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]{3,}")).cast("long").alias("n_runs"),
         F.regexp_count(t, F.lit(r"(^|\s)[|<>&](\s|$)")).cast("long").alias("n_bars"),
-    ).select(*keep, "of_words.*", "of_lines.*", "n_symbols", "n_upper", "n_stops", "n_shouts", "n_runs", "n_bars")
+    ).select(*keep, "of_words.*", "of_lines.*", *MEASURES[6:])
+
+
+BELIEF = {1: 0.9, 0: 0.5, -1: 0.1, -2: 0.02}  # how likely a document is good, by one vote alone, before anything is learned
 
 
 def rule_votes() -> dict[str, Column]:
-    """Each rule's vote from the measures: 1 good, -1 bad, 0 abstains."""
+    """Each rule's vote from the measures."""
     c = F.col
 
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, -1)
+    def vote(*bad: Column, good: Column | None = None) -> Column:
+        """Several bad signs of one facet are a graver vote."""
+        signs = reduce(lambda a, x: a + x, [F.coalesce(x, F.lit(False)).cast("int") for x in bad])
+        out = F.when(signs >= 2, -2).when(signs == 1, -1)
         return (out if good is None else out.when(good, 1)).otherwise(0)
 
     n = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
     return {
-        "v_repeat": vote(c("n_repeat_words") * 20 > 7 * n, c("n_repeat_words") * 20 < n),
-        "v_variety": vote(c("n_distinct") * 5 < n, c("n_distinct") * 2 > n),
-        "v_symbols": vote(c("n_symbols") * 10 > n),
-        "v_marks": vote(c("n_symbols") * 50 > chars),
-        "v_runs": vote(c("n_runs") * 20 > n),
-        "v_bars": vote(c("n_bars") * 20 > n),
+        "v_repeat": vote(c("n_repeat_words") * 20 > 7 * n, good=c("n_repeat_words") * 20 < n),
+        "v_variety": vote(c("n_distinct") * 5 < n, good=c("n_distinct") * 2 > n),
+        "v_symbols": vote(c("n_symbols") * 10 > n, c("n_symbols") * 50 > chars, c("n_runs") * 20 > n, c("n_bars") * 20 > n),
         "v_lines": vote(c("n_dup_lines") * 2 > c("n_lines")),
         "v_word": vote((chars < 3 * n) | (chars > 15 * n)),
         "v_upper": vote(c("n_upper") * 10 > chars * 3),
-        "v_stops": vote(c("n_stops") * 200 < n, (c("n_stops") * 50 > n) & (c("n_stops") * 2 < n)),
+        "v_stops": vote(c("n_stops") * 200 < n, good=(c("n_stops") * 50 > n) & (c("n_stops") * 2 < n)),
         "v_shouts": vote(c("n_shouts") * 20 > n),
     }
 
@@ -109,12 +118,12 @@ def rule_votes() -> dict[str, Column]:
 def fitted(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over vote patterns: the prior log odds of good, and for each rule the log odds of each vote.
 
-    The prior belief that a vote is right nine times in ten weighs a fifth of the votes themselves.  It settles which
+    The prior belief in a vote (BELIEF) weighs a fifth of the votes themselves.  It settles which
     class is the good one, and keeps a rule from being read backwards.  That a rule abstains counts as
     far as good and bad documents differ in it."""
     total = sum(counts.values())
     rules = len(next(iter(counts), ()))
-    belief = {1: PRIOR_RIGHT, 0: 0.5, -1: 1 - PRIOR_RIGHT}
+    belief = BELIEF
     cast = [{v: SMOOTH + PRIOR_WEIGHT * sum(n for p, n in counts.items() if p[j] == v) for v in belief} for j in range(rules)]
     prior = math.log(4) if total else 0.0
     odds = [{v: math.log(b / (1 - b)) for v, b in belief.items()} for _ in range(rules)]
@@ -133,20 +142,24 @@ def fitted(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[fl
     return prior, odds
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
 def judged(measures: DataFrame) -> DataFrame:
-    """Adds base_failed, posterior and kept to a table of measures, which is read twice."""
+    """Adds base_failed, posterior and kept to a table of measures, which is read twice; columns of these names are replaced."""
     votes = rule_votes()
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    patterns = measures.where(~failed).select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
+    patterns = measures.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
     counts = {tuple(r[k] for k in votes): r["count"] for r in sorted(patterns)}
     prior, odds = fitted(counts)
     logit = F.lit(prior)
     for (_, vote), o in zip(votes.items(), odds, strict=False):
-        logit = logit + F.when(vote == 1, o[1]).when(vote == -1, o[-1]).otherwise(o[0])
+        logit = logit + reduce(lambda a, v, vote=vote, o=o: a.when(vote == v, o[v]), list(o)[1:], F.when(vote == list(o)[0], o[list(o)[0]]))
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
-    return measures.withColumns({"base_failed": failed, "posterior": posterior}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    found = measures.withColumns({"base_failed": base_failed(), "posterior": posterior if odds else F.lit(0.5)})
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measures = stored(measured(table(spark, sf_dir, "documents"), keep=["doc_id"]), "rule-measures")
+    measures = stored(measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "rule-measures")
     return judged(measures).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

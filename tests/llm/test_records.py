@@ -53,7 +53,7 @@ def test_no_pages(spark, tmp_path):
 def test_segments_in_any_order(spark, tmp_path):
     body = bytes(range(256)) * 40
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(body, 100)
-    headers = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x-page:7:a>"}
+    headers = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x-page:7:a>", "WARC-Date": "2024-01-01T00:00:00Z"}
     parts = list(warc.segments(headers, block, 1000))
     assert len(parts) > 5
     make = lambda p: warc.decoded(warc.reassembled(warc.read_records(spark.createDataFrame([(bytearray(x),) for x in p], "warc binary"))))
@@ -72,26 +72,95 @@ def test_chunked(size):
     for broken in (b"", b"5\r\nab", b"zz\r\n", b"2\r\nabXX0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(broken)
-    assert list(warc.parse(b"junk")) == [] and list(warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")) == []
+    assert list(warc.parse(b"junk")) == [] and [p for *_, p in warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")] == ["no sound length"]
+
+
+def sound(k, body=b"body"):
+    return warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:x-page:{k}:a>", "WARC-Date": "2024-01-01T00:00:00Z"}, body)
+
+
+def test_reading_goes_on_behind_broken_records():
+    no_length = b"WARC/1.1\r\nWARC-Record-ID: <urn:x-page:5:a>\r\n\r\nabc\r\n\r\n"
+    too_long = sound(6).replace(b"Content-Length: 4", b"Content-Length: 99999")
+    too_short = sound(7).replace(b"Content-Length: 4", b"Content-Length: 2")
+    for broken in (no_length, too_long, too_short):
+        found = list(warc.parse(sound(1) + broken + sound(2) + sound(3)))
+        assert [b for _, b, p in found if p is None] == [b"body"] * 3 and sum(p is not None for *_, p in found) == 1
+    cut = list(warc.parse(sound(1) + sound(2)[:-6]))
+    assert [p for *_, p in cut] == [None, "the block is cut off"]
+    members = [gzip.compress(sound(k)) for k in range(4)]
+    spoiled = bytearray(members[1])
+    spoiled[len(spoiled) // 2] ^= 0xFF
+    found = list(warc.parse(members[0] + bytes(spoiled) + members[2] + members[3]))
+    assert [h["warc-record-id"][12] for h, _, p in found if p is None] == ["0", "2", "3"] and sum(p is not None for *_, p in found) >= 1
+    found = list(warc.parse(members[0] + members[1][:-9]))
+    assert found[0][2] is None and any(p == "a gzip member is cut off" for *_, p in found)
+    one = gzip.compress(b"".join(sound(k, bytes([k]) * 70_000) for k in range(5)))  # records of one member
+    assert [b for _, b, p in warc.parse(one) if p is None] == [bytes([k]) * 70_000 for k in range(5)]
+
+
+def test_gzip_is_read_in_linear_time():
+    import random
+    import time
+
+    body = random.Random(1).randbytes(6_000)
+    data = b"".join(gzip.compress(sound(k, body), 1) for k in range(5_500))
+    began = time.perf_counter()
+    assert sum(p is None for *_, p in warc.parse(data)) == 5_500
+    assert len(data) > 33_000_000 and time.perf_counter() - began < 3
+
+
+def test_records_are_valid(spark):
+    """Each record has the mandatory fields, ids are unique, and a revisit names the id of a response."""
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    found = [h for r in warc.write_archives(pages).collect() for h, _, _ in warc.parse(bytes(r.warc))]
+    assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(h) for h in found)
+    ids = Counter(h["warc-record-id"] for h in found)
+    assert max(ids.values()) == 1
+    responses = {h["warc-record-id"] for h in found if h["warc-type"] == "response"}
+    revisits = [h["warc-refers-to"] for h in found if h["warc-type"] == "revisit"]
+    assert revisits and set(revisits) <= responses
+    assert warc.page_of(warc.urn("", "a")) == "" and warc.page_of(warc.urn(None, "a")) is None and warc.page_of(warc.urn("a:b>c", "x")) == "a:b>c"
 
 
 # --- conversations
 
 
+FOLLOWS = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+
+def missing(a, b):
+    """The fewest messages between two that make them legal neighbours, by trying longer and longer runs; None where none does."""
+    for n in range(4):
+        for between in itertools.product(("system", "user", "assistant"), repeat=n):
+            path = [a, *between, b]
+            if all(y in FOLLOWS[x] for x, y in itertools.pairwise(path)):
+                return n
+    return None
+
+
+MISSING = {(a, b): missing(a, b) for a in FOLLOWS for b in FOLLOWS if b}
+CLOSING = {"": 0, "system": 2, "user": 1, "assistant": 0}
+
+
 def cheapest(roles):
-    """All choices of roles with the fewest insertions, by trying every one."""
+    """The cost of the cheapest repair, by trying every choice of roles and merges; prices are written out here."""
+    names = (None, "system", "user", "assistant")
     best = None
-    for choice in itertools.product((1, 2, 3), repeat=len(roles)):
-        cost, state = 0, 0
-        for r, q in zip(roles, choice, strict=True):
-            step = chat.STEPS[r][state][q]
-            if step is None:
+    for choice in itertools.product(("system", "user", "assistant"), repeat=len(roles)):
+        price = sum(0 if q == names[r] else 1 if not r else 4 if "system" in (q, names[r]) else 2 for r, q in zip(roles, choice, strict=True))
+        ways = {"": price}
+        last = ""
+        for q in choice:
+            now = ways[last]
+            options = ([now + 1] if q == last else []) + ([now + 3 * MISSING[last, q]] if MISSING[last, q] is not None else [])
+            if not options:
                 break
-            cost += step[0]
-            state = q
+            ways = {q: min(options)}
+            last = q
         else:
-            cost += chat.END[state]
-            best = cost if best is None else min(best, cost)
+            total = ways[last] + 3 * CLOSING[last]
+            best = total if best is None else min(best, total)
     return best or 0
 
 
@@ -162,5 +231,6 @@ def test_pipeline(spark, sf, docs):
             assert now.columns == docs.columns
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     run = pipeline.run(spark, sf)
-    assert run.count() == counts[-1] and set(run.columns) >= {"doc_id", "n_tokens"}
+    assert run.count() == counts[-1] and set(run.columns) >= {*docs.columns, "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    assert all(len(r.ids) == r.n_tokens for r in run.collect())
     assert pipeline.ORACLE_SQL is None
