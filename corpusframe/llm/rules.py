@@ -1,10 +1,11 @@
 """Quality rules joined by weak supervision, in DataFrame functions alone.
 
 Each rule looks at a facet of its own and votes for good (1), bad (-1), clearly bad (-2), or abstains (0): what several measures of one facet
-say is one graded vote, as they err together.  A two-class model in which rules err independently is fitted by expectation-maximisation to how
-often each pattern of votes occurs over all documents: at most 4 ** rules numbers, and a few hundred in fact, whatever the input's size.
-A document's posterior probability of being good then follows from its votes by a sum of logarithms.  The base rules fail a document whatever its
-posterior.
+say is one graded vote, as they err together.  A document is good or bad, and a bad one is bad in one of as many ways as there are rules; within
+each of these classes rules err independently.  (With one class for all bad documents a text that is bad in one way alone is outvoted by all the
+rules that look elsewhere.)  Expectation-maximisation fits the classes' shares and each rule's votes in each class, and so its accuracy, to how often each
+pattern of votes occurs over all documents: at most 4 ** rules numbers, and a few hundred in fact, whatever the input's size.
+A document's posterior probability of being good then follows from its votes.  The base rules fail a document whatever its posterior.
 
 Defined results: null and empty texts have no word; they fail the base rules.  Repeated rows give repeated rows, an empty table an empty one.
 Columns with any names are handed on, but for those named as a measure or result.  Equally likely classes (posterior 0.5) count as good.  A text is
@@ -27,8 +28,11 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
 ROUNDS = 50
-SMOOTH = 1.0
-PRIOR_WEIGHT = 0.2
+PRIOR_GOOD = 0.8
+PRIOR_WEIGHT = 0.2  # of the belief before anything is learned, against the votes themselves
+VALUES = (1, 0, -1, -2)
+IF_GOOD = {1: 1.0, 0: 1.0, -1: 0.1, -2: 0.02}  # how much likelier than on average a vote is for a good document
+IF_BAD = {1: 0.001, 0: 0.01, -1: 1.0, -2: 1.0}  # and for one that is bad in the rule's own way; other rules vote as on average
 
 
 def let(value: Column, body) -> Column:
@@ -88,9 +92,6 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ).select(*keep, "of_words.*", "of_lines.*", *MEASURES[6:])
 
 
-BELIEF = {1: 0.9, 0: 0.5, -1: 0.1, -2: 0.02}  # how likely a document is good, by one vote alone, before anything is learned
-
-
 def rule_votes() -> dict[str, Column]:
     """Each rule's vote from the measures."""
     c = F.col
@@ -115,49 +116,73 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fitted(counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]]]:
-    """Expectation-maximisation over vote patterns: the prior log odds of good, and for each rule the log odds of each vote.
-
-    The prior belief in a vote (BELIEF) weighs a fifth of the votes themselves.  It settles which
-    class is the good one, and keeps a rule from being read backwards.  That a rule abstains counts as
-    far as good and bad documents differ in it."""
-    total = sum(counts.values())
-    rules = len(next(iter(counts), ()))
-    belief = BELIEF
-    cast = [{v: SMOOTH + PRIOR_WEIGHT * sum(n for p, n in counts.items() if p[j] == v) for v in belief} for j in range(rules)]
-    prior = math.log(4) if total else 0.0
-    odds = [{v: math.log(b / (1 - b)) for v, b in belief.items()} for _ in range(rules)]
-    for _ in range(rounds if total else 0):
-        good_total, good = 0.0, [{v: cast[j][v] * belief[v] for v in belief} for j in range(rules)]
-        bad = [{v: cast[j][v] * (1 - belief[v]) for v in belief} for j in range(rules)]
-        for pattern, n in counts.items():
-            logit = prior + sum(o[v] for o, v in zip(odds, pattern, strict=True))
-            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
-            good_total += n * p
-            for j, v in enumerate(pattern):
-                good[j][v] += n * p
-                bad[j][v] += n * (1 - p)
-        prior = math.log((good_total + SMOOTH) / (total - good_total + SMOOTH))
-        odds = [{v: math.log(g[v] / sum(g.values())) - math.log(b[v] / sum(b.values())) for v in belief} for g, b in zip(good, bad, strict=True)]
-    return prior, odds
+class Model:
+    """Expectation-maximisation over vote patterns.  Class 0 is good, class k + 1 bad in the way that rule k looks for."""
+
+    def __init__(self, counts: dict[tuple[int, ...], int], rounds: int = ROUNDS):
+        total = sum(counts.values())
+        rules = len(next(iter(counts), ()))
+        self.prior = [PRIOR_GOOD, *([(1 - PRIOR_GOOD) / rules] * rules)] if rules else [1.0]
+        average = [{v: (1 + sum(n for p, n in counts.items() if p[j] == v)) / (total + len(VALUES)) for v in VALUES} for j in range(rules)]
+        self.votes = [[_shaped(average[j], IF_GOOD if not k else IF_BAD if k == j + 1 else None) for j in range(rules)] for k in range(len(self.prior))]
+        belief = [[{v: PRIOR_WEIGHT * total * share * x for v, x in of.items()} for of in votes] for share, votes in zip(self.prior, self.votes, strict=True)]
+        weight = [PRIOR_WEIGHT * total * share for share in self.prior]
+        for _ in range(rounds if total else 0):
+            size, sums = list(weight), [[dict(of) for of in votes] for votes in belief]
+            for pattern, n in counts.items():
+                for k, p in enumerate(self.posterior(pattern)):
+                    size[k] += n * p
+                    for j, v in enumerate(pattern):
+                        sums[k][j][v] += n * p
+            self.prior = [x / sum(size) for x in size]
+            self.votes = [[{v: x / sum(of.values()) for v, x in of.items()} for of in votes] for votes in sums]
+
+    def logs(self, k: int) -> tuple[float, list[dict[int, float]]]:
+        """The logarithms of a class's share and of its votes."""
+        return math.log(self.prior[k]), [{v: math.log(x) for v, x in of.items()} for of in self.votes[k]]
+
+    def posterior(self, pattern: tuple[int, ...]) -> list[float]:
+        """How likely each class is, given the votes."""
+        each = [share * math.prod(of[v] for of, v in zip(votes, pattern, strict=True)) for share, votes in zip(self.prior, self.votes, strict=True)]
+        return [x / sum(each) for x in each]
+
+    def accuracies(self) -> list[float]:
+        """Of each rule's votes that are no abstentions the expected share that is right."""
+        out = []
+        for j in range(len(self.prior) - 1):
+            right = self.prior[0] * self.votes[0][j][1] + sum(s * (v[j][-1] + v[j][-2]) for s, v in zip(self.prior[1:], self.votes[1:], strict=True))
+            out.append(right / sum(s * (1 - v[j][0]) for s, v in zip(self.prior, self.votes, strict=True)))
+        return out
+
+
+def _shaped(average: dict[int, float], factor: dict[int, float] | None) -> dict[int, float]:
+    out = {v: x * (factor[v] if factor else 1.0) for v, x in average.items()}
+    return {v: x / sum(out.values()) for v, x in out.items()}
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
+@shielded(*MEASURES)
 def judged(measures: DataFrame) -> DataFrame:
     """Adds base_failed, posterior and kept to a table of measures, which is read twice; columns of these names are replaced."""
-    votes = rule_votes()
-    patterns = measures.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
-    counts = {tuple(r[k] for k in votes): r["count"] for r in sorted(patterns)}
-    prior, odds = fitted(counts)
-    logit = F.lit(prior)
-    for (_, vote), o in zip(votes.items(), odds, strict=False):
-        logit = logit + reduce(lambda a, v, vote=vote, o=o: a.when(vote == v, o[v]), list(o)[1:], F.when(vote == list(o)[0], o[list(o)[0]]))
-    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
-    found = measures.withColumns({"base_failed": base_failed(), "posterior": posterior if odds else F.lit(0.5)})
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    votes = list(rule_votes().values())
+    patterns = measures.select(*[v.alias(f"v{j}") for j, v in enumerate(votes)]).groupBy(*[f"v{j}" for j in range(len(votes))]).count().collect()
+    model = Model({tuple(r[:-1]): r[-1] for r in sorted(patterns)})
+    names = [f"__vote{j}" for j in range(len(votes))]
+
+    def log_of(k: int) -> Column:
+        share, each = model.logs(k)
+        out = F.lit(share)
+        for name, of in zip(names, each, strict=False):
+            out = out + reduce(lambda a, v, name=name, of=of: a.when(F.col(name) == v, of[v]), VALUES[1:], F.when(F.col(name) == VALUES[0], of[VALUES[0]]))
+        return out
+
+    good = log_of(0)
+    odds = [F.exp(log_of(k) - good) for k in range(1, len(model.prior))]
+    found = measures.withColumns(dict(zip(names, votes, strict=True))).withColumns({"base_failed": base_failed(), "posterior": F.lit(1.0) / reduce(lambda a, x: a + x, odds, F.lit(1.0))})
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*names)
 
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -585,38 +585,50 @@ def test_rules(spark, sf, none):
 
 
 def test_verdicts_are_those_of_a_direct_computation(spark, docs):
-    """Expectation-maximisation over documents one by one, with probabilities instead of log odds."""
+    """Expectation-maximisation over documents one by one, in arrays."""
     measures = stored(rules.measured(docs), "measures")
     votes = [tuple(r) for r in measures.select(*rules.rule_votes().values()).collect()]
-    values = list(rules.BELIEF)
-    belief = np.array([rules.BELIEF[v] for v in values])
-    x = np.array([[values.index(v) for v in p] for p in votes])
-    counts = np.stack([(x == k).sum(axis=0) for k in range(len(values))], axis=1)
-    cast = rules.SMOOTH + rules.PRIOR_WEIGHT * counts
-    prior, good, bad = 0.8, np.tile(belief, (x.shape[1], 1)), np.tile(1 - belief, (x.shape[1], 1))
-    for _ in range(rules.ROUNDS + 1):
-        g, b = prior * np.ones(len(x)), (1 - prior) * np.ones(len(x))
-        for j in range(x.shape[1]):
-            g, b = g * good[j, x[:, j]], b * bad[j, x[:, j]]
-        p = g / (g + b)
-        prior = (p.sum() + rules.SMOOTH) / (len(p) + 2 * rules.SMOOTH)
-        good = cast * belief + np.stack([((x == k) * p[:, None]).sum(axis=0) for k in range(len(values))], axis=1)
-        bad = cast * (1 - belief) + np.stack([((x == k) * (1 - p)[:, None]).sum(axis=0) for k in range(len(values))], axis=1)
-        good, bad = good / good.sum(axis=1, keepdims=True), bad / bad.sum(axis=1, keepdims=True)
-    got = [r.posterior for r in rules.judged(measures).collect()]
-    assert np.allclose(sorted(got), sorted(p), atol=1e-6)
+    x = np.array([[rules.VALUES.index(v) for v in p] for p in votes])
+    n, k = x.shape
+    average = np.stack([(x == v).sum(axis=0) + 1 for v in range(4)], axis=1) / (n + 4)
+    theta = np.tile(average, (k + 1, 1, 1))
+    theta[0] *= [rules.IF_GOOD[v] for v in rules.VALUES]
+    for j in range(k):
+        theta[j + 1, j] *= [rules.IF_BAD[v] for v in rules.VALUES]
+    theta /= theta.sum(axis=2, keepdims=True)
+    share = np.r_[rules.PRIOR_GOOD, np.full(k, (1 - rules.PRIOR_GOOD) / k)]
+    weight = rules.PRIOR_WEIGHT * n * share
+    cast = weight[:, None, None] * theta
+    for turn in range(rules.ROUNDS + 1):
+        p = share * np.exp(sum(np.log(theta[:, j, x[:, j]]) for j in range(k))).T
+        p /= p.sum(axis=1, keepdims=True)
+        if turn < rules.ROUNDS:
+            share = (p.sum(axis=0) + weight) / (n + weight.sum())
+            theta = cast + np.stack([np.stack([p.T @ (x[:, j] == v) for v in range(4)], axis=1) for j in range(k)], axis=1)
+            theta /= theta.sum(axis=2, keepdims=True)
+    got = sorted((r.doc_id or -1, r.posterior) for r in rules.judged(measures).collect())
+    keys = [r.doc_id or -1 for r in measures.select("doc_id").collect()]
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(zip(keys, p[:, 0], strict=True))], atol=1e-6)
+    assert 0 < sum(r.kept for r in rules.judged(measures).collect()) < n
 
 
 def test_expectation_maximisation_finds_good_rules():
     import random
 
     r = random.Random(2)
-    counts = Counter()
+    counts, truth = Counter(), defaultdict(Counter)
     for _ in range(5000):
-        y = 1 if r.random() < 0.8 else -1
-        counts[tuple(0 if r.random() < 0.2 else y if r.random() < a else -y for a in (0.95, 0.9, 0.6))] += 1
-    prior, odds = rules.fitted(counts)
-    assert odds[0][1] > odds[2][1] > 0 > odds[2][-1] > odds[0][-1] and prior > 0
+        way = r.choice((0, 1, 2)) if r.random() < 0.2 else None
+        wrong = (0.01, 0.03, 0.15)
+        pattern = tuple(-2 if way == j and r.random() < 0.9 else -1 if way != j and r.random() < wrong[j] else r.choice((0, 0, 1)) for j in range(3))
+        counts[pattern] += 1
+        truth[pattern][way is None] += 1
+    model = rules.Model(counts)
+    right = sum(n for p, of in truth.items() for good, n in of.items() if (model.posterior(p)[0] >= 0.5) == good)
+    assert right > 0.95 * 5000
+    one, two, three = model.accuracies()
+    assert one > two > three and abs(model.prior[0] - 0.8) < 0.1
+    assert rules.Model({}).posterior(()) == [1.0]
 
 
 # --- 10, benchmark
