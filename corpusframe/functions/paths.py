@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,12 @@ def namespace(name: Column) -> Column:
     """A catalog name for a repository: lower case, other characters as underscores, none at the ends; `default` if nothing is left."""
     out = F.regexp_replace(F.regexp_replace(F.lower(base_name(name)), "[^a-z0-9]", "_"), "^_+|_+$", "")
     return F.when(out == "", "default").otherwise(out)
+
+
+def matches(path: Column, pattern: str) -> Column:
+    """A pattern with * (within a part), ** (across parts) or ? is a glob over the whole path; another is the path, its end, or a folder of it."""
+    if not re.search(r"[*?]", pattern):
+        inner = pattern.strip("/")
+        return (path == pattern) | path.endswith("/" + inner) | path.startswith(inner + "/") | path.contains("/" + inner + "/")
+    glob = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return path.rlike("^" + "".join(glob.get(p) or re.escape(p) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern) if p) + "$")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-JAVA_PACKAGE = r"(?m)^\s*package\s+([A-Za-z0-9_.]+)\s*;"
-JAVA_IMPORT = r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;"
+_WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
+JAVA_PACKAGE = rf"(?m)^[ \t]*package[ \t]+({_WORD}(?:\.{_WORD})*)[ \t]*;"
+JAVA_IMPORT = rf"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?({_WORD}(?:\.{_WORD})*(?:\.\*)?)[ \t]*;"
 
 
 def java_package(text: Column) -> Column:

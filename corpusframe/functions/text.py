@@ -12,9 +12,7 @@ CHARS_PER_TOKEN = 4
 RESPONSE_CHARS = 15_000
 
 # The words that a query does not search and does not highlight.
-STOP_WORDS = (
-    "the a an is are was were be been in on at to for of with by from and or not this that it how what where when why which do does did"
-).split()
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "been", "in", "on", "at", "to", "for", "of", "with", "by", "from", "and", "or", "not", "this", "that", "it", "how", "what", "where", "when", "why", "which", "do", "does", "did"]
 
 
 def tokens(text: Column) -> Column:

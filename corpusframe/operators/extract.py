@@ -7,26 +7,29 @@ never an exception.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusframe.functions.text import CHARS_PER_TOKEN
-from corpusframe.operators.languages import BY_SUFFIX, LanguageProfile
+from corpusframe.operators.languages import BY_NAME, BY_SUFFIX, LanguageProfile, imports_of
 from corpusframe.operators.windows import MIN_TOKENS, line_windows
 from corpusframe.schemas import CHUNKS, FILES, SYMBOLS
 
 MAX_TOKENS = 500
 MAX_REFERENCES = 50
+BATCH_FILES = 100
 
 # Type names that are no references.
-JAVA_TYPES = frozenset("String Object Class Integer Long Boolean Double Float Byte Short Character Void List Map Set Collection Optional Stream Override Deprecated SuppressWarnings".split())
-COMMON_TYPES = frozenset("str int float bool none list dict set tuple type object string number boolean void any null undefined self cls".split())
+JAVA_TYPES = frozenset(["String", "Object", "Class", "Integer", "Long", "Boolean", "Double", "Float", "Byte", "Short", "Character", "Void", "List", "Map", "Set", "Collection", "Optional", "Stream", "Override", "Deprecated", "SuppressWarnings"])
+COMMON_TYPES = frozenset(["str", "int", "float", "bool", "none", "list", "dict", "set", "tuple", "type", "object", "string", "number", "boolean", "void", "any", "null", "undefined", "self", "cls"])
 
 
 @dataclass
@@ -141,6 +144,11 @@ def commas(text: str) -> list[str]:
     return [p.strip() for p in [*out, text[at:]] if p.strip()]
 
 
+def line_ends(text: str) -> list[int]:
+    """Where each line ends."""
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 _JAVA_TYPE = re.compile(r"(?<![@\w.])(class|interface|enum)\s+(\w+)")
 _ANNOTATION = re.compile(r"@(?!interface\b)([\w.]+)")
 
@@ -151,13 +159,11 @@ class JavaScanner:
     def __init__(self, path: str, text: str, nested_names: bool = False, tail: str = "stop"):
         self.path, self.text, self.flat = path, text, masked(text, strings="\"'")
         self.nested_names, self.tail = nested_names, tail
-        self.out = Parsed()
-        m = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", self.flat)
-        self.out.package = m[1] if m else ""
-        self.out.imports = re.findall(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", self.flat)
+        self.out = Parsed(package=package_of(BY_NAME["java"], self.flat), imports=imports_of(BY_NAME["java"], text, self.flat))
+        self.ends = line_ends(text)
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect.bisect_left(self.ends, at) + 1
 
     def members(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(start, where the body opens or -1, end) of each declaration between two positions."""
@@ -290,6 +296,23 @@ class JavaScanner:
         return "" if "." in re.sub(r"<.*>|\.\.\.", "", kind) else kind
 
 
+def python_imports(tree: ast.Module) -> list[str]:
+    """Imported modules in order; relative ones with their dots, and what `from .` imports after them."""
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            out += [(node.lineno, a.name) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            dots = "." * node.level
+            out += [(node.lineno, dots + node.module)] if node.module else [(node.lineno, dots + a.name) for a in node.names]
+    return list(dict.fromkeys(name for _, name in sorted(out, key=lambda x: x[0])))
+
+
+def package_of(profile: LanguageProfile, blanked: str) -> str:
+    m = re.search(profile.package, blanked) if profile.package else None
+    return re.sub(r"\s+", "", m[1]) if m else ""
+
+
 def _first_line(text: str) -> str:
     line = text.split("\n", 1)[0].strip()
     return line if len(line) <= 120 else line[:120] + "..."
@@ -301,7 +324,7 @@ class GenericScanner:
     def __init__(self, path: str, text: str, profile: LanguageProfile, tail: str = "stop"):
         self.path, self.text, self.profile, self.tail = path, text, profile, tail
         self.out = Parsed()
-        self.lines = text.split("\n")
+        self.lines, self.ends = text.split("\n"), line_ends(text)
 
     def emit(self, kind: str, name: str, start: int, end: int, parent: str, bases: list[str], notes: list[str], visible: str, names: list[str]) -> None:
         """start and end are line numbers from 1, the end included."""
@@ -316,12 +339,10 @@ class GenericScanner:
 
     def scan(self) -> Parsed:
         flat = masked(self.text, "#" if self.profile.indented else "//", hashes=self.profile.indented)
-        if self.profile.package and (m := re.search(self.profile.package, flat)):
-            self.out.package = m[1]
-        if self.profile.imports:
-            self.out.imports = list(dict.fromkeys(p.strip() for m in re.finditer(self.profile.imports, self.text) for p in m.groups() if p and p.strip()))
+        self.out.package, self.out.imports = package_of(self.profile, flat), imports_of(self.profile, self.text, flat)
         if self.profile.name == "python":
             tree = ast.parse(self.text)
+            self.out.imports = python_imports(tree)
             self.python(tree.body, "")
         else:
             self.declared(flat, 0, len(flat), "")
@@ -357,15 +378,15 @@ class GenericScanner:
             if m.start("name") < at:
                 continue
             if self.profile.indented:
-                first = self.text.count("\n", 0, m.start("name"))
+                first = bisect.bisect_left(self.ends, m.start("name"))
                 indent = len(self.lines[first]) - len(self.lines[first].lstrip())
                 last = next((k for k in range(first + 1, len(self.lines)) if self.lines[k].strip() and len(self.lines[k]) - len(self.lines[k].lstrip()) <= indent), len(self.lines) - 1)
-                body, stop = m.end(), sum(len(x) + 1 for x in self.lines[: last + 1])
+                body, stop = m.end(), self.ends[last] + 1 if last < len(self.ends) else len(self.text) + 1
                 first, last = first + 1, last + 1
             else:
                 body = m.end()
                 stop = min(closing(flat, body), end)
-                first, last = flat.count("\n", 0, m.start("name")) + 1, flat.count("\n", 0, max(stop, body)) + 1
+                first, last = bisect.bisect_left(self.ends, m.start("name")) + 1, bisect.bisect_left(self.ends, max(stop, body)) + 1
             kind = "method" if kind == "function" and parent else "function" if kind == "method" and not parent else kind
             bases = commas(re.sub(r"\b(?:extends|implements|with|public|private|virtual)\b", ",", m["bases"])) if "bases" in m.groupdict() and m["bases"] else []
             line = self.lines[first - 1]
@@ -409,15 +430,25 @@ PARSED = T.StructType([T.StructField("path", T.StringType()), T.StructField("sym
 def parsed(files: DataFrame, path: str = "path", content: str = "content", tail: str = "stop", nested_names: bool = False) -> DataFrame:
     """(path, symbols, chunks, file, error) of each source text; keep it (write or cache) before exploding it into the three tables."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for p, text in zip(pdf["path"], pdf["content"], strict=True):
-                got = parse(p, text or "", tail, nested_names)
-                rows.append((p, [asdict(s) for s in got.symbols], [asdict(c) for c in got.chunks], file_of(p, text or "", got), got.error))
-            yield pd.DataFrame(rows, columns=["path", "symbols", "chunks", "file", "error"])
-
-    return files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content")).mapInPandas(run, PARSED)
+    kinds = {f.name: to_arrow_type(f.dataType) for f in PARSED.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_FILES):
+                part = batch.slice(at, BATCH_FILES)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                names = part.column(0).to_pylist()
+                got = [parse(p, t, tail, nested_names) for p, t in zip(names, texts, strict=True)]
+                columns = {
+                    "path": names,
+                    "symbols": [[vars(s) for s in g.symbols] for g in got],
+                    "chunks": [[vars(c) for c in g.chunks] for g in got],
+                    "file": [file_of(p, t, g) for p, t, g in zip(names, texts, got, strict=True)],
+                    "error": [g.error for g in got],
+                }
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in columns.items()], names=list(columns))
+
+    return files.select(F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(content).cast("string").alias("content")).mapInArrow(run, PARSED)
 
 
 def symbols_of(parsed_: DataFrame) -> DataFrame:

@@ -94,24 +94,29 @@ def summary(changes: DataFrame, key: str = "sha", delta: str | None = None) -> D
     return changes.groupBy(key).agg(F.count("*").alias("files_changed"), *([F.sum(delta).alias("delta")] if delta else []))
 
 
-def renames(changes: DataFrame, path: str, most: int = 50) -> list[str]:
-    """The names that a file has had, newest first; one small lookup for each renaming."""
-    names = [path]
-    for _ in range(most):
-        row = changes.where((F.col("path") == names[-1]) & F.col("old_path").isNotNull() & (F.col("old_path") != "")).select("old_path").orderBy("old_path").limit(1).collect()
-        if not row or row[0][0] in names:
-            break
-        names.append(row[0][0])
+def renames(changes: DataFrame, path: str) -> list[str]:
+    """The names that a file has had, the present one first, then those before, step by step; each step looks at the pairs of renamings only."""
+    pairs = changes.where("old_path IS NOT NULL AND old_path != ''").select("path", "old_path").distinct().persist()
+    names, last = [path], [path]
+    while last:
+        found = pairs.where(F.col("path").isin(last)).select("old_path").distinct().orderBy("old_path").collect()  # names of one file
+        last = [r[0] for r in found if r[0] not in names]
+        names += last
+    pairs.unpersist()
     return names
 
 
-def file_history(commits: DataFrame, changes: DataFrame, path: str, limit: int = 15, follow: bool = True) -> DataFrame:
-    """Commits that touch a file, newest first, also under its earlier names; with the commit before each."""
+def file_history(commits: DataFrame, changes: DataFrame, path: str, limit: int = 15, follow: bool = True, versions: DataFrame | None = None, context: int = 3) -> DataFrame:
+    """Commits that touch a file, newest first, also under its earlier names; with the commit before each and, where `versions` are given, the
+    file's `diff` in each."""
     names = renames(changes, path) if follow else [path]
-    touched = changes.where(F.col("path").isin(names)).select("sha", "path", "status")
-    out = commits.join(touched, "sha")
+    touched = changes.where(F.col("path").isin(names)).select("sha", "path", "old_path", "status").dropDuplicates(["sha", "path"])
     order = Window.orderBy("date", "sha")  # one file's commits only
-    return out.withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), "sha").limit(limit)
+    out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), "sha").limit(limit)
+    if versions is not None:
+        shown = diffs(versions_of(out.select("sha", "path", "old_path", "status"), versions.where(F.col("path").isin(names)), commits), context)
+        out = out.join(shown.select("sha", "path", "diff"), ["sha", "path"]).orderBy(F.desc("date"), "sha")
+    return out.drop("old_path").select(*[c for c in out.columns if c not in ("path", "status", "previous_sha", "diff", "old_path")], "path", "status", "previous_sha", *(["diff"] if versions is not None else []))
 
 
 def capped(diff, lines: int):

@@ -1,7 +1,8 @@
 """Ranked retrieval as Column expressions: BM25, phrases, prefixes, fuzzy terms, vectors, hybrids, decay, query strings.
 
 Scores come from one pass for the collection's statistics, a single row that the scoring pass gets as a scalar subquery, and one pass that
-scores; no row is shuffled but for the final top k.  Filters do not change the statistics.
+scores; each finds a row's words once (the counts come out of a generator, through which the optimizer pushes no copy of them); no row is
+shuffled but for the final top k.  Filters do not change the statistics.  `operators.postings` answers the same queries from a stored term table.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import terms_of, tokens
@@ -22,7 +23,12 @@ def _times(words: Column, term: str) -> Column:
     return (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
 
 
-def _weighted(tf: Column, df: Column, dl: Column, n: Column, average: Column, k1: float, b: float) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def weighted(tf: Column, df: Column, dl: Column, n: Column, average: Column, k1: float, b: float) -> Column:
     idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
     return F.when(tf > 0, idf * tf / (tf + k1 * (1 - b + b * dl / average))).otherwise(0.0)
 
@@ -34,22 +40,28 @@ def bm25(df: DataFrame, query: str | list[str], fields: list[str], predicate: Co
         out = df if predicate is None else df.where(predicate)
         return out.withColumn("score", F.lit(1.0))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumns({f"__w{i}": tokens(F.col(f)) for i, f in enumerate(fields)})
-        counts = {f"__dl{i}": F.size(f"__w{i}").cast("double") for i in range(len(fields))}
-        counts |= {f"__tf{i}_{j}": _times(F.col(f"__w{i}"), t) for i in range(len(fields)) for j, t in enumerate(terms)}
-        return rows.withColumns(counts).drop(*[f"__w{i}" for i in range(len(fields))])
+    def counted(rows: DataFrame, wanted=None) -> DataFrame:
+        """The rows, or those that pass a test of their counts, with lengths and term counts."""
+
+        def counts(s: Column) -> Column:
+            words = [s[f"w{i}"] for i in range(len(fields))]
+            sizes = [F.size(w).cast("double").alias(f"__dl{i}") for i, w in enumerate(words)]
+            return F.struct(*sizes, *[_times(w, t).alias(f"__tf{i}_{j}") for i, w in enumerate(words) for j, t in enumerate(terms)])
+
+        found = F.transform(F.array(F.struct(*[tokens(F.col(f)).alias(f"w{i}") for i, f in enumerate(fields)])), counts)
+        return rows.select("*", F.inline(found if wanted is None else F.filter(found, wanted)))
 
     statistics = [F.count("*").cast("double").alias("n")]
     for i in range(len(fields)):
         statistics.append(F.avg(f"__dl{i}").alias(f"avg{i}"))
         statistics += [F.sum((F.col(f"__tf{i}_{j}") > 0).cast("double")).alias(f"df{i}_{j}") for j in range(len(terms))]
     stats = counted(df.select(*fields)).agg(F.struct(*statistics).alias("s")).select("s").scalar()
-    rows = counted(df if predicate is None else df.where(predicate))
-    matched = reduce(lambda a, c: a | c, [F.col(f"__tf{i}_{j}") > 0 for i in range(len(fields)) for j in range(len(terms))])
-    rows = rows.where(matched).withColumn("__s", stats)
+    def matched(s: Column) -> Column:
+        return reduce(lambda a, c: a | c, [s[f"__tf{i}_{j}"] > 0 for i in range(len(fields)) for j in range(len(terms))])
+
+    rows = counted(df if predicate is None else df.where(predicate), matched).withColumn("__s", stats)
     parts = [
-        _weighted(F.col(f"__tf{i}_{j}"), F.col(f"__s.df{i}_{j}"), F.col(f"__dl{i}"), F.col("__s.n"), F.col(f"__s.avg{i}"), k1, b) for i in range(len(fields)) for j in range(len(terms))
+        weighted(F.col(f"__tf{i}_{j}"), F.col(f"__s.df{i}_{j}"), F.col(f"__dl{i}"), F.col("__s.n"), F.col(f"__s.avg{i}"), k1, b) for i in range(len(fields)) for j in range(len(terms))
     ]
     out = rows.withColumn("score", reduce(lambda a, c: a + c, parts)).select(*df.columns, "score")
     return out.where(F.col("score") >= min_score) if min_score > 0 else out
@@ -57,13 +69,17 @@ def bm25(df: DataFrame, query: str | list[str], fields: list[str], predicate: Co
 
 def phrase_slop(words: list[str], text: Column, slop: int = 0) -> Column:
     """Whether the words come in order, each at most slop + 1 after the one before."""
-    w = tokens(text)
-    spots = [_positions(w, t) for t in words]
 
-    def follow(reached: Column, after: Column) -> Column:
-        return F.filter(after, lambda j: F.exists(reached, lambda i: (j - i >= 1) & (j - i <= slop + 1)))
+    def there(w: Column) -> Column:
+        def follow(reached: Column, rest: list[str]) -> Column:
+            if not rest:
+                return F.size(reached) > 0
+            after = F.filter(_positions(w, rest[0]), lambda j: F.exists(reached, lambda i: (j - i >= 1) & (j - i <= slop + 1)))
+            return let(after, lambda found: follow(found, rest[1:]))
+
+        return let(_positions(w, words[0]), lambda found: follow(found, words[1:]))
 
-    return F.size(reduce(follow, spots)) > 0
+    return let(tokens(text), there) if words else F.lit(False)
 
 
 def _positions(words: Column, term: str) -> Column:
@@ -85,12 +101,15 @@ def vocabulary(df: DataFrame, field: str, test) -> DataFrame:
 
 def expanded(df: DataFrame, key: str, field: str, test, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 over all tokens of a field that pass a test: (key, score).  The tokens' document counts are joined, not collected."""
-    rows = df.select(key, tokens(F.col(field)).alias("w"))
-    stats = rows.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("average")).alias("s")).select("s").scalar()
-    tf = rows.select(key, F.size("w").cast("double").alias("dl"), F.explode(F.filter("w", test)).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
+    def counts(w: Column) -> Column:
+        return F.struct(F.size(w).cast("double").alias("dl"), F.filter(w, test).alias("found"))
+
+    rows = df.select(key, F.inline(F.transform(F.array(tokens(F.col(field))), counts)))
+    stats = rows.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("average")).alias("s")).select("s").scalar()
+    tf = rows.select(key, "dl", F.explode("found").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     terms = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     joined = tf.join(terms, "term").withColumn("s", stats)
-    return joined.groupBy(key).agg(F.sum(_weighted(F.col("tf"), F.col("df"), F.col("dl"), F.col("s.n"), F.col("s.average"), k1, b)).alias("score"))
+    return joined.groupBy(key).agg(F.sum(weighted(F.col("tf"), F.col("df"), F.col("dl"), F.col("s.n"), F.col("s.average"), k1, b)).alias("score"))
 
 
 def prefix(df: DataFrame, key: str, field: str, start: str) -> DataFrame:
@@ -119,12 +138,14 @@ def knn(df: DataFrame, vector: str, query: list[float], k: int, key: str) -> Dat
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, key: str, text_weight: float = TEXT_WEIGHT) -> DataFrame:
-    """Joins two lists of (key, score): each is scaled to 0..1 by its own extremes (1 where they are equal), a missing side counts as 0."""
+    """Joins two top lists of (key, score): each is scaled to 0..1 by its own extremes (1 where they are equal), a missing side counts as 0.
+
+    The lists are the k best rows of two searches, so the extremes come from a window over each; neither is computed twice."""
+    whole = Window.partitionBy(F.lit(0))
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
-        ends = df.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("e")).select("e").scalar()
-        e = df.select(key, "score").withColumn("e", ends)
-        return e.select(key, F.when(F.col("e.hi") == F.col("e.lo"), 1.0).otherwise((F.col("score") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo"))).alias(name))
+        e = df.select(key, "score", F.min("score").over(whole).alias("lo"), F.max("score").over(whole).alias("hi"))
+        return e.select(key, F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias(name))
 
     both = scaled(text_hits, "text_score").join(scaled(vector_hits, "vector_score"), key, "full_outer")
     return both.fillna(0.0, ["text_score", "vector_score"]).withColumn("score", text_weight * F.col("text_score") + (1 - text_weight) * F.col("vector_score"))

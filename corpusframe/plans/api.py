@@ -2,48 +2,101 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.functions.text import list_of
-from corpusframe.operators import codeintel, extract, filters, history, incremental, ranking, scoring, windows
+from corpusframe.functions import paths
+from corpusframe.functions.text import list_of, terms_of
+from corpusframe.operators import codeintel, embeddings, extract, filters, history, incremental, postings, ranking, scoring, windows
 from corpusframe.operators.filters import Term
 from corpusframe.plans import validation as v
 from corpusframe.schemas import TABLES, fields_with
 from corpusframe.sources import files as source_files
+from corpusframe.sources import git
+from corpusframe.sources import state as index_state
 from corpusframe.sources.catalog import Catalog
 
 
 class Engine:
     """Search, code intelligence and history over the collections of a catalog."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, commits: DataFrame | None = None, changes: DataFrame | None = None, versions: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog, commits: DataFrame | None = None, changes: DataFrame | None = None, versions: DataFrame | None = None, folder: str | None = None, repo: str | None = None):
+        """`folder`, on the driver's machine, holds the index's state and the lock that keeps two runs apart; `repo` is the git repository whose
+        commits the state names."""
         self.spark, self.catalog = spark, catalog
         self.commits, self.changes, self.versions = commits, changes, versions
+        self.folder, self.repo = folder, repo
 
     # --- indexing
 
-    def reindex(self, sources: DataFrame, mode: str = "incremental") -> DataFrame:
-        """Indexes (path, mtime, size, content) rows; incremental touches only files that differ from the last run.  Returns the changes."""
+    def reindex(self, sources: DataFrame, mode: str = "incremental", encoder=None) -> DataFrame:
+        """Indexes (path, mtime, size, content) rows; incremental touches only files that differ from the last run.  Returns the changes.
+
+        Where the state names a commit that the repository no longer has, or vectors are wanted that the index lacks, the run is a full one.
+        While another run is on, `state.Locked` is raised."""
         v.one_of(mode, v.MODES)
+        if self.folder is None:
+            return self._indexed(sources, mode, encoder)
+        with index_state.lock(f"{self.folder}/index.lock"):
+            known = index_state.IndexState.load(self.state_path)
+            if (self.repo and known.last_commit and not git.exists(self.repo, known.last_commit)) or known.use_embeddings != (encoder is not None):
+                mode = "full"
+            changes = self._indexed(sources, mode, encoder)
+            counts = {name: self.catalog.open(name).count() for name in TABLES}
+            failed = [r.path for r in self.catalog.open("failures").select("path").orderBy("path").limit(1000).collect()]
+            commit, branch = (git.head(self.repo), git.branch(self.repo)) if self.repo else ("", "")
+            moment = datetime.now(UTC).isoformat(timespec="seconds")
+            index_state.IndexState(commit, branch, moment, encoder is not None, counts["symbols"], counts["chunks"], counts["files"], failed).save(self.state_path)
+        return changes
+
+    @property
+    def state_path(self) -> str:
+        return f"{self.folder}/state.json"
+
+    def trigger(self, sources: DataFrame, mode: str = "incremental") -> DataFrame | None:
+        """Reindexes unless another run is on; then nothing is done and None comes back."""
+        try:
+            return self.reindex(sources, mode)
+        except index_state.Locked:
+            return None
+
+    def _indexed(self, sources: DataFrame, mode: str, encoder) -> DataFrame:
         after = source_files.snapshot(sources)
         there = not self.catalog.missing(["snapshot"])
         before = self.catalog.open("snapshot") if there and mode == "incremental" else self.spark.createDataFrame([], after.schema)
         self.catalog.write("changes", incremental.snapshot_diff(before, after, marks=("content_hash",)))
         changes = self.catalog.open("changes")
         fresh = extract.parsed(sources.join(changes.where("status != 'D'").select("path"), "path", "left_semi")).persist()
-        for name, column, rows in (("symbols", "file_path", extract.symbols_of(fresh)), ("chunks", "file_path", extract.chunks_of(fresh)), ("files", "path", extract.files_of(fresh))):
-            if mode == "full":
-                self.catalog.write(name, rows)
-            else:
-                old = self.catalog.create(name, TABLES[name])
-                self.catalog.write(name, incremental.apply_changes(old, changes, rows.select(*old.columns), column))
+        chunks = extract.chunks_of(fresh)
+        if encoder is not None:
+            chunks = chunks.withColumn("embedding", embeddings.embedded(F.col("content"), encoder))
+        tables = {"symbols": ("file_path", extract.symbols_of(fresh)), "chunks": ("file_path", chunks), "files": ("path", extract.files_of(fresh)), "failures": ("path", fresh.where("error != ''").select("path", "error"))}
+        for name, (column, rows) in tables.items():
+            self._put(name, rows, changes, column, mode, [])
+            if name in TABLES:
+                rows = self.catalog.open(name).join(changes.select(F.col("path").alias(column)), column, "left_semi")
+                searchable = fields_with(TABLES[name], "searchable")
+                self._put(f"{name}_terms", postings.postings(rows, "id", searchable, [column]), changes, column, mode, ["term"])
+                self._put(f"{name}_lengths", postings.lengths(rows, "id", searchable, [column]), changes, column, mode, [])
         self.catalog.write("snapshot", after)
         fresh.unpersist()
         return changes
 
+    def _put(self, name: str, rows: DataFrame, changes: DataFrame, column: str, mode: str, sort: list[str]) -> None:
+        if mode == "full":
+            self.catalog.write_buckets(name, rows, column, sort)
+        else:
+            self.catalog.replace(name, rows, changes.select(F.col("path").alias(column)), column, sort)
+
+    def _ranked(self, name: str, query: str, keep: Column) -> DataFrame:
+        """The rows that pass a test and match a query, with their BM25 score: by the term index where there is one."""
+        rows, searchable = self.catalog.open(name), fields_with(TABLES[name], "searchable")
+        if self.catalog.missing([f"{name}_terms", f"{name}_lengths"]) or not terms_of(query):
+            return scoring.bm25(rows, query, searchable, keep)
+        return rows.where(keep).join(postings.bm25(self.catalog.open(f"{name}_terms"), self.catalog.open(f"{name}_lengths"), query, "id", searchable), "id")
+
     def index_status(self) -> DataFrame:
         return self.catalog.status()
 
@@ -52,8 +105,9 @@ class Engine:
     def search_symbols(self, query: str, strict: bool = False, **more) -> tuple[DataFrame, DataFrame]:
         """The best symbols, and facets over all matches.  Hints are added to the query; strict makes them predicates."""
         a = v.SymbolSearch(query, **more)
-        rows = self.catalog.open("symbols")
-        keep = filters.conjunction([Term("kind", k) for k in a.kinds] + ([Term("visibility", a.visibility)] if a.visibility else []) + ([Term("module", a.module)] if a.module else []))
+        keep = filters.conjunction([Term("kind", k) for k in a.kinds] + [Term("visibility", x) for x in a.visibilities] + ([Term("module", a.module)] if a.module else []))
+        if a.file_pattern:
+            keep = keep & paths.matches(F.col("file_path"), a.file_pattern)
         hints = [x for x in (a.package_prefix, a.extends_or_implements, a.has_annotation) if x]
         if strict:
             if a.package_prefix:
@@ -63,30 +117,32 @@ class Engine:
             if a.has_annotation:
                 keep = keep & F.array_contains(list_of(F.col("annotations")), a.has_annotation)
             hints = []
-        matches = scoring.bm25(rows, " ".join([query, *hints]), fields_with(TABLES["symbols"], "searchable"), keep)
+        matches = self._ranked("symbols", " ".join([query, *hints]), keep)
         best = ranking.rerank(scoring.top(matches, a.limit, "id"), query, "id", ["name", "qualified_name"], "file_path", "kind", "parent_class")
         return best, ranking.facets(matches, ["kind", "visibility", "package"])
 
     def search_code(self, query: str, vector: list[float] | None = None, pushdown: bool = False, as_of: str | None = None, **more) -> DataFrame:
         """The best chunks; with a vector, text and vector hits are joined.  Tests go after the cut to the limit; pushdown drops them before."""
-        from corpusframe.functions import paths
-
         a = v.CodeSearch(query, **more)
         rows = self.catalog.open("chunks")
         keep = filters.conjunction([Term("module", a.module)] if a.module else [])
         if a.file_types:
             keep = keep & (F.col("language").isin(*a.file_types) | F.col("extension").isin(*a.file_types))
+        if a.enclosing_class:
+            keep = keep & (F.col("enclosing_class") == a.enclosing_class)
         if a.exclude_tests and pushdown:
             keep = keep & ~paths.is_test(F.col("file_path"))
-        hits = scoring.top(scoring.bm25(rows, query, fields_with(TABLES["chunks"], "searchable"), keep), a.limit, "id")
+        hits = scoring.top(self._ranked("chunks", query, keep), a.limit, "id")
         if vector is not None and "embedding" in rows.columns:
             near = scoring.knn(rows.where(keep), "embedding", vector, a.limit, "id")
             both = scoring.top(scoring.hybrid(hits.select("id", "score"), near.select("id", "score"), "id"), a.limit, "id")
             hits = rows.join(both.select("id", "score"), "id")
         return ranking.rerank(hits, query, "id", ["symbol_name"], "file_path", "kind", "enclosing_class", exclude_tests=a.exclude_tests)
 
-    def search_files(self, query: str, limit: int = 20) -> DataFrame:
-        return scoring.top(scoring.bm25(self.catalog.open("files"), v.query(query), fields_with(TABLES["files"], "searchable")), v.limit(limit), "id")
+    def search_files(self, query: str, **more) -> DataFrame:
+        a = v.FileSearch(query, **more)
+        keep = filters.conjunction(([Term("extension", a.extension.lstrip("."))] if a.extension else []) + ([Term("module", a.module)] if a.module else []))
+        return scoring.top(self._ranked("files", query, keep), a.limit, "id")
 
     def get_context(self, sources: DataFrame, file_path: str, line_start: int, line_end: int, radius: int = 10) -> DataFrame:
         a = v.Context(file_path, line_start, line_end, radius)
@@ -104,8 +160,9 @@ class Engine:
     def find_references(self, symbol_name: str) -> DataFrame:
         return codeintel.find_references(self.catalog.open("symbols"), v.query(symbol_name))
 
-    def dependency_graph(self, file_path: str, depth: int = 1, most: int | None = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """What the file depends on, what depends on it, and what depends on that, level by level."""
+    def dependency_graph(self, file_path: str, depth: int = 1, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What the file depends on, what depends on it, and what depends on that, level by level; `most` bounds the files that are followed on a
+        level, none by default."""
         a = v.DependencyGraph(file_path, depth)
         symbols, files = self.catalog.open("symbols"), self.catalog.open("files")
         forward, backward = codeintel.dependency_graph(symbols, files, a.file_path)
@@ -123,8 +180,10 @@ class Engine:
     def commit_diff(self, sha: str, context_lines: int = 3) -> DataFrame:
         return history.commit_diff(self.commits, self.changes, v.sha(sha), self.versions, context_lines)
 
-    def file_history(self, file_path: str, limit: int = 15, follow: bool = True) -> DataFrame:
-        return history.file_history(self.commits, self.changes, v.relative(file_path), v.limit(limit, v.MAX_HISTORY), follow)
+    def file_history(self, file_path: str, limit: int = 15, follow: bool = True, include_diff: bool = False, context_lines: int = 3) -> DataFrame:
+        if include_diff and self.versions is None:
+            raise ValueError("diffs need the table of versions")
+        return history.file_history(self.commits, self.changes, v.relative(file_path), v.limit(limit, v.MAX_HISTORY), follow, self.versions if include_diff else None, context_lines)
 
     @staticmethod
     def get_started() -> str:

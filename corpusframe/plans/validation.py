@@ -58,9 +58,10 @@ def sha(value: str) -> str:
 class SymbolSearch:
     query: str
     kinds: tuple[str, ...] = ()
-    visibility: str | None = None
+    visibility: str | tuple[str, ...] | None = None
     module: str | None = None
     package_prefix: str | None = None
+    file_pattern: str | None = None
     extends_or_implements: str | None = None
     has_annotation: str | None = None
     limit: int = 30
@@ -70,8 +71,12 @@ class SymbolSearch:
         limit(self.limit)
         for k in self.kinds:
             one_of(k, KINDS)
-        if self.visibility:
-            one_of(self.visibility, VISIBILITIES)
+        for name in self.visibilities:
+            one_of(name, VISIBILITIES)
+
+    @property
+    def visibilities(self) -> tuple[str, ...]:
+        return (self.visibility,) if isinstance(self.visibility, str) else tuple(self.visibility or ())
 
 
 @dataclass(frozen=True)
@@ -79,6 +84,7 @@ class CodeSearch:
     query: str
     file_types: tuple[str, ...] = ()
     module: str | None = None
+    enclosing_class: str | None = None
     exclude_tests: bool = True
     limit: int = 15
 
@@ -87,6 +93,18 @@ class CodeSearch:
         limit(self.limit)
 
 
+@dataclass(frozen=True)
+class FileSearch:
+    query: str
+    extension: str | None = None
+    module: str | None = None
+    limit: int = 20
+
+    def __post_init__(self) -> None:
+        query(self.query)
+        limit(self.limit)
+
+
 @dataclass(frozen=True)
 class Context:
     file_path: str

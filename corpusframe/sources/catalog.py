@@ -1,7 +1,8 @@
 """Collections as Parquet tables in versioned folders: create, write, switch, compact, list.
 
 A write goes to a new folder and then one small pointer file is replaced, so readers see the old rows or the new ones, and a table may be
-rewritten from its own rows.
+rewritten from its own rows.  A collection may be dealt into `BUCKETS` by a column: `replace` then rewrites only the buckets of the keys that
+change, and the pointer tells which folder has each bucket.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,13 @@ from corpusframe.operators import filters as flt
 from corpusframe.schemas import TABLES
 
 
+BUCKETS = 64
+
+
+class Conflict(RuntimeError):
+    """Somebody else has written the collection meanwhile."""
+
+
 class Catalog:
     """The collections under a folder of any file system that Spark reads.  `namespace` keeps repositories apart."""
 
@@ -41,10 +49,15 @@ class Catalog:
         finally:
             stream.close()
 
-    def _switch(self, name: str, value: dict) -> None:
+    def _switch(self, name: str, old: dict | None, value: dict) -> None:
+        """Lets the pointer show new folders, unless another writer has moved it since `old` was read; folders that neither it nor its predecessor
+        shows are removed, so those who still read the predecessor's rows can."""
+        if self._pointer(name) != old:
+            raise Conflict(name)
+        before = _versions(old) if old else set()
         fs, new = self._fs(), self._path(name, f".{uuid.uuid4().hex}")
         stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(value).encode()))
+        stream.write(bytearray(json.dumps(value | {"held": sorted(before)}).encode()))
         stream.close()
         target = self._path(name, "current.json")
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
@@ -52,6 +65,8 @@ class Catalog:
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
         how[0] = rename.OVERWRITE
         context.rename(fs.makeQualified(new), fs.makeQualified(target), how)
+        for version in set(old.get("held", []) if old else []) - before - _versions(value):
+            fs.delete(self._path(name, version), True)
 
     def create(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """Opens a collection, and makes an empty one if there is none."""
@@ -64,13 +79,21 @@ class Catalog:
         pointer = self._pointer(name)
         if pointer is None:
             raise KeyError(f"there is no collection {name}")
-        return self.spark.read.schema(T.StructType.fromJson(pointer["schema"])).parquet(f"{self.root}/{name}/{pointer['version']}")
+        return self._rows(name, pointer)
+
+    def _rows(self, name: str, pointer: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(pointer["schema"])
+        if "buckets" not in pointer:
+            folders = [f"{self.root}/{name}/{pointer['version']}"]
+        else:
+            folders = [f"{self.root}/{name}/{v}/__bucket={b}" for b, v in pointer["buckets"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def close(self, name: str) -> None:
         """Nothing is held open; cached file lists are dropped."""
         pointer = self._pointer(name)
         if pointer:
-            self.spark.catalog.refreshByPath(f"{self.root}/{name}/{pointer['version']}")
+            self.spark.catalog.refreshByPath(f"{self.root}/{name}")
 
     def list(self) -> list[str]:
         fs, root = self._fs(), self._path()
@@ -81,17 +104,51 @@ class Catalog:
         return [n for n in names if n not in there]
 
     def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Replaces a collection; returns how many rows were written, as counted in what was written."""
+        """Replaces a collection; returns how many rows were written, as counted while they were."""
+        version, old, seen = uuid.uuid4().hex, self._pointer(name), Observation()
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        writer = counted.write.partitionBy(*partition_by) if partition_by else counted.write
+        writer.parquet(f"{self.root}/{name}/{version}")
+        self._switch(name, old, {"version": version, "schema": json.loads(rows.schema.json())})
+        return seen.get["n"]
+
+    def write_buckets(self, name: str, rows: DataFrame, key: str, sort: list[str] = ()) -> None:
+        """Replaces a collection, dealt into buckets by a column; within its files rows are sorted."""
+        old = self._pointer(name)
+        version, there = self._bucketed(name, rows, key, list(sort))
+        self._switch(name, old, {"bucket_by": key, "sort": list(sort), "schema": json.loads(rows.schema.json()), "buckets": dict.fromkeys(there, version)})
+
+    def _bucketed(self, name: str, rows: DataFrame, key: str, sort: list[str]) -> tuple[str, list[str]]:
         version = uuid.uuid4().hex
+        dealt = rows.withColumn("__bucket", _bucket(key)).repartition("__bucket").sortWithinPartitions("__bucket", *sort)
+        dealt.write.partitionBy("__bucket").parquet(f"{self.root}/{name}/{version}")
+        found = self._fs().listStatus(self._path(name, version))
+        return version, [s.getPath().getName().removeprefix("__bucket=") for s in found if s.getPath().getName().startswith("__bucket=")]
+
+    def replace(self, name: str, fresh: DataFrame, changed: DataFrame, key: str, sort: list[str] = ()) -> None:
+        """Takes away the rows of changed keys (a table with the column `key`) and adds the fresh ones, in the buckets of the changed keys
+        alone.  A collection that has no buckets by that column yet, or isn't there, gets them."""
         old = self._pointer(name)
-        writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
-        writer.parquet(f"{self.root}/{name}/{version}")
-        self._switch(name, {"version": version, "previous": old and old["version"], "schema": json.loads(rows.schema.json())})
-        if old and old.get("previous"):  # the version before this one stays for those who still read it
-            self._fs().delete(self._path(name, old["previous"]), True)
-        return self.open(name).count()
+        if old is None:
+            return self.write_buckets(name, fresh, key, sort)
+        changed = changed.select(key).distinct()
+        if old.get("bucket_by") != key:
+            kept = self._rows(name, old).join(changed, key, "left_anti").select(*fresh.columns)
+            return self.write_buckets(name, kept.unionByName(fresh), key, sort)
+        touched = [r[0] for r in changed.select(_bucket(key)).distinct().collect()]  # BUCKETS numbers at most
+        if not touched:
+            return None
+        kept = self._rows(name, old, touched)
+        rows = kept.join(changed, key, "left_anti").select(*kept.columns).unionByName(fresh.select(*kept.columns))
+        version, there = self._bucketed(name, rows, key, old["sort"])
+        buckets = {b: v for b, v in old["buckets"].items() if int(b) not in touched} | dict.fromkeys(there, version)
+        return self._switch(name, old, {k: v for k, v in old.items() if k != "held"} | {"buckets": buckets})
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> int:
+        pointer = self._pointer(name)
+        if pointer and pointer.get("bucket_by") == key:
+            self.replace(name, rows, rows, key)
+            return self.open(name).count()
         return self.write(name, ops.upsert(self.open(name), rows, key))
 
     def delete(self, name: str, filters: list[flt.Filter]) -> int:
@@ -119,3 +176,11 @@ class Catalog:
         """(collection, doc_count, segment_count)."""
         rows = [(n, self.open(n).count(), len(self.open(n).inputFiles())) for n in self.list()]
         return self.spark.createDataFrame(rows, "collection string, doc_count long, segment_count int")
+
+
+def _versions(pointer: dict) -> set[str]:
+    return set(pointer["buckets"].values()) if "buckets" in pointer else {pointer["version"]}
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")

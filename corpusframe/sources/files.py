@@ -1,7 +1,9 @@
-"""Source files as rows: a recursive binary scan, filtered by path before anything is decoded."""
+"""Source files as rows.  The folder is listed first, without contents; only the files that are wanted by path are then read."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +22,36 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to the root, mtime, size, content binary)."""
+def _relative(root: str) -> Column:
     base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.instr(F.col("path"), F.lit(base.split("://")[-1]))
-    relative = F.substring(F.col("path"), at + len(base.split("://")[-1]), F.length("path"))
-    return raw.select(relative.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    return F.substring(F.col("path"), at + len(base.split("://")[-1]), F.length("path"))
+
+
+def _binary(spark: SparkSession, paths_: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths_)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to the root, whole path, mtime, size) of all files below a folder; nothing is read but the folder's lists."""
+    return _binary(spark, root).select(_relative(root).alias("path"), F.col("path").alias("whole"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def scan(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(path relative to the root, mtime, size, content binary); `wanted` is a part of the listing.
+
+    The driver holds the wanted names, as it does for any scan of files."""
+    names = root if wanted is None else [re.sub(r"([\\{}\[\]*?])", r"\\\1", r.whole) for r in wanted.select("whole").collect()]
+    columns = [_relative(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("content")]
+    return _binary(spark, names).select(*columns) if names else spark.createDataFrame([], "path string, mtime timestamp, size long, content binary")
 
 
 def sources(spark: SparkSession, root: str, tracked: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
     """(path, mtime, size, content string) of the files to index; `tracked` (path) restricts them to those under version control."""
-    rows = scan(spark, root).where(paths.indexable(F.col("path"), suffixes) & ~paths.skipped(F.col("path")))
+    wanted = listing(spark, root).where(paths.indexable(F.col("path"), suffixes) & ~paths.skipped(F.col("path")))
     if tracked is not None:
-        rows = rows.join(tracked.select("path"), "path", "left_semi")
+        wanted = wanted.join(tracked.select("path"), "path", "left_semi")
+    rows = scan(spark, root, wanted)
     return rows.where(~is_binary(F.col("content"))).withColumn("content", decoded(F.col("content")))
 
 

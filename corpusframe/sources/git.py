@@ -1,16 +1,20 @@
-"""Git history as a data source: spark.read.format("gitlog").option("repo", ...).option("table", "commits" | "changes" | "files" | "versions")."""
+"""Git history as a data source: spark.read.format("gitlog").option("repo", ...).option("table", "commits" | "changes" | "files" | "versions").
+
+The repository must lie under the same path on each machine that reads it (a shared folder, or one machine).  Output is read as it comes, whole;
+a command that fails, or takes longer than the option `timeout` (seconds; none by default), fails the read.
+"""
 
 from __future__ import annotations
 
 import subprocess
+import tempfile
+import threading
 from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-TIMEOUT_SECONDS = 30
-MAX_CHARS = 500_000
 TABLES = {
     "commits": "sha string, short_sha string, author_name string, author_email string, date timestamp, subject string, body string",
     "changes": "sha string, path string, old_path string, status string",
@@ -19,28 +23,81 @@ TABLES = {
 }
 
 
-def git(repo: str, *arguments: str, timeout: int = TIMEOUT_SECONDS, limit: int | None = None) -> str | None:
-    """A command's output, or None if it fails or takes too long; what exceeds the limit is cut, with a note."""
+class GitError(RuntimeError):
+    """A git command failed or took too long."""
+
+
+def records(repo: str, *arguments: str, end: bytes = b"\x00", timeout: float | None = None) -> Iterator[str]:
+    """A command's output in parts that end with a byte, as it comes."""
+    with tempfile.TemporaryFile() as errors:
+        try:
+            process = subprocess.Popen(["git", "-C", repo, *arguments], stdout=subprocess.PIPE, stderr=errors)
+        except OSError as e:
+            raise GitError(str(e)) from e
+        late = threading.Event()
+        timer = threading.Timer(timeout or 0, lambda: (late.set(), process.kill()))
+        if timeout:
+            timer.start()
+        try:
+            held = b""
+            while block := process.stdout.read(1 << 16):
+                *whole, held = (held + block).split(end)
+                yield from (part.decode("utf-8", "replace") for part in whole)
+            if held:
+                yield held.decode("utf-8", "replace")
+        finally:
+            timer.cancel()
+            process.stdout.close()
+            if process.poll() is None and not process.wait():
+                pass
+        if process.returncode:
+            errors.seek(0)
+            said = errors.read().decode("utf-8", "replace").strip()
+            raise GitError(f"git {arguments[0]}: {'took too long' if late.is_set() else said}")
+
+
+def git(repo: str, *arguments: str, timeout: float | None = None) -> str:
+    """A command's whole output."""
+    return "\x00".join(records(repo, *arguments, timeout=timeout))
+
+
+def head(repo: str) -> str:
+    """The present commit; empty in a repository without commits."""
     try:
-        done = subprocess.run(["git", "-C", repo, *arguments], capture_output=True, timeout=timeout, check=False)
-    except (OSError, subprocess.TimeoutExpired):
-        return None
-    if done.returncode:
-        return None
-    text = done.stdout.decode("utf-8", "replace")
-    return text if limit is None or len(text) <= limit else text[:limit] + "\n... (output cut)"
+        return git(repo, "rev-parse", "--verify", "-q", "HEAD").strip()
+    except GitError:
+        return ""
+
 
+def branch(repo: str) -> str:
+    try:
+        return git(repo, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    except GitError:
+        return ""
 
-def commits(repo: str) -> Iterator[tuple]:
+
+def exists(repo: str, sha: str) -> bool:
+    """Whether a commit is still there; a rewritten or pruned history may have lost it."""
+    try:
+        return git(repo, "cat-file", "-t", sha).strip() == "commit"
+    except GitError:
+        return False
+
+
+def commits(repo: str, timeout: float | None = None) -> Iterator[tuple]:
+    if not head(repo):
+        return
     # fields end with NUL and records with a record separator, so no text in them can shift a column
-    for record in (git(repo, "log", "--format=%H%x00%h%x00%an%x00%ae%x00%aI%x00%s%x00%b%x1e") or "").split("\x1e"):
+    for record in records(repo, "log", "--format=%H%x00%h%x00%an%x00%ae%x00%aI%x00%s%x00%b%x1e", end=b"\x1e", timeout=timeout):
         part = record.lstrip("\n").split("\x00")
         if len(part) == 7:
             yield (*part[:4], datetime.fromisoformat(part[4].replace("Z", "+00:00")), part[5], part[6].strip())
 
 
-def changes(repo: str) -> Iterator[tuple]:
-    for record in (git(repo, "log", "--format=%x1e%H", "--name-status", "-z", "-M50%", "--root", "-m", "--first-parent") or "").split("\x1e")[1:]:
+def changes(repo: str, timeout: float | None = None) -> Iterator[tuple]:
+    if not head(repo):
+        return
+    for record in records(repo, "log", "--format=%x1e%H", "--name-status", "-z", "-M50%", "--root", "-m", "--first-parent", end=b"\x1e", timeout=timeout):
         sha, _, rest = record.partition("\x00")
         part = iter(x.strip("\n") for x in rest.split("\x00"))
         for status in part:
@@ -51,8 +108,28 @@ def changes(repo: str) -> Iterator[tuple]:
                 yield sha.strip(), next(part, ""), None, status[:1]
 
 
-def files(repo: str) -> list[str]:
-    return [p for p in (git(repo, "ls-files", "-z") or "").split("\x00") if p]
+def contents(repo: str, wanted: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
+    """(sha, path, whole text) of the versions that are files, by one git process."""
+    with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+        for sha, path in wanted:
+            if "\n" in path:  # a request is one line
+                yield sha, path, git(repo, "show", f"{sha}:{path}")
+                continue
+            process.stdin.write(f"{sha}:{path}\n".encode("utf-8", "surrogateescape"))
+            process.stdin.flush()
+            said = process.stdout.readline().decode("utf-8", "replace").rsplit(" ", 2)
+            if len(said) == 3 and said[2].strip().isdigit():
+                data = process.stdout.read(int(said[2]))
+                process.stdout.read(1)
+                if said[1] == "blob":
+                    yield sha, path, data.decode("utf-8", "replace")
+            elif not said[-1].strip() == "missing":
+                raise GitError(f"git cat-file: {' '.join(said).strip()}")
+        process.stdin.close()
+
+
+def files(repo: str, timeout: float | None = None) -> Iterator[str]:
+    return (p for p in records(repo, "ls-files", "-z", timeout=timeout) if p)
 
 
 class _Slice(InputPartition):
@@ -64,23 +141,21 @@ class _Slice(InputPartition):
 class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.repo, self.table, self.count = options["repo"], options.get("table", "commits"), int(options.get("partitions", "4"))
+        self.timeout = float(options["timeout"]) if "timeout" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [_Slice(k, self.count) for k in range(self.count)] if self.table == "versions" else [_Slice(0, 1)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         if self.table == "commits":
-            yield from commits(self.repo)
+            yield from commits(self.repo, self.timeout)
         elif self.table == "changes":
-            yield from changes(self.repo)
+            yield from changes(self.repo, self.timeout)
         elif self.table == "files":
-            yield from ((p,) for p in files(self.repo))
-        else:
-            for k, (sha, path, _, status) in enumerate(changes(self.repo)):
-                if k % partition.count == partition.index and status != "D":
-                    text = git(self.repo, "show", f"{sha}:{path}", limit=MAX_CHARS)
-                    if text is not None:
-                        yield sha, path, text
+            yield from ((p,) for p in files(self.repo, self.timeout))
+        else:  # each partition walks the log, which is names only, and reads its share of the texts
+            own = ((sha, path) for k, (sha, path, _, status) in enumerate(changes(self.repo, self.timeout)) if k % partition.count == partition.index and status != "D")
+            yield from contents(self.repo, own)
 
 
 class GitSource(DataSource):

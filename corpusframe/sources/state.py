@@ -6,7 +6,7 @@ import json
 import os
 import tempfile
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
@@ -16,6 +16,10 @@ class IndexState:
     last_branch: str = ""
     last_indexed_at: str = ""
     use_embeddings: bool = False
+    total_symbols: int = 0
+    total_chunks: int = 0
+    total_files: int = 0
+    parse_failures: list[str] = field(default_factory=list)
 
     @classmethod
     def load(cls, path: str | Path) -> IndexState:

@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusframe.operators import extract
 from corpusframe.operators.collections import newest
+from corpusframe.schemas import TABLES
 from corpusframe.sources.catalog import Catalog
+from corpusframe.sources.state import lock
 
 SOURCE = "path string, content string, seq long, action string"
 
@@ -22,29 +24,36 @@ def upsert_batch(catalog: Catalog, name: str, key: str, order: str, action: str
 
     def run(batch: DataFrame, _: int) -> None:
         latest = newest(batch, key, order).persist()
-        old = catalog.open(name)
-        kept = old.join(latest.select(key), key, "left_anti")
-        catalog.write(name, kept.unionByName(latest.where(F.col(action) != "DELETE").select(*old.columns)))
+        catalog.replace(name, latest.where(F.col(action) != "DELETE").select(*catalog.open(name).columns), latest.select(key), key)
         latest.unpersist()
 
     return run
 
 
 def index_batch(catalog: Catalog):
-    """A foreachBatch function over source rows: replaces all rows of the files that changed, in all three tables."""
+    """A foreachBatch function over source rows: replaces all rows of the files that changed, in the buckets that hold them, in all three tables."""
 
     def run(batch: DataFrame, _: int) -> None:
         latest = newest(batch, "path", "seq").persist()
         got = extract.parsed(latest.where("action != 'DELETE'")).persist()
         for name, column, rows in (("symbols", "file_path", extract.symbols_of(got)), ("chunks", "file_path", extract.chunks_of(got)), ("files", "path", extract.files_of(got))):
-            old = catalog.create(name)
-            catalog.write(name, old.join(latest.select(F.col("path").alias(column)), column, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+            catalog.replace(name, rows.select(*TABLES[name].names), latest.select(F.col("path").alias(column)), column)
         got.unpersist()
         latest.unpersist()
 
     return run
 
 
+def unless_locked(function, lock_path: str):
+    """A foreachBatch function that waits for nobody: a batch that comes while another run holds the lock fails at once, and is done again later."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        with lock(lock_path):
+            function(batch, number)
+
+    return run
+
+
 def start(stream: DataFrame, function, checkpoint: str) -> StreamingQuery:
     """All that is there now, then stop; started again it goes on where it was."""
     return stream.writeStream.foreachBatch(function).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -17,7 +17,7 @@ from corpusframe.plans import render
 from corpusframe.plans import validation as v
 from corpusframe.plans.api import Engine
 from corpusframe.sources import files, git, state
-from corpusframe.sources.catalog import Catalog
+from corpusframe.sources.catalog import Catalog, Conflict
 from corpusframe.streaming import index
 
 TREE = {
@@ -83,6 +83,12 @@ def test_search(engine):
     assert engine.search_code("bark", exclude_tests=False).where(paths.is_test(F.col("file_path"))).count()
     assert engine.search_code("kennel", file_types=("ts",)).select("language").distinct().collect()[0][0] == "typescript"
     assert engine.search_files("Food").first()["filename"] == "Food.java"
+    assert {r.extension for r in engine.search_files("Dog", extension=".java").collect()} == {"java"} and not engine.search_files("Dog", extension="py").count()
+    assert {r.module for r in engine.search_files("Food Kennel", module="app").collect()} == {"app"}
+    assert {r.file_path for r in engine.search_symbols("Dog", file_pattern="**/test/**/*.java")[0].collect()} == {"app/src/test/java/zoo/DogTest.java"}
+    assert {r.file_path for r in engine.search_symbols("Dog", file_pattern="zoo/Dog.java")[0].collect()} == {"app/src/main/java/zoo/Dog.java"}
+    assert {r.visibility for r in engine.search_symbols("Dog", visibility=("public", "protected"))[0].collect()} == {"public"}
+    assert {r.enclosing_class for r in engine.search_code("bark", enclosing_class="Dog").collect()} == {"Dog"}
     assert "Dog" in {r.text for r in engine.autocomplete("do").collect()}
     assert "Dog" in {r.text for r in engine.autocomplete("dug", fuzzy=True).collect()}
     shown = render.hits(best, "Dog")
@@ -91,6 +97,71 @@ def test_search(engine):
     assert "> " in render.context(engine.get_context(engine.sources, "README.md", 1, 1), "README.md", 1, 1)
 
 
+def test_the_term_index_scores_as_the_texts_do(engine):
+    from corpusframe.operators import postings
+    from corpusframe.schemas import TABLES, fields_with
+
+    for name, query in (("symbols", "Dog bark"), ("chunks", "food eat zoo"), ("files", "food java none")):
+        fields = fields_with(TABLES[name], "searchable")
+        want = {r.id: round(r.score, 9) for r in scoring.bm25(engine.catalog.open(name), query, fields).collect()}
+        index, sizes = engine.catalog.open(f"{name}_terms"), engine.catalog.open(f"{name}_lengths")
+        assert want and {r.id: round(r.score, 9) for r in postings.bm25(index, sizes, query, "id", fields).collect()} == want
+    plan = postings.bm25(index, sizes, "food", "id", fields)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [food])" in plan or "EqualTo(term,food)" in plan
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([(f"f{i % 50}", i) for i in range(500)], "path string, n int")
+    c.write_buckets("t", rows, "path", ["n"])
+    before = c._pointer("t")["buckets"]
+    fresh = spark.createDataFrame([("f1", -1), ("new", -2)], "path string, n int")
+    c.replace("t", fresh, spark.createDataFrame([("f1",), ("f2",), ("new",)], "path string"), "path")
+    got = {(r.path, r.n) for r in c.open("t").collect()}
+    assert got == {(f"f{i % 50}", i) for i in range(500) if i % 50 not in (1, 2)} | {("f1", -1), ("new", -2)}
+    after = c._pointer("t")["buckets"]
+    assert 0 < sum(before.get(b) != v for b, v in after.items()) <= 3
+    c.replace("t", fresh.limit(0), fresh.limit(0), "path")
+    assert c._pointer("t")["buckets"] == after
+    stale = c._pointer("t")
+    c.replace("t", fresh, fresh, "path")
+    with pytest.raises(Conflict):
+        c._switch("t", stale, stale)
+
+
+def test_runs_keep_apart_and_know_when_to_start_anew(spark, tmp_path):
+    root = tmp_path / "r"
+    write(root, {"a.py": "def one(): pass\n", "b.py": "def broken(:\n"})
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=A", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    e = Engine(spark, Catalog(spark, str(tmp_path / "c")), folder=str(tmp_path / "state"), repo=str(root))
+    sources = files.sources(spark, str(root))
+    assert e.reindex(sources).count() == 2
+    s = state.IndexState.load(e.state_path)
+    assert s.last_commit == git.head(str(root)) and s.last_branch and (s.total_files, s.parse_failures) == (2, ["b.py"]) and s.total_symbols == 1
+    assert e.reindex(sources).count() == 0
+    s.last_commit = "0" * 40  # a commit that a rewritten history has lost
+    s.save(e.state_path)
+    assert e.reindex(sources).count() == 2 and state.IndexState.load(e.state_path).last_commit == git.head(str(root))
+    with state.lock(tmp_path / "state/index.lock"):
+        assert e.trigger(sources) is None
+        with pytest.raises(state.Locked):
+            e.reindex(sources)
+    e.reindex(sources, encoder=embeddings.hashing_encoder)  # vectors that the index lacks: a full run
+    vector = [float(x) for x in embeddings.hashing_encoder()(["def one(): pass"])[0]]
+    assert "embedding" in e.catalog.open("chunks").columns and e.search_code("one", vector=vector).first()["file_path"] == "a.py"
+
+
+def test_unwanted_files_are_not_read(spark, tmp_path):
+    write(tmp_path, {"src/a b[1].py": "x = 1\n", "node_modules/c.js": "1", "lib.jar": "2", "d.md": "text\n"})
+    found = files.sources(spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {"src/a b[1].py", "d.md"}
+    assert {p.rsplit("/", 1)[1] for p in found.inputFiles()} == {"a%20b%5B1%5D.py", "d.md"}
+    assert files.sources(spark, str(tmp_path), suffixes=[".none"]).count() == 0
+
+
 def test_code_intelligence(engine):
     assert [r.qualified_name for r in engine.find_implementations("animal").collect()] == ["zoo.Dog"]
     assert "zoo.DogTest" in {r.qualified_name for r in engine.find_references("Dog").collect()}
@@ -172,7 +243,14 @@ def test_git_source(spark, repo, tmp_path):
     assert diff.files_changed == 1 and "-two\n+2" in diff.files[0]["diff"]
     assert [(r.subject, r.previous_sha) for r in e.file_history("b.txt").collect()] == [("rename", rows["second"].sha), ("second", rows["first: add | a"].sha), ("first: add | a", None)]
     assert e.file_history("b.txt", follow=False).count() == 1
-    assert git.git(repo, "no-such-command") is None and "rename" in render.commits(commits)
+    with pytest.raises(git.GitError):
+        git.git(repo, "no-such-command")
+    with pytest.raises(git.GitError):
+        git.git(repo + "/none", "log")
+    assert "rename" in render.commits(commits)
+    shown = {r.subject: r["diff"] for r in e.file_history("b.txt", include_diff=True).collect()}
+    assert "-two\n+2" in shown["second"] and "+++ b/a.txt" in shown["first: add | a"] and "--- /dev/null" in shown["first: add | a"]
+    assert git.exists(repo, rows["second"].sha) and not git.exists(repo, "0" * 40) and git.head(repo) == rows["rename"].sha and git.branch(repo)
     assert {(r.path, r.status) for r in incremental.as_changes(changes.where("status = 'R'")).collect()} == {("a.txt", "D"), ("b.txt", "M")}
 
 

@@ -111,6 +111,21 @@ def test_other_languages(path, text, names):
     assert got.imports or path in ("a.js", "a.cpp", "a.scala")
 
 
+@pytest.mark.parametrize(
+    ("path", "text", "imports", "package"),
+    [
+        ("A.java", "/* import no.no; */ package  a . b ;\nimport static  x.Y.z ;\nimport q.*;\nclass A { String s = \"import t.t;\"; }", ["x.Y.z", "q.*"], "a.b"),
+        ("a.py", "import os, sys as s\nfrom . import x\nfrom ..a.b import (c,\n d)\nif s:\n  import json\n't = 1; import no'\n", ["os", "sys", ".x", "..a.b", "json"], ""),
+        ("a.cs", "using System;\nglobal using A.B;\nusing static X.Y;\nusing Z = Q.R<int>;\n// using no.no;\nnamespace N.M;\nclass C { void f() { using (var x = 1) {} using var y = Foo(); } }", ["System", "A.B", "X.Y", "Q.R"], "N.M"),
+        ("a.kt", "package p.q\nimport a.b.C as D\nimport x.*\nimport `in`.y;\n// import no.no\nclass A { }", ["a.b.C", "x.*", "`in`.y"], "p.q"),
+        ("a.scala", "package p\nimport a.b.{C, D => E, F => _}, g.h\nimport q._\nobject A { }", ["a.b.C", "a.b.D", "g.h", "q._"], "p"),
+    ],
+)
+def test_imports(path, text, imports, package):
+    got = parse(path, text)
+    assert (got.imports, got.package) == (imports, package)
+
+
 def test_profiles():
     assert len(PROFILES) == 13 and BY_SUFFIX[".kt"].name == "kotlin" and ".tsx" in all_suffixes() and ".gradle" in all_suffixes()
 
