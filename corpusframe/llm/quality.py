@@ -3,7 +3,8 @@
 The content view sees a text's bytes: how often pairs of neighbouring bytes come (hashed), how words repeat, and layout counts.  The metadata
 view sees nothing of the text, only what the page's record says of it: source, language and length.  Two logistic regressions, one a view,
 start from the labelled rows; each round, each scores all unlabelled documents and gives the most confident share of them, as pseudo-labels, to the
-other.  The share grows from round to round.  Each view is then calibrated on labelled rows that neither has seen, and how the calibrated log odds are combined to score all documents is
+other, but none that its calibration on unseen labelled rows finds less likely than `CONFIDENT`: a view that can't tell gives nothing.  The share grows
+from round to round.  Each view is then calibrated on labelled rows that neither has seen, and how the calibrated log odds are combined to score all documents is
 fitted on others again.
 
 Scale: of the labelled rows the classifiers see about `LABELLED`, whole texts, chosen by a hash of the key; their features (some KB a
@@ -37,6 +38,7 @@ LAGS = 8
 SOURCE_DIMS, LANG_DIMS = 64, 16
 ROUNDS = 5
 GIVEN = 0.02  # of the unlabelled rows: by so much more of them a view labels in each round than in the one before
+CONFIDENT = 0.95  # and only rows that the view, calibrated on labelled rows that it has not seen, finds as likely good or bad
 THRESHOLD = 0.5
 FIT_TASKS = 8
 STEPS = 25
@@ -214,8 +216,8 @@ class Unlabelled:
                     for weights, cuts in history:
                         odds = odds_of(weights[1 - v], both[1 - v])
                         at, (low, high) = binned(odds), cuts[1 - v]
-                        label[(at <= low) & (odds < 0)] = 0
-                        label[(at >= high) & (odds > 0)] = 1
+                        label[at <= low] = 0
+                        label[at >= high] = 1
                     hit = np.flatnonzero(~np.isnan(label))
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), v, np.int32)), pa.array(label[hit]), _packed(both[v][hit])], names=["view", "label", "x"])
@@ -258,6 +260,9 @@ class CoTrained:
         if len(y) < 10 or self.constant in (0.0, 1.0):
             return
         test = np.arange(len(y)) % 4 == 3
+        fit, joined = np.flatnonzero(test)[::2], np.flatnonzero(test)[1::2]
+        if len(set(y[fit])) < 2 or len(set(y[joined])) < 2:
+            fit = joined = np.flatnonzero(test)  # too few labels to part them
         seen, ones = y[~test], np.ones(int((~test).sum()))
         self.models = [Logistic(labelled[v].shape[1]).fit(labelled[v][~test], seen, ones) for v in (0, 1)]
         pool, history = unlabelled(), []
@@ -269,7 +274,10 @@ class CoTrained:
                 break
             each = max(1, int(n * min(0.5, GIVEN * turn)))
             n_bad, n_good = max(1, int(each * (1 - self.constant))), max(1, int(each * self.constant))
-            cuts = [(int(at[np.searchsorted(np.cumsum(k), n_bad)]), int(at[::-1][np.searchsorted(np.cumsum(k[::-1]), n_good)])) for at, k in bins]
+            cuts = []
+            for v, (at, k) in enumerate(bins):
+                low, high = self._confident(weights[v], labelled[v][fit], y[fit])
+                cuts.append((min(low, int(at[np.searchsorted(np.cumsum(k), n_bad)])), max(high, int(at[::-1][np.searchsorted(np.cumsum(k[::-1]), n_good)]))))
             history.append((weights, cuts))
             given = pool.given(history)
             for m in self.models:
@@ -285,18 +293,27 @@ class CoTrained:
         dropped(pool.rows)
         for m in self.models:
             m.w = np.round(m.w, 6)
-        fit, joined = np.flatnonzero(test)[::2], np.flatnonzero(test)[1::2]
-        if len(set(y[joined])) < 2:
-            fit = joined = np.flatnonzero(test)  # too few labels to part them
-        self.scale = []
-        for v in (0, 1):
-            odds = self.models[v].odds(labelled[v][fit])[:, None]
-            line = Logistic(1, ridge=0.1).fit(odds, y[fit], np.ones(len(fit)))
-            self.scale.append((max(line.w[0], 0.0), line.w[1]))
+        self.scale = [self._line(self.models[v].w, labelled[v][fit], y[fit]) for v in (0, 1)]
         both = np.stack([self.view_odds(v, labelled[v][joined]) for v in (0, 1)], axis=1)
         joint = Logistic(2, ridge=0.1).fit(both, y[joined], np.ones(len(joined)))
         self.joint = (max(joint.w[0], 0.0), max(joint.w[1], 0.0), joint.w[2])
 
+    @staticmethod
+    def _line(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Calibrated log odds are a straight line of a view's own; a view that errs more than it is right says nothing."""
+        line = Logistic(1, ridge=0.1).fit(odds_of(w, x)[:, None], y, np.ones(len(y)))
+        return max(float(line.w[0]), 0.0), float(line.w[1])
+
+    @classmethod
+    def _confident(cls, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+        """Up to which bin of its log odds a view is confident that a row is bad, and from which on that it is good."""
+        a, b = cls._line(w, x, y)
+        if a < 1e-3:
+            return -(1 << 40), 1 << 40
+        sure = np.log(CONFIDENT / (1 - CONFIDENT))
+        low, high = ((s * sure - b) / a for s in (-1, 1))
+        return int(binned(np.array([low]))[0]) - 1, int(binned(np.array([high]))[0]) + 1
+
     def view_odds(self, v: int, x: np.ndarray) -> np.ndarray:
         a, b = self.scale[v]
         return a * self.models[v].odds(x) + b

@@ -510,7 +510,8 @@ def test_co_training_helps(spark):
         good = source % 2
         plain = i // 30 % 10 < 4  # four in ten texts are alike in good and bad sources
         text = prose(i, 40)
-        data.append((i, text if plain or good else text.upper().replace(" ", "!! "), "en", f"site{source}", 400, good, plain))
+        shown = text if plain else text.replace(" ", "; ") if good else text.upper().replace(" ", "!! ")
+        data.append((i, shown, "en", f"site{source}", 400, good, plain))
     docs = spark.createDataFrame([d[:5] for d in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     labels = spark.createDataFrame([(i, good) for i, *_, good, _ in data if i % 30 < 6 and i < 1_500], "doc_id long, quality int")
 
