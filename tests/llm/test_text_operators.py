@@ -538,7 +538,7 @@ def test_co_training_takes_its_share_of_all_unlabelled_documents(spark, monkeypa
 
     texts = [prose(i, 30) if i % 3 else prose(i, 20).upper().replace(" ", "!! ") for i in range(5_000)]
     data = spark.createDataFrame([(i, t, "en", f"s{i % 7}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
-    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 5_000, 50)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 5_000, 10)], "doc_id long, quality int")
     seen, real, sample, featured = [], quality.Unlabelled.given, [], quality._featured
 
     def given(self, history):
@@ -549,16 +549,16 @@ def test_co_training_takes_its_share_of_all_unlabelled_documents(spark, monkeypa
     monkeypatch.setattr(quality, "_featured", lambda found: sample.append(featured(found)) or sample[-1])
     monkeypatch.setattr(quality, "dropped", lambda df: None)
     model = quality.train(data, labels)
-    assert model.n_unlabelled == 4_900  # no labelled document, and no sample of the others
+    assert model.n_unlabelled == 4_500  # no labelled document, and no sample of the others
     assert len(seen) == quality.ROUNDS
     # the fit by sums on workers is the fit on all rows at once
     labelled, y = sample[0]
-    test = np.arange(100) % 4 == 3
+    test = np.arange(500) % 4 == 3
     for v in (0, 1):
         rows_ = seen[-1].where(F.col("view") == v).collect()
-        assert len(rows_) >= 0.02 * 4_900 * 0.9
+        assert len(rows_) >= 0.02 * 4_500 * 0.9
         x = np.concatenate([labelled[v][~test], np.stack([np.frombuffer(r.x, np.float32) for r in rows_])])
-        want = quality.Logistic(x.shape[1]).fit(x, np.r_[y[~test], [r.label for r in rows_]], np.r_[np.ones(75), np.full(len(rows_), 0.5)], steps=200)
+        want = quality.Logistic(x.shape[1]).fit(x, np.r_[y[~test], [r.label for r in rows_]], np.r_[np.ones(375), np.full(len(rows_), 0.5)], steps=200)
         assert np.abs(want.w - model.models[v].w).max() < 1e-4
 
 
