@@ -111,11 +111,11 @@ def file_history(commits: DataFrame, changes: DataFrame, path: str, limit: int =
     file's `diff` in each."""
     names = renames(changes, path) if follow else [path]
     touched = changes.where(F.col("path").isin(names)).select("sha", "path", "old_path", "status").dropDuplicates(["sha", "path"])
-    order = Window.orderBy("date", "sha")  # one file's commits only
-    out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), "sha").limit(limit)
+    order = Window.orderBy("date", "sha", "path")  # one file's commits only
+    out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), "sha", "path").limit(limit)
     if versions is not None:
         shown = diffs(versions_of(out.select("sha", "path", "old_path", "status"), versions.where(F.col("path").isin(names)), commits), context)
-        out = out.join(shown.select("sha", "path", "diff"), ["sha", "path"]).orderBy(F.desc("date"), "sha")
+        out = out.join(shown.select("sha", "path", "diff"), ["sha", "path"]).orderBy(F.desc("date"), "sha", "path")
     return out.drop("old_path").select(*[c for c in out.columns if c not in ("path", "status", "previous_sha", "diff", "old_path")], "path", "status", "previous_sha", *(["diff"] if versions is not None else []))
 
 

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import paths
 from corpusframe.functions.text import terms_of
+from corpusframe.operators.scoring import let
 
 
 @dataclass(frozen=True)
@@ -105,7 +104,7 @@ SNIPPET_CHARS, SNIPPET_CONTEXT, SNIPPETS = 300, 50, 3
 
 
 def snippets_of(text: str, terms: list[str], context: int = SNIPPET_CONTEXT, most: int = SNIPPETS, whole: int = SNIPPET_CHARS) -> list[str]:
-    """Up to three pieces of the text around matches, not two from the same stretch; the text's beginning if nothing matches."""
+    """What `snippets` gives for one text, for a page of hits that the driver shows."""
     find = re.compile("|".join(re.escape(t) for t in terms), re.IGNORECASE) if terms else None
     out: list[str] = []
     seen: set[int] = set()
@@ -121,13 +120,36 @@ def snippets_of(text: str, terms: list[str], context: int = SNIPPET_CONTEXT, mos
     return out or [text[:whole]]
 
 
-def snippets(text: Column, query: str) -> Column:
-    """array<string>: snippets_of each text.  Later pieces depend on earlier ones, so this is a pandas UDF."""
-    terms = terms_of(query, highlight=True)
-
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: snippets_of(t or "", terms))
+def snippets(text: Column, query: str, context: int = SNIPPET_CONTEXT, most: int = SNIPPETS, whole: int = SNIPPET_CHARS) -> Column:
+    """array<string>: up to `most` pieces of the text around matches, not two from the same stretch; the text's beginning if nothing matches.
 
-    return run(text)
+    What stands between the matches and the matches themselves have lengths, whose sums are the places; a piece's stretch never
+    decreases, so those that begin a stretch are the ones whose predecessor is of another."""
+    terms = terms_of(query, highlight=True)
+    t = F.coalesce(text, F.lit(""))
+    none = F.array(F.substring(t, 1, whole))
+    if not terms:
+        return none
+    find = "(?iu)" + "|".join(re.escape(x) for x in terms)
+
+    def found(x: Column) -> Column:
+        def starts(lengths: Column) -> Column:
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("all"))
+            step = lambda acc, n: F.struct((acc["at"] + n["gap"] + n["match"]).alias("at"), F.concat(acc["all"], F.array(F.struct((acc["at"] + n["gap"]).alias("a"), (acc["at"] + n["gap"] + n["match"]).alias("b")))).alias("all"))
+            return F.aggregate(lengths, begin, step, lambda acc: acc["all"])
+
+        def stretches(places: Column) -> Column:
+            stretch = lambda i: F.floor(F.greatest(F.get(places, i)["a"] - context, F.lit(0)) / context)
+            first = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda i: (i == 0) | (stretch(i) != stretch(i - 1)))
+            return F.transform(F.slice(first, 1, most), lambda i: F.get(places, i))
+
+        def piece(m: Column) -> Column:
+            start, end = F.greatest(m["a"] - context, F.lit(0)), F.least(m["b"] + context, F.length(x))
+            shown = F.regexp_replace(F.substring(x, start + 1, end - start), f"({find})", "**$1**")
+            return F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(end < F.length(x), "...").otherwise(""))
+
+        gaps, matches = F.split(x, find, -1), F.regexp_extract_all(x, F.lit(find), F.lit(0))
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match")))
+        return F.transform(let(starts(lengths), stretches), piece)
+
+    return F.when(t.rlike(find), let(t, found)).otherwise(none)

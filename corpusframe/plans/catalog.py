@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import paths
 from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
-from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, ranking, scoring, windows
+from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, postings, ranking, scoring, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,24 @@ def bm25_min_score(spark, d):
     return _score(scoring.bm25(_t(spark, d, "documents"), TERMS, ["text"], min_score=2.0).select("doc_id", "score"))
 
 
+@query(bm25_sql(TERMS) + "SELECT doc_id, round(score, 6) AS score FROM hits")
+def bm25_indexed(spark, d):
+    """From a term table, as a collection's index has it; all matches."""
+    docs = _t(spark, d, "documents")
+    return _score(postings.bm25(postings.postings(docs, "doc_id", ["text"]), postings.lengths(docs, "doc_id", ["text"]), TERMS, "doc_id", ["text"]))
+
+
+@query(
+    f"""
+WITH w AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most FROM tf GROUP BY term
+"""
+)
+def term_postings(spark, d):
+    found = postings.postings(_t(spark, d, "documents"), "doc_id", ["text"])
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.max("tf").cast("long").alias("most"))
+
+
 @query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 50")
 def match_all_filter(spark, d):
     return scoring.top(scoring.bm25(_t(spark, d, "documents"), "", ["text"], F.col("lang") == "fr").select("doc_id", "score"), 50, "doc_id")
@@ -238,9 +257,9 @@ def ttl_filter(spark, d):
     return _t(spark, d, "events").where(filters.alive(F.col("ts"), ttl, AS_OF)).select("event_id")
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id < 100")
+@query("SELECT page_id, url FROM pages")
 def source_projection(spark, d):
-    return _t(spark, d, "pages").where("page_id < 100").select("page_id", "url")
+    return _t(spark, d, "pages").select("page_id", "url")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN json_valid(props) THEN NULL ELSE props END AS raw FROM events")
@@ -340,7 +359,21 @@ def highlight_terms(spark, d):
     return docs.select("doc_id", F.md5(ranking.marked(F.col("text"), "worthless clown the")).alias("shown"))
 
 
-@query()
+_FIND = "(?i)worthless|clown"
+_PLACES = f"""
+WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '{_FIND}') AS g, regexp_extract_all(text, '{_FIND}') AS m FROM documents),
+     p AS (SELECT doc_id, text, list_transform(range(1, len(m) + 1), lambda k: [list_sum(list_transform(g[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0),
+       list_sum(list_transform(g[1:k], lambda x: len(x))) + list_sum(list_transform(m[1:k], lambda x: len(x)))]) AS places FROM d),
+     s AS (SELECT doc_id, text, list_filter(list_transform(places, lambda x: [greatest(x[1] - 50, 0), least(x[2] + 50, len(text))]),
+       lambda x, i: i = 1 OR greatest(places[i][1] - 50, 0) // 50 <> greatest(places[i - 1][1] - 50, 0) // 50)[1:3] AS spans FROM p)
+"""
+
+
+@query(
+    _PLACES
+    + f"""SELECT doc_id, CASE WHEN len(spans) = 0 THEN [left(text, 300)] ELSE list_transform(spans, lambda x: CASE WHEN x[1] > 0 THEN '...' ELSE '' END
+  || regexp_replace(substr(text, CAST(x[1] + 1 AS BIGINT), CAST(x[2] - x[1] AS BIGINT)), '({_FIND})', '**\\1**', 'g') || CASE WHEN x[2] < len(text) THEN '...' ELSE '' END) END AS snippets FROM s"""
+)
 def highlight_snippets(spark, d):
     return _t(spark, d, "documents").select("doc_id", ranking.snippets(F.col("text"), "worthless clown").alias("snippets"))
 
@@ -431,14 +464,35 @@ def truncate_response(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(txt.truncated(F.col("text"), 1000)).alias("shown"))
 
 
-# --- paths and source texts (inline fixtures) -------------------------------------------------------------------------------------------
+# --- paths and source texts, made of the keys of whole tables --------------------------------------------------------------------------
+
+
+def _made(df: DataFrame, key: str, **columns: str) -> DataFrame:
+    """Columns by SQL expressions over the key, which DuckDB reads the same way."""
+    return df.select(*[F.expr(sql.format(k=key)).alias(name) for name, sql in columns.items()])
+
+
+def _made_sql(table: str, key: str, columns: dict[str, str]) -> str:
+    return "(SELECT " + ", ".join(f"{sql.format(k=key)} AS {name}" for name, sql in columns.items()) + f" FROM {table})"
+
+
+def _text(*parts: str) -> str:
+    """A SQL expression that joins texts and expressions (in braces after a #) of the key."""
+    out = []
+    for part in parts:
+        for k, piece in enumerate(re.split(r"#\[([^\]]*)\]", part)):
+            if piece:
+                out.append(f"CAST({piece} AS STRING)" if k % 2 else "'" + piece.replace("'", "''") + "'")
+    return "concat(" + ", ".join(out) + ")"
+
 
 PATHS = ["app/core/src/main/java/a/B.java", "src/x.py", "tools/run.SH", "README.md", "a/node_modules/b.js", "lib/tests/T.java", "x/build/y.gradle", "pkg/z.tar", "../up.py", "/abs.py", "web/App.tsx", "Makefile"]
-_PATHS = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") AS v(path)"
+_EACH_PATH = {"path": "replace(CASE {k} % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS)) + " END, 'a', concat('a', {k}))"}
+_PATHS = _made_sql("part", "p_partkey", _EACH_PATH) + " AS v"
 
 
-def _paths(spark):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string")
+def _paths(spark, d):
+    return _made(_t(spark, d, "part"), "p_partkey", **_EACH_PATH)
 
 
 _LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
@@ -457,108 +511,198 @@ FROM {_PATHS}
 )
 def module_extract(spark, d):
     p = F.col("path")
-    return _paths(spark).select("path", paths.module(p).alias("module"), paths.indexable(p).alias("indexable"), paths.skipped(p).alias("skipped"), paths.is_test(p).alias("is_test"), paths.contained(p).alias("contained"))
+    return _paths(spark, d).select("path", paths.module(p).alias("module"), paths.indexable(p).alias("indexable"), paths.skipped(p).alias("skipped"), paths.is_test(p).alias("is_test"), paths.contained(p).alias("contained"))
 
 
-SOURCES = {
-    "a/A.java": "package com.acme.app;\n\nimport java.util.List;\nimport static com.acme.util.Text.trim;\nimport com.acme.model.*;\n\npublic class A extends Base implements Runnable, Comparable<A> {\n  private List<Item> items;\n  public void run() { trim(null); }\n}\n",
-    "b/B.java": "package com.acme.model;\n\nimport com.acme.app.A;\n\nclass B {\n  A a;\n}\n",
-    "c/C.java": "class C {}\n",
-}
-_SOURCES = "(VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in SOURCES.items()) + ") AS v(path, content)"
+#: A Java file for each part: its path and text, and what they hold.
+_JAVA = {
+    "path": _text("mod#[{k} % 5]/src/main/java/com/acme/p#[{k} % 20]/Part#[{k}].java"),
+    "content": _text(
+        "package com.acme.p#[{k} % 20];", "\n\n", "import com.acme.p#[{k} * 7 % 20].Part#[{k} * 7 % 500];", "\n", "import static com.acme.util.Text.trim;", "\n", "import com.acme.model.*;", "\n\n",
+        "public class Part#[{k}] extends Part#[{k} % 97] implements Runnable, Item#[{k} % 9] {{", "\n", "  private Box#[{k} % 11] box;", "\n", "  public void run(Part#[{k} % 13] other) {{ trim(null); }}", "\n}}\n",
+    ),
+}
+_SOURCES = _made_sql("part", "p_partkey", _JAVA) + " AS v"
 
 
-def _sources(spark):
-    return spark.createDataFrame(list(SOURCES.items()), "path string, content string")
+def _sources(spark, d):
+    return _made(_t(spark, d, "part"), "p_partkey", **_JAVA)
 
 
-_IMPORTS = r"regexp_extract_all(content, '(?m)^\s*import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;', 1)"
+_IMPORTS = r"regexp_extract_all(content, '(?m)^\s*import\s+(?:static\s+)?([\p{L}\p{N}_$.*]+)\s*;', 1)"
 
 
 @query(f"SELECT path, {_IMPORTS} AS imports FROM {_SOURCES}")
 def import_extract(spark, d):
-    return _sources(spark).select("path", src.java_imports(F.col("content")).alias("imports"))
+    return _sources(spark, d).select("path", src.java_imports(F.col("content")).alias("imports"))
 
 
 @query(f"SELECT path, list_sort(list_distinct(list_transform({_IMPORTS}, lambda i: array_to_string(string_split(i, '.')[1:3], '.')))) AS prefixes FROM {_SOURCES}")
 def import_prefixes(spark, d):
-    return _sources(spark).select("path", src.import_prefixes(src.java_imports(F.col("content"))).alias("prefixes"))
+    return _sources(spark, d).select("path", src.import_prefixes(src.java_imports(F.col("content"))).alias("prefixes"))
 
 
-@query(rf"SELECT path, regexp_extract(content, '(?m)^\s*package\s+([A-Za-z0-9_.]+)\s*;', 1) AS package FROM {_SOURCES}")
+@query(rf"SELECT path, regexp_extract(content, '(?m)^\s*package\s+([\p{{L}}\p{{N}}_$.]+)\s*;', 1) AS package FROM {_SOURCES}")
 def package_extract(spark, d):
-    return _sources(spark).select("path", src.java_package(F.col("content")).alias("package"))
+    return _sources(spark, d).select("path", src.java_package(F.col("content")).alias("package"))
 
 
 _MODIFIERS = ["public static", "protected final", "private", "", "static", "final public"]
+_MODIFIED = {"id": "{k}", "modifiers": "CASE {k} % 6 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MODIFIERS)) + " END"}
 
 
-@query("SELECT m AS modifiers, CASE WHEN contains(m, 'public') THEN 'public' WHEN contains(m, 'protected') THEN 'protected' WHEN contains(m, 'private') THEN 'private' ELSE 'package-private' END AS visibility FROM (VALUES " + ", ".join(f"('{m}')" for m in _MODIFIERS) + ") AS v(m)")
+@query(
+    "SELECT id, CASE WHEN contains(modifiers, 'public') THEN 'public' WHEN contains(modifiers, 'protected') THEN 'protected' WHEN contains(modifiers, 'private') THEN 'private' ELSE 'package-private' END AS visibility FROM "
+    + _made_sql("part", "p_partkey", _MODIFIED)
+)
 def visibility_java(spark, d):
-    return spark.createDataFrame([(m,) for m in _MODIFIERS], "modifiers string").select("modifiers", src.java_visibility(F.col("modifiers")).alias("visibility"))
+    return _made(_t(spark, d, "part"), "p_partkey", **_MODIFIED).select("id", src.java_visibility(F.col("modifiers")).alias("visibility"))
 
 
-_NAMED = [("python", "__x", "def __x():", "private"), ("python", "__init__", "def __init__(self):", "public"), ("python", "_y", "def _y():", "protected"), ("go", "Run", "func Run()", "public"), ("go", "run", "func run()", "private"), ("typescript", "f", "private f() {", "private"), ("c_sharp", "G", "internal void G()", "internal"), ("rust", "h", "fn h()", "public")]
+#: A declaration's language, name and first line, and how visible that makes it.
+_NAMED = [
+    ("python", "__x#", "def __x#():", "private"), ("python", "__init__", "def __init__(self):", "public"), ("python", "_y#", "def _y#():", "protected"), ("go", "Run#", "func Run#()", "public"),
+    ("go", "run#", "func run#()", "private"), ("typescript", "f#", "private f#() {{", "private"), ("c_sharp", "G#", "internal void G#()", "internal"), ("rust", "h#", "fn h#()", "public"),
+]
 
 
-@query("SELECT language, name, visibility FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{e}')" for a, b, _, e in _NAMED) + ") AS v(language, name, visibility)")
+def _of_each(column: int) -> str:
+    return "CASE {k} % 8 " + " ".join(f"WHEN {i} THEN replace('{x[column]}', '#', CAST({{k}} AS STRING))" for i, x in enumerate(_NAMED)) + " END"
+
+
+_DECLARED = {"id": "{k}", "language": _of_each(0), "name": _of_each(1), "line": _of_each(2)}
+
+
+@query("SELECT id, language, name, visibility FROM " + _made_sql("customer", "c_custkey", _DECLARED | {"visibility": _of_each(3)}))
 def visibility_generic(spark, d):
-    rows = spark.createDataFrame([x[:3] for x in _NAMED], "language string, name string, line string")
-    return rows.select("language", "name", src.visibility(F.col("language"), F.col("name"), F.col("line")).alias("visibility"))
+    rows = _made(_t(spark, d, "customer"), "c_custkey", **_DECLARED)
+    return rows.select("id", "language", "name", src.visibility(F.col("language"), F.col("name"), F.col("line")).alias("visibility"))
+
+
+_SHOWN = ["id", "name", "qualified_name", "signature", "kind", "visibility", "module", "package", "parent_class", "implements", "extends_class", "line_start", "line_end", "imports", "type_references"]
+
+
+def _expected(table: str, key: str, each: list[dict[str, str]]) -> str:
+    """SQL for the symbols that each file of a table must give."""
+    one = lambda c, x: f"CAST({x} AS INT)" if c.startswith("line") else x
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{one(c, x[c])} AS {c}".format(k=key) for c in _SHOWN) + f" FROM {table}" for x in each)
 
 
-@query()
+def _sorted_names(own: str, *names: str) -> str:
+    return "array_to_string(list_sort(list_filter(list_distinct([" + ", ".join(names) + f"]), lambda x: x <> {own})), ', ')"
+
+
+_CLASS, _QUALIFIED = _text("Part#[{k}]"), _text("com.acme.p#[{k} % 20].Part#[{k}]")
+_JAVA_COMMON = {"module": _text("mod#[{k} % 5]"), "package": _text("com.acme.p#[{k} % 20]"), "parent_class": _CLASS, "implements": "''", "extends_class": "''", "imports": "''", "type_references": "''"}
+_JAVA_SYMBOLS = [
+    _JAVA_COMMON
+    | {
+        "id": f"concat({_JAVA['path']}, '::class::', {_QUALIFIED})", "name": _CLASS, "qualified_name": _QUALIFIED, "signature": f"concat('class ', {_CLASS})", "kind": "'class'", "visibility": "'public'", "parent_class": "''",
+        "implements": _text("Runnable, Item#[{k} % 9]"), "extends_class": _text("Part#[{k} % 97]"), "line_start": "7", "line_end": "10", "imports": _text("com.acme.p#[{k} * 7 % 20].Part#[{k} * 7 % 500], com.acme.util.Text.trim, com.acme.model.*"),
+        "type_references": _sorted_names(_CLASS, _text("Part#[{k} % 97]"), "'Runnable'", _text("Item#[{k} % 9]"), _text("Box#[{k} % 11]"), _text("Part#[{k} % 13]")),
+    },
+    _JAVA_COMMON | {"id": f"concat({_JAVA['path']}, '::field::', {_QUALIFIED}, '.box')", "name": "'box'", "qualified_name": f"concat({_QUALIFIED}, '.box')", "signature": _text("private Box#[{k} % 11] box"), "kind": "'field'", "visibility": "'private'", "line_start": "8", "line_end": "8"},
+    _JAVA_COMMON
+    | {"id": f"concat({_JAVA['path']}, '::method::', {_QUALIFIED}, '#run(', {_text('Part#[{k} % 13]')}, ')')", "name": "'run'", "qualified_name": f"concat({_QUALIFIED}, '#run(', {_text('Part#[{k} % 13]')}, ')')", "signature": _text("run(Part#[{k} % 13])"), "kind": "'method'", "visibility": "'public'", "line_start": "9", "line_end": "9"},
+]
+
+
+@query(_expected("part", "p_partkey", _JAVA_SYMBOLS))
 def java_symbols(spark, d):
-    return extract.symbols_of(extract.parsed(_sources(spark)))
+    return extract.symbols_of(extract.parsed(_sources(spark, d))).select(*_SHOWN)
 
 
-@query()
-def python_symbols(spark, d):
-    code = "import os\nfrom json import loads\n\nLIMIT = 3\n\nclass Box(Base):\n    def open(self):\n        return loads('1')\n\ndef _helper():\n    pass\n"
-    return extract.symbols_of(extract.parsed(spark.createDataFrame([("pkg/box.py", code)], "path string, content string")))
+_RUN = _text("run(Part#[{k} % 13])")
+_RUN_TEXT = _text("  public void run(Part#[{k} % 13] other) {{ trim(null); }}")
+_SUMMARY = _text("class Part#[{k}] extends Part#[{k} % 97] implements Runnable, Item#[{k} % 9]", "\n  public run(Part#[{k} % 13])")
+
+
+@query(
+    (
+        f"SELECT concat({_JAVA['path']}, '::method_chunk::', {_QUALIFIED}, '#', {_RUN}) AS id, 'method' AS kind, md5(concat('// ', {_JAVA['path']}, ' :: ', {_CLASS}, ' :: ', {_QUALIFIED}, '#', {_RUN}, chr(10), ltrim({_RUN_TEXT}))) AS content, CAST(9 AS INT) AS line_start FROM part"
+        f" UNION ALL SELECT concat({_JAVA['path']}, '::class_summary::', {_QUALIFIED}), 'class_summary', md5(concat('// ', {_JAVA['path']}, ' :: ', {_QUALIFIED}, chr(10), {_SUMMARY})), CAST(7 AS INT) FROM part"
+    ).format(k="p_partkey")
+)
+def java_chunks(spark, d):
+    return extract.chunks_of(extract.parsed(_sources(spark, d))).select("id", "kind", F.md5("content").alias("content"), "line_start")
+
 
+_PYTHON = {
+    "path": _text("pkg#[{k} % 3]/box#[{k}].py"),
+    "content": _text("import os", "\nfrom lib.m#[{k} % 7] import loads\n\nLIMIT = #[{k}]\n\nclass Box#[{k}](Base#[{k} % 4]):\n    def open_#[{k} % 3](self):\n        return Thing#[{k} % 5]()\n\ndef _helper():\n    pass\n"),
+}
+_PYTHON_COMMON = {"visibility": "'public'", "module": _text("pkg#[{k} % 3]"), "package": "''", "parent_class": "''", "implements": "''", "extends_class": "''", "imports": "''", "type_references": "''"}
+_OPEN = _text("Box#[{k}].open_#[{k} % 3]")
+_PYTHON_SYMBOLS = [
+    _PYTHON_COMMON | {"id": f"concat({_PYTHON['path']}, '::field::LIMIT')", "name": "'LIMIT'", "qualified_name": "'LIMIT'", "signature": _text("LIMIT = #[{k}]"), "kind": "'field'", "line_start": "4", "line_end": "4"},
+    _PYTHON_COMMON
+    | {
+        "id": f"concat({_PYTHON['path']}, '::class::', {_text('Box#[{k}]')})", "name": _text("Box#[{k}]"), "qualified_name": _text("Box#[{k}]"), "signature": _text("class Box#[{k}](Base#[{k} % 4]):"), "kind": "'class'", "extends_class": _text("Base#[{k} % 4]"),
+        "line_start": "6", "line_end": "8", "type_references": _text("Base#[{k} % 4], Thing#[{k} % 5]"),
+    },
+    _PYTHON_COMMON | {"id": f"concat({_PYTHON['path']}, '::method::', {_OPEN})", "name": _text("open_#[{k} % 3]"), "qualified_name": _OPEN, "signature": _text("def open_#[{k} % 3](self):"), "kind": "'method'", "parent_class": _text("Box#[{k}]"), "line_start": "7", "line_end": "8", "type_references": _text("Thing#[{k} % 5]")},
+    _PYTHON_COMMON | {"id": f"concat({_PYTHON['path']}, '::function::_helper')", "name": "'_helper'", "qualified_name": "'_helper'", "signature": "'def _helper():'", "kind": "'function'", "visibility": "'protected'", "line_start": "10", "line_end": "11"},
+]
+
+
+@query(_expected("customer", "c_custkey", _PYTHON_SYMBOLS))
+def python_symbols(spark, d):
+    return extract.symbols_of(extract.parsed(_made(_t(spark, d, "customer"), "c_custkey", **_PYTHON))).select(*_SHOWN)
 
-# --- code intelligence over planted symbols ---------------------------------------------------------------------------------------------
 
-SYMBOLS = [
-    ("Dog", "zoo.Dog", "class", "zoo/Dog.java", 1, "Animal, zoo.api.Pet", "Base", "Owner,Food", "zoo.api.Pet, java.util.List", "@Named"),
-    ("Cat", "zoo.Cat", "class", "zoo/Cat.java", 1, "animal", "", "Food", "zoo.food.Food", ""),
-    ("Puppy", "zoo.Puppy", "class", "zoo/Puppy.java", 1, "", "zoo.Dog", "Dog", "zoo.Dog", ""),
-    ("Food", "zoo.food.Food", "class", "zoo/food/Food.java", 1, "", "", "", "", ""),
-    ("Shop", "shop.Shop", "class", "shop/Shop.java", 1, "", "", "Food,Puppy", "zoo.food.Food, zoo.Puppy.Toy", "Food"),
-    ("open", "shop.Shop#open()", "method", "shop/Shop.java", 5, "", "", "Puppy", "", ""),
+_GO = {
+    "path": _text("cmd/m#[{k} % 3]/box#[{k}].go"),
+    "content": _text('package m#[{k} % 3]\n\nimport (\n\t"fmt"\n)\n\ntype Box#[{k}] struct {{\n\tn int\n}}\n\nfunc (b *Box#[{k}]) Open() int {{\n\treturn b.n\n}}\n'),
+}
+_GO_COMMON = {"visibility": "'public'", "module": "'cmd'", "package": _text("m#[{k} % 3]"), "parent_class": "''", "implements": "''", "extends_class": "''", "imports": "''", "type_references": "''"}
+_GO_BOX, _GO_OPEN = _text("m#[{k} % 3].Box#[{k}]"), _text("m#[{k} % 3].Open")
+_GO_SYMBOLS = [
+    _GO_COMMON | {"id": f"concat({_GO['path']}, '::class::', {_GO_BOX})", "name": _text("Box#[{k}]"), "qualified_name": _GO_BOX, "signature": _text("type Box#[{k}] struct {{"), "kind": "'class'", "line_start": "7", "line_end": "9"},
+    _GO_COMMON | {"id": f"concat({_GO['path']}, '::function::', {_GO_OPEN})", "name": "'Open'", "qualified_name": _GO_OPEN, "signature": _text("func (b *Box#[{k}]) Open() int {{"), "kind": "'function'", "line_start": "11", "line_end": "13"},
 ]
-_COLUMNS = "name, qualified_name, kind, file_path, line_start, implements, extends_class, type_references, imports, annotations"
-_SYMBOLS = "(VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in s) + ")" for s in SYMBOLS) + f") AS s({_COLUMNS})"
-FILES = [("zoo/Dog.java", "zoo", "Dog"), ("zoo/Cat.java", "zoo", "Cat"), ("zoo/Puppy.java", "zoo", "Puppy, Toy"), ("zoo/food/Food.java", "zoo.food", "Food"), ("shop/Shop.java", "shop", "Shop")]
-_FILES = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in FILES) + ") AS f(path, package, class_names)"
+
+
+@query(_expected("supplier", "s_suppkey", _GO_SYMBOLS))
+def go_symbols(spark, d):
+    return extract.symbols_of(extract.parsed(_made(_t(spark, d, "supplier"), "s_suppkey", **_GO))).select(*_SHOWN)
+
+
+# --- code intelligence over one symbol and file for each part --------------------------------------------------------------------------
+
+_EACH_SYMBOL = {
+    "name": _text("Part#[{k}]"), "qualified_name": _QUALIFIED, "kind": "'class'", "file_path": _JAVA["path"], "line_start": "CAST(7 AS INT)", "implements": _text("Runnable, com.acme.api.Item#[{k} % 9]"), "extends_class": _text("Part#[{k} % 97]"),
+    "type_references": _text("Part#[{k} % 13], Box#[{k} % 11]"), "imports": _text("com.acme.p#[{k} * 7 % 20].Part#[{k} * 7 % 500], com.acme.util.Text, com.acme.p#[{k} % 20].Part#[{k}].Inner"), "annotations": "CASE WHEN {k} % 10 = 0 THEN 'Text' ELSE '' END",
+}
+_EACH_FILE = {"path": _JAVA["path"], "package": _text("com.acme.p#[{k} % 20]"), "class_names": "CASE WHEN {k} % 6 = 0 THEN " + _text("Part#[{k}], Inner#[{k}]") + " ELSE " + _text("Part#[{k}]") + " END"}
+_SYMBOLS = _made_sql("part", "p_partkey", _EACH_SYMBOL) + " AS s"
+_FILES = _made_sql("part", "p_partkey", _EACH_FILE) + " AS f"
 _SPLIT = "list_transform(string_split({0}, ','), lambda x: trim(x))"
 _HAS = "len(list_filter(" + _SPLIT + ", lambda x: lower(x) = '{1}' OR lower(string_split(x, '.')[-1]) = '{1}')) > 0"
 
 
-def _symbols(spark):
-    return spark.createDataFrame(SYMBOLS, ", ".join(f"{c.strip()} {'int' if c.strip() == 'line_start' else 'string'}" for c in _COLUMNS.split(",")))
+def _symbols(spark, d):
+    return _made(_t(spark, d, "part"), "p_partkey", **_EACH_SYMBOL)
 
 
-def _files(spark):
-    return spark.createDataFrame(FILES, "path string, package string, class_names string")
+def _files(spark, d):
+    return _made(_t(spark, d, "part"), "p_partkey", **_EACH_FILE)
 
 
-def _imports(spark):
-    return _symbols(spark).select("file_path", F.explode(txt.list_of(F.col("imports"))).alias("import")).distinct()
+def _imports(spark, d):
+    return _symbols(spark, d).select("file_path", F.explode(txt.list_of(F.col("imports"))).alias("import")).distinct()
 
 
 _EDGES = f"i AS (SELECT DISTINCT file_path, unnest({_SPLIT.format('imports')}) AS imp FROM {_SYMBOLS} WHERE imports != '')"
 
 
-@query(f"SELECT qualified_name, CASE WHEN {_HAS.format('implements', 'animal')} THEN 'implements' ELSE 'extends' END AS relationship FROM {_SYMBOLS} WHERE {_HAS.format('implements', 'animal')} OR {_HAS.format('extends_class', 'animal')}")
+@query(f"SELECT qualified_name, CASE WHEN {_HAS.format('implements', 'item3')} THEN 'implements' ELSE 'extends' END AS relationship FROM {_SYMBOLS} WHERE {_HAS.format('implements', 'item3')} OR {_HAS.format('extends_class', 'item3')}")
 def find_implementations(spark, d):
-    return codeintel.find_implementations(_symbols(spark), "Animal").select("qualified_name", "relationship")
+    return codeintel.find_implementations(_symbols(spark, d), "Item3").select("qualified_name", "relationship")
 
 
-@query(f"SELECT qualified_name, CASE WHEN list_contains({_SPLIT.format('type_references')}, 'Food') THEN 'references' ELSE 'imports' END AS relationship FROM {_SYMBOLS} WHERE name != 'Food' AND (list_contains({_SPLIT.format('type_references')}, 'Food') OR contains(imports, 'Food'))")
+@query(f"SELECT qualified_name, CASE WHEN list_contains({_SPLIT.format('type_references')}, 'Part5') THEN 'references' ELSE 'imports' END AS relationship FROM {_SYMBOLS} WHERE name != 'Part5' AND (list_contains({_SPLIT.format('type_references')}, 'Part5') OR contains(imports, 'Part5'))")
 def find_references(spark, d):
-    return codeintel.find_references(_symbols(spark), "Food").select("qualified_name", "relationship")
+    return codeintel.find_references(_symbols(spark, d), "Part5").select("qualified_name", "relationship")
 
 
 @query(
@@ -569,7 +713,7 @@ SELECT file_path, imp AS import, coalesce(arg_min(kind, line_start) FILTER (kind
 """
 )
 def classify_imports(spark, d):
-    return codeintel.classify_imports(_imports(spark), _symbols(spark))
+    return codeintel.classify_imports(_imports(spark, d), _symbols(spark, d))
 
 
 @query(
@@ -580,20 +724,20 @@ SELECT x.file_path, imp AS import, coalesce(a.path, b.path) AS file FROM x LEFT
 """
 )
 def resolve_imports(spark, d):
-    return codeintel.resolve_imports(_imports(spark), _files(spark))
+    return codeintel.resolve_imports(_imports(spark, d), _files(spark, d))
 
 
 @query(
     f"""
-WITH t AS (SELECT path AS target, unnest({_SPLIT.format('class_names')}) AS class FROM {_FILES} WHERE package LIKE 'zoo%'),
+WITH t AS (SELECT path AS target, unnest({_SPLIT.format('class_names')}) AS class FROM {_FILES} WHERE package = 'com.acme.p3'),
      r AS (SELECT target, file_path AS file, class, CASE WHEN list_contains({_SPLIT.format('type_references')}, class) THEN 'references' ELSE 'imports' END AS via FROM t JOIN {_SYMBOLS} ON name != class
            AND (list_contains({_SPLIT.format('type_references')}, class) OR len(list_filter({_SPLIT.format('imports')}, lambda x: list_contains(string_split(x, '.'), class))) > 0) WHERE file_path != target)
 SELECT target, file, class, via FROM (SELECT *, row_number() OVER (PARTITION BY target, file ORDER BY via DESC, class) AS k FROM r) WHERE k = 1
 """
 )
 def reverse_deps(spark, d):
-    files = _files(spark)
-    return codeintel.reverse_dependencies(_symbols(spark), files, files.where("package LIKE 'zoo%'").select("path"))
+    files = _files(spark, d)
+    return codeintel.reverse_dependencies(_symbols(spark, d), files, files.where("package = 'com.acme.p3'").select("path"))
 
 
 @query(
@@ -612,12 +756,20 @@ def transitive_deps(spark, d):
 # --- history and maintenance ------------------------------------------------------------------------------------------------------------
 
 
+#: Some changes are renamings.
+_OLD_PATH = "CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN concat('p/', CAST(l_partkey * 13 % 200 + 1 AS STRING)) END"
+_NAMES = f"""
+WITH RECURSIVE ren AS (SELECT DISTINCT concat('p/', CAST(l_partkey AS STRING)) AS path, {_OLD_PATH} AS old_path FROM lineitem WHERE l_linenumber = 6 AND l_returnflag = 'R'),
+     names AS (SELECT 'p/12' AS name UNION SELECT old_path FROM names JOIN ren ON path = name)
+"""
+
+
 def _commits(spark, d):
     return _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.col("o_custkey").cast("string").alias("author_name"), F.lit("").alias("author_email"), F.col("o_orderdate").alias("date"), F.col("o_orderpriority").alias("subject"))
 
 
 def _changes(spark, d):
-    return _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("delta"))
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), F.expr(_OLD_PATH).alias("old_path"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("delta"))
 
 
 @query(
@@ -638,26 +790,40 @@ def commit_diff_summary(spark, d):
 
 
 @query(
-    """
-WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS date, l_returnflag AS status, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 12)
-SELECT sha, date, lag(sha) OVER (ORDER BY date, sha) AS previous_sha FROM (SELECT DISTINCT sha, date FROM h) ORDER BY date DESC, sha LIMIT 15
+    _NAMES
+    + """, h AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS date, concat('p/', CAST(l_partkey AS STRING)) AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE concat('p/', CAST(l_partkey AS STRING)) IN (SELECT name FROM names))
+SELECT sha, path, date, lag(sha) OVER (ORDER BY date, sha, path) AS previous_sha FROM h ORDER BY date DESC, sha, path LIMIT 15
 """
 )
 def file_history(spark, d):
-    changes = _changes(spark, d).where("path = 'p/12'").dropDuplicates(["sha", "path"])
-    return history.file_history(_commits(spark, d), changes, "p/12").select("sha", "date", "previous_sha")
+    return history.file_history(_commits(spark, d), _changes(spark, d), "p/12").select("sha", "path", "date", "previous_sha")
+
+
+@query(_NAMES + "SELECT name FROM names")
+def rename_chain(spark, d):
+    return spark.createDataFrame([(n,) for n in history.renames(_changes(spark, d), "p/12")], "name string")
+
+
+_VERSION = "concat('one', chr(10), 'line ', CAST({k} AS STRING), chr(10), 'three', chr(10))"
 
 
 @query(
     """
-WITH RECURSIVE r(old_path, path) AS (VALUES ('a.py', 'b.py'), ('b.py', 'c/b.py'), ('c/b.py', 'c/d.py'), ('x.py', 'y.py')),
-     w AS (SELECT 'c/d.py' AS name, 0 AS step UNION ALL SELECT old_path, step + 1 FROM w JOIN r ON path = name)
-SELECT name, CAST(step AS INT) AS step FROM w
+WITH e AS (SELECT CAST(o_orderkey AS VARCHAR) AS sha, concat('f/', CAST(o_custkey AS STRING)) AS path, o_orderdate AS date, o_orderkey AS k FROM orders),
+     l AS (SELECT *, lag(k) OVER (PARTITION BY path ORDER BY date, k) AS before, count(*) OVER (PARTITION BY path, date) AS same FROM e)
+SELECT sha, path, md5(CASE WHEN before IS NULL THEN concat('--- /dev/null', chr(10), '+++ b/', path, chr(10), '@@ -0,0 +1,3 @@', chr(10), '+one', chr(10), '+line ', CAST(k AS STRING), chr(10), '+three')
+  ELSE concat('--- a/', path, chr(10), '+++ b/', path, chr(10), '@@ -1,3 +1,3 @@', chr(10), ' one', chr(10), '-line ', CAST(before AS STRING), chr(10), '+line ', CAST(k AS STRING), chr(10), ' three') END) AS diff
+FROM l WHERE path IN (SELECT path FROM l GROUP BY path HAVING max(same) = 1)
 """
 )
-def rename_chain(spark, d):
-    changes = spark.createDataFrame([("a.py", "b.py"), ("b.py", "c/b.py"), ("c/b.py", "c/d.py"), ("x.py", "y.py")], "old_path string, path string")
-    return spark.createDataFrame([(n, i) for i, n in enumerate(history.renames(changes, "c/d.py"))], "name string, step int")
+def commit_diffs(spark, d):
+    """The diff of each change against the file's newest version before it; of files that no two commits of one moment change."""
+    commits = _commits(spark, d)
+    changes = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("f/"), F.col("o_custkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("M").alias("status"), F.col("o_orderdate").alias("moment"))
+    versions = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("f/"), F.col("o_custkey").cast("string")).alias("path"), F.expr(_VERSION.format(k="o_orderkey")).alias("content"))
+    at_once = changes.groupBy("path", "moment").count().where("count > 1").select("path")
+    kept = changes.drop("moment").join(at_once, "path", "left_anti")
+    return history.diffs(history.versions_of(kept, versions, commits)).select("sha", "path", F.md5("diff").alias("diff"))
 
 
 _SNAPSHOTS = "b AS (SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 10 != 0), a AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS size FROM part WHERE p_partkey % 11 != 0)"
@@ -698,25 +864,28 @@ def staleness(spark, d):
     return incremental.staleness(orders.where("o_orderdate < '1998-01-01'"), orders, "o_orderkey")
 
 
-@query("SELECT path, status FROM (SELECT p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'git' WHEN p_partkey % 3 = 0 THEN 'unstaged' ELSE 'mtime' END AS status FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0)")
+@query("SELECT n_nationkey AS path, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'git' WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'unstaged' ELSE 'mtime' END AS status FROM nation")
 def change_union(spark, d):
-    part, k = _t(spark, d, "part"), F.col("p_partkey")
-    parts = [part.where(k % n == 0).select(k.alias("path"), F.lit(s).alias("status")) for n, s in ((2, "git"), (3, "unstaged"), (5, "mtime"))]
-    return collections.prior(parts, "path")
+    parts = [("supplier", "s_nationkey", "git"), ("customer", "c_nationkey", "unstaged"), ("nation", "n_nationkey", "mtime")]
+    return collections.prior([_t(spark, d, t).select(F.col(c).alias("path"), F.lit(s).alias("status")) for t, c, s in parts], "path")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 10)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_collections(spark, d):
-    there = _t(spark, d, "supplier").where("s_suppkey <= 10").select(F.col("s_nationkey").alias("n_nationkey"))
-    return collections.missing(_t(spark, d, "nation").select("n_nationkey"), there, "n_nationkey")
+    return collections.missing(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT cwd, arg_max(root, len(root)) AS root FROM (VALUES ('/home/a/x/src'), ('/home/a'), ('/opt/z/q')) AS v(cwd), (VALUES ('/home/a'), ('/home/a/x'), ('/opt/z')) AS r(root) WHERE cwd = root OR starts_with(cwd, root || '/') GROUP BY cwd")
+_ROOTS = [f"/home/u{i}" for i in range(0, 50, 2)] + [f"/home/u{i}/r3" for i in range(50)] + ["/home/u7/r3/src"]
+_FOLDER = {"id": "{k}", "cwd": _text("/home/u#[{k} % 50]/r#[{k} % 7]/src")}
+
+
+@query(
+    "SELECT DISTINCT cwd, arg_max(root, len(root)) AS root FROM " + _made_sql("customer", "c_custkey", _FOLDER) + ", (VALUES " + ", ".join(f"('{r}')" for r in _ROOTS) + ") AS r(root) WHERE cwd = root OR starts_with(cwd, root || '/') GROUP BY cwd"
+)
 def repo_by_folder(spark, d):
     from corpusframe.sources import registry
 
-    folders = spark.createDataFrame([("/home/a/x/src",), ("/home/a",), ("/opt/z/q",)], "cwd string")
-    return registry.owner(registry.registry(spark, ["/home/a", "/home/a/x", "/opt/z"]), folders).select("cwd", "root")
+    return registry.owner(registry.registry(spark, _ROOTS), _made(_t(spark, d, "customer"), "c_custkey", **_FOLDER)).select("cwd", "root")
 
 
 @query("SELECT page_id, CAST(count(*) AS BIGINT) AS links, count(DISTINCT h) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY page_id")

@@ -319,6 +319,18 @@ def test_snippets():
     assert got[0].replace("**", "").strip(".") in text
 
 
+def test_snippets_in_a_plan(spark):
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["needle ", "Needle", "thread.", "x" * 30, "ä\n", " "]) for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, "", "needle"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(ranking.snippets(F.col("t"), "needle thread").alias("s"))
+    assert [x.s for x in found.collect()] == [ranking.snippets_of(t or "", ["needle", "thread"]) for t in texts]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows.select(ranking.snippets(F.col("t"), "the").alias("s")).first().s == [texts[0][:300]]
+
+
 @pytest.mark.parametrize("bad", ["(a", "a AND", "NOT", "a )", "OR b"])
 def test_query_strings_that_are_broken(spark, bad):
     with pytest.raises(ValueError):
