@@ -1,4 +1,9 @@
-"""A training-data pipeline: each stage takes all documents that its predecessor kept."""
+"""A training-data pipeline: each stage takes all documents that its predecessor kept.
+
+Five stages, as they are dealt: quality classifier, near duplicates, benchmark passages, personal data, token ids.  The first four hand on the
+columns of the documents, whatever they are called; the last adds n_tokens, ids and the digests of ids and decoded bytes to them.  WARC archives,
+conversations, language, repeated passages and quality rules are operators of their own (`corpusframe.llm`).
+"""
 
 from __future__ import annotations
 
