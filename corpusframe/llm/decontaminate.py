@@ -7,7 +7,7 @@ locates them by sampled suffix positions; overlapping occurrences merge into rem
 (among the benchmark's phrases) is in the shard are searched, so a shard's cost follows what it shares with the benchmark and not the
 benchmark's size.
 
-The benchmark is the query set.  Its words and phrases are broadcast in blocks of `BLOCK_BYTES` of text, as flat arrays of about 20 bytes a
+The benchmark is the query set.  Its words and phrases are broadcast in blocks of `BLOCK_BYTES` of text, as flat arrays of about 24 bytes a
 word.  A larger benchmark has more blocks: a task reads one after the other for each batch of rows and holds one at a time, in one
 pass over the documents, without a shuffle.
 
@@ -48,21 +48,24 @@ class Phrases:
         owner = np.searchsorted(np.array(self.names, dtype=object), np.array(said, dtype=object)) if items else np.zeros(0, np.int64)
         counts = found.counts()
         often = np.bincount(number, minlength=len(numbers) + 1)
-        #: For each length: the phrases, one a row; which of them have each word as their rarest (where the word's begin, and the phrases); their items likewise.
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.number = number
+        #: For each length: where each phrase begins in `number`; which phrases have each word as their rarest (where the word's begin, and the phrases);
+        #: their items likewise.
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for length in sorted({min(int(c), window) for c in counts if c}):
             own = np.flatnonzero(counts == length) if length < window else np.flatnonzero(counts >= window)
             n = counts[own] - length + 1
             at = np.repeat(found.first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             rows = np.stack([number[at + k] for k in range(length)], axis=1)
             _, head, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{4 * length}").ravel(), return_index=True, return_inverse=True)
-            table_ = rows[head]
+            rows = rows[head]
             pair = np.unique(inverse.astype(np.int64) * len(self.names) + np.repeat(owner[own], n))
-            item_at = np.searchsorted(pair // len(self.names), np.arange(len(table_) + 1))
-            rarest = table_[np.arange(len(table_)), often[table_].argmin(axis=1)]
+            item_at = np.searchsorted(pair // len(self.names), np.arange(len(rows) + 1))
+            rarest = rows[np.arange(len(rows)), often[rows].argmin(axis=1)]
             order = np.argsort(rarest, kind="stable")
-            self.by_length.append((table_, np.searchsorted(rarest[order], np.arange(len(numbers) + 2)), order, item_at, pair % len(self.names)))
-        self.shortest = min((t.shape[1] for t, *_ in self.by_length), default=0)
+            flat = (at[head], np.searchsorted(rarest[order], np.arange(len(numbers) + 2)), order, item_at, pair % len(self.names))
+            self.by_length.append((length, *(x.astype(np.int32) for x in flat)))
+        self.shortest = min((length for length, *_ in self.by_length), default=0)
         self.seed, self.sorted = 0, np.zeros(0, np.uint64)
         self.text = np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8)
         self.begins = np.cumsum([0, *map(len, self.vocabulary)])
@@ -125,13 +128,13 @@ def search(w: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarr
     index = FmIndex(sequence, len(phrases.vocabulary))
     there = np.unique(symbols[kept])
     out = [(none, none, none)]
-    for table_, rare_at, by_rarest, item_at, owners in phrases.by_length:
+    for length, begin, rare_at, by_rarest, item_at, owners in phrases.by_length:
         wanted = by_rarest[_ranges(rare_at[there], rare_at[there + 1])]
         if len(wanted):
-            phrase, position = index.locate(*index.find(table_[wanted].astype(np.int64)))
+            phrase, position = index.locate(*index.find(phrases.number[begin[wanted][:, None] + np.arange(length)].astype(np.int64)))
             phrase = wanted[phrase]
             sizes = item_at[phrase + 1] - item_at[phrase]
-            out.append((np.repeat(word_at[position], sizes), np.full(int(sizes.sum()), table_.shape[1]), owners[_ranges(item_at[phrase], item_at[phrase + 1])]))
+            out.append((np.repeat(word_at[position], sizes), np.full(int(sizes.sum()), length), owners[_ranges(item_at[phrase], item_at[phrase + 1])]))
     return tuple(np.concatenate([o[k] for o in out]).astype(np.int64) for k in range(3))
 
 

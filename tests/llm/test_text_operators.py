@@ -662,6 +662,26 @@ def test_contamination(spark, sf, docs, none):
     assert decontaminate.find_contamination(none, items).count() == 0 and decontaminate.find_contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_hundred_thousand_phrases():
+    """Flat arrays of some 24 bytes a word and the vocabulary; a shard's search finds what is planted, and only that."""
+    import random
+
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=60))) for i in range(2_000)]
+    phrases = decontaminate.Phrases(items)
+    n = sum(len(a) for _, a, *_ in phrases.by_length)
+    assert n >= 100_000
+    assert phrases.number.nbytes + sum(x.nbytes for of in phrases.by_length for x in of[1:]) < 30 * 120_000
+    planted = [" ".join(items[k][1].split()[10:25]) for k in (5, 77, 1999)]
+    texts = [" ".join(r.choices(vocabulary, k=3_000)) + " stop " + p + " stop" for p in planted] + ["nothing here"]
+    w = tb.words(pa.array(texts), tb.ALNUM, True)
+    at, length, item = decontaminate.search(w, phrases)
+    row = np.searchsorted(w.first, at, side="right") - 1
+    assert Counter(zip(row.tolist(), [int(phrases.names[i]) for i in item], strict=True)) == {(0, 5): 6, (1, 77): 6, (2, 1999): 6} and set(length.tolist()) == {10}
+    assert sorted((at - w.first[row]).tolist()) == sorted([*range(3_001, 3_007)] * 3)
+
+
 def test_fm_index():
     rng = np.random.default_rng(5)
     for alphabet in (1, 2, 7):
