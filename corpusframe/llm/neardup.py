@@ -10,7 +10,8 @@ the bands of their unweighted shingles as well, whose registers agree with the s
 a pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS at least.
 
 Scale and skew: equal word sequences are one node, by a map-side combined group.  In a bucket of any size only the leader (the
-node with most company over all bands) is compared with the others: links grow with the members, not their square.  Where a bucket's
+node with most company over all bands) is compared with the others: links grow with the members, not their square, and the join with
+the leaders is salted (`common.salted`).  Where a bucket's
 members are still in different components after that, untested pairs between components are verified too: all in a bucket of
 `SMALL_BUCKET` nodes at most, and in larger ones those that an exact prefix filter on the shingle sets leaves.  So no link that banding finds
 is lost and no bucket is capped.  Shingle sets are read only for nodes that
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import bitmap, column, dropped, fields, lists, over_pieces, shielded, stored, table, text_of
+from corpusframe.llm.common import bitmap, column, dropped, fields, lists, over_pieces, salted, shielded, stored, table, text_of
 from corpusframe.llm.components import components
 from corpusframe.llm.textbytes import ALNUM, mix, row_hashes, window_hashes, words
 
@@ -179,12 +180,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     some = rows.where("n_words > 0")
     nodes = stored(some.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("least"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")), "neardup-nodes")
     member = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.count("*").alias("company")).where("company > 1")
-    shared = stored(member.join(buckets, "band"), "neardup-buckets")
+    buckets = stored(member.groupBy("band").agg(F.count("*").alias("company")).where("company > 1"), "neardup-buckets")
+    n_shared = buckets.agg(F.sum("company")).first()[0] or 0
+    shared = stored(salted(member, buckets, ["band"], "company", ["node"], n_shared), "neardup-shared")
     weight = shared.groupBy("node").agg(F.sum("company").alias("weight"))
     weighted = shared.join(weight, "node")
-    leaders = stored(weighted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("l")).select("band", F.col("l.node").alias("leader")), "neardup-leaders")
-    first = stored(_ordered(shared.select("band", "node").join(leaders, "band"), "node", "leader"), "neardup-pairs")
+    leaders = stored(weighted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("l"), F.max("company").alias("company")).select("band", "company", F.col("l.node").alias("leader")), "neardup-leaders")
+    first = stored(_ordered(salted(shared.select("band", "node"), leaders, ["band"], "company", ["node"], n_shared), "node", "leader"), "neardup-pairs")
 
     active = shared.select("node").distinct().join(nodes.select("node", F.col("least.key").alias("rep")), "node").select("node", F.col("node").bitwiseXOR(F.xxhash64("rep")).alias("bit"), "rep")
     active = stored(active, "neardup-active")
@@ -213,7 +215,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     keeper = of_node.groupBy("component").agg(F.min(F.struct("least", "node")).alias("keeper"))
     moved = of_node.join(keeper, "component").select("node", F.col("keeper.least.key").alias("class_id"), F.col("keeper.node").alias("class_node"))
     per_row = rows.groupBy(key, "node", "n_words").agg(F.count("*").alias("n_copies"))
-    dropped(shared, leaders, first, active, sets, links, open_, large)
+    dropped(buckets, shared, leaders, first, active, sets, links, open_, large)
     out = per_row.join(moved, "node", "left")
     alone = F.col("n_words") == 0
     return out.select(
