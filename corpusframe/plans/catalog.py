@@ -870,9 +870,9 @@ def change_union(spark, d):
     return collections.prior([_t(spark, d, t).select(F.col(c).alias("path"), F.lit(s).alias("status")) for t, c, s in parts], "path")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_collections(spark, d):
-    return collections.missing(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return collections.missing(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 _ROOTS = [f"/home/u{i}" for i in range(0, 50, 2)] + [f"/home/u{i}/r3" for i in range(50)] + ["/home/u7/r3/src"]
