@@ -36,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.9, 0.97
 CONFIDENT = 1.645
 BITMAP_BITS = 1 << 23
+#: About how many pairs of a word and an entity class a worker holds at once.
+MEETINGS = 1 << 18
 PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -223,7 +225,9 @@ def _meetings(rows: DataFrame, levels: np.ndarray, combined: bool) -> DataFrame:
                 hit = np.flatnonzero(level <= k)
                 first = np.searchsorted(in_row[hit], np.arange(batch.num_rows + 1))
                 these = np.flatnonzero(reach == k)
-                for part in np.array_split(these, len(these) // 256 + 1):  # a few classes at a time, so that memory is bounded
+                so_far = np.cumsum(first[row[these] + 1] - first[row[these]])
+                cuts = np.unique(np.searchsorted(so_far, np.arange(MEETINGS, so_far[-1], MEETINGS)))
+                for part in np.split(these, cuts):  # MEETINGS pairs at a time, and those of one class more at most
                     size = first[row[part] + 1] - first[row[part]]
                     if not size.sum():
                         continue
