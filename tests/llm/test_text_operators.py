@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -783,3 +784,25 @@ def test_one_very_long_text(monkeypatch):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
+def test_meetings_in_parts(spark, monkeypatch, at_once):
+    """Pairs of words and entity classes are the same however many are held at once; a row without words or classes has none."""
+    rng = np.random.default_rng(3)
+    terms = [list(map(int, rng.choice(40, k, replace=False))) for k in (9, 0, 23, 5, 1, 30)]
+    classes = [[{"class": int(c), "n_entity": int(1 + 5 * (c % 3))} for c in rng.choice(20, k, replace=False)] for k in (3, 4, 0, 8, 1, 12)]
+    level = np.where(np.arange(pii.BITMAP_BITS) % 3 == 0, 255, np.arange(pii.BITMAP_BITS) % 3 - 1).astype(np.uint8)
+    of_class = pa.list_(pa.struct([("class", pa.int64()), ("n_entity", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(terms, pa.list_(pa.int64())), pa.array(classes, of_class)], names=["key", "text_hash", "terms", "classes"])
+
+    source = mock.MagicMock()
+    source.sparkSession.sparkContext.broadcast.side_effect = lambda value: mock.Mock(value=value)
+    source.select.return_value.mapInArrow.side_effect = lambda run, schema: run
+    monkeypatch.setattr(pii, "MEETINGS", at_once)
+    got: Counter = Counter()
+    for out in pii._meetings(source, level, True)([batch]):
+        for r in out.to_pylist():
+            got[r["class"], r["n_entity"], r["term"]] += r["both"]
+    wanted = Counter((c["class"], c["n_entity"], t) for ts, cs in zip(terms, classes, strict=True) for t in ts for c in cs if level[t] != 255 and 4 ** int(level[t]) <= c["n_entity"])
+    assert wanted and got == wanted
