@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusframe.llm.bpe import op5_byte_bpe
 from corpusframe.llm.chat import op3_chat
 from corpusframe.llm.decontaminate import op10_decontaminate
+from corpusframe.llm.fim import OP11_SQL, op11_fill_in_middle
 from corpusframe.llm.langid import op4_langid
+from corpusframe.llm.lines import OP12_SQL, op12_line_dedup
 from corpusframe.llm.neardup import op6_neardup
 from corpusframe.llm.oracles import OP6_SQL, OP7_SQL, OP10_SQL
 from corpusframe.llm.pii import op1_pii
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_neardup": OP6_SQL, "op7_substrings": OP7_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op6_neardup": OP6_SQL, "op7_substrings": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_line_dedup": OP12_SQL}
