@@ -6,7 +6,8 @@ import bisect
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,31 +32,55 @@ def line_windows(lengths: list[int], most: int = MAX_CHARS, overlap: int = OVERL
         start = back if start < back < end else start + 1
 
 
-def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, part, line_start, line_end, n_chars): the windows of each text.
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def bounds(lines: Column) -> Column:
+    """array<struct<line_start, line_end, n_chars>>: the windows of a text's lines.
 
-    Where a window begins depends on where the last one ended, so a worker walks over prefix sums; only line lengths reach it."""
-    lengths = df.select(key, F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(x)).alias("lengths"))
-    schema = f"{df.select(key).schema.simpleString()[7:-1]}, part int, line_start int, line_end int, n_chars int"
+    Where a window begins depends on where the last one ended, so a worker walks over prefix sums; only line lengths reach it, in Arrow lists."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, n in zip(pdf[key], pdf["lengths"], strict=True):
-                n = [int(x) for x in n]
-                for i, (s, e) in enumerate(line_windows(n)):
-                    rows.append((k, i, s + 1, e, sum(n[s:e]) + e - s - 1))
-            yield pd.DataFrame(rows, columns=[key, "part", "line_start", "line_end", "n_chars"])
+    @F.arrow_udf("array<struct<line_start:int,line_end:int,n_chars:int>>")
+    def walk(lengths: pa.Array) -> pa.Array:
+        at = lengths.offsets.to_numpy()
+        sizes = lengths.values.to_numpy(zero_copy_only=False)
+        starts, ends, chars, first = [], [], [], [0]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            ahead = np.concatenate(([0], np.cumsum(sizes[a:b] + 1)))
+            for s, e in line_windows(sizes[a:b].tolist()):
+                starts.append(s + 1)
+                ends.append(e)
+                chars.append(int(ahead[e] - ahead[s]) - 1)
+            first.append(len(starts))
+        fields = {"line_start": starts, "line_end": ends, "n_chars": chars}
+        found = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in fields.values()], list(fields))
+        return pa.ListArray.from_arrays(pa.array(first, pa.int32()), found)
 
-    return lengths.mapInPandas(run, schema)
+    return walk(F.transform(lines, lambda x: F.length(x)))
+
+
+def windows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, line_start, line_end, n_chars): the windows of each text."""
+    return df.select(key, F.posexplode(bounds(lines_of(F.col(text)))).alias("part", "x")).select(key, "part", "x.*")
 
 
 def text_blocks(df: DataFrame, key: str, text: str, prefix: Column, least: int = MIN_TOKENS) -> DataFrame:
-    """The windows that hold enough tokens with their prefix, numbered anew: (key, part, line_start, line_end, token_count)."""
-    sized = windows(df, key, text).join(df.select(key, F.length(prefix).alias("p")), key)
-    counted = sized.withColumn("token_count", F.floor((F.col("n_chars") + F.col("p")) / CHARS_PER_TOKEN).cast("int")).where(F.col("token_count") >= least)
-    listed = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "line_start", "line_end", "token_count"))).alias("w"))
-    return listed.select(key, F.posexplode("w").alias("n", "x")).select(key, F.col("n").alias("part"), "x.line_start", "x.line_end", "x.token_count")
+    """The windows that hold enough tokens with their prefix, numbered anew: (key, part, line_start, line_end, token_count).  Nothing is shuffled."""
+    tokens = lambda x: F.floor((x["n_chars"] + F.col("p")) / CHARS_PER_TOKEN).cast("int")
+    found = df.select(key, F.length(prefix).alias("p"), bounds(lines_of(F.col(text))).alias("w"))
+    kept = found.select(key, "p", F.posexplode(F.filter("w", lambda x: tokens(x) >= least)).alias("part", "x"))
+    return kept.select(key, "part", "x.line_start", "x.line_end", tokens(F.col("x")).alias("token_count"))
+
+
+def chunks(df: DataFrame, text: str, least: int = 0) -> DataFrame:
+    """The windows with their text: all columns but the text, and part, line_start, line_end, token_count, content; of windows with enough tokens."""
+    keep = [c for c in df.columns if c != text]
+    lined = df.select(*keep, lines_of(F.col(text)).alias("__lines")).withColumn("__windows", bounds(F.col("__lines")))
+    each = lined.select(*keep, "__lines", F.posexplode("__windows").alias("part", "x"))
+    content = F.array_join(F.slice("__lines", F.col("x.line_start"), F.col("x.line_end") - F.col("x.line_start") + 1), "\n")
+    tokens = F.floor(F.col("x.n_chars") / CHARS_PER_TOKEN).cast("int")
+    return each.select(*keep, "part", "x.line_start", "x.line_end", tokens.alias("token_count"), content.alias("content")).where(F.col("token_count") >= least)
 
 
 def context(df: DataFrame, key: str, text: str, start: int, end: int, radius: int = 10) -> DataFrame:

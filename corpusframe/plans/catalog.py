@@ -388,7 +388,7 @@ def query_tokens(spark, d):
 
 # --- chunking, files, responses ---------------------------------------------------------------------------------------------------------
 
-_WINDOWS = """
+WINDOWS_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
      c AS (SELECT doc_id, len(l) AS n, list_transform(range(0, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: len(x) + 1))) AS p0 FROM d),
      q AS (SELECT doc_id, n, list_transform(p0, lambda x: coalesce(x, 0)) AS p FROM c),
@@ -401,13 +401,13 @@ WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM docume
 """
 
 
-@query(_WINDOWS + "SELECT doc_id, CAST(part AS INT) AS part, CAST(s + 1 AS INT) AS line_start, CAST(e AS INT) AS line_end, CAST(p[e + 1] - p[s + 1] - 1 AS INT) AS n_chars FROM w")
+@query(WINDOWS_SQL + "SELECT doc_id, CAST(part AS INT) AS part, CAST(s + 1 AS INT) AS line_start, CAST(e AS INT) AS line_end, CAST(p[e + 1] - p[s + 1] - 1 AS INT) AS n_chars FROM w")
 def chunk_windows(spark, d):
     return windows.windows(_t(spark, d, "documents"), "doc_id", "text")
 
 
 @query(
-    _WINDOWS
+    WINDOWS_SQL
     + """, k AS (SELECT *, CAST(floor((p[e + 1] - p[s + 1] - 1 + len('// src/' || doc_id || '.txt') + 1) / 4) AS INT) AS token_count FROM w)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INT) AS part, CAST(s + 1 AS INT) AS line_start, CAST(e AS INT) AS line_end, token_count FROM k WHERE token_count >= 50
 """
