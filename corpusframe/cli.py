@@ -59,11 +59,12 @@ def parser() -> argparse.ArgumentParser:
 
 def engine_of(spark: SparkSession, catalog: str, repo: str, with_history: bool = False) -> Engine:
     root = Path(repo).resolve()
-    tables = (None, None, None)
+    tables, parents = (None, None, None), None
     if with_history:
         git.register(spark)
-        tables = tuple(spark.read.format("gitlog").option("repo", str(root)).option("table", t).load() for t in ("commits", "changes", "versions"))
-    return Engine(spark, Catalog(spark, catalog, root.name), *tables, folder=str(root / ".corpusframe"), repo=str(root) if (root / ".git").exists() else None)
+        tables = tuple(spark.read.format("gitlog").option("repo", str(root)).option("table", t).load() for t in ("commits", "changes", "blobs"))
+        parents = spark.read.format("gitlog").option("repo", str(root)).option("table", "parents").load()
+    return Engine(spark, Catalog(spark, catalog, root.name), *tables, folder=str(root / ".corpusframe"), repo=str(root) if (root / ".git").exists() else None, parents=parents)
 
 
 def run(spark: SparkSession, given: list[str]) -> str:

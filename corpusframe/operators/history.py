@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import paths
+from corpusframe.operators import lineage
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 2_629_800, "year": 31_557_600}
 
@@ -67,26 +68,37 @@ def diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
     return pairs.withColumn("diff", run("old_path", "path", "before", "after"))
 
 
-def commit_diff(commits: DataFrame, changes: DataFrame, sha: str, versions: DataFrame | None = None, context: int = 3) -> DataFrame:
+def own(changes: DataFrame) -> DataFrame:
+    """What commits changed themselves: of a merge only the files that differ from each of its parents."""
+    return changes.where("taken_from IS NULL") if "taken_from" in changes.columns else changes
+
+
+def commit_diff(commits: DataFrame, changes: DataFrame, sha: str, versions: DataFrame | None = None, context: int = 3, placed: DataFrame | None = None) -> DataFrame:
     """A commit's metadata with its files: array<struct<path, old_path, status[, diff]>>, and files_changed."""
     one = by_sha(commits, sha)
-    files = changes.join(one.select("sha"), "sha", "left_semi")
+    files = own(changes).join(one.select("sha"), "sha", "left_semi")
     parts = ["path", "old_path", "status"]
     if versions is not None:
-        files = diffs(versions_of(files, versions, commits), context)
+        files = diffs(versions_of(files, versions, changes, placed if placed is not None else lineage.linear(commits)), context)
         parts.append("diff")
     listed = files.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("files"), F.count("*").alias("files_changed"))
     return one.join(listed, "sha", "left").fillna(0, ["files_changed"])
 
 
-def versions_of(changes: DataFrame, versions: DataFrame, commits: DataFrame) -> DataFrame:
-    """Adds `after`, the file's text in the commit, and `before`, its newest text (by the new or the old name) in an earlier commit."""
-    dated = versions.join(commits.select("sha", "date"), "sha").select(F.col("path").alias("v_path"), F.col("date").alias("v_date"), "content")
-    now = versions.select("sha", "path", F.col("content").alias("after"))
-    base = changes.join(now, ["sha", "path"], "left").join(commits.select("sha", "date"), "sha")
-    earlier = base.join(dated, (F.coalesce("old_path", "path") == F.col("v_path")) & (F.col("v_date") < F.col("date")), "left")
-    keys = [c for c in base.columns]
-    return earlier.groupBy(*keys).agg(F.max_by("content", "v_date").alias("before"))
+def versions_of(files: DataFrame, versions: DataFrame, changes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds `after`, the file's text in the commit (null if it deletes the file), and `before`, the text that the commit found, as its first parent has it.
+
+    With texts by `blob`, whose names are in the changes' before_blob and after_blob, those are joined and nothing else; with texts by (sha, path) the version is
+    found by ancestry (`lineage.linked`).  Texts are joined last, once for each side."""
+    keep = [c for c in files.columns if c not in ("before", "after")]
+    if "blob" in versions.columns:
+        text = lambda side: versions.select(F.col("blob").alias(f"{side}_blob"), F.col("content").alias(side))
+        return files.join(text("before"), "before_blob", "left").join(text("after"), "after_blob", "left").select(*keep, "before", "after")
+    links = lineage.linked(changes, placed, files).select("sha", "path", F.when(F.col("before.live"), F.col("before.sha")).alias("b_sha"), F.when(F.col("before.live"), F.col("before.path")).alias("b_path"))
+    before = versions.select(F.col("sha").alias("b_sha"), F.col("path").alias("b_path"), F.col("content").alias("before"))
+    after = versions.select("sha", "path", F.col("content").alias("after"))
+    found = files.join(links, ["sha", "path"], "left").join(before, ["b_sha", "b_path"], "left").join(after, ["sha", "path"], "left")
+    return found.select(*keep, "before", F.when(~F.col("status").startswith("D"), F.col("after")).alias("after"))
 
 
 def summary(changes: DataFrame, key: str = "sha", delta: str | None = None) -> DataFrame:
@@ -94,29 +106,43 @@ def summary(changes: DataFrame, key: str = "sha", delta: str | None = None) -> D
     return changes.groupBy(key).agg(F.count("*").alias("files_changed"), *([F.sum(delta).alias("delta")] if delta else []))
 
 
-def renames(changes: DataFrame, path: str) -> list[str]:
-    """The names that a file has had, the present one first, then those before, step by step; each step looks at the pairs of renamings only."""
-    pairs = changes.where("old_path IS NOT NULL AND old_path != ''").select("path", "old_path").distinct().persist()
-    names, last = [path], [path]
-    while last:
-        found = pairs.where(F.col("path").isin(last)).select("old_path").distinct().orderBy("old_path").collect()  # names of one file
-        last = [r[0] for r in found if r[0] not in names]
-        names += last
-    pairs.unpersist()
-    return names
-
-
-def file_history(commits: DataFrame, changes: DataFrame, path: str, limit: int = 15, follow: bool = True, versions: DataFrame | None = None, context: int = 3) -> DataFrame:
-    """Commits that touch a file, newest first, also under its earlier names; with the commit before each and, where `versions` are given, the
-    file's `diff` in each."""
-    names = renames(changes, path) if follow else [path]
-    touched = changes.where(F.col("path").isin(names)).select("sha", "path", "old_path", "status").dropDuplicates(["sha", "path"])
-    order = Window.orderBy("date", "sha", "path")  # one file's commits only
-    out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), "sha", "path").limit(limit)
+def files_of(commits: DataFrame, changes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """All changes with the `file_id` of the file they are of (`lineage.identified`).  A table of its own where histories are asked for often."""
+    return lineage.identified(lineage.linked(changes, placed if placed is not None else lineage.linear(commits)))
+
+
+def of_one_file(ids: DataFrame, path: str) -> DataFrame:
+    """The changes of the file that had a name last (by place, not by date), under all its names."""
+    last = ids.where(F.col("path") == path).orderBy(F.desc("place"), F.desc("sha")).limit(1).select("file_id")
+    return ids.join(F.broadcast(last), "file_id", "left_semi")  # one row
+
+
+def names(commits: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """(name, last): the names that a file has had, and the date of its last change under each."""
+    return of_one_file(ids, path).join(commits.select("sha", "date"), "sha").groupBy(F.col("path").alias("name")).agg(F.max("date").alias("last"))
+
+
+def file_history(
+    commits: DataFrame, changes: DataFrame, path: str, limit: int = 15, follow: bool = True, versions: DataFrame | None = None, context: int = 3, placed: DataFrame | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Commits that touch a file, newest first, also under its earlier names (not those of other files that had one of its names); with the
+    commit before each and, where `versions` are given, the file's `diff` in each.  `ids` is a stored table of `files_of`."""
+    placed = placed if placed is not None else lineage.linear(commits)
+    if follow:
+        touched = of_one_file(ids if ids is not None else files_of(commits, changes, placed), path).select("sha", "path", "place")
+    else:
+        touched = changes.where(F.col("path") == path).select("sha", "path").distinct().join(placed.select("sha", "place"), "sha")
+    rows = own(changes).select("sha", "path", "status").dropDuplicates(["sha", "path"])
+    touched = rows.join(touched, ["sha", "path"])
+    order = Window.orderBy("date", "place", "path")  # one file's commits only
+    out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), F.desc("place"), F.desc("path")).limit(limit)
+    added = ["path", "status", "previous_sha"]
     if versions is not None:
-        shown = diffs(versions_of(out.select("sha", "path", "old_path", "status"), versions.where(F.col("path").isin(names)), commits), context)
-        out = out.join(shown.select("sha", "path", "diff"), ["sha", "path"]).orderBy(F.desc("date"), "sha", "path")
-    return out.drop("old_path").select(*[c for c in out.columns if c not in ("path", "status", "previous_sha", "diff", "old_path")], "path", "status", "previous_sha", *(["diff"] if versions is not None else []))
+        files = own(changes).join(out.select("sha", "path"), ["sha", "path"], "left_semi")
+        shown = diffs(versions_of(files, versions, changes, placed), context).select("sha", "path", "diff")
+        out = out.join(shown, ["sha", "path"]).orderBy(F.desc("date"), F.desc("place"), F.desc("path"))
+        added.append("diff")
+    return out.select(*[c for c in commits.columns if c != "path"], *added)
 
 
 def capped(diff, lines: int):

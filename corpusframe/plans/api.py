@@ -22,12 +22,13 @@ from corpusframe.sources.catalog import Catalog
 class Engine:
     """Search, code intelligence and history over the collections of a catalog."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, commits: DataFrame | None = None, changes: DataFrame | None = None, versions: DataFrame | None = None, folder: str | None = None, repo: str | None = None):
+    def __init__(self, spark: SparkSession, catalog: Catalog, commits: DataFrame | None = None, changes: DataFrame | None = None, versions: DataFrame | None = None, folder: str | None = None, repo: str | None = None, parents: DataFrame | None = None):
         """`folder`, on the driver's machine, holds the index's state and the lock that keeps two runs apart; `repo` is the git repository whose
-        commits the state names."""
+        commits the state names.  `versions` are texts by (sha, path) or by blob; `parents` are placed commits, without which history goes by date."""
         self.spark, self.catalog = spark, catalog
         self.commits, self.changes, self.versions = commits, changes, versions
         self.folder, self.repo = folder, repo
+        self.placed = None if parents is None else parents.where("ordinal = 0").drop("ordinal") if "ordinal" in parents.columns else parents
 
     # --- indexing
 
@@ -175,15 +176,15 @@ class Engine:
     def search_commits(self, as_of: datetime | None = None, **more) -> DataFrame:
         a = v.CommitSearch(**more)
         day = lambda s: history.moment(s, as_of or datetime.now()) if s else None
-        return history.search_commits(self.commits, self.changes, a.query, a.author, day(a.since), day(a.until), a.file_path, a.limit)
+        return history.search_commits(self.commits, None if self.changes is None else history.own(self.changes), a.query, a.author, day(a.since), day(a.until), a.file_path, a.limit)
 
     def commit_diff(self, sha: str, context_lines: int = 3) -> DataFrame:
-        return history.commit_diff(self.commits, self.changes, v.sha(sha), self.versions, context_lines)
+        return history.commit_diff(self.commits, self.changes, v.sha(sha), self.versions, context_lines, self.placed)
 
     def file_history(self, file_path: str, limit: int = 15, follow: bool = True, include_diff: bool = False, context_lines: int = 3) -> DataFrame:
         if include_diff and self.versions is None:
             raise ValueError("diffs need the table of versions")
-        return history.file_history(self.commits, self.changes, v.relative(file_path), v.limit(limit, v.MAX_HISTORY), follow, self.versions if include_diff else None, context_lines)
+        return history.file_history(self.commits, self.changes, v.relative(file_path), v.limit(limit, v.MAX_HISTORY), follow, self.versions if include_diff else None, context_lines, self.placed)
 
     @staticmethod
     def get_started() -> str:

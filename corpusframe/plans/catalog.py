@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import paths
 from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
-from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, postings, ranking, scoring, windows
+from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, lineage, postings, ranking, scoring, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -758,10 +758,6 @@ def transitive_deps(spark, d):
 
 #: Some changes are renamings.
 _OLD_PATH = "CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN concat('p/', CAST(l_partkey * 13 % 200 + 1 AS STRING)) END"
-_NAMES = f"""
-WITH RECURSIVE ren AS (SELECT DISTINCT concat('p/', CAST(l_partkey AS STRING)) AS path, {_OLD_PATH} AS old_path FROM lineitem WHERE l_linenumber = 6 AND l_returnflag = 'R'),
-     names AS (SELECT 'p/12' AS name UNION SELECT old_path FROM names JOIN ren ON path = name)
-"""
 
 
 def _commits(spark, d):
@@ -789,41 +785,96 @@ def commit_diff_summary(spark, d):
     return history.summary(_changes(spark, d), delta="delta")
 
 
-@query(
-    _NAMES
-    + """, h AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS date, concat('p/', CAST(l_partkey AS STRING)) AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE concat('p/', CAST(l_partkey AS STRING)) IN (SELECT name FROM names))
-SELECT sha, path, date, lag(sha) OVER (ORDER BY date, sha, path) AS previous_sha FROM h ORDER BY date DESC, sha, path LIMIT 15
+_RENAMED = "n = 6 AND f = 'R'"
+_FILE_CHANGE = {
+    "sha": "CAST(l_orderkey AS STRING)",
+    "path": "concat('p/', CAST(l_partkey AS STRING))",
+    "old_path": f"CASE WHEN {_RENAMED} THEN concat('p/', CAST(l_partkey * 13 % 200 + 1 AS STRING)) END",
+    "status": f"CASE WHEN {_RENAMED} THEN 'R' WHEN (l_orderkey + l_partkey) % 17 = 0 THEN 'D' ELSE 'M' END",
+}
+_FILES_BY_DATE = f"""
+WITH RECURSIVE o AS (SELECT CAST(o_orderkey AS VARCHAR) AS sha, o_orderdate AS date, row_number() OVER (ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS place FROM orders),
+     g AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n, arg_min(l_returnflag, l_linenumber) AS f FROM lineitem GROUP BY l_orderkey, l_partkey),
+     c AS (SELECT x.*, date, place FROM (SELECT {", ".join(f"{v} AS {k}" for k, v in _FILE_CHANGE.items())} FROM g) AS x JOIN o ON o.sha = x.sha),
+     ev AS (SELECT path AS name, sha, status <> 'D' AS live, place * 4 + 2 AS t FROM c UNION ALL SELECT old_path, sha, false, place * 4 + 1 FROM c WHERE old_path <> path),
+     e AS (SELECT c.sha, c.path, max({{'t': ev.t, 'sha': ev.sha, 'name': ev.name, 'live': ev.live}}) AS x FROM c JOIN ev ON ev.name = coalesce(c.old_path, c.path) AND c.place * 4 > ev.t GROUP BY c.sha, c.path),
+     l AS (SELECT c.*, CASE WHEN x.live THEN x.sha END AS b_sha, CASE WHEN x.live THEN x.name END AS b_path FROM c LEFT JOIN e ON e.sha = c.sha AND e.path = c.path),
+     r AS (SELECT sha, path, date, place, sha || ':' || path AS file_id FROM l WHERE b_sha IS NULL UNION ALL SELECT l.sha, l.path, l.date, l.place, r.file_id FROM r JOIN l ON l.b_sha = r.sha AND l.b_path = r.path),
+     h AS (SELECT * FROM r WHERE file_id = (SELECT file_id FROM r WHERE path = 'p/12' ORDER BY place DESC LIMIT 1))
 """
-)
+
+
+def _file_changes(spark, d):
+    g = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"), F.min_by("l_returnflag", "l_linenumber").alias("f"))
+    return g.select(*[F.expr(v).alias(k) for k, v in _FILE_CHANGE.items()])
+
+
+@query(_FILES_BY_DATE + "SELECT sha, path, date, lag(sha) OVER (ORDER BY place, path) AS previous_sha FROM h ORDER BY place DESC, path DESC LIMIT 15")
 def file_history(spark, d):
-    return history.file_history(_commits(spark, d), _changes(spark, d), "p/12").select("sha", "path", "date", "previous_sha")
+    """The history of one file under all its names, and of no other file that had one of them."""
+    return history.file_history(_commits(spark, d), _file_changes(spark, d), "p/12").select("sha", "path", "date", "previous_sha")
 
 
-@query(_NAMES + "SELECT name FROM names")
+@query(_FILES_BY_DATE + "SELECT path AS name, max(date) AS last FROM h GROUP BY path")
 def rename_chain(spark, d):
-    return spark.createDataFrame([(n,) for n in history.renames(_changes(spark, d), "p/12")], "name string")
+    commits = _commits(spark, d)
+    return history.names(commits, history.files_of(commits, _file_changes(spark, d)), "p/12")
 
 
 _VERSION = "concat('one', chr(10), 'line ', CAST({k} AS STRING), chr(10), 'three', chr(10))"
+#: A main line of commits, of whose every ten three are on a branch, the last of them on a branch of the branch; in order of key, not of date.
+_TREE_COMMIT = {
+    "k": "o_orderkey",
+    "parent": "CASE WHEN o_orderkey = 0 THEN NULL WHEN o_orderkey % 10 IN (0, 7) THEN o_orderkey - 4 WHEN o_orderkey % 10 = 9 THEN o_orderkey - 2 ELSE o_orderkey - 1 END",
+    "chain": "CASE WHEN o_orderkey % 10 < 7 THEN 0 WHEN o_orderkey % 10 = 9 THEN -o_orderkey ELSE o_orderkey - o_orderkey % 10 + 1 END",
+    "path": "concat('f/', CAST(o_custkey % 40 AS STRING))",
+    "old_path": "CASE WHEN o_orderkey % 13 = 0 THEN concat('f/', CAST((o_custkey + 1) % 40 AS STRING)) END",
+    "status": "CASE WHEN o_orderkey % 13 = 0 THEN 'R' WHEN o_orderkey % 11 = 0 THEN 'D' ELSE 'M' END",
+    "content": _VERSION.format(k="o_orderkey"),
+}
+_TREE = f"""
+WITH RECURSIVE c AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _TREE_COMMIT.items())} FROM orders),
+     walk AS (SELECT k, coalesce(old_path, path) AS name, parent AS at FROM c WHERE parent IS NOT NULL
+              UNION ALL SELECT w.k, w.name, c.parent FROM walk AS w JOIN c ON c.k = w.at WHERE c.path <> w.name AND c.old_path IS DISTINCT FROM w.name AND c.parent IS NOT NULL),
+     hit AS (SELECT w.k, c.k AS b, c.path AS b_path, c.content AS before FROM walk AS w JOIN c ON c.k = w.at WHERE c.path = w.name AND c.status <> 'D'),
+     l AS (SELECT c.*, b, b_path, before FROM c LEFT JOIN hit ON hit.k = c.k)
+"""
+
+
+def _tree(spark, d):
+    """placed commits, changes and versions, by key and parent."""
+    c = _t(spark, d, "orders").select(*[F.expr(v).alias(k) for k, v in _TREE_COMMIT.items()]).withColumn("sha", F.col("k").cast("string"))
+    placed = c.select("sha", F.col("parent").cast("string").alias("parent"), "chain", F.col("k").alias("place"))
+    return placed, c.select("sha", "path", "old_path", "status"), c.where("status != 'D'").select("sha", "path", "content")
 
 
 @query(
-    """
-WITH e AS (SELECT CAST(o_orderkey AS VARCHAR) AS sha, concat('f/', CAST(o_custkey AS STRING)) AS path, o_orderdate AS date, o_orderkey AS k FROM orders),
-     l AS (SELECT *, lag(k) OVER (PARTITION BY path ORDER BY date, k) AS before, count(*) OVER (PARTITION BY path, date) AS same FROM e)
-SELECT sha, path, md5(CASE WHEN before IS NULL THEN concat('--- /dev/null', chr(10), '+++ b/', path, chr(10), '@@ -0,0 +1,3 @@', chr(10), '+one', chr(10), '+line ', CAST(k AS STRING), chr(10), '+three')
-  ELSE concat('--- a/', path, chr(10), '+++ b/', path, chr(10), '@@ -1,3 +1,3 @@', chr(10), ' one', chr(10), '-line ', CAST(before AS STRING), chr(10), '+line ', CAST(k AS STRING), chr(10), ' three') END) AS diff
-FROM l WHERE path IN (SELECT path FROM l GROUP BY path HAVING max(same) = 1)
+    _TREE
+    + """
+SELECT CAST(k AS VARCHAR) AS sha, path, md5(CASE
+  WHEN status = 'D' AND before IS NULL THEN ''
+  WHEN status = 'D' THEN concat('--- a/', path, chr(10), '+++ /dev/null', chr(10), '@@ -1,3 +0,0 @@', chr(10), '-one', chr(10), '-line ', CAST(b AS STRING), chr(10), '-three')
+  WHEN before IS NULL THEN concat('--- /dev/null', chr(10), '+++ b/', path, chr(10), '@@ -0,0 +1,3 @@', chr(10), '+one', chr(10), '+line ', CAST(k AS STRING), chr(10), '+three')
+  ELSE concat('--- a/', coalesce(old_path, path), chr(10), '+++ b/', path, chr(10), '@@ -1,3 +1,3 @@', chr(10), ' one', chr(10), '-line ', CAST(b AS STRING), chr(10), '+line ', CAST(k AS STRING), chr(10), ' three') END) AS diff
+FROM l
 """
 )
 def commit_diffs(spark, d):
-    """The diff of each change against the file's newest version before it; of files that no two commits of one moment change."""
-    commits = _commits(spark, d)
-    changes = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("f/"), F.col("o_custkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("M").alias("status"), F.col("o_orderdate").alias("moment"))
-    versions = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("f/"), F.col("o_custkey").cast("string")).alias("path"), F.expr(_VERSION.format(k="o_orderkey")).alias("content"))
-    at_once = changes.groupBy("path", "moment").count().where("count > 1").select("path")
-    kept = changes.drop("moment").join(at_once, "path", "left_anti")
-    return history.diffs(history.versions_of(kept, versions, commits)).select("sha", "path", F.md5("diff").alias("diff"))
+    """The diff of each change against the version that its parent commit has, over branches, renamings and deletions."""
+    placed, changes, versions = _tree(spark, d)
+    return history.diffs(history.versions_of(changes, versions, changes, placed)).select("sha", "path", F.md5("diff").alias("diff"))
+
+
+@query(
+    _TREE
+    + """, r AS (SELECT k, path, CAST(k AS VARCHAR) || ':' || path AS file_id FROM l WHERE b IS NULL UNION ALL SELECT l.k, l.path, r.file_id FROM r JOIN l ON l.b = r.k AND l.b_path = r.path)
+SELECT CAST(k AS VARCHAR) AS sha, path, file_id FROM r
+"""
+)
+def file_identity(spark, d):
+    """Which file each change is of, from parent edges alone."""
+    placed, changes, _ = _tree(spark, d)
+    return history.files_of(None, changes, lineage.placed(placed.select("sha", "parent"))).select("sha", "path", "file_id")
 
 
 _SNAPSHOTS = "b AS (SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey % 10 != 0), a AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS size FROM part WHERE p_partkey % 11 != 0)"
