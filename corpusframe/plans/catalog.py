@@ -904,6 +904,28 @@ def upsert_latest(spark, d):
     return collections.apply_feed(feed, "l_partkey", "seq", "l_returnflag", "R").select("l_partkey", "l_orderkey", "l_linenumber")
 
 
+_ACTION = "CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END"
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type != 'error'")
+def ordered_stream(spark, d):
+    """All events as a feed that comes shuffled, in four batches, a part of it twice; the stream's collection is the state after the newest of each key."""
+    from corpusframe.sources.catalog import Catalog
+    from corpusframe.sources.session import new_folder
+    from corpusframe.streaming import index
+
+    folder = new_folder(spark, "ordered-stream")
+    events = _t(spark, d, "events").select("user_id", "event_id", "event_type", "value", F.expr(_ACTION).alias("action"))
+    again = events.where("event_id % 10 = 3").withColumn("times", F.lit(2))
+    feed = events.withColumn("times", F.lit(1)).unionByName(again).repartition(4, F.xxhash64("event_id", "times")).drop("times")
+    feed.write.parquet(f"{folder}/feed")
+    stream = index.change_stream(spark, f"{folder}/feed", feed.schema.simpleString()[7:-1].replace(":", " "), max_files=1)
+    collection = Catalog(spark, folder, "items")
+    for _ in range(2):  # the second time there is nothing new
+        index.keep_current(stream, collection, "items", "user_id", "event_id", f"{folder}/checkpoint").awaitTermination()
+    return collection.open("items").select("user_id", "event_id", "event_type", "value")
+
+
 @query("SELECT doc_id FROM documents WHERE NOT coalesce(lang = 'en' AND n_chars < 1000, false)")
 def delete_by_query(spark, d):
     return filters.delete_where(_t(spark, d, "documents"), [Term("lang", "en"), Range("n_chars", None, 1000, max_exclusive=True)]).select("doc_id")

@@ -1,8 +1,9 @@
-"""Giving the package to a session's workers, which else know only what is installed on their machines."""
+"""Giving the package to a session's workers, which else know only what is installed on their machines; folders that all of them share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -18,3 +19,9 @@ def ship(spark: SparkSession) -> str:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))  # Spark's file server hands it to each executor
     return str(target)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the one that spark.checkpoint.dir names; without that setting, as in tests, below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

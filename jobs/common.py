@@ -55,12 +55,6 @@ def command(job: str, text: str, arguments: list[str], run: Callable, given: lis
         spark.stop()
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the one that spark.checkpoint.dir names; without that setting, as in tests, below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/jobs"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def total(name: str) -> Column:
     """A sum that is 0 of no rows."""
     return F.coalesce(F.sum(name), F.lit(0)).cast("long")

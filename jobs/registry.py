@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusframe.plans.catalog import TOKENS, WINDOWS_SQL
+from corpusframe.sources.session import new_folder
 from jobs import chunk_index, term_index
-from jobs.common import new_folder
 
 
 def job1_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:

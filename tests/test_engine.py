@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import subprocess
 from datetime import datetime
 
@@ -266,12 +267,40 @@ def test_stream(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "c"))
     make = lambda rows: spark.createDataFrame(rows, index.SOURCE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     make([("a.py", "def one(): pass\n", 1, "UPDATE"), ("b.py", "def two(): pass\n", 1, "UPDATE"), ("a.py", "def uno(): pass\n", 2, "UPDATE")])
-    go = lambda: index.start(index.change_stream(spark, str(tmp_path / "in")), index.index_batch(c), str(tmp_path / "ck")).awaitTermination()
+    go = lambda: index.keep_indexed(spark, str(tmp_path / "in"), c, str(tmp_path / "ck"), lock_path=str(tmp_path / "lock")).awaitTermination()
+    names = lambda: {r.name for r in c.open("symbols").collect()}
+    before = spark.conf.get(index.STATE_STORE)
     go()
-    assert {r.name for r in c.open("symbols").collect()} == {"uno", "two"}
+    assert names() == {"uno", "two"} and spark.conf.get(index.STATE_STORE) == before
     make([("b.py", "", 3, "DELETE"), ("c.py", "def three(): pass\n", 3, "UPDATE")])
     go()
-    assert {r.name for r in c.open("symbols").collect()} == {"uno", "three"}
+    assert names() == {"uno", "three"}
+    make([("a.py", "def late(): pass\n", 1, "UPDATE"), ("b.py", "def gone(): pass\n", 2, "UPDATE"), ("c.py", "", 2, "DELETE"), ("c.py", "def three(): pass\n", 3, "UPDATE")])
+    go()
+    assert names() == {"uno", "three"}, "what comes late changes nothing"
+    make([("b.py", "def back(): pass\n", 9, "UPDATE")])
+    go()
+    assert names() == {"uno", "three", "back"}
+    assert {r.path for r in c.open("files").collect()} == {"a.py", "b.py", "c.py"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_feed_in_any_order(spark, tmp_path, seed):
+    """Shuffled, repeated and cut into batches, a feed gives the rows that it gives at once."""
+    r = random.Random(seed)
+    feed = [(r.randint(0, 8), seq, r.choice(["UPDATE", "UPDATE", "DELETE"]), f"v{seq}") for seq in range(60)]
+    schema = "id long, seq long, action string, v string"
+    sent = [*feed, *r.sample(feed, 20)]
+    r.shuffle(sent)
+    c = Catalog(spark, str(tmp_path / "c"))
+    for k in range(0, len(sent), 20):
+        spark.createDataFrame(sent[k : k + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = index.change_stream(spark, str(tmp_path / "in"), schema)
+        index.keep_current(stream, c, "items", "id", "seq", str(tmp_path / "ck")).awaitTermination()
+    want = {}
+    for k, seq, action, text in feed:
+        want[k] = None if action == "DELETE" else (seq, text)
+    assert {x.id: (x.seq, x.v) for x in c.open("items").collect()} == {k: x for k, x in want.items() if x}
 
 
 def test_windowed_counts(spark):
