@@ -18,7 +18,7 @@ from corpusframe.operators import embeddings
 from corpusframe.operators.languages import all_suffixes
 from corpusframe.plans import render
 from corpusframe.plans.api import Engine
-from corpusframe.sources import files, git, session
+from corpusframe.sources import git, session
 from corpusframe.sources.catalog import Catalog
 from corpusframe.sources.state import IndexState, Locked
 
@@ -76,10 +76,10 @@ def run(spark: SparkSession, given: list[str]) -> str:
         if a.tracked:
             git.register(spark)
             tracked = spark.read.format("gitlog").option("repo", a.repo).option("table", "files").load()
-        sources = files.sources(spark, a.repo, tracked, all_suffixes())
-        counts = {r.status: r["count"] for r in engine.reindex(sources, "incremental" if a.incremental else "full", embeddings.hashing_encoder if a.embeddings else None).groupBy("status").count().collect()}
+        changes = engine.reindex_folder(str(Path(a.repo).resolve()), "incremental" if a.incremental else "full", embeddings.hashing_encoder if a.embeddings else None, tracked, all_suffixes())
+        counts = {r.status: r["count"] for r in changes.groupBy("status").count().collect()}
         state = IndexState.load(engine.state_path)
-        told = {"files": {"indexed": counts.get("A", 0) + counts.get("M", 0), "deleted": counts.get("D", 0)}, "symbols": state.total_symbols, "chunks": state.total_chunks, "failures": state.parse_failures, "seconds": round(time.perf_counter() - began, 1)}
+        told = {"files": {"indexed": counts.get("A", 0) + counts.get("M", 0), "deleted": counts.get("D", 0)}, "symbols": state.total_symbols, "chunks": state.total_chunks, "failures": state.total_failures, "seconds": round(time.perf_counter() - began, 1)}
         return json.dumps(told, indent=None if a.json else 2)
     if a.command == "status":
         state = IndexState.load(engine.state_path)

@@ -16,6 +16,31 @@ def snapshot_diff(before: DataFrame, after: DataFrame, path: str = "path", marks
     return both.select(F.coalesce(f"a.{path}", f"b.{path}").alias(path), status.alias("status")).where(F.col("status").isNotNull())
 
 
+def candidates(before: DataFrame, listing: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """(path, status) of the files whose contents have to be looked at: A new, D gone, M another mtime or size, or named by `touched` (path), as what a
+    repository says that has changed.  Nothing but names and marks is read."""
+    found = snapshot_diff(before, listing)
+    if touched is None:
+        return found
+    named = listing.join(touched.select("path").distinct(), "path", "left_semi").select("path", F.lit("M").alias("status"))
+    return found.unionByName(named.join(found, "path", "left_anti"))
+
+
+def settled(found: DataFrame, before: DataFrame, read: DataFrame) -> DataFrame:
+    """(path, status) of the candidates whose content has changed; `before` and `read` have a content_hash, null of what isn't text.
+
+    A file that is as it was, but for its moment, is no change; one that is text no more goes."""
+    old, new = before.select("path", F.col("content_hash").alias("o")), read.select("path", F.col("content_hash").alias("n"))
+    both = found.select("path").join(old, "path", "left").join(new, "path", "left")
+    status = F.when(F.col("o").isNull() & F.col("n").isNotNull(), "A").when(F.col("o").isNotNull() & F.col("n").isNull(), "D").when(F.col("o") != F.col("n"), "M")
+    return both.select("path", status.alias("status")).where("status IS NOT NULL")
+
+
+def carried_on(before: DataFrame, found: DataFrame, read: DataFrame) -> DataFrame:
+    """The next run's snapshot: what was looked at as it is now, the rest as it was."""
+    return before.join(found, "path", "left_anti").select(*before.columns).unionByName(read.select(*before.columns))
+
+
 def as_changes(name_status: DataFrame, path: str = "path", old: str = "old_path", status: str = "status") -> DataFrame:
     """Renames become a deletion of the old path and a modification of the new one."""
     renamed = F.col(status).startswith("R")

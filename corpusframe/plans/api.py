@@ -37,39 +37,73 @@ class Engine:
 
         Where the state names a commit that the repository no longer has, or vectors are wanted that the index lacks, the run is a full one.
         While another run is on, `state.Locked` is raised."""
+        return self._run(lambda mode, _: self._indexed(sources, mode, encoder), mode, encoder)
+
+    def reindex_folder(self, root: str, mode: str = "incremental", encoder=None, tracked: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+        """As `reindex`, from a folder: it is listed, and what the listing or the repository says may have changed is read, no other content."""
+        return self._run(lambda mode, since: self._folder_indexed(root, mode, encoder, tracked, suffixes, since), mode, encoder)
+
+    def _run(self, work, mode: str, encoder) -> DataFrame:
         v.one_of(mode, v.MODES)
         if self.folder is None:
-            return self._indexed(sources, mode, encoder)
+            return work(mode, "")
         with index_state.lock(f"{self.folder}/index.lock"):
             known = index_state.IndexState.load(self.state_path)
             if (self.repo and known.last_commit and not git.exists(self.repo, known.last_commit)) or known.use_embeddings != (encoder is not None):
                 mode = "full"
-            changes = self._indexed(sources, mode, encoder)
+            commit, branch = (git.head(self.repo), git.branch(self.repo)) if self.repo else ("", "")  # as it was when the run began
+            changes = work(mode, known.last_commit)
             counts = {name: self.catalog.open(name).count() for name in TABLES}
-            failed = [r.path for r in self.catalog.open("failures").select("path").orderBy("path").limit(1000).collect()]
-            commit, branch = (git.head(self.repo), git.branch(self.repo)) if self.repo else ("", "")
+            failures = self.catalog.open("failures")
+            failed = [r.path for r in failures.select("path").orderBy("path").limit(index_state.MOST_NAMED).collect()]
             moment = datetime.now(UTC).isoformat(timespec="seconds")
-            index_state.IndexState(commit, branch, moment, encoder is not None, counts["symbols"], counts["chunks"], counts["files"], failed).save(self.state_path)
+            index_state.IndexState(commit, branch, moment, encoder is not None, counts["symbols"], counts["chunks"], counts["files"], failures.count(), failed).save(self.state_path)
         return changes
 
     @property
     def state_path(self) -> str:
         return f"{self.folder}/state.json"
 
-    def trigger(self, sources: DataFrame, mode: str = "incremental") -> DataFrame | None:
-        """Reindexes unless another run is on; then nothing is done and None comes back."""
+    def trigger(self, sources: DataFrame | str, mode: str = "incremental") -> DataFrame | None:
+        """Reindexes rows or a folder unless another run is on; then nothing is done and None comes back."""
         try:
-            return self.reindex(sources, mode)
+            return self.reindex_folder(sources, mode) if isinstance(sources, str) else self.reindex(sources, mode)
         except index_state.Locked:
             return None
 
+    def _before(self, mode: str, schema) -> DataFrame:
+        there = mode == "incremental" and not self.catalog.missing(["snapshot"])
+        return self.catalog.open("snapshot") if there else self.spark.createDataFrame([], schema)
+
     def _indexed(self, sources: DataFrame, mode: str, encoder) -> DataFrame:
         after = source_files.snapshot(sources)
-        there = not self.catalog.missing(["snapshot"])
-        before = self.catalog.open("snapshot") if there and mode == "incremental" else self.spark.createDataFrame([], after.schema)
-        self.catalog.write("changes", incremental.snapshot_diff(before, after, marks=("content_hash",)))
+        self.catalog.write("changes", incremental.snapshot_diff(self._before(mode, after.schema), after, marks=("content_hash",)))
         changes = self.catalog.open("changes")
-        fresh = extract.parsed(sources.join(changes.where("status != 'D'").select("path"), "path", "left_semi")).persist()
+        self._replace(changes, sources.join(changes.where("status != 'D'").select("path"), "path", "left_semi"), mode, encoder)
+        self.catalog.write("snapshot", after)
+        return changes
+
+    def _folder_indexed(self, root: str, mode: str, encoder, tracked: DataFrame | None, suffixes: list[str] | None, since: str) -> DataFrame:
+        listed = source_files.listed(self.spark, root, tracked, suffixes)
+        before = self._before(mode, "path string, mtime timestamp, size long, content_hash string")
+        said = None
+        if self.repo and since and mode == "incremental":
+            git.register(self.spark)
+            said = self.spark.read.format("gitlog").option("repo", root).option("table", "touched").option("since", since).load()
+        self.catalog.write("candidates", incremental.candidates(before, listed, said))
+        found = self.catalog.open("candidates")
+        wanted = lambda changes: listed.join(changes.where("status != 'D'").select("path"), "path", "left_semi")
+        self.catalog.write("marks", source_files.texts(self.spark, root, wanted(found)).drop("content"))
+        read = self.catalog.open("marks")
+        self.catalog.write("changes", incremental.settled(found, before, read))
+        changes = self.catalog.open("changes")
+        self._replace(changes, source_files.texts(self.spark, root, wanted(changes)).where("content IS NOT NULL").drop("content_hash"), mode, encoder)
+        self.catalog.write("snapshot", incremental.carried_on(before, found, read))
+        return changes
+
+    def _replace(self, changes: DataFrame, sources: DataFrame, mode: str, encoder) -> None:
+        """Takes the rows of changed files out of all tables and puts those of their new texts in."""
+        fresh = extract.parsed(sources).persist()
         chunks = extract.chunks_of(fresh)
         if encoder is not None:
             chunks = chunks.withColumn("embedding", embeddings.embedded(F.col("content"), encoder))
@@ -81,9 +115,7 @@ class Engine:
                 searchable = fields_with(TABLES[name], "searchable")
                 self._put(f"{name}_terms", postings.postings(rows, "id", searchable, [column]), changes, column, mode, ["term"])
                 self._put(f"{name}_lengths", postings.lengths(rows, "id", searchable, [column]), changes, column, mode, [])
-        self.catalog.write("snapshot", after)
         fresh.unpersist()
-        return changes
 
     def _put(self, name: str, rows: DataFrame, changes: DataFrame, column: str, mode: str, sort: list[str]) -> None:
         if mode == "full":

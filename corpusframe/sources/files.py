@@ -46,12 +46,22 @@ def scan(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> Dat
     return _binary(spark, names).select(*columns) if names else spark.createDataFrame([], "path string, mtime timestamp, size long, content binary")
 
 
-def sources(spark: SparkSession, root: str, tracked: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
-    """(path, mtime, size, content string) of the files to index; `tracked` (path) restricts them to those under version control."""
+def listed(spark: SparkSession, root: str, tracked: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """The listing of the files to index; `tracked` (path) restricts them to those under version control."""
     wanted = listing(spark, root).where(paths.indexable(F.col("path"), suffixes) & ~paths.skipped(F.col("path")))
-    if tracked is not None:
-        wanted = wanted.join(tracked.select("path"), "path", "left_semi")
+    return wanted if tracked is None else wanted.join(tracked.select("path"), "path", "left_semi")
+
+
+def texts(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(path, mtime, size, content, content_hash) of a part of the listing; content and hash are null of files that are no text."""
     rows = scan(spark, root, wanted)
+    text = F.when(~is_binary(F.col("content")), decoded(F.col("content")))
+    return rows.withColumn("content", text).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+
+
+def sources(spark: SparkSession, root: str, tracked: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """(path, mtime, size, content string) of the files to index."""
+    rows = scan(spark, root, listed(spark, root, tracked, suffixes))
     return rows.where(~is_binary(F.col("content"))).withColumn("content", decoded(F.col("content")))
 
 

@@ -3,6 +3,7 @@
 `parents` has a row for each parent of a commit (one with a null parent for a root) and the commit's chain and place (see `operators.lineage`).  `changes`
 holds all commits, those of side branches too, each against its first parent; in a merge, `taken_from` names the parent that has the file as the merge has
 it, and is null where the file differs from all parents.  `blobs` has each text once, `versions` by commit and path.
+`touched` names what has changed in the folder since the commit of the option `since`.
 
 The repository must lie under the same path on each machine that reads it (a shared folder, or one machine).  Output is read as it comes, whole;
 a command that fails, or takes longer than the option `timeout` (seconds; none by default), fails the read.
@@ -24,6 +25,7 @@ TABLES = {
     "changes": "sha string, path string, old_path string, status string, parent string, taken_from string, before_blob string, after_blob string",
     "parents": "sha string, ordinal int, parent string, chain long, place long",
     "files": "path string",
+    "touched": "path string",
     "versions": "sha string, path string, content string",
     "blobs": "blob string, content string",
 }
@@ -198,6 +200,12 @@ def files(repo: str, timeout: float | None = None) -> Iterator[str]:
     return (p for p in records(repo, "ls-files", "-z", timeout=timeout) if p)
 
 
+def touched(repo: str, since: str, timeout: float | None = None) -> Iterator[str]:
+    """What differs between a commit and the folder as it is: committed since, staged or not, and files that are not tracked yet."""
+    yield from (p for p in records(repo, "diff", "--name-only", "--no-renames", "--relative", "-z", since, timeout=timeout) if p)
+    yield from (p for p in records(repo, "ls-files", "-o", "--exclude-standard", "-z", timeout=timeout) if p)
+
+
 class _Slice(InputPartition):
     def __init__(self, index: int, count: int):
         super().__init__(index)
@@ -208,6 +216,7 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.repo, self.table, self.count = options["repo"], options.get("table", "commits"), int(options.get("partitions", "4"))
         self.timeout = float(options["timeout"]) if "timeout" in options else None
+        self.since = options.get("since", "HEAD")
 
     def partitions(self) -> list[InputPartition]:
         return [_Slice(k, self.count) for k in range(self.count)] if self.table in ("versions", "blobs") else [_Slice(0, 1)]
@@ -221,6 +230,8 @@ class GitReader(DataSourceReader):
             yield from parents(self.repo, self.timeout)
         elif self.table == "files":
             yield from ((p,) for p in files(self.repo, self.timeout))
+        elif self.table == "touched":
+            yield from ((p,) for p in touched(self.repo, self.since, self.timeout))
         elif self.table == "blobs":  # each partition walks the log, which is names only, and reads its share of the texts, each once
             yield from blobs(self.repo, self.share(partition))
         else:

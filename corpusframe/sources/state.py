@@ -10,6 +10,10 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
+#: Of the files that could not be parsed the state names so many; the collection `failures` has them all, and total_failures counts them.
+MOST_NAMED = 1000
+
+
 @dataclass
 class IndexState:
     last_commit: str = ""
@@ -19,6 +23,7 @@ class IndexState:
     total_symbols: int = 0
     total_chunks: int = 0
     total_files: int = 0
+    total_failures: int = 0
     parse_failures: list[str] = field(default_factory=list)
 
     @classmethod

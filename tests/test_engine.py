@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import subprocess
 from datetime import datetime
@@ -73,6 +74,54 @@ def test_changes_replace_and_remove_rows(spark, tmp_path):
     assert {r.path for r in e.catalog.open("files").collect()} == {"a.py", "c.py"}
 
 
+def test_a_folder_is_read_where_it_may_have_changed(spark, tmp_path):
+    """A file whose moment and size are as they were isn't opened; one that is touched but the same is read and no change."""
+    root = tmp_path / "r"
+    write(root, {"a.py": "def one(): pass\n", "b.py": "def two(): pass\n", "sub/c.py": "def three(): pass\n", "d.py": "def four(): pass\n"})
+    (root / "bin.py").write_bytes(b"\x00\x01")
+    e = Engine(spark, Catalog(spark, str(tmp_path / "c")))
+    go = lambda **more: {r.path: r.status for r in (spark.catalog.refreshByPath(str(root)), e.reindex_folder(str(root), **more))[1].collect()}
+    looked = lambda: {r.path for r in e.catalog.open("marks").collect()}
+    names = lambda: {r.name for r in e.catalog.open("symbols").collect()}
+    assert go() == dict.fromkeys(["a.py", "b.py", "sub/c.py", "d.py"], "A") and looked() == {"a.py", "b.py", "sub/c.py", "d.py", "bin.py"}
+    assert go() == {} and looked() == set()
+    was = (root / "a.py").stat()
+    (root / "a.py").write_text("def eno(): pass\n")  # of the same size
+    os.utime(root / "a.py", ns=(was.st_atime_ns, was.st_mtime_ns))
+    os.utime(root / "b.py", (1, 1))
+    (root / "sub/c.py").write_text("def changed(): pass\n")
+    (root / "d.py").unlink()
+    write(root, {"new/e.py": "def five(): pass\n"})
+    assert go() == {"sub/c.py": "M", "d.py": "D", "new/e.py": "A"} and looked() == {"b.py", "sub/c.py", "new/e.py"}
+    assert names() == {"one", "two", "changed", "five"}, "a.py was not opened"
+    assert go() == {} and looked() == set()
+    (root / "bin.py").write_text("def text(): pass\n")
+    (root / "b.py").write_bytes(b"\x00 no text any more")
+    assert go() == {"bin.py": "A", "b.py": "D"} and names() == {"one", "changed", "five", "text"}
+    assert go(mode="full")["a.py"] == "A" and names() == {"eno", "changed", "five", "text"}
+
+
+def test_a_repository_tells_what_a_listing_does_not(spark, tmp_path):
+    """Commits and changes that are in no commit yet, of files whose moment and size are as they were."""
+    root = tmp_path / "r"
+    write(root, {"a.py": "x = 1\n", "b.py": "y = 1\n", "c.py": "z = 1\n"})
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=A", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    e = Engine(spark, Catalog(spark, str(tmp_path / "c")), folder=str(tmp_path / "state"), repo=str(root))
+    go = lambda: {r.path: r.status for r in (spark.catalog.refreshByPath(str(root)), e.reindex_folder(str(root)))[1].collect()}
+    assert len(go()) == 3
+    for name, text in (("a.py", "x = 2\n"), ("b.py", "y = 2\n")):
+        was = (root / name).stat()
+        (root / name).write_text(text)
+        os.utime(root / name, ns=(was.st_atime_ns, was.st_mtime_ns + 2))  # the listing has milliseconds
+        if name == "a.py":
+            run("commit", "-qam", "two")
+    assert go() == {"a.py": "M", "b.py": "M"} and {r.path for r in e.catalog.open("marks").collect()} == {"a.py", "b.py"}
+    assert e.trigger(str(root)).count() == 0
+
+
 def test_search(engine):
     best, facets = engine.search_symbols("Dog", kinds=("class",))
     rows = best.collect()
