@@ -1,15 +1,15 @@
 """Finding personal data, and information-theoretic sanitisation of the words that give it away.
 
-Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns.  Each distinct value is a protected
-entity.  Over whole documents, with n(t), n(e) and n(t, e) of N documents, a word t tells of an entity e
-PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) bits of the entity's information IC(e) = log2(N / n(e)); their ratio is the disclosure.
-A document that holds e loses each word outside base spans with a disclosure of `GENERALISE` or more: it becomes a placeholder,
-and from `REMOVE` on it goes.  A document that does not hold e loses the word if that holds for the lower
-confidence bound too, that is with Wilson's bound of the share n(t, e) / n(t) (z = `CONFIDENT`) in its place: a word that stood beside an
-entity by chance, once or twice, is no reason to change other documents.
-
-Scale: N, n(t), n(e) and n(t, e) count all rows.  The ratio reaches g only where n(t) <= n(t, e) (N / n(e)) ** (1 - g), so with n(e) at hand frequent
-words fall out before words and entities meet.  Entities that stand in the same documents have the same counts for every word and
+Base spans: e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns.  Each distinct value is a protected entity, and so is what
+values share: the domain of addresses, the network (first three parts) of IP addresses.  Over whole documents, with n(t), n(e) and n(t, e) of N documents, a
+document that has the word t has the entity e with probability P(e | t) = n(t, e) / n(t); after the word -log2 P of the log2(N / n(e)) bits that it takes
+to name e are left.  What counts is not P but its lower confidence bound (Wilson's, z = `CONFIDENT`), which asks for evidence: one that stands beside an
+entity once, by chance, has a bound of 0.27, whatever N is, and it takes three documents, all with e, to pass 0.5.  A word outside base spans discloses e if
+that bound is `GENERALISE` or more, so that less than a bit is left, and also as much as (n(e) / N) ** 0.5, so that at least half of the bits came from the
+word and not from e being everywhere.  Then it becomes a placeholder in every document that has it, also where e is not; from `REMOVE` on it goes.
+
+Scale: N, n(t), n(e) and n(t, e) count all rows.  The bound is at most n(t, e) / n(t) and n(t, e) at most n(e), so words in more than n(e) / GENERALISE
+documents, and words in one or two, fall out before words and entities meet.  Entities that stand in the same documents have the same counts for every word and
 are one class, so a document of a thousand addresses gives no thousand pairs a word.  Counts are map-side combined; joins with hot keys are salted
 (`common.salted`); bitmaps of fixed size (`BITMAP_BITS`) only spare rows, an exact join follows each.  The texts are read three times.
 
@@ -33,7 +33,7 @@ from corpusframe.llm.common import bitmap, column, dropped, fields, lists, over_
 from corpusframe.llm.textbytes import ALNUM, Words, mix, raw, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
-GENERALISE, REMOVE = 0.9, 0.97
+GENERALISE, REMOVE = 0.5, 0.8
 CONFIDENT = 1.645
 BITMAP_BITS = 1 << 23
 #: About how many pairs of a word and an entity class a worker holds at once.
@@ -107,6 +107,13 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def shared(kind: int, value: str) -> list[int]:
+    """The names of what a value shares with others."""
+    if kind == 0:
+        return [entity(kind, value[value.index("@") :])]
+    return [entity(kind, value.rpartition(".")[0])] if kind == 1 else []
+
+
 def _free(w: Words, texts: pa.Array, spans: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words don't overlap a base span, and each word's first and end code point in its text."""
     data, off = raw(texts)
@@ -143,7 +150,7 @@ def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         texts = column(batch, "__text").to_pylist()
         spans = [base_spans(t) for t in texts]
         some = [k for k, s in enumerate(spans) if s]
-        entities = [sorted({entity(kind, t[a:b]) for a, kind, b in own}) for t, own in zip(texts, spans, strict=True)]
+        entities = [sorted({e for a, kind, b in own for e in (entity(kind, t[a:b]), *shared(kind, t[a:b]))}) for t, own in zip(texts, spans, strict=True)]
         part = column(batch, "__text").take(pa.array(some, pa.int64()))
         w = words(part, ALNUM, lower=True)
         free, _, _ = _free(w, part, [spans[k] for k in some])
@@ -190,9 +197,15 @@ def _same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["key"].eqNullSafe(right["key"]) & (left["text_hash"] == right["text_hash"])
 
 
-def _needed(n_term: Column, total: int) -> Column:
-    """A word in n_term documents can reach GENERALISE only for entities in as many documents; a little less, for rounding."""
-    return F.pow(n_term / F.lit(float(total) ** (1 - GENERALISE)), F.lit(1 / GENERALISE)) * 0.999999
+def bound(both: Column, n_term: Column) -> Column:
+    """Wilson's lower bound of the share both / n_term."""
+    p, z2 = both / n_term, CONFIDENT**2
+    return (p + z2 / (2 * n_term) - CONFIDENT * F.sqrt(p * (1 - p) / n_term + z2 / (4 * n_term * n_term))) / (1 + z2 / n_term)
+
+
+def _needed(n_term: Column) -> Column:
+    """A word in n_term documents can reach GENERALISE only for entities in so many; a little less, for rounding.  Null if for none."""
+    return F.when(bound(n_term, n_term) >= GENERALISE, n_term * F.lit(GENERALISE) * 0.999999)
 
 
 def needed_levels(rare: DataFrame, top: int) -> np.ndarray:
@@ -205,12 +218,11 @@ def needed_levels(rare: DataFrame, top: int) -> np.ndarray:
     return out
 
 
-def _meetings(rows: DataFrame, levels: np.ndarray, combined: bool) -> DataFrame:
-    """The words and entity classes that meet in rows (key, text_hash, terms, classes), of those that `levels` lets meet: class, n_entity, term,
-    and `both`, a number of rows, where `combined`, else each row's key and text_hash."""
+def _meetings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(class, n_entity, term, both): in how many of the rows (terms, classes) words and entity classes meet, of those that `levels` lets meet; counts
+    of parts, to be summed."""
     held = rows.sparkSession.sparkContext.broadcast(levels)
-    more = T.StructType.fromDDL("both long").fields if combined else [rows.schema["key"], rows.schema["text_hash"]]
-    schema = T.StructType([*T.StructType.fromDDL("class long, n_entity long, term long").fields, *more])
+    names = ["class", "n_entity", "term", "both"]
 
     def run(batches):
         for batch in batches:
@@ -233,37 +245,22 @@ def _meetings(rows: DataFrame, levels: np.ndarray, combined: bool) -> DataFrame:
                         continue
                     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[row[part]], size)
                     of, term = np.repeat(part, size), flat[hit[at]]
-                    if combined:
-                        pair, n = np.unique(np.rec.fromarrays([ident[of], n_entity[of], term]), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pair[f])) for f in ("f0", "f1", "f2")), pa.array(n)], names=schema.names)
-                    else:
-                        where = pa.array(row[of])
-                        yield pa.RecordBatch.from_arrays([pa.array(ident[of]), pa.array(n_entity[of]), pa.array(term), column(batch, "key").take(where), column(batch, "text_hash").take(where)], names=schema.names)
-
-    return rows.select("key", "text_hash", "terms", "classes").mapInArrow(run, schema)
-
-
-def ratios(both: Column, n_term: Column, n_entity: Column, total: int) -> tuple[Column, Column]:
-    """The disclosure, and its lower confidence bound."""
-    information = F.log2(F.lit(float(total)) / F.least(n_entity, F.lit(total - 1)))
-    share, z2 = both / n_term, CONFIDENT**2
-    low = (share + z2 / (2 * n_term) - CONFIDENT * F.sqrt(share * (1 - share) / n_term + z2 / (4 * n_term * n_term))) / (1 + z2 / n_term)
-
-    def of(p: Column) -> Column:
-        return F.log2(F.lit(float(total)) * p / n_entity) / information
+                    pair, n = np.unique(np.rec.fromarrays([ident[of], n_entity[of], term]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pair[f])) for f in ("f0", "f1", "f2")), pa.array(n)], names=names)
 
-    return of(share), of(low)
+    return rows.select("terms", "classes").mapInArrow(run, "class long, n_entity long, term long, both long")
 
 
 def disclosing(some: DataFrame, docs: DataFrame, total: int, text: str = "text") -> DataFrame:
-    """(term, class, both, disclosure, sure): the pairs that reach GENERALISE, and their lower bounds; a stored table.  `some` is a stored
-    table of the rows with entities: key, text_hash, terms, classes."""
+    """(term, disclosure): the words that disclose an entity, with the largest bound; a stored table.  `some` is a stored table of the rows with
+    entities: terms, classes."""
     top = some.select(F.explode("classes").alias("c")).agg(F.max("c.n_entity")).first()[0] or 1
     held = bitmap(some.select(F.explode("terms").alias("term")), "term", BITMAP_BITS)
-    rare = stored(word_counts(docs, held, text).withColumn("needed", _needed(F.col("n"), total)).where(F.col("needed") <= top), "pii-rare")
-    met = _meetings(some, needed_levels(rare, top), True).groupBy("class", "n_entity", "term").agg(F.sum("both").alias("both"))
-    ratio, low = ratios(F.col("both"), F.col("n"), F.col("n_entity"), total)
-    out = stored(met.join(rare, "term").select("term", "class", "both", ratio.alias("disclosure"), low.alias("sure")).where(F.col("disclosure") >= GENERALISE), "pii-disclosing")
+    rare = stored(word_counts(docs, held, text).withColumn("needed", _needed(F.col("n"))).where(F.col("needed") <= top), "pii-rare")
+    met = _meetings(some, needed_levels(rare, top)).groupBy("class", "n_entity", "term").agg(F.sum("both").alias("both"))
+    least = F.greatest(F.lit(GENERALISE), F.sqrt(F.col("n_entity") / total))
+    pairs = met.join(rare, "term").withColumn("disclosure", bound(F.col("both"), F.col("n"))).where(F.col("disclosure") >= least)
+    out = stored(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-disclosing")
     dropped(rare)
     return out
 
@@ -303,21 +300,11 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     n_some = plain.agg(F.sum(F.size("entities"))).first()[0] or 0
     grouped = entity_classes(plain, n_some).withColumnsRenamed({"key": "of_key", "text_hash": "of_hash"})
     some = stored(plain.join(grouped, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("text_hash") == F.col("of_hash"))).select("key", "text_hash", "terms", "classes"), "pii-classes")
-    pairs = disclosing(some, docs, total, text)
-    bits = bitmap(pairs, "term", BITMAP_BITS)
-    near = _meetings(some.dropDuplicates(["key", "text_hash"]), np.where(bits, 0, 255).astype(np.uint8), False).withColumn("row", F.xxhash64("key", "text_hash"))
-    n_near = pairs.agg(F.sum("both")).first()[0] or 0
-    own = salted(near, pairs.select("class", "term", "both", "disclosure"), ["class", "term"], "both", ["row"], n_near)
-    own = own.groupBy("key", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
-    places = stored(word_places(docs, bits, key, text), "pii-places")
-    left, right = places.alias("p"), own.alias("o")
-    in_own = left.join(right, F.col("p.key").eqNullSafe(F.col("o.key")) & (F.col("p.text_hash") == F.col("o.text_hash")) & (F.col("p.term") == F.col("o.term"))).select("p.*", "o.disclosure")
-    sure = pairs.where(F.col("sure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    anywhere = places.join(sure, "term").select(*places.columns, "disclosure")
-    spans = in_own.union(anywhere).groupBy("key", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    extra = spans.groupBy("key", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("extra"))
-    out = stored(extra, "pii-terms")
-    dropped(some, pairs, places)
+    words_ = disclosing(some, docs, total, text)
+    places = stored(word_places(docs, bitmap(words_, "term", BITMAP_BITS), key, text), "pii-places")
+    spans = places.join(words_, "term").select("key", "text_hash", F.struct("start", F.lit(4).alias("kind"), "end", "disclosure").alias("x"))
+    out = stored(spans.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set("x")).alias("extra")), "pii-terms")
+    dropped(some, words_, places)
     return found, out
 
 
