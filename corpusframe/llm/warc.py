@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from corpusframe.llm.common import column, stored, table
 
 REVISIT_BYTES = 100
-SEGMENT_BYTES = 32_768
-CHUNK_BYTES = 8_192
+#: Small, so that ordinary pages have continuation records and several chunks, as large ones have with the sizes that crawlers use.
+SEGMENT_BYTES = 1_024
+CHUNK_BYTES = 1_000
 ARCHIVE_BYTES = 4_000_000
 RECORD = "record_id string, type string, page_id string, refers_to string, digest string, origin string, segment int, total long, block binary, problem string"
 UNPACK_BYTES = 1 << 16
