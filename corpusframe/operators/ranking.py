@@ -91,6 +91,46 @@ def complete(df: DataFrame, columns: list[str], prefix: str, limit: int = 10, fu
     return pairs.where(test).groupBy("field", "text").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "text", "field").limit(limit)
 
 
+COMPLETIONS = 20
+LONGEST = 32
+
+
+def completions(df: DataFrame, columns: list[str], most: int = COMPLETIONS, longest: int = LONGEST) -> DataFrame:
+    """(n, prefix, whole, field, text, weight): of each beginning of n letters the `most` best values, and the values that end there (`whole`).
+
+    One aggregation to values, one over their beginnings; a task ranks its own before they are shuffled, so the beginnings that most values share are
+    no load.  Write it by n, sorted by prefix (`written_completions`)."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in columns])).alias("p")).select("p.*")
+    values = pairs.where("text IS NOT NULL").groupBy("field", "text").agg(F.count("*").alias("weight"))
+    low = F.lower("text")
+    each = values.select("field", "text", "weight", F.explode(F.sequence(F.lit(0), F.least(F.length(low), F.lit(longest)))).alias("n"))
+    begun = each.withColumn("prefix", F.substring(low, F.lit(1), F.col("n"))).withColumn("whole", F.explode(F.when(F.length(low) == F.col("n"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    best = Window.partitionBy("prefix", "whole").orderBy(F.desc("weight"), "text", "field")
+    return begun.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("n", "prefix", "whole", "field", "text", "weight")
+
+
+def written_completions(table: DataFrame, path: str) -> DataFrame:
+    """The table on disk, a partition for each length of a beginning."""
+    order = ["n", "prefix", "whole"]
+    table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("n").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def completed(table: DataFrame, prefix: str, limit: int = 10, fuzzy: bool = False, most: int = COMPLETIONS, longest: int = LONGEST) -> DataFrame:
+    """What `complete` gives, from a table of completions: (field, text, weight).  One partition is read, and of that the pages that hold the prefix;
+    with `fuzzy` all beginnings of that length are compared, and the values that end a letter before."""
+    q = prefix.lower()
+    if limit > most or len(q) > longest:
+        raise ValueError(f"the table has {most} values a beginning, of up to {longest} letters")
+    found = table.where((F.col("n") == len(q)) & ~F.col("whole"))
+    if fuzzy:
+        ended = table.where((F.col("n") == len(q) - 1) & F.col("whole"))
+        found = found.unionByName(ended).where(F.levenshtein("prefix", F.lit(q), 1) >= 0)
+    else:
+        found = found.where(F.col("prefix") == q)
+    return found.select("field", "text", "weight").orderBy(F.desc("weight"), "text", "field").limit(limit)
+
+
 def marked(text: Column, query: str, mark: str = "**") -> Column:
     """All occurrences of the query's terms, whatever their case, between marks."""
     terms = terms_of(query, highlight=True)

@@ -13,6 +13,7 @@ from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
 from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, lineage, postings, ranking, scoring, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
+from corpusframe.sources.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +152,37 @@ def query_string(spark, d):
     return _t(spark, d, "documents").where(scoring.query_string("(idiot OR clown) AND lang:en AND NOT pathe*", "text")).select("doc_id")
 
 
+def _index(spark, d):
+    """The term index of all documents, written and opened: postings with places, lengths."""
+    folder, docs = new_folder(spark, "terms"), _t(spark, d, "documents")
+    index = postings.written(postings.postings(docs, "doc_id", ["text"], places=True), f"{folder}/postings", "term", "doc_id")
+    return folder, index, postings.written(postings.lengths(docs, "doc_id", ["text"]), f"{folder}/lengths", "doc_id")
+
+
+@query(_PHRASE.format(t=TOKENS.format("text"), reach=1))
+def phrase_indexed(spark, d):
+    return postings.phrase(_index(spark, d)[1], "of the", "doc_id", "text")
+
+
+@query(_PHRASE.format(t=TOKENS.format("text"), reach=3))
+def phrase_slop_indexed(spark, d):
+    return postings.phrase(_index(spark, d)[1], "of the", "doc_id", "text", slop=2)
+
+
+@query(_expanded_sql("starts_with(term, 'worth')"))
+def prefix_indexed(spark, d):
+    _, index, sizes = _index(spark, d)
+    return _score(postings.prefix(index, sizes, "doc_id", "text", "worth"))
+
+
+@query(_expanded_sql("levenshtein(term, 'clown') <= 2"))
+def fuzzy_indexed(spark, d):
+    """Two edits, by the dictionary of deletions; the vocabulary is that of the index."""
+    folder, index, sizes = _index(spark, d)
+    dictionary = postings.written(postings.neighbourhood(postings.vocabulary(index)), f"{folder}/dictionary", "rest", "term")
+    return _score(postings.fuzzy(index, sizes, dictionary, "doc_id", "text", "clown", max_edits=2))
+
+
 @query("SELECT event_id, round(value * pow(0.5, greatest(epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(ts)), 0) / 604800.0), 6) AS score FROM events")
 def recency_decay(spark, d):
     return _t(spark, d, "events").select("event_id", F.round(scoring.decayed(F.col("value"), F.col("ts"), AS_OF, 604_800.0), 6).alias("score"))
@@ -317,6 +349,23 @@ def autocomplete_fuzzy(spark, d):
     return ranking.complete(_t(spark, d, "part"), ["p_name"], "bla", 10, fuzzy=True)
 
 
+_VALUES_NAMED = "SELECT field, text, count(*) AS weight FROM (SELECT 'p_name' AS field, p_name AS text FROM part UNION ALL SELECT 'p_type', p_type FROM part) WHERE {0} GROUP BY ALL ORDER BY weight DESC, text, field LIMIT 10"
+
+
+def _completions(spark, d):
+    return ranking.written_completions(ranking.completions(_t(spark, d, "part"), ["p_name", "p_type"]), new_folder(spark, "completions"))
+
+
+@query(_VALUES_NAMED.format("starts_with(lower(text), 's')"))
+def autocomplete_table(spark, d):
+    return ranking.completed(_completions(spark, d), "S")
+
+
+@query(_VALUES_NAMED.format("levenshtein(left(lower(text), 3), 'bla') <= 1"))
+def autocomplete_table_fuzzy(spark, d):
+    return ranking.completed(_completions(spark, d), "bla", fuzzy=True)
+
+
 _HITS = """
 h AS (SELECT p_partkey, p_name, p_type, 1.0 / (1 + p_size) AS base,
       CASE p_partkey % 4 WHEN 0 THEN 'src/main/' || p_name || '.java' WHEN 1 THEN 'src/test/' || p_name || '.java' WHEN 2 THEN 'lib/' || p_brand || '.java' ELSE 'Tests/x/' || p_brand || '.java' END AS path,
@@ -911,7 +960,6 @@ _ACTION = "CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END"
 def ordered_stream(spark, d):
     """All events as a feed that comes shuffled, in four batches, a part of it twice; the stream's collection is the state after the newest of each key."""
     from corpusframe.sources.catalog import Catalog
-    from corpusframe.sources.session import new_folder
     from corpusframe.streaming import index
 
     folder = new_folder(spark, "ordered-stream")
