@@ -19,12 +19,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusframe.functions.text import CHARS_PER_TOKEN
-from corpusframe.operators.languages import BY_NAME, BY_SUFFIX, LanguageProfile, imports_of
+from corpusframe.operators.languages import BY_NAME, BY_SUFFIX, LanguageProfile, imports_of, package_of
 from corpusframe.operators.windows import MIN_TOKENS, line_windows
 from corpusframe.schemas import CHUNKS, FILES, SYMBOLS
 
 MAX_TOKENS = 500
-MAX_REFERENCES = 50
 BATCH_FILES = 100
 
 # Type names that are no references.
@@ -159,7 +158,7 @@ class JavaScanner:
     def __init__(self, path: str, text: str, nested_names: bool = False, tail: str = "stop"):
         self.path, self.text, self.flat = path, text, masked(text, strings="\"'")
         self.nested_names, self.tail = nested_names, tail
-        self.out = Parsed(package=package_of(BY_NAME["java"], self.flat), imports=imports_of(BY_NAME["java"], text, self.flat))
+        self.out = Parsed(package=package_of(BY_NAME["java"], text, self.flat), imports=imports_of(BY_NAME["java"], text, self.flat))
         self.ends = line_ends(text)
 
     def line(self, at: int) -> int:
@@ -231,7 +230,7 @@ class JavaScanner:
         names = {n for n in names if not n.isupper() or len(n) == 1}
         symbol = Symbol(
             f"{self.path}::{kind}::{qualified}", name, qualified, f"{kind} {name}", kind, self.visible(modifiers), self.path, self.out.package, module_of(self.path), outer, ", ".join(implements), ", ".join(extends), ", ".join(self.annotations(start, body)),
-            self.line(start), self.line(end - 1), declared[:200], ", ".join(self.out.imports) if top else "", ", ".join(sorted(names)[:MAX_REFERENCES]),
+            self.line(start), self.line(end - 1), declared[:200], ", ".join(self.out.imports) if top else "", ", ".join(sorted(names)),
         )
         self.out.symbols.append(symbol)
         signatures = []
@@ -308,11 +307,6 @@ def python_imports(tree: ast.Module) -> list[str]:
     return list(dict.fromkeys(name for _, name in sorted(out, key=lambda x: x[0])))
 
 
-def package_of(profile: LanguageProfile, blanked: str) -> str:
-    m = re.search(profile.package, blanked) if profile.package else None
-    return re.sub(r"\s+", "", m[1]) if m else ""
-
-
 def _first_line(text: str) -> str:
     line = text.split("\n", 1)[0].strip()
     return line if len(line) <= 120 else line[:120] + "..."
@@ -331,7 +325,7 @@ class GenericScanner:
         body = "\n".join(self.lines[start - 1 : end])
         qualified = ".".join(x for x in (self.out.package, parent, name) if x)
         self.out.symbols.append(
-            Symbol(f"{self.path}::{kind}::{qualified}", name, qualified, _first_line(body), kind, visible, self.path, self.out.package, module_of(self.path), parent, ", ".join(bases[1:]), bases[0] if bases else "", ", ".join(notes), start, end, body[:200], "", ", ".join(sorted(set(names))[:MAX_REFERENCES]))
+            Symbol(f"{self.path}::{kind}::{qualified}", name, qualified, _first_line(body), kind, visible, self.path, self.out.package, module_of(self.path), parent, ", ".join(bases[1:]), bases[0] if bases else "", ", ".join(notes), start, end, body[:200], "", ", ".join(sorted(set(names))))
         )
         self.out.chunks += split_chunk(
             f"{self.path}::{kind}_chunk::{qualified}", f"// {self.path}\n", body, start, self.path, self.profile.name, limit_prefix=False, window_prefix=f"// {self.path} — {qualified}\n", tail=self.tail, symbol_name=name, kind=kind, enclosing_class=parent, enclosing_method=qualified if kind in ("method", "function") else ""
@@ -339,7 +333,7 @@ class GenericScanner:
 
     def scan(self) -> Parsed:
         flat = masked(self.text, "#" if self.profile.indented else "//", hashes=self.profile.indented)
-        self.out.package, self.out.imports = package_of(self.profile, flat), imports_of(self.profile, self.text, flat)
+        self.out.package, self.out.imports = package_of(self.profile, self.text, flat), imports_of(self.profile, self.text, flat)
         if self.profile.name == "python":
             tree = ast.parse(self.text)
             self.out.imports = python_imports(tree)

@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from corpusframe.operators.extract import chunks_of, file_of, files_of, parse, parsed, symbols_of
+from corpusframe.operators.imports import READERS
 from corpusframe.operators.languages import BY_SUFFIX, PROFILES, all_suffixes
 from corpusframe.operators.windows import MAX_CHARS, line_windows
 
@@ -119,6 +120,19 @@ def test_other_languages(path, text, names):
         ("a.cs", "using System;\nglobal using A.B;\nusing static X.Y;\nusing Z = Q.R<int>;\n// using no.no;\nnamespace N.M;\nclass C { void f() { using (var x = 1) {} using var y = Foo(); } }", ["System", "A.B", "X.Y", "Q.R"], "N.M"),
         ("a.kt", "package p.q\nimport a.b.C as D\nimport x.*\nimport `in`.y;\n// import no.no\nclass A { }", ["a.b.C", "x.*", "`in`.y"], "p.q"),
         ("a.scala", "package p\nimport a.b.{C, D => E, F => _}, g.h\nimport q._\nobject A { }", ["a.b.C", "a.b.D", "g.h", "q._"], "p"),
+        ("a.go", '// package no\npackage m\n\nimport "fmt" // "no"\nimport (\n\tx "a/b"\n\t. "c"\n\t_ `d/e`\n\t/* "no" */ "f"; "g"\n)\nvar s = "import \\"no\\""\nfunc f() { import_("no") }\n', ["fmt", "a/b", "c", "d/e", "f", "g"], "m"),
+        ("b.go", "import \"a\"\n", ["a"], ""),
+        (
+            "a.rs",
+            "#![x]\nuse std::io;\npub(crate) use a::{b, c as d, e::{self, f::*}, g};\nuse ::h::i as _;\nuse j::*;\nextern crate k as l;\n// use no;\nmod m { use super::n; }\nfn f<'a>(x: &'a str) { let s = \"use no;\"; use o::p; }\nuse {q, r::s};\nmod no;\n",
+            ["std::io", "a::b", "a::c", "a::e", "a::e::f::*", "a::g", "::h::i", "j::*", "k", "super::n", "o::p", "q", "r::s"],
+            "",
+        ),
+        ("a.rb", "require 'json'\nrequire(\"a/b\")\nrequire_relative 'c' # require 'no'\nload \"d.rb\" if x\nautoload :E, 'e'\nobj.require 'no'\ndef load(x); end\n=begin\nrequire 'no'\n=end\ns = \"require 'no'\"\nrequire name\n", ["json", "a/b", "c", "d.rb", "e"], ""),
+        ("a.c", "#include <stdio.h>\n  #  include \"a/b.h\"\n#include CONFIG_H\n#include_next <n.h>\n// #include <no.h>\n/*\n#include <no.h>\n*/\nchar *s = \"#include <no.h>\";\nint import;\n", ["stdio.h", "a/b.h", "CONFIG_H", "n.h"], ""),
+        ("a.cpp", "#include <v>\nimport std.core;\nexport import :part;\nimport <h>;\nimport \"q.h\";\nusing namespace no;\nnamespace no2 = x::y;\nnamespace a::b { inline namespace c {\nclass D { };\n} }\n", ["v", "std.core", ":part", "h", "q.h"], "a::b::c"),
+        ("b.cpp", "module;\nexport module m.n;\nnamespace { int x; }\n", [], "m.n"),
+        ("a.ts", "import a from 'a';\nimport {b,\n  c as d} from \"b\"\nimport 'c';\nimport type {T} from './t';\nimport * as n from 'n';\nexport * from 'e';\nexport {x} from 'f';\nexport const y = 'no';\nconst z = require('g'), w = await import('h');\n// import 'no'\nconst s = `import 'no'`;\nimport eq = require('i');\n", ["a", "b", "c", "./t", "n", "e", "f", "g", "h", "i"], ""),
     ],
 )
 def test_imports(path, text, imports, package):
@@ -126,6 +140,19 @@ def test_imports(path, text, imports, package):
     assert (got.imports, got.package) == (imports, package)
 
 
+@given(st.text(alphabet="use import{}()\"'`;:\n#<>/*=,.ab \\", max_size=80))
+def test_any_text_has_some_imports_or_none(text):
+    for imports, package in READERS.values():
+        assert all(isinstance(x, str) for x in imports(text)) and isinstance(package(text), str)
+
+
+def test_all_references_are_kept():
+    names = [f"Type{k}" for k in range(120)]
+    fields = "".join(f"  {n} x{n};\n" for n in names)
+    got = parse("A.java", f"class A {{\n{fields}}}\n")
+    assert got.symbols[0].type_references == ", ".join(sorted(names))
+
+
 def test_profiles():
     assert len(PROFILES) == 13 and BY_SUFFIX[".kt"].name == "kotlin" and ".tsx" in all_suffixes() and ".gradle" in all_suffixes()
 
