@@ -10,7 +10,7 @@ fitted on others again.
 Scale: of the labelled rows the classifiers see about `LABELLED`, whole texts, chosen by a hash of the key; their features (some KB a
 row) are what the driver gets.  The unlabelled documents are all those without a label; their features are stored once, and workers score them
 each round.  The confident share follows from counts of binned log odds, and a pseudo-labelled row counts in Newton's method by sums
-that workers form: the driver gets `FIT_TASKS` matrices a step, whatever the input's size.  Scoring reads every text once, without
+that workers form, each over its splits of the stored rows, and a few workers over those: the driver gets `SUMS` matrices a step, whatever the input's size.  Scoring reads every text once, without
 a shuffle, and every document is scored.
 
 Defined results: null texts count as empty; null source, language or length are values of their own, and so is a column that isn't there.  An empty
@@ -40,7 +40,8 @@ ROUNDS = 5
 GIVEN = 0.02  # of the unlabelled rows: by so much more of them a view labels in each round than in the one before
 CONFIDENT = 0.95  # and only rows that the view, calibrated on labelled rows that it has not seen, finds as likely good or bad
 THRESHOLD = 0.5
-FIT_TASKS = 8
+SUMS = 8
+SPLITS = 8  # of the pseudo-labelled rows that one task sums up, while there are more than SUMS
 STEPS = 25
 NEAR = 1e-6
 BINS = 2_000  # for a factor e of large log odds
@@ -223,28 +224,43 @@ class Unlabelled:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), v, np.int32)), pa.array(label[hit]), _packed(both[v][hit])], names=["view", "label", "x"])
                 give_back()
 
-        return stored(self.rows.mapInArrow(run, "view int, label double, x binary").repartition(FIT_TASKS), "quality-given")
+        return stored(self.rows.mapInArrow(run, "view int, label double, x binary"), "quality-given")
 
 
 def _given_sums(given: DataFrame, weights: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """newton_sums of each view over the pseudo-labelled rows, which weigh half, by sums on workers."""
 
     def run(batches):
-        total: list = [None, None]
+        total = [(0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
         for batch in batches:
             view, label = column(batch, "view").to_numpy(), column(batch, "label").to_numpy()
             for v in (0, 1):
                 hit = np.flatnonzero(view == v)
                 if len(hit):
                     part = newton_sums(weights[v], _unpacked(column(batch, "x").take(pa.array(hit))), label[hit], np.full(len(hit), 0.5))
-                    total[v] = part if total[v] is None else tuple(a + b for a, b in zip(total[v], part, strict=True))
+                    total[v] = tuple(a + b for a, b in zip(total[v], part, strict=True))
             give_back()
-        for v, part in enumerate(total):
-            if part is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([part[0]]), *(pa.array([a.tobytes()], pa.binary()) for a in part[1:])], names=["view", "loss", "slope", "bend"])
+        yield from _batches(total)
 
+    def added(batches):
+        yield from _batches(_added((r for batch in batches for r in batch.to_pylist()), weights))
+
+    schema, splits = "view int, loss double, slope binary, bend binary", given.rdd.getNumPartitions()
+    parts = given.coalesce(max(SUMS, -(-splits // SPLITS))).mapInArrow(run, schema)
+    if splits > SUMS * SPLITS:
+        parts = parts.repartition(SUMS).mapInArrow(added, schema)
+    return _added(parts.toArrow().to_pylist(), weights)
+
+
+def _batches(sums: list[tuple[float, np.ndarray, np.ndarray]]):
+    for v, part in enumerate(sums):
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([part[0]], pa.float64()), *(pa.array([a.tobytes()], pa.binary()) for a in part[1:])], names=["view", "loss", "slope", "bend"])
+
+
+def _added(rows, weights: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The sums of parts, for each view."""
     out = [(0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))) for w in weights]
-    for r in given.coalesce(FIT_TASKS).mapInArrow(run, "view int, loss double, slope binary, bend binary").toArrow().to_pylist():
+    for r in rows:
         loss, slope, bend = out[r["view"]]
         out[r["view"]] = (loss + r["loss"], slope + np.frombuffer(r["slope"]), bend + np.frombuffer(r["bend"]).reshape(bend.shape))
     return out

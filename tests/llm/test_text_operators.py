@@ -742,6 +742,22 @@ def ours(df, columns):
     return Counter(tuple(str(r[df.columns.index(c)]) for c in columns) for r in df.collect())
 
 
+@pytest.mark.parametrize("few", [8, 1])
+def test_sums_of_many_splits(spark, monkeypatch, few):
+    """In one step or two, the sums over pseudo-labelled rows are those over all of them at once."""
+    monkeypatch.setattr(quality, "SUMS", few)
+    monkeypatch.setattr(quality, "SPLITS", 2)
+    r = np.random.default_rng(4)
+    x = [r.normal(size=(60, d)).astype(np.float32) for d in (5, 3)]
+    label = [(r.random(60) < 0.5).astype(float) for _ in range(2)]
+    rows = [(v, float(label[v][k]), x[v][k].tobytes()) for v in (0, 1) for k in range(60)]
+    given = spark.createDataFrame(rows, "view int, label double, x binary").repartition(9)
+    weights = [r.normal(size=6), r.normal(size=4)]
+    for got, w, own, y in zip(quality._given_sums(given, weights), weights, x, label, strict=True):
+        for a, b in zip(got, quality.newton_sums(w, own, y, np.full(60, 0.5)), strict=True):
+            assert np.allclose(a, b)
+
+
 STAGES = [quality.quality_stage, neardup.neardup_stage, decontaminate.decontaminate_stage, pii.pii_stage]
 
 
