@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import list_of
+from corpusframe.operators import trigrams
 from corpusframe.operators.collections import first_per
 
 
@@ -27,9 +28,17 @@ def find_implementations(symbols: DataFrame, target: str) -> DataFrame:
     return symbols.withColumn("relationship", how).where(F.col("relationship").isNotNull())
 
 
-def find_references(symbols: DataFrame, target: str) -> DataFrame:
-    """Symbols that name a type among their type references, or else have it in an import; not the symbols of that name."""
+def reference_index(symbols: DataFrame, key: str = "id") -> DataFrame:
+    """Trigrams of what symbols refer to and import, for `find_references`."""
+    return trigrams.postings(symbols.select(key, F.concat_ws("\n", "type_references", "imports").alias("names")), key, "names")
+
+
+def find_references(symbols: DataFrame, target: str, index: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Symbols that name a type among their type references, or else have it in an import; not the symbols of that name.  With an index only the rows
+    that have the name's trigrams are looked at."""
     t = target.strip()
+    if index is not None and (keys := trigrams.candidates(index, key, trigrams.needed_by_text(t))) is not None:
+        symbols = symbols.join(keys, key, "left_semi")
     by_type = F.array_contains(list_of(F.col("type_references")), t)
     by_import = F.exists(list_of(F.col("imports")), lambda i: i.contains(t))
     how = F.when(by_type, "references").when(by_import, "imports")

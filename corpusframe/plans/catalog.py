@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import paths
 from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
-from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, lineage, postings, ranking, scoring, windows
+from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, lineage, postings, ranking, scoring, trigrams, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
 from corpusframe.sources.session import new_folder
 
@@ -169,6 +169,17 @@ def phrase_slop_indexed(spark, d):
     return postings.phrase(_index(spark, d)[1], "of the", "doc_id", "text", slop=2)
 
 
+_PATTERN = "worth(y|less)|cl[ao]wns?|[ ]id(io|ea)t"
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_PATTERN}')")
+def grep_indexed(spark, d):
+    """A regular expression over all texts, by an index of trigrams; only the texts of candidates are tested."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    index = postings.written(trigrams.postings(docs, "doc_id", "text"), new_folder(spark, "trigrams"), "gram", "doc_id")
+    return trigrams.grep(docs, index, "doc_id", "text", _PATTERN).select("doc_id")
+
+
 @query(_expanded_sql("starts_with(term, 'worth')"))
 def prefix_indexed(spark, d):
     _, index, sizes = _index(spark, d)
@@ -749,11 +760,21 @@ def find_implementations(spark, d):
     return codeintel.find_implementations(_symbols(spark, d), "Item3").select("qualified_name", "relationship")
 
 
-@query(f"SELECT qualified_name, CASE WHEN list_contains({_SPLIT.format('type_references')}, 'Part5') THEN 'references' ELSE 'imports' END AS relationship FROM {_SYMBOLS} WHERE name != 'Part5' AND (list_contains({_SPLIT.format('type_references')}, 'Part5') OR contains(imports, 'Part5'))")
+_REFERENCES = f"SELECT qualified_name, CASE WHEN list_contains({_SPLIT.format('type_references')}, 'Part5') THEN 'references' ELSE 'imports' END AS relationship FROM {_SYMBOLS} WHERE name != 'Part5' AND (list_contains({_SPLIT.format('type_references')}, 'Part5') OR contains(imports, 'Part5'))"
+
+
+@query(_REFERENCES)
 def find_references(spark, d):
     return codeintel.find_references(_symbols(spark, d), "Part5").select("qualified_name", "relationship")
 
 
+@query(_REFERENCES)
+def references_indexed(spark, d):
+    symbols = _symbols(spark, d)
+    index = postings.written(codeintel.reference_index(symbols, "qualified_name"), new_folder(spark, "references"), "gram", "qualified_name")
+    return codeintel.find_references(symbols, "Part5", index, "qualified_name").select("qualified_name", "relationship")
+
+
 @query(
     f"""
 WITH {_EDGES}, m AS (SELECT i.file_path, imp, line_start, CASE WHEN contains(extends_class, string_split(imp, '.')[-1]) THEN 'EXTENDS' WHEN contains(implements, string_split(imp, '.')[-1]) THEN 'IMPLEMENTS' WHEN contains(annotations, string_split(imp, '.')[-1]) THEN 'ANNOTATION' END AS kind
