@@ -311,8 +311,15 @@ class CoTrained:
             m.w = np.round(m.w, 6)
         self.scale = [self._line(self.models[v].w, labelled[v][fit], y[fit]) for v in (0, 1)]
         both = np.stack([self.view_odds(v, labelled[v][joined]) for v in (0, 1)], axis=1)
-        joint = Logistic(2, ridge=0.1).fit(both, y[joined], np.ones(len(joined)))
-        self.joint = (max(joint.w[0], 0.0), max(joint.w[1], 0.0), joint.w[2])
+        told = np.array([True, True])  # a view that would speak against itself is left out, and the rest fitted without it
+        while True:
+            joint = Logistic(int(told.sum()), ridge=0.1).fit(both[:, told], y[joined], np.ones(len(joined)))
+            if (joint.w[:-1] >= 0).all():
+                break
+            told[np.flatnonzero(told)[int(np.argmin(joint.w[:-1]))]] = False
+        weight = np.zeros(2)
+        weight[told] = joint.w[:-1]
+        self.joint = (float(weight[0]), float(weight[1]), float(joint.w[-1]))
 
     @staticmethod
     def _line(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
