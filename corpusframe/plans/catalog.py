@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import paths
 from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
-from corpusframe.operators import codeintel, collections, extract, filters, history, incremental, lineage, postings, ranking, scoring, trigrams, windows
+from corpusframe.operators import codeintel, collections, extract, filters, geo, history, incremental, lineage, postings, ranking, scoring, trigrams, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
 from corpusframe.sources.session import new_folder
 
@@ -283,12 +283,35 @@ def geo_bbox(spark, d):
     return _points(spark, d).where(Box("lat", "lon", 40, 150, -20, -140).predicate()).select("id")
 
 
-@query(f"SELECT id, round({_HAVERSINE} / 1000, 3) AS km FROM ({_POINTS}) ORDER BY round({_HAVERSINE} / 1000, 3), id LIMIT 25")
+_NEAREST = f"SELECT id, round({_HAVERSINE} / 1000, 3) AS km FROM ({_POINTS}) ORDER BY round({_HAVERSINE} / 1000, 3), id LIMIT 25"
+
+
+@query(_NEAREST)
 def geo_sort(spark, d):
     km = F.round(filters.haversine(F.col("lat"), F.col("lon"), 48.0, 11.0) / 1000, 3)
     return _points(spark, d).select("id", km.alias("km")).orderBy("km", "id").limit(25)
 
 
+def _cells(spark, d):
+    points = _points(spark, d).withColumn("cell", geo.cell(F.col("lat"), F.col("lon")))
+    return postings.written(points, new_folder(spark, "cells"), "cell", "id")
+
+
+@query(f"SELECT id FROM ({_POINTS}) WHERE {_HAVERSINE} <= 4000000.5")
+def geo_distance_cells(spark, d):
+    return geo.within(_cells(spark, d), Near("lat", "lon", 48.0, 11.0, 4_000_000.5)).select("id")
+
+
+@query(f"SELECT id FROM ({_POINTS}) WHERE lat BETWEEN -20 AND 40 AND (lon >= 150 OR lon <= -140)")
+def geo_bbox_cells(spark, d):
+    return geo.within(_cells(spark, d), Box("lat", "lon", 40, 150, -20, -140)).select("id")
+
+
+@query(_NEAREST)
+def geo_nearest_cells(spark, d):
+    return geo.nearest(_cells(spark, d), "lat", "lon", 48.0, 11.0, 25, "id").select("id", "km")
+
+
 @query("SELECT user_id, count(*) AS n FROM events WHERE user_id = 17 GROUP BY user_id")
 def tenant_count(spark, d):
     return filters.tenant(_t(spark, d, "events"), 17, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
