@@ -820,7 +820,7 @@ def test_one_very_long_text(monkeypatch):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 13)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
 @pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
