@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusframe.sources.session import new_folder
+
 #: Of one place and name: a question before it, the end of a name that a renaming leaves, the change itself, a question after it.
 BEFORE, LEFT, CHANGED, AFTER = 0, 1, 2, 3
 
@@ -29,6 +31,16 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows in a new folder beside the checkpoints, read again, for loops of joins.
+
+    `checkpoint()` cuts the lineage but hands on the plan's estimate of its size, and that of a join is the product of its sides': in a loop of joins the
+    number's digits multiply with each round, until the driver does nothing but multiply.  Files have a size of their own, and are worked out once."""
+    folder = new_folder(df.sparkSession, "lineage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def linear(commits: DataFrame) -> DataFrame:
     """Placed commits where no parents are known: one chain, by date."""
     return commits.select("sha", F.lit(0).alias("chain"), F.struct("date", "sha").alias("place"))
@@ -42,13 +54,13 @@ def placed(parents: DataFrame) -> DataFrame:
     known = parents.select(F.col("sha").alias("parent")).distinct()
     edges = parents.select("sha", "parent").join(known, "parent", "left_semi").select("sha", "parent")
     first = parents.select("sha").distinct().join(edges, "sha", "left")
-    now = held(first.select("sha", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("place"), F.struct(F.lit(0).cast("long").alias("height"), F.col("sha").alias("tip")).alias("best")))
+    now = kept(first.select("sha", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("place"), F.struct(F.lit(0).cast("long").alias("height"), F.col("sha").alias("tip")).alias("best")))
     reach = 1
     while not now.where("up IS NOT NULL").isEmpty():
         below = now.where("up IS NOT NULL").groupBy(F.col("up").alias("sha")).agg(F.max(F.struct((F.col("best.height") + reach).alias("height"), F.col("best.tip").alias("tip"))).alias("found"))
         further = now.select(F.col("sha").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
         both = now.join(below, "sha", "left").join(further, "up", "left")
-        now = held(
+        now = kept(
             both.select(
                 "sha", "parent", F.col("next").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.greatest("best", "found").alias("best")
             )
@@ -93,9 +105,9 @@ def linked(changes: DataFrame, placed: DataFrame, of: DataFrame | None = None) -
     origin = F.coalesce("taken_from", "parent") if "taken_from" in rows.columns else F.col("parent")
     asked = rows.withColumn("from", origin).join(there, "from").select(F.col("to_chain").alias("chain"), found_as.alias("name"), F.col("to_place").alias("place"), F.lit(AFTER).alias("kind"), F.struct("sha", "path").alias("asked"))
     bases = placed.join(there, F.col("parent") == F.col("from")).where("chain != to_chain").select("chain", "to_chain", "to_place")
-    events, done = held(events), []
+    events, done = kept(events), []
     while True:
-        answers = held(_answers(events, asked))
+        answers = kept(_answers(events, asked))
         done.append(answers.where("found IS NOT NULL").select("asked.*", F.col("found").alias("before")))
         open_still = answers.where("found IS NULL").join(bases, "chain")
         if open_still.isEmpty():
@@ -121,15 +133,15 @@ def identified(links: DataFrame) -> DataFrame:
     goes_on = F.col("before.live") & (F.col("before.path") == F.col("path")) & (F.col("before.chain") == F.col("chain")) & ~F.col("status").startswith("C")
     begins = ~F.coalesce(goes_on, F.lit(False))
     upto = Window.partitionBy("chain", "path").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = held(links.withColumn("first", F.last(F.when(begins, F.col("sha")), ignorenulls=True).over(upto)))
+    rows = kept(links.withColumn("first", F.last(F.when(begins, F.col("sha")), ignorenulls=True).over(upto)))
     starts = rows.where("first = sha")
     comes = F.col("before.live") & ~F.col("status").startswith("C")
     edges = starts.select(F.struct("sha", "path").alias("own"), F.when(comes, F.struct("before.sha", "before.path")).alias("from"))
     of = rows.select(F.struct("sha", "path").alias("from"), F.struct(F.col("first").alias("sha"), "path").alias("up"))
-    now = held(edges.join(of, "from", "left").select("own", F.coalesce("up", "own").alias("up")))
+    now = kept(edges.join(of, "from", "left").select("own", F.coalesce("up", "own").alias("up")))
     while True:
         further = now.select(F.col("own").alias("up"), F.col("up").alias("next"))
-        following = held(now.join(further, "up").select("own", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+        following = kept(now.join(further, "up").select("own", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
         now = following.drop("moved")
         if following.where("moved").isEmpty():
             break

@@ -9,6 +9,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusframe.operators import history, lineage
 from corpusframe.plans.api import Engine
@@ -92,6 +93,19 @@ def test_by_date_where_no_parents_are_known(spark):
     assert {(r.sha, r.path): r.before and (r.before.sha, r.before.path, r.before.live) for r in found} == before
 
 
+def test_a_long_line_of_commits(spark):
+    """Estimates of size must not grow with the rounds: they did so by powers, until the driver had no memory left for the number."""
+    n = 3000
+    edges = spark.range(n).select(F.col("id").cast("string").alias("sha"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    places = lineage.placed(edges)
+    assert places.select(F.count("*"), F.max("place"), F.count_distinct("chain")).first()[:] == (n, n - 1, 1)
+    changes = edges.select("sha", F.lit("a").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("M").alias("status"))
+    found = lineage.identified(lineage.linked(changes, places))
+    assert found.select("file_id").distinct().collect() == [("0:a",)]
+    for df in (places, found):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+
+
 def test_no_history(spark):
     commits = spark.createDataFrame([], "sha string, date timestamp")
     changes = spark.createDataFrame([], "sha string, path string, old_path string, status string")
