@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusframe.operators.extract import chunks_of, file_of, files_of, parse, parsed, symbols_of
 from corpusframe.operators.imports import READERS
@@ -181,3 +182,12 @@ def test_tables(spark):
     assert symbols_of(got).count() == 12  # a class, an enum, an interface, a constructor, four methods, four fields
     assert chunks_of(got).where("file_path = 'run.sh'").count() == 1
     assert {r.path: r.loc for r in files_of(got).collect()} == {"core/src/Circle.java": JAVA.count("\n") + 1, "run.sh": 201, "none.txt": 1}
+
+
+def test_texts_of_one_small_file_are_many_tasks(spark, tmp_path):
+    rows = [(f"p/C{k}.java", f"package p;\nclass C{k} {{ void run() {{ }} }}\n") for k in range(200)]
+    spark.createDataFrame(rows, "path string, content string").coalesce(1).write.parquet(str(tmp_path / "sources"))
+    table = parsed(spark.read.parquet(str(tmp_path / "sources")))
+    seen = table.select("path", F.spark_partition_id().alias("task")).collect()
+    assert {r.path for r in seen} == {p for p, _ in rows} and len(seen) == 200
+    assert len({r.task for r in seen}) > 3
