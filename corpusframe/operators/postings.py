@@ -70,10 +70,20 @@ def lengths(df: DataFrame, key: str, fields: list[str], keep: list[str] = ()) ->
     return _fields(df, key, fields, list(keep), lambda w: [])
 
 
+def unsorted(df: DataFrame, path: str) -> DataFrame:
+    """The rows on disk in the order in which they come."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, path: str, *order: str) -> DataFrame:
     """The table on disk, in ranges of `order` and sorted by it within files, so that a filter on its first column reads the pages that hold its values.
-    A value that many rows have is dealt over several tasks by the columns after it."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    A value that many rows have is dealt over several tasks by the columns after it.
+
+    Ranges are found by a pass over the rows before the one that moves them, so the rows are written as they come first (`path`-unsorted): they are
+    worked out once, and both passes read what is there."""
+    found = unsorted(df, f"{path.rstrip('/')}-unsorted")
+    found.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,9 +28,11 @@ TERMS = "term string, documents long, occurrences long, lang string"
 
 
 def written(df: DataFrame, path: str, order: list[str], **counts) -> dict:
-    """Writes a table by language, in ranges and sorted by `order`; what was counted on the way."""
-    rows, seen = counting(df.repartitionByRange("lang", *order).sortWithinPartitions("lang", *order), **counts)
-    rows.write.mode("overwrite").partitionBy("lang").parquet(path)
+    """Writes a table by language, in ranges and sorted by `order`; what was counted on the way.  Ranges take two passes over the rows, so these are
+    written as they come first, beside the table, and texts are taken apart once."""
+    rows, seen = counting(df, **counts)
+    found = postings.unsorted(rows, f"{path}-unsorted")
+    found.repartitionByRange("lang", *order).sortWithinPartitions("lang", *order).write.mode("overwrite").partitionBy("lang").parquet(path)
     return seen.get
 
 

@@ -124,3 +124,18 @@ def test_a_completion_reads_one_partition(spark, values, tmp_path):
     assert ranking.completions(values.limit(0), ["name"]).count() == 0
     full = ranking.completions(values, ["name"])._jdf.queryExecution().executedPlan().toString()
     assert full.count("WindowGroupLimit") == 2, "each task ranks before it hands on"
+
+
+def test_rows_of_an_index_are_worked_out_once(spark, tmp_path):
+    """Ranges take two passes over the rows; the texts must not be taken apart in both."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).selectExpr("concat('t', id % 7) AS term", "id AS doc_id").mapInArrow(count, "term string, doc_id long")
+    table = postings.written(rows, str(tmp_path / "table"), "term", "doc_id")
+    assert seen.value == 500
+    assert sorted(map(tuple, table.collect())) == sorted((f"t{k % 7}", k) for k in range(500))
