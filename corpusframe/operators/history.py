@@ -107,14 +107,15 @@ def summary(changes: DataFrame, key: str = "sha", delta: str | None = None) -> D
 
 
 def files_of(commits: DataFrame, changes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
-    """All changes with the `file_id` of the file they are of (`lineage.identified`).  A table of its own where histories are asked for often."""
+    """All changes with the `file_id` of the file they are of (`lineage.identified`).  A table of its own where histories are asked for often; for one
+    file the changes of `lineage.under_names` are enough."""
     return lineage.identified(lineage.linked(changes, placed if placed is not None else lineage.linear(commits)))
 
 
 def of_one_file(ids: DataFrame, path: str) -> DataFrame:
     """The changes of the file that had a name last (by place, not by date), under all its names."""
     last = ids.where(F.col("path") == path).orderBy(F.desc("place"), F.desc("sha")).limit(1).select("file_id")
-    return ids.join(F.broadcast(last), "file_id", "left_semi")  # one row
+    return lineage.kept(ids.join(F.broadcast(last), "file_id", "left_semi"))  # one row; as files the changes have their size, and commits needn't be moved to them
 
 
 def names(commits: DataFrame, ids: DataFrame, path: str) -> DataFrame:
@@ -128,11 +129,15 @@ def file_history(
     """Commits that touch a file, newest first, also under its earlier names (not those of other files that had one of its names); with the
     commit before each and, where `versions` are given, the file's `diff` in each.  `ids` is a stored table of `files_of`."""
     placed = placed if placed is not None else lineage.linear(commits)
+    near = changes
     if follow:
-        touched = of_one_file(ids if ids is not None else files_of(commits, changes, placed), path).select("sha", "path", "place")
+        if ids is None:
+            near = lineage.under_names(changes, path)
+            ids = files_of(commits, near, placed)
+        touched = of_one_file(ids, path).select("sha", "path", "place")
     else:
         touched = changes.where(F.col("path") == path).select("sha", "path").distinct().join(placed.select("sha", "place"), "sha")
-    rows = own(changes).select("sha", "path", "status").dropDuplicates(["sha", "path"])
+    rows = own(near).select("sha", "path", "status").dropDuplicates(["sha", "path"])
     touched = rows.join(touched, ["sha", "path"])
     order = Window.orderBy("date", "place", "path")  # one file's commits only
     out = commits.join(touched, "sha").withColumn("previous_sha", F.lag("sha").over(order)).orderBy(F.desc("date"), F.desc("place"), F.desc("path")).limit(limit)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from corpusframe.sources.session import new_folder
 
+#: So many renamings in a row are followed name by name, in each direction; beyond that all changes are taken.
+FOLLOWED = 24
+
 #: Of one place and name: a question before it, the end of a name that a renaming leaves, the change itself, a question after it.
 BEFORE, LEFT, CHANGED, AFTER = 0, 1, 2, 3
 
@@ -76,6 +79,28 @@ def one_each(changes: DataFrame) -> DataFrame:
     return best.select("sha", "path", "x.*")
 
 
+def under_names(changes: DataFrame, path: str) -> DataFrame:
+    """The changes that the history of the file that is or was called `path` can depend on: those under names from which renamings and copies lead to that
+    one, and under names that they lead to from there.  `identified` finds the same changes of this file among them as among all.
+
+    A file's changes, from its first on, are all under such names, and so is what a renaming leaves.  Under one of them there may be other files too, whose
+    earlier names are left out; they get another `file_id` than among all changes, and never that of a file which is here from its first change on.
+    A round is a step between names; of very long lines of names no end is waited for, and then nothing is left out."""
+    pairs = kept(changes.where("old_path <> '' AND path <> old_path").select("old_path", "path").distinct())
+    found = pairs.sparkSession.range(1).select(F.lit(path).alias("name"))
+    for here, there in (("path", "old_path"), ("old_path", "path")):
+        fresh = found
+        for _ in range(FOLLOWED):
+            step = pairs.join(fresh, F.col(here) == F.col("name"), "left_semi").select(F.col(there).alias("name")).distinct()
+            fresh = kept(step.join(found, "name", "left_anti"))
+            if fresh.isEmpty():
+                break
+            found = found.union(fresh)
+        else:
+            return changes
+    return kept(changes.join(kept(found), F.col("path") == F.col("name"), "left_semi"))
+
+
 def is_renaming() -> Column:
     return F.col("status").startswith("R") & F.col("old_path").isNotNull() & (F.col("old_path") != F.col("path"))
 
@@ -90,17 +115,18 @@ def linked(changes: DataFrame, placed: DataFrame, of: DataFrame | None = None) -
     found_as = F.coalesce(F.when(F.col("old_path") != "", F.col("old_path")), F.col("path"))
     what = lambda name, live, kind: F.struct(name.alias("name"), live.alias("live"), F.lit(kind).alias("kind"))
     each = F.array(what(F.col("path"), ~F.col("status").startswith("D"), CHANGED), F.when(is_renaming(), what(F.col("old_path"), F.lit(False), LEFT)))
-    named = changes.select("sha", "path", F.explode(each).alias("x")).where("x IS NOT NULL").select("sha", "path", "x.*")
+    at = placed.select("sha", "chain", "place")
+    known = changes.join(placed, "sha")
+    named = known.select("sha", "chain", "place", F.explode(each).alias("x")).where("x IS NOT NULL").select("sha", "chain", "place", "x.*")
     if of is not None:
         named = named.join(wanted.select(found_as.alias("name")).distinct(), "name", "left_semi")
-    at = placed.select("sha", "chain", "place")
     # `path` of an event is the name under which it left the file: its own
-    events = named.join(at, "sha").select("chain", "name", "place", "kind", F.struct("sha", F.col("name").alias("path"), "live", "chain").alias("event"), F.lit(None).cast("struct<sha:string,path:string>").alias("asked"))
-    rows = wanted.join(placed, "sha")
+    events = named.select("chain", "name", "place", "kind", F.struct("sha", F.col("name").alias("path"), "live", "chain").alias("event"))
+    rows = known if of is None else wanted.join(placed, "sha")
     if "parent" not in placed.columns:
-        asked = rows.select("chain", found_as.alias("name"), "place", F.lit(BEFORE).alias("kind"), F.struct("sha", "path").alias("asked"))
-        found = _answers(events, asked).select("asked.*", F.col("found").alias("before"))
-        return rows.join(found, ["sha", "path"], "left").select("sha", "path", "old_path", "status", "chain", "place", "before")
+        # each row asks once, and is answered in one go: it goes with its question
+        asked = rows.select("chain", found_as.alias("name"), "place", F.lit(BEFORE).alias("kind"), F.struct("sha", "path", "old_path", "status", "place").alias("asked"))
+        return _answers(events, asked).select("asked.sha", "asked.path", "asked.old_path", "asked.status", "chain", "asked.place", F.when(F.col("asked.path").isNotNull(), F.col("found")).alias("before"))
     there = at.select(F.col("sha").alias("from"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
     origin = F.coalesce("taken_from", "parent") if "taken_from" in rows.columns else F.col("parent")
     asked = rows.withColumn("from", origin).join(there, "from").select(F.col("to_chain").alias("chain"), found_as.alias("name"), F.col("to_place").alias("place"), F.lit(AFTER).alias("kind"), F.struct("sha", "path").alias("asked"))

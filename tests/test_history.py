@@ -106,6 +106,35 @@ def test_a_long_line_of_commits(spark):
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
 
 
+@pytest.mark.parametrize(("seed", "branching", "followed"), [(5, 0.0, 24), (6, 0.3, 24), (7, 0.3, 1)])
+def test_one_file_among_the_changes_it_can_depend_on(spark, monkeypatch, seed, branching, followed):
+    """Each name's file has the same changes among those of `under_names` as among all, also where steps between names are cut short."""
+    monkeypatch.setattr(lineage, "FOLLOWED", followed)
+    r, parents = random.Random(seed), forest(seed, 90, branching)
+    changes = [(c, f"{group}{path}", old and f"{group}{old}", status) for group in "xyz" for c, path, old, status in edits(r.random(), parents)]
+    _, ids = found_by(parents, changes)
+    places = lineage.held(lineage.placed(spark.createDataFrame(list(parents.items()), "sha string, parent string")))
+    table = spark.createDataFrame(changes, "sha string, path string, old_path string, status string")
+    place = {c.sha: c.place for c in places.collect()}
+    for path in ("xa", "yc", "none"):
+        near = lineage.under_names(table, path)
+        assert near.count() == (len(changes) if followed == 1 and path != "none" else sum(p[0] == path[0] for _, p, *_ in changes) if path != "none" else 0)
+        last = max(((place[s], s) for s, p in ids if p == path), default=None)
+        found = history.of_one_file(history.files_of(None, near, places), path)
+        assert {(c.sha, c.path) for c in found.collect()} == {k for k in ids if last and ids[k] == ids[last[1], path]}
+
+
+def test_one_file_is_found_without_all_others(spark, monkeypatch):
+    """The versions of all files were linked, moved and written for the history of one."""
+    linked, seen = lineage.linked, []
+    monkeypatch.setattr(lineage, "linked", lambda changes, *a, **k: (seen.append(changes.count()), linked(changes, *a, **k))[1])
+    commits = spark.range(40).selectExpr("CAST(id AS STRING) AS sha", "TIMESTAMP '2024-01-01' + make_dt_interval(CAST(id AS INT)) AS date")
+    many = spark.range(40).crossJoin(spark.range(100).toDF("n")).selectExpr("CAST(id AS STRING) AS sha", "concat('f', n) AS path", "CAST(NULL AS STRING) AS old_path", "'M' AS status")
+    changes = many.union(spark.createDataFrame([("7", "new", "f3", "R")], many.schema)).where("NOT (path = 'f3' AND CAST(sha AS INT) >= 7)")
+    assert [c.sha for c in history.file_history(commits, changes, "new").collect()] == [str(k) for k in range(7, -1, -1)]
+    assert seen == [8]
+
+
 def test_no_history(spark):
     commits = spark.createDataFrame([], "sha string, date timestamp")
     changes = spark.createDataFrame([], "sha string, path string, old_path string, status string")
