@@ -911,7 +911,7 @@ def file_history(spark, d):
 @query(_FILES_BY_DATE + "SELECT path AS name, max(date) AS last FROM h GROUP BY path")
 def rename_chain(spark, d):
     commits = _commits(spark, d)
-    return history.names(commits, history.files_of(commits, _file_changes(spark, d)), "p/12")
+    return history.names(commits, history.files_of(commits, lineage.under_names(_file_changes(spark, d), "p/12")), "p/12")
 
 
 _VERSION = "concat('one', chr(10), 'line ', CAST({k} AS STRING), chr(10), 'three', chr(10))"

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusframe.operators import history, lineage
+from corpusframe.plans import catalog
 from corpusframe.plans.api import Engine
 from corpusframe.sources import git
 from corpusframe.sources.catalog import Catalog
@@ -135,6 +136,14 @@ def test_one_file_is_found_without_all_others(spark, monkeypatch):
     assert seen == [8]
 
 
+def test_names_of_one_file_are_found_without_all_others(spark, monkeypatch):
+    """The query linked the changes of all files to name one."""
+    linked, seen, folder = lineage.linked, [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(lineage, "linked", lambda changes, *a, **k: (seen.append(changes.count()), linked(changes, *a, **k))[1])
+    catalog.QUERIES["rename_chain"](spark, folder)
+    assert len(seen) == 1 and 0 < seen[0] < catalog._file_changes(spark, folder).count() / 2
+
+
 def test_no_history(spark):
     commits = spark.createDataFrame([], "sha string, date timestamp")
     changes = spark.createDataFrame([], "sha string, path string, old_path string, status string")
