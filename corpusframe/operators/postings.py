@@ -25,6 +25,8 @@ HEAD = 7
 EDITS = 2
 #: So many terms at most are named in a filter that the scan gets; beyond that they are joined.
 PUSHED = 1000
+#: So many rows a range of a sorted table has, about: what a task sorts at once.
+RANGE = 1_000_000
 
 
 def counted(words: Column) -> Column:
@@ -81,9 +83,12 @@ def written(df: DataFrame, path: str, *order: str) -> DataFrame:
     A value that many rows have is dealt over several tasks by the columns after it.
 
     Ranges are found by a pass over the rows before the one that moves them, so the rows are written as they come first (`path`-unsorted): they are
-    worked out once, and both passes read what is there."""
-    found = unsorted(df, f"{path.rstrip('/')}-unsorted")
-    found.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    worked out once, and both passes read what is there.  A large table has as many ranges as its rows ask for, so what a task
+    sorts does not grow with it; the number is given, so adaptive execution, which goes by compressed bytes, puts none together."""
+    spark, found = df.sparkSession, unsorted(df, f"{path.rstrip('/')}-unsorted")
+    ranges = -(-found.count() // RANGE)  # from the files' footers
+    given = [ranges] if ranges > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else []
+    found.repartitionByRange(*given, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

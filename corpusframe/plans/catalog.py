@@ -13,7 +13,7 @@ from corpusframe.functions import source as src
 from corpusframe.functions import text as txt
 from corpusframe.operators import codeintel, collections, extract, filters, geo, history, incremental, lineage, postings, ranking, scoring, trigrams, windows
 from corpusframe.operators.filters import Box, Compound, Exists, Near, Range, Term
-from corpusframe.sources.session import new_folder
+from corpusframe.sources.session import dealt, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -794,7 +794,8 @@ def find_references(spark, d):
 @query(_REFERENCES)
 def references_indexed(spark, d):
     symbols = _symbols(spark, d)
-    index = postings.written(codeintel.reference_index(symbols, "qualified_name"), new_folder(spark, "references"), "gram", "qualified_name")
+    rows = _made(dealt(_t(spark, d, "part")), "p_partkey", **_EACH_SYMBOL)  # trigrams cost far more than the keys' bytes tell
+    index = postings.written(codeintel.reference_index(rows, "qualified_name"), new_folder(spark, "references"), "gram", "qualified_name")
     return codeintel.find_references(symbols, "Part5", index, "qualified_name").select("qualified_name", "relationship")
 
 

@@ -139,3 +139,13 @@ def test_rows_of_an_index_are_worked_out_once(spark, tmp_path):
     table = postings.written(rows, str(tmp_path / "table"), "term", "doc_id")
     assert seen.value == 500
     assert sorted(map(tuple, table.collect())) == sorted((f"t{k % 7}", k) for k in range(500))
+
+
+def test_a_large_table_has_more_ranges(spark, tmp_path, monkeypatch):
+    """A table had as many ranges as a shuffle has tasks, so what a task sorted grew with the table."""
+    monkeypatch.setattr(postings, "RANGE", 1000)
+    rows = spark.range(20_000).selectExpr("CAST(id * 7919 % 20000 AS STRING) AS term", "id AS doc_id")
+    table = postings.written(rows, str(tmp_path / "table"), "term", "doc_id").withColumn("file", F.input_file_name())
+    files = table.groupBy("file").agg(F.count("*").alias("n"), F.min("term").alias("a"), F.max("term").alias("b")).orderBy("a").collect()
+    assert len(files) > 15 and max(f.n for f in files) < 3000 and sum(f.n for f in files) == 20_000
+    assert all(one.b < two.a for one, two in zip(files, files[1:], strict=False))
