@@ -60,7 +60,10 @@ def classify_imports(imports: DataFrame, symbols: DataFrame, key: str = "import"
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, key: str = "import") -> DataFrame:
-    """Adds `file`: that whose package and class the import names, or, for an inner class, names before its last part."""
+    """Adds `file`: that whose package and class the import names, or, for an inner class, names before its last part.
+
+    Classes are hashed in parts: a table of all of them, broadcast as estimates of derived names are low, would be in every task's memory, and many files
+    import the same class, whose rows a sort would hold in one task."""
     parts = F.split(F.col(key), r"\.")
     n = F.size(parts)
 
@@ -69,7 +72,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, key: str = "import") -
 
     usable = (F.col(key) != "") & ~F.col(key).endswith("*") & (n >= 2)
     wanted = imports.withColumns({"__p1": F.when(usable, joined(n - 1)), "__c1": F.when(usable, F.get(parts, n - 1)), "__p2": F.when(usable & (n >= 3), joined(n - 2)), "__c2": F.when(usable & (n >= 3), F.get(parts, n - 2))})
-    classes = files.select(F.col("package").alias("p"), F.explode(list_of(F.col("class_names"))).alias("c"), F.col("path").alias("f")).groupBy("p", "c").agg(F.min("f").alias("f"))
+    classes = files.select(F.col("package").alias("p"), F.explode(list_of(F.col("class_names"))).alias("c"), F.col("path").alias("f")).groupBy("p", "c").agg(F.min("f").alias("f")).hint("shuffle_hash")
     one, two = classes.alias("one"), classes.alias("two")
     out = wanted.join(one, (F.col("__p1") == F.col("one.p")) & (F.col("__c1") == F.col("one.c")), "left").join(two, (F.col("__p2") == F.col("two.p")) & (F.col("__c2") == F.col("two.c")), "left")
     return out.select(*imports.columns, F.coalesce("one.f", "two.f").alias("file"))

@@ -772,7 +772,9 @@ def _files(spark, d):
 
 
 def _imports(spark, d):
-    return _symbols(spark, d).select("file_path", F.explode(txt.list_of(F.col("imports"))).alias("import")).distinct()
+    # names are many times their keys, so keys are dealt out before distinct ones are looked for
+    symbols = _made(dealt(_t(spark, d, "part")), "p_partkey", **_EACH_SYMBOL)
+    return symbols.select("file_path", F.explode(txt.list_of(F.col("imports"))).alias("import")).distinct()
 
 
 _EDGES = f"i AS (SELECT DISTINCT file_path, unnest({_SPLIT.format('imports')}) AS imp FROM {_SYMBOLS} WHERE imports != '')"

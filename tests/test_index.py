@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusframe.operators import postings, ranking, scoring
+from corpusframe.operators import codeintel, postings, ranking, scoring
 
 ODD = [None, "", "...", "to be or not to be, to be", "To BE be to", "a a a a", "a b a c a b", "ÜBER über straße 日本 x_1 9", "be " * 3000 + "or to", "x" * 5000]
 
@@ -149,3 +149,13 @@ def test_a_large_table_has_more_ranges(spark, tmp_path, monkeypatch):
     files = table.groupBy("file").agg(F.count("*").alias("n"), F.min("term").alias("a"), F.max("term").alias("b")).orderBy("a").collect()
     assert len(files) > 15 and max(f.n for f in files) < 3000 and sum(f.n for f in files) == 20_000
     assert all(one.b < two.a for one, two in zip(files, files[1:], strict=False))
+
+
+def test_classes_are_not_broadcast(spark):
+    """Estimates of derived names are low, so the table of all classes was in the memory of every task."""
+    files = spark.range(50).selectExpr("concat('f', id) AS path", "'p' AS package", "concat('C', id) AS class_names")
+    imports = spark.range(50).selectExpr("concat('f', id) AS file_path", "explode(array(concat('p.C', id), 'p.C1.Inner', 'q.None')) AS import")
+    found = codeintel.resolve_imports(imports, files)
+    assert {(r["import"], r.file) for r in found.collect()} == {*[(f"p.C{k}", f"f{k}") for k in range(50)], ("p.C1.Inner", "f1"), ("q.None", None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
