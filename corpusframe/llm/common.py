@@ -20,6 +20,8 @@ from corpusframe.llm.textbytes import PIECE_BYTES, pieces
 BATCH_BYTES = 8_000_000
 _MALLOC: list = []
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For rows of some MB.  Parquet's reader and writer hold a row group at once, and the writer keeps each group's least and largest value until the file ends.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -53,16 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpusframe-shared"  # driver and executors are one process
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts the lineage: lost executors cost no recomputation.
 
-    The shuffles that led to it are removed with the write's end, so disk holds those of one step at most."""
+    The shuffles that led to it are removed with the write's end, so disk holds those of one step at most.  With `large_rows` a task
+    holds one row at a time, and not all rows that fit a row group when compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, None)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**ROW_BY_ROW if large_rows else {}).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(FREE_SHUFFLES)

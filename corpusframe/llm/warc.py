@@ -242,7 +242,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", payload: str = "html"
         if buffer:
             yield full()
 
-    return stored(rows.mapInArrow(go, "archive string, warc binary"), "warc-archives")
+    return stored(rows.mapInArrow(go, "archive string, warc binary"), "warc-archives", large_rows=True)
 
 
 def read_records(archives: DataFrame, warc: str = "warc") -> DataFrame:

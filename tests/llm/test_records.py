@@ -7,6 +7,7 @@ import hashlib
 import itertools
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from corpusframe.llm import chat, warc
@@ -123,6 +124,19 @@ def test_records_are_valid(spark):
     assert warc.page_of(warc.urn("", "a")) == "" and warc.page_of(warc.urn(None, "a")) is None and warc.page_of(warc.urn("a:b>c", "x")) == "a:b>c"
 
 
+def test_a_task_holds_one_archive_at_a_time(spark, monkeypatch):
+    """Parquet's reader and writer hold a row group at once, and the writer each group's statistics, which are whole archives."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
+    pages = spark.createDataFrame([(k, f"{k} " * 600) for k in range(30)], "page_id long, html string").coalesce(1)
+    archives = warc.write_archives(pages)
+    files = [pq.read_metadata(f.removeprefix("file://")) for f in archives.inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) == archives.count() > 10 and {g.num_rows for g in groups} == {1}
+    assert not any(g.column(k).is_stats_set for g in groups for k in range(g.num_columns))
+    back = {r.page_id: bytes(r.payload).decode() for r in warc.decoded(warc.reassembled(warc.read_records(archives))).collect()}
+    assert back == {str(r.page_id): r.html for r in pages.collect()}
+
+
 # --- conversations
 
 
